@@ -119,18 +119,57 @@ W1_KEYS: dict[str, list[str]] = {
 W1_SQL_CTES = [Q.BARS_1H, Q.W1A]
 
 
+# Columns whose magnitude (~1e9) leaves fewer than 6 exact decimals in a double.
+DIGITS = {"ease_of_movement": 2}
+
+
 def _w1_sql(cols: list[str]) -> str:
-    sel = ", ".join(Q.r6(Q.W1_DERIVED.get(c, c), c) for c in cols)
+    sel = ", ".join(Q.r6(Q.W1_DERIVED.get(c, c), c, DIGITS.get(c, 6)) for c in cols)
     return f"{Q.with_ctes(*W1_SQL_CTES)} SELECT symbol, ts, {sel} FROM w1"
 
 
 def _indicator_builder(cols: list[str]) -> Builder:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = features(bars_1h(spark, sf_dir), cols)
-        return drop_layout(f).select("symbol", "ts", *[r6(c) for c in cols])
+        return drop_layout(f).select("symbol", "ts", *[r6(c, digits=DIGITS.get(c, 6)) for c in cols])
 
     return build
 
 
 for _key, _cols in W1_KEYS.items():
     register(_key, _w1_sql(_cols))(_indicator_builder(_cols))
+
+
+# ---------------------------------------------------------------------------
+# 2.4 recursive indicators (scan stages)
+
+R_KEYS: dict[str, list[str]] = {
+    "ema": ["ema_5", "ema_10", "ema_12", "ema_13", "ema_20", "ema_26", "ema_50", "ema_200"],
+    "volume_ema": ["volume_ema"],
+    "rsi_wilder": ["rsi_wilder"],
+    "macd": ["macd", "macd_signal"],
+    "macd_hist": ["macd_hist"],
+    "atr": ["atr"],
+    "adx": ["adx", "plus_di", "minus_di", "dx"],
+    "mass_index": ["mass_index"],
+    "trix": ["trix"],
+    "stoch_rsi": ["stoch_rsi"],
+    "kama": ["kama"],
+    "ppo": ["ppo"],
+    "pvo": ["pvo"],
+    "force_index": ["force_index"],
+    "vpt": ["vpt"],
+    "obv": ["obv"],
+    "vwap_cum": ["vwap_cum"],
+    "volatility_norm": ["volatility_norm"],
+}
+DIGITS |= {"force_index": 4, "vpt": 4, "obv": 4}
+
+
+def _full_sql(cols: list[str]) -> str:
+    sel = ", ".join(Q.r6(Q.F_DERIVED.get(c, c), c, DIGITS.get(c, 6)) for c in cols)
+    return f"{Q.with_ctes(*Q.FULL_CTES)} SELECT symbol, ts, {sel} FROM f"
+
+
+for _key, _cols in R_KEYS.items():
+    register(_key, _full_sql(_cols))(_indicator_builder(_cols))

@@ -167,3 +167,126 @@ def r6(expr: str, name: str, digits: int = 6) -> str:
 
 def with_ctes(*ctes: str) -> str:
     return "WITH RECURSIVE " + ",".join(ctes)
+
+
+# ---------------------------------------------------------------------------
+# Recurrences (recursive CTEs). Coefficients are Python floats printed with repr so
+# both engines multiply by the same doubles in the same order.
+
+def _ewm_step(prev: str, x: str, alpha: float) -> str:
+    return f"(CASE WHEN {x} IS NULL THEN {prev} ELSE {1.0 - alpha!r} * {prev} + {alpha!r} * {x} END)"
+
+
+EMA_SPANS = (5, 9, 10, 12, 13, 18, 20, 26, 50, 200)
+_KF, _KS = 2.0 / (2 + 1), 2.0 / (30 + 1)
+
+S1_IN = f"""
+s1in AS (
+  SELECT *,
+    pow((CASE WHEN abs_delta_sum_10 = 0 THEN 0.0 ELSE abs(close - close_lag10) / abs_delta_sum_10 END)
+        * {_KF - _KS!r} + {_KS!r}, 2.0) AS kama_sc,
+    delta_close * volume AS dcv, high - low AS hl,
+    CASE WHEN close < prev_close THEN -volume ELSE volume END AS obv_step
+  FROM w1
+)"""
+
+
+def _s1_cols():
+    init, step = [], []
+    for n in EMA_SPANS:
+        a = 2.0 / (n + 1)
+        init.append(f"close AS ema_{n}")
+        step.append(f"{_ewm_step(f'r.ema_{n}', 'x.close', a)} AS ema_{n}")
+    for nm, n in (("volume_ema", 20), ("volume_ema_12", 12), ("volume_ema_26", 26)):
+        init.append(f"volume AS {nm}")
+        step.append(f"{_ewm_step(f'r.{nm}', 'x.volume', 2.0 / (n + 1))} AS {nm}")
+    for nm, src in (("rsi_up", "gain"), ("rsi_down", "loss"), ("tr_w", "tr"), ("pos_dm_w", "pos_dm"), ("neg_dm_w", "neg_dm")):
+        init.append(f"{src} AS {nm}")
+        step.append(f"{_ewm_step(f'r.{nm}', f'x.{src}', 1.0 / 14)} AS {nm}")
+    init.append("CAST(NULL AS DOUBLE) AS atr")
+    step.append(f"(CASE WHEN x.rn = 13 THEN x.tr_avg_14 WHEN x.rn > 13 THEN {13 / 14!r} * r.atr + x.tr / 14.0 END) AS atr")
+    init.append("CAST(NULL AS DOUBLE) AS force_index")
+    step.append(f"(CASE WHEN x.rn = 1 THEN x.dcv ELSE {_ewm_step('r.force_index', 'x.dcv', 2.0 / 14)} END) AS force_index")
+    init.append("CAST(NULL AS DOUBLE) AS kama")
+    step.append("(CASE WHEN x.rn = 9 THEN x.close WHEN x.rn > 9 THEN (1.0 - x.kama_sc) * r.kama + x.kama_sc * x.close END) AS kama")
+    init.append("hl AS ema_hl_9")
+    step.append(f"{_ewm_step('r.ema_hl_9', 'x.hl', 0.2)} AS ema_hl_9")
+    return init, step
+
+
+_I1, _T1 = _s1_cols()
+S1_REC = f"""
+s1 AS (
+  SELECT symbol, rn, {", ".join(_I1)} FROM s1in WHERE rn = 0
+  UNION ALL
+  SELECT x.symbol, x.rn, {", ".join(_T1)}
+  FROM s1 r JOIN s1in x ON x.symbol = r.symbol AND x.rn = r.rn + 1
+)"""
+
+_S1_VALID = {f"ema_{n}": n - 1 for n in EMA_SPANS} | {
+    "volume_ema": 0, "volume_ema_12": 0, "volume_ema_26": 0, "rsi_up": 13, "rsi_down": 13,
+    "tr_w": 13, "pos_dm_w": 13, "neg_dm_w": 13, "atr": 13, "force_index": 13, "kama": 9, "ema_hl_9": 8,
+}
+
+W2 = f"""
+s1m AS (
+  SELECT x.*, {", ".join(f"CASE WHEN r.rn >= {v} THEN r.{k} END AS {k}" for k, v in _S1_VALID.items())},
+    sum(x.dcv) OVER (PARTITION BY x.symbol ORDER BY x.ts ROWS UNBOUNDED PRECEDING) AS vpt_raw,
+    sum(x.obv_step) OVER (PARTITION BY x.symbol ORDER BY x.ts ROWS UNBOUNDED PRECEDING) AS obv,
+    sum(x.tp * x.volume) OVER (PARTITION BY x.symbol ORDER BY x.ts ROWS UNBOUNDED PRECEDING) AS cum_tpv,
+    sum(x.volume) OVER (PARTITION BY x.symbol ORDER BY x.ts ROWS UNBOUNDED PRECEDING) AS cum_v
+  FROM s1in x JOIN s1 r ON x.symbol = r.symbol AND x.rn = r.rn
+),
+w2a AS (
+  SELECT *,
+    CASE WHEN dcv IS NOT NULL THEN vpt_raw END AS vpt,
+    CASE WHEN rsi_down = 0 THEN 100.0 ELSE {rsi_like('rsi_up', 'rsi_down')} END AS rsi,
+    ema_12 - ema_26 AS macd,
+    100.0 * {div('ema_12 - ema_26', 'ema_26')} AS ppo,
+    {div('volume_ema_12 - volume_ema_26', 'volume_ema_26')} * 100.0 AS pvo,
+    100.0 * {div('pos_dm_w', 'tr_w')} AS plus_di,
+    100.0 * {div('neg_dm_w', 'tr_w')} AS minus_di,
+    {roll('avg', 'atr', 20)} AS atr_avg_20,
+    {lag('ema_18')} AS prev_trix, {lag('ema_5')} AS prev_ema_5, {lag('ema_20')} AS prev_ema_20,
+    {div('cum_tpv', 'cum_v')} AS vwap,
+    {div('atr_simple', 'close')} * 100.0 AS atr_pct_simple
+  FROM s1m
+),
+w2 AS (
+  SELECT *,
+    {roll('min', 'rsi', 14)} AS rsi_min_14, {roll('max', 'rsi', 14)} AS rsi_max_14,
+    100.0 * {div('abs(plus_di - minus_di)', 'plus_di + minus_di')} AS dx,
+    {lag('obv')} AS prev_obv, {lag('vpt')} AS prev_vpt,
+    {roll('min', 'atr_pct_simple', 100)} AS atr_pct_min_100, {roll('max', 'atr_pct_simple', 100)} AS atr_pct_max_100
+  FROM w2a
+),
+s2 AS (
+  SELECT symbol, rn, CAST(NULL AS DOUBLE) AS macd_signal, CAST(NULL AS DOUBLE) AS adx, CAST(NULL AS DOUBLE) AS ema_hl_9_9
+  FROM w2 WHERE rn = 0
+  UNION ALL
+  SELECT x.symbol, x.rn,
+    (CASE WHEN x.rn = 25 THEN x.macd WHEN x.rn > 25 THEN {_ewm_step('r.macd_signal', 'x.macd', 0.2)} END),
+    (CASE WHEN x.rn = 13 THEN x.dx WHEN x.rn > 13 THEN {_ewm_step('r.adx', 'x.dx', 1.0 / 14)} END),
+    (CASE WHEN x.rn = 8 THEN x.ema_hl_9 WHEN x.rn > 8 THEN {_ewm_step('r.ema_hl_9_9', 'x.ema_hl_9', 0.2)} END)
+  FROM s2 r JOIN w2 x ON x.symbol = r.symbol AND x.rn = r.rn + 1
+),
+f0 AS (
+  SELECT x.*,
+    CASE WHEN r.rn >= 33 THEN r.macd_signal END AS macd_signal,
+    CASE WHEN r.rn >= 26 THEN r.adx END AS adx,
+    CASE WHEN r.rn >= 16 THEN r.ema_hl_9_9 END AS ema_hl_9_9
+  FROM w2 x JOIN s2 r ON x.symbol = r.symbol AND x.rn = r.rn
+),
+f AS (
+  SELECT *, {roll('sum', div('ema_hl_9', 'ema_hl_9_9'), 25)} AS mass_index FROM f0
+)"""
+
+F_DERIVED = W1_DERIVED | {
+    "trix": "ema_18",
+    "rsi_wilder": "rsi",
+    "macd_hist": "macd - macd_signal",
+    "stoch_rsi": div("rsi - rsi_min_14", "rsi_max_14 - rsi_min_14"),
+    "vwap_cum": "vwap",
+    "volatility_norm": f"(CASE WHEN atr_pct_max_100 = atr_pct_min_100 THEN 0.0 ELSE round({div('atr_pct_simple - atr_pct_min_100', 'atr_pct_max_100 - atr_pct_min_100')} * 100.0, 2) END)",
+}
+FULL_CTES = [BARS_1H, W1A, S1_IN, S1_REC, W2]
