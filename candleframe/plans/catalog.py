@@ -173,3 +173,108 @@ def _full_sql(cols: list[str]) -> str:
 
 for _key, _cols in R_KEYS.items():
     register(_key, _full_sql(_cols))(_indicator_builder(_cols))
+
+
+# ---------------------------------------------------------------------------
+# 2.5 / 2.6 / 2.7 signals and states
+
+from ..functions import signals as SG  # noqa: E402
+
+
+def _features_for(spark, sf_dir, cols: list[str]) -> DataFrame:
+    return drop_layout(features(bars_1h(spark, sf_dir), cols))
+
+
+def _sig_builder(name: str, buy: str, sell: str | None) -> Builder:
+    def build(spark, sf_dir):
+        f = _features_for(spark, sf_dir, SG.referenced_columns(buy, sell))
+        return SG.with_strategy_signals(f, [name]).select("symbol", "ts", F.col(f"sig_{name}").alias("signal"))
+
+    return build
+
+
+for _n, _b, _s in SG.STRATEGY_RULES:
+    register(
+        f"sig_{_n}",
+        f"{Q.with_ctes(*Q.FD_CTES)} SELECT symbol, ts, CAST({SG.rule_case(_b, _s)} AS INTEGER) AS signal FROM fd",
+    )(_sig_builder(_n, _b, _s))
+
+_ALL_SIGS = ", ".join(f"CAST({SG.rule_case(b, s)} AS INTEGER) AS sig_{n}" for n, b, s in SG.STRATEGY_RULES)
+_SUM_SIGS = " + ".join(f"sig_{n}" for n, _, _ in SG.STRATEGY_RULES)
+_STRAT_SQL = (
+    f"{Q.with_ctes(*Q.FD_CTES)}, s AS (SELECT symbol, ts, {_ALL_SIGS} FROM fd), "
+    f"c AS (SELECT *, CAST({_SUM_SIGS} AS DOUBLE) / {float(len(SG.STRATEGY_RULES))} AS combined_signal FROM s)"
+)
+
+
+def _strategy_frame(spark, sf_dir) -> DataFrame:
+    return SG.with_strategy_signals(_features_for(spark, sf_dir, SG.strategy_columns()))
+
+
+@register(
+    "combined_signal",
+    f"{_STRAT_SQL} SELECT symbol, ts, {Q.r6('combined_signal', 'combined_signal')}, "
+    "CASE WHEN combined_signal > 0.2 THEN 'Uptrend' WHEN combined_signal < -0.2 THEN 'Downtrend' "
+    "ELSE 'Sideways' END AS market_direction FROM c",
+)
+def q_combined_signal(spark, sf_dir):
+    s = _strategy_frame(spark, sf_dir)
+    return s.select("symbol", "ts", r6("combined_signal"), "market_direction")
+
+
+@register(
+    "market_direction",
+    f"{_STRAT_SQL} SELECT symbol, CASE WHEN combined_signal > 0.2 THEN 'Uptrend' WHEN combined_signal < -0.2 "
+    "THEN 'Downtrend' ELSE 'Sideways' END AS market_direction, count(*) AS n_bars FROM c GROUP BY ALL",
+)
+def q_market_direction(spark, sf_dir):
+    s = _strategy_frame(spark, sf_dir)
+    return s.groupBy("symbol", "market_direction").agg(F.count(F.lit(1)).alias("n_bars"))
+
+
+_DESC_VALUES = ", ".join(
+    "('{}', '{}')".format(k, v.replace("'", "''")) for k, v in SG.STRATEGY_DESCRIPTIONS
+)
+
+
+@register(
+    "strategy_description",
+    f"{_STRAT_SQL}, d(strategy, description) AS (VALUES {_DESC_VALUES}), "
+    "l AS (UNPIVOT s ON COLUMNS('^sig_') INTO NAME strategy VALUE signal) "
+    "SELECT symbol, ts, substr(l.strategy, 5) AS strategy, CAST(signal AS INTEGER) AS signal, "
+    f"coalesce(d.description, '{SG.DEFAULT_DESCRIPTION}') AS description "
+    "FROM l LEFT JOIN d ON substr(l.strategy, 5) = d.strategy",
+)
+def q_strategy_description(spark, sf_dir):
+    s = _strategy_frame(spark, sf_dir)
+    return SG.with_descriptions(SG.signals_long(s, ["symbol", "ts"])).select(
+        "symbol", "ts", "strategy", "signal", "description"
+    )
+
+
+def _paired_builder(name: str, bull: str, bear: str) -> Builder:
+    def build(spark, sf_dir):
+        f = _features_for(spark, sf_dir, SG.referenced_columns(bull, bear))
+        bb, br, sig = SG.paired_case(bull, bear)
+        return f.select("symbol", "ts", F.expr(bb).alias("bullish"), F.expr(br).alias("bearish"), F.expr(sig).alias("rule_signal"))
+
+    return build
+
+
+for _n, _bu, _be in SG.PAIRED_RULES:
+    _bb, _br, _sg = SG.paired_case(_bu, _be)
+    register(
+        f"strat_{SG.slug(_n)}",
+        f"{Q.with_ctes(*Q.FD_CTES)} SELECT symbol, ts, {_bb} AS bullish, {_br} AS bearish, {_sg} AS rule_signal FROM fd",
+    )(_paired_builder(_n, _bu, _be))
+
+
+@register(
+    "market_state",
+    f"{Q.with_ctes(*Q.FD_CTES)}, m AS (SELECT symbol, ts, CAST({SG.MARKET_STATE_SQL} AS INTEGER) AS trend_score FROM fd) "
+    "SELECT symbol, ts, trend_score, CASE WHEN trend_score >= 2 THEN 'uptrend' WHEN trend_score <= -2 "
+    "THEN 'downtrend' ELSE 'sideways' END AS market_state FROM m",
+)
+def q_market_state(spark, sf_dir):
+    f = _features_for(spark, sf_dir, SG.referenced_columns(SG.MARKET_STATE_SQL))
+    return SG.with_market_state(f).select("symbol", "ts", "trend_score", "market_state")

@@ -290,3 +290,6 @@ F_DERIVED = W1_DERIVED | {
     "volatility_norm": f"(CASE WHEN atr_pct_max_100 = atr_pct_min_100 THEN 0.0 ELSE round({div('atr_pct_simple - atr_pct_min_100', 'atr_pct_max_100 - atr_pct_min_100')} * 100.0, 2) END)",
 }
 FULL_CTES = [BARS_1H, W1A, S1_IN, S1_REC, W2]
+
+FD = "fd AS (SELECT *, " + ", ".join(f"{v} AS {k}" for k, v in F_DERIVED.items() if k not in ("trix",)) + ", ema_18 AS trix FROM f)"
+FD_CTES = FULL_CTES + [FD]
