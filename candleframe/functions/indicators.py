@@ -196,6 +196,7 @@ def w1_levels() -> list[list[tuple[str, Callable[[WindowSpec], Column]]]]:
         ("vortex_neg", lambda w: div(roll_sum(F.col("vm_neg"), 14, w), roll_sum(F.col("tr"), 14, w))),
         ("volatility", lambda w: roll_std(F.col("returns"), 20, w)),
         ("prev_returns", lambda w: lag(F.col("returns"), 1, w)),
+        ("prev_delta_close", lambda w: lag(F.col("delta_close"), 1, w)),
         (
             "ultimate_osc",
             lambda w: F.lit(100.0)

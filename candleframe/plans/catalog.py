@@ -278,3 +278,277 @@ for _n, _bu, _be in SG.PAIRED_RULES:
 def q_market_state(spark, sf_dir):
     f = _features_for(spark, sf_dir, SG.referenced_columns(SG.MARKET_STATE_SQL))
     return SG.with_market_state(f).select("symbol", "ts", "trend_score", "market_state")
+
+
+# ---------------------------------------------------------------------------
+# Flagship: bars -> sma/bollinger/rsi_simple -> bb/rsi signals -> latest row per symbol
+
+from ..operators.clean import latest_row  # noqa: E402
+
+_FLAG_COLS = ["sma_20", "bb_upper", "bb_lower", "rsi_simple"]
+
+
+@register(
+    "flagship_latest_signals",
+    f"{Q.with_ctes(*W1_SQL_CTES)}, s AS (SELECT symbol, ts, close, {Q.W1_DERIVED['bb_upper']} AS bb_upper, "
+    f"{Q.W1_DERIVED['bb_lower']} AS bb_lower, sma_20, {Q.W1_DERIVED['rsi_simple']} AS rsi_simple FROM w1), "
+    "g AS (SELECT *, CASE WHEN close < bb_lower THEN 1 WHEN close > bb_upper THEN -1 ELSE 0 END AS bb_signal, "
+    "CASE WHEN rsi_simple < 30 THEN 1 WHEN rsi_simple > 70 THEN -1 ELSE 0 END AS rsi_signal, "
+    "row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM s) "
+    f"SELECT symbol, ts, {Q.r6('close', 'close')}, {Q.r6('sma_20', 'sma_20')}, {Q.r6('bb_upper', 'bb_upper')}, "
+    f"{Q.r6('bb_lower', 'bb_lower')}, {Q.r6('rsi_simple', 'rsi_simple')}, CAST(bb_signal AS INTEGER) AS bb_signal, "
+    "CAST(rsi_signal AS INTEGER) AS rsi_signal FROM g WHERE k = 1",
+)
+def q_flagship(spark, sf_dir):
+    f = _features_for(spark, sf_dir, _FLAG_COLS)
+    s = f.select(
+        "symbol",
+        "ts",
+        "close",
+        *_FLAG_COLS,
+        F.expr(SG.rule_case("close < bb_lower", "close > bb_upper")).cast("int").alias("bb_signal"),
+        F.expr(SG.rule_case("rsi_simple < 30", "rsi_simple > 70")).cast("int").alias("rsi_signal"),
+    )
+    last = latest_row(s, by=["symbol"], ts="ts")
+    return last.select("symbol", "ts", *[r6(c) for c in ["close", *_FLAG_COLS]], "bb_signal", "rsi_signal")
+
+
+# ---------------------------------------------------------------------------
+# 2.2 validation / cleaning / row selection
+
+from ..operators import aggregates as AG  # noqa: E402
+from ..operators import clean as CL  # noqa: E402
+from ..operators.series import Layout, index_rows  # noqa: E402
+
+
+def raw_candles(spark, sf_dir) -> DataFrame:
+    """Stand-in for an uploaded candle file: mixed-case header, epoch milliseconds and
+    text-typed numbers, one file per symbol concatenated (schema only; no cleaning)."""
+    b = bars_1h(spark, sf_dir)
+    return b.select(
+        F.col("symbol").alias("Symbol"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("Timestamp"),
+        *[F.col(c).cast("string").alias(c.upper()) for c in ("open", "high", "low", "close", "volume")],
+    )
+
+
+@register(
+    "clean_candles",
+    f"WITH {Q.BARS_1H}, n AS (SELECT *, count(*) OVER (PARTITION BY symbol) AS n FROM bars) "
+    f"SELECT symbol, ts, {Q.r6('open', 'open')}, {Q.r6('high', 'high')}, {Q.r6('low', 'low')}, "
+    f"{Q.r6('close', 'close')}, {Q.r6('volume', 'volume')} FROM n WHERE n >= 100",
+)
+def q_clean_candles(spark, sf_dir):
+    df = CL.lower_columns(raw_candles(spark, sf_dir))
+    df = CL.require_columns(df, ["timestamp", "open", "high", "low", "close", "volume"])
+    df = CL.coerce_numeric(df)
+    df = CL.epoch_ms_to_s(df, "timestamp")
+    df = CL.epoch_to_datetime(df, "timestamp", "ts")
+    df = CL.drop_null_rows(df)
+    df = CL.min_rows_gate(df, 100)
+    return CL.select_ohlcv(df).select("symbol", "ts", *[r6(c) for c in CL.OHLCV])
+
+
+@register(
+    "null_report",
+    f"WITH {Q.BARS_1H} SELECT symbol, count(*) AS n_rows, "
+    + ", ".join(f"count_if({c} IS NULL) AS null_{c}" for c in ("open", "high", "low", "close", "volume"))
+    + " FROM bars GROUP BY symbol",
+)
+def q_null_report(spark, sf_dir):
+    df = CL.coerce_numeric(CL.lower_columns(raw_candles(spark, sf_dir)))
+    return CL.null_report(df)
+
+
+@register(
+    "tail_n",
+    f"WITH {Q.BARS_1H}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) "
+    f"SELECT symbol, ts, {Q.r6('close', 'close')} FROM n WHERE k <= 100",
+)
+def q_tail_n(spark, sf_dir):
+    return CL.tail_n(bars_1h(spark, sf_dir), 100).select("symbol", "ts", r6("close"))
+
+
+@register(
+    "drop_last_n",
+    f"WITH {Q.BARS_1H}, n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars) "
+    f"SELECT symbol, ts, {Q.r6('close', 'close')} FROM n WHERE k > 3",
+)
+def q_drop_last_n(spark, sf_dir):
+    return CL.drop_last_n(bars_1h(spark, sf_dir), 3).select("symbol", "ts", r6("close"))
+
+
+@register(
+    "latest_row",
+    f"WITH {Q.BARS_1H} SELECT symbol, max(ts) AS ts, {Q.r6('arg_max(close, ts)', 'close')}, "
+    f"{Q.r6('arg_max(volume, ts)', 'volume')} FROM bars GROUP BY symbol",
+)
+def q_latest_row(spark, sf_dir):
+    last = CL.latest_row(bars_1h(spark, sf_dir).select("symbol", "ts", "close", "volume"))
+    return last.select("symbol", "ts", r6("close"), r6("volume"))
+
+
+_FILL_COLS = ["sma_50", "rsi_simple", "volatility"]
+_FILL_SQL = ", ".join(
+    f"{Q.r6(f'coalesce(last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING), '
+             f'first_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))', c)}"
+    for c in _FILL_COLS
+)
+
+
+@register(
+    "ffill_bfill",
+    f"{Q.with_ctes(*W1_SQL_CTES)}, d AS (SELECT symbol, ts, sma_50, {Q.W1_DERIVED['rsi_simple']} AS rsi_simple, volatility FROM w1) "
+    f"SELECT symbol, ts, {_FILL_SQL} FROM d",
+)
+def q_ffill_bfill(spark, sf_dir):
+    f = features(bars_1h(spark, sf_dir), _FILL_COLS).select("symbol", "ts", "_rn", "_blk", *_FILL_COLS)
+    filled = CL.ffill(f, _FILL_COLS, Layout(), backfill=True)
+    return filled.select("symbol", "ts", *[r6(c) for c in _FILL_COLS])
+
+
+# ---------------------------------------------------------------------------
+# 2.8 per-series aggregates
+
+_B = f"WITH {Q.BARS_1H}"
+
+
+@register(
+    "pressure_range",
+    f"{_B}, g AS (SELECT symbol, sum((close - low) * volume) / sum(volume) AS b, sum((high - close) * volume) / sum(volume) AS s "
+    f"FROM bars GROUP BY symbol) SELECT symbol, {Q.r6('b / (b + s)', 'buying_pressure')}, "
+    f"{Q.r6('s / (b + s)', 'selling_pressure')}, {Q.r6('b / (b + s) - s / (b + s)', 'net_pressure')} FROM g",
+)
+def q_pressure_range(spark, sf_dir):
+    p = AG.pressure_range(bars_1h(spark, sf_dir))
+    return p.select("symbol", *[r6(c) for c in ("buying_pressure", "selling_pressure", "net_pressure")])
+
+
+@register(
+    "pressure_body",
+    f"{_B}, g AS (SELECT symbol, sum(CASE WHEN close > open THEN volume ELSE 0.0 END) AS bv, "
+    "sum(CASE WHEN close < open THEN volume ELSE 0.0 END) AS sv, avg(CASE WHEN close > open THEN volume END) AS bva, "
+    "avg(CASE WHEN close < open THEN volume END) AS sva FROM bars GROUP BY symbol) "
+    f"SELECT symbol, {Q.r6('bv / (bv + sv)', 'buying_pressure')}, {Q.r6('sv / (bv + sv)', 'selling_pressure')}, "
+    f"{Q.r6('(bv - sv) / (bv + sv)', 'pressure_ratio')}, {Q.r6('bva', 'buying_volume_avg')}, {Q.r6('sva', 'selling_volume_avg')} FROM g",
+)
+def q_pressure_body(spark, sf_dir):
+    p = AG.pressure_body(bars_1h(spark, sf_dir))
+    return p.select(
+        "symbol",
+        *[r6(c) for c in ("buying_pressure", "selling_pressure", "pressure_ratio", "buying_volume_avg", "selling_volume_avg")],
+    )
+
+
+@register(
+    "money_flow",
+    f"{_B} SELECT symbol, {Q.r6('sum((high + low + close) / 3.0 * volume)', 'net_money_flow', 2)} FROM bars GROUP BY symbol",
+)
+def q_money_flow(spark, sf_dir):
+    return AG.money_flow(bars_1h(spark, sf_dir)).select("symbol", r6("net_money_flow", digits=2))
+
+
+_TAIL = "count(*) OVER (PARTITION BY symbol) - rn AS back"
+
+
+@register(
+    "volume_metrics",
+    f"{Q.with_ctes(*W1_SQL_CTES)}, t AS (SELECT *, {_TAIL} FROM w1), g AS (SELECT symbol, avg(volume) AS av, "
+    "avg(volume_change) AS mc, avg(CASE WHEN back <= 20 THEN volume END) AS ta, "
+    f"arg_max({Q.div('volume_std', 'volume_sma')}, rn) AS vv FROM t GROUP BY symbol) "
+    f"SELECT symbol, {Q.r6('av', 'average_volume')}, CASE WHEN mc > 0 THEN 'increasing' ELSE 'decreasing' END AS volume_trend, "
+    f"{Q.r6('ta / av', 'volume_strength')}, {Q.r6('vv', 'volume_volatility')} FROM g",
+)
+def q_volume_metrics(spark, sf_dir):
+    f = features(bars_1h(spark, sf_dir), ["volume_change", "volume_std", "volume_sma"])
+    m = AG.volume_metrics(f)
+    return m.select("symbol", r6("average_volume"), "volume_trend", r6("volume_strength"), r6("volume_volatility"))
+
+
+@register(
+    "volume_vs_100",
+    f"{_B}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM bars), "
+    "g AS (SELECT symbol, avg(volume) AS av, arg_max(volume, ts) AS lv FROM t WHERE k <= 100 GROUP BY symbol) "
+    f"SELECT symbol, {Q.r6('av', 'avg_volume')}, CASE WHEN lv > av THEN 'increasing' ELSE 'decreasing' END AS volume_trend, "
+    f"{Q.r6('lv / av', 'volume_strength')} FROM g",
+)
+def q_volume_vs_100(spark, sf_dir):
+    f = index_rows(bars_1h(spark, sf_dir))
+    m = AG.volume_vs_100(f)
+    return m.select("symbol", r6("avg_volume"), "volume_trend", r6("volume_strength"))
+
+
+@register(
+    "trend_metrics",
+    f"{Q.with_ctes(*W1_SQL_CTES)}, t AS (SELECT *, {_TAIL} FROM w1), g AS (SELECT symbol, avg(returns) AS pm, "
+    f"stddev_samp({Q.div('high', 'low')}) AS vol, avg(CASE WHEN back <= 20 THEN close END) / avg(close) AS ts_, "
+    "avg(delta_close) AS pv, avg(delta_close - prev_delta_close) AS pa FROM t GROUP BY symbol) "
+    f"SELECT symbol, {Q.r6('pm', 'price_momentum')}, {Q.r6('vol', 'volatility')}, {Q.r6('ts_', 'trend_strength')}, "
+    f"{Q.r6('pv', 'price_velocity')}, {Q.r6('pa', 'price_acceleration')} FROM g",
+)
+def q_trend_metrics(spark, sf_dir):
+    f = features(bars_1h(spark, sf_dir), ["returns", "delta_close", "prev_delta_close"])
+    m = AG.trend_metrics(f)
+    return m.select(
+        "symbol", *[r6(c) for c in ("price_momentum", "volatility", "trend_strength", "price_velocity", "price_acceleration")]
+    )
+
+
+@register(
+    "total_change",
+    f"{_B} SELECT symbol, {Q.r6('arg_max(close, ts)', 'latest_price')}, "
+    f"{Q.r6('(arg_max(close, ts) / arg_min(close, ts) - 1.0) * 100.0', 'price_change_pct')} FROM bars GROUP BY symbol",
+)
+def q_total_change(spark, sf_dir):
+    t = AG.total_change(bars_1h(spark, sf_dir))
+    return t.select("symbol", r6("latest_price"), r6("price_change_pct"))
+
+
+@register(
+    "median_sq_return",
+    f"{Q.with_ctes(*W1_SQL_CTES)} SELECT symbol, {Q.r6('median(returns * returns)', 'median_sq_return')} FROM w1 GROUP BY symbol",
+)
+def q_median_sq_return(spark, sf_dir):
+    f = features(bars_1h(spark, sf_dir), ["returns"])
+    return AG.median_sq_return(f).select("symbol", r6("median_sq_return"))
+
+
+@register(
+    "volatility_hl",
+    f"{_B} SELECT symbol, {Q.r6('stddev_samp(high / low)', 'volatility_hl')} FROM bars GROUP BY symbol",
+)
+def q_volatility_hl(spark, sf_dir):
+    b = bars_1h(spark, sf_dir)
+    return b.groupBy("symbol").agg(F.stddev_samp(F.try_divide(F.col("high"), F.col("low"))).alias("v")).select(
+        "symbol", r6("v", "volatility_hl")
+    )
+
+
+_SNAP = ["close", "returns", "rsi", "volatility", "support_20", "support_50", "resistance_20", "resistance_50",
+         "sma_20", "sma_50", "prev_close"]
+
+
+@register(
+    "summary_stats",
+    f"{Q.with_ctes(*Q.FD_CTES)}, l AS (SELECT * FROM fd QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) = 1) "
+    f"SELECT symbol, {Q.r6('close', 'last_price')}, {Q.r6('returns * 100.0', 'last_return_pct')}, {Q.r6('rsi', 'last_rsi')}, "
+    f"{Q.r6('volatility * 100.0', 'volatility_pct')}, {Q.r6('(close / prev_close - 1.0) * 100.0', 'last_change_pct')}, "
+    f"{Q.r6('support_20', 'support_20')}, {Q.r6('support_50', 'support_50')}, {Q.r6('resistance_20', 'resistance_20')}, "
+    f"{Q.r6('resistance_50', 'resistance_50')}, "
+    "CASE WHEN close > sma_20 AND sma_20 > sma_50 THEN 'strong_uptrend' WHEN close < sma_20 AND sma_20 < sma_50 THEN 'strong_downtrend' "
+    "WHEN sma_20 > sma_50 AND close < sma_20 THEN 'weak_uptrend' WHEN sma_20 < sma_50 AND close > sma_20 THEN 'weak_downtrend' "
+    "ELSE 'sideways' END AS market_phase FROM l",
+)
+def q_summary_stats(spark, sf_dir):
+    f = features(bars_1h(spark, sf_dir), _SNAP)
+    s = AG.latest_snapshot(f, _SNAP)
+    return s.select(
+        "symbol",
+        r6("close", "last_price"),
+        r6(F.col("returns") * 100.0, "last_return_pct"),
+        r6("rsi", "last_rsi"),
+        r6(F.col("volatility") * 100.0, "volatility_pct"),
+        r6((F.try_divide(F.col("close"), F.col("prev_close")) - 1.0) * 100.0, "last_change_pct"),
+        *[r6(c) for c in ("support_20", "support_50", "resistance_20", "resistance_50")],
+        AG.market_phase_col(F.col("close"), F.col("sma_20"), F.col("sma_50")).alias("market_phase"),
+    )

@@ -100,7 +100,7 @@ w1c AS (
     {div(roll('sum', 'vm_pos', 14), roll('sum', 'tr', 14))} AS vortex_pos,
     {div(roll('sum', 'vm_neg', 14), roll('sum', 'tr', 14))} AS vortex_neg,
     {roll('stddev_samp', 'returns', 20)} AS volatility,
-    {lag('returns')} AS prev_returns,
+    {lag('returns')} AS prev_returns, {lag('delta_close')} AS prev_delta_close,
     100.0 * (4.0 * {div(roll('sum', 'bp_uo', 7), roll('sum', 'tr_uo', 7))}
            + 2.0 * {div(roll('sum', 'bp_uo', 14), roll('sum', 'tr_uo', 14))}
            + {div(roll('sum', 'bp_uo', 28), roll('sum', 'tr_uo', 28))}) / 7.0 AS ultimate_osc,
