@@ -57,6 +57,29 @@ def _roll(agg: Callable[[Column], Column], x: Column, n: int, w: WindowSpec) ->
     return F.when(F.count(x).over(f) == n, agg(x).over(f))
 
 
+def _roll_base(agg: Callable[[Column], Column], x: Column, n: int, w: WindowSpec) -> Column:
+    """Rolling aggregate of a never-null input (OHLCV and row-local expressions of it;
+    the cleaning step guarantees it): the frame is full exactly when the row number is
+    at least n-1, so the gate needs no extra count window."""
+    return F.when(F.col(RN) >= n - 1, agg(x).over(w.rowsBetween(-(n - 1), 0)))
+
+
+def base_avg(x, n, w):
+    return _roll_base(F.avg, x, n, w)
+
+
+def base_sum(x, n, w):
+    return _roll_base(F.sum, x, n, w)
+
+
+def base_max(x, n, w):
+    return _roll_base(F.max, x, n, w)
+
+
+def base_min(x, n, w):
+    return _roll_base(F.min, x, n, w)
+
+
 def roll_avg(x, n, w):
     return _roll(F.avg, x, n, w)
 
@@ -82,12 +105,13 @@ def roll_std_pop(x, n, w):
 
 
 def roll_mad(x: Column, n: int, w: WindowSpec, mean: Column) -> Column:
-    """Mean absolute deviation around the window mean (CCI); ``mean`` is the row's
-    rolling mean column, computed in an earlier level."""
-    f = w.rowsBetween(-(n - 1), 0)
-    vals = F.collect_list(x).over(f)
-    dev = F.aggregate(vals, F.lit(0.0), lambda acc, v: acc + F.abs(v - mean))
-    return F.when(F.count(x).over(f) == n, dev / F.lit(float(n)))
+    """Mean absolute deviation around the window mean (CCI) of a never-null input;
+    ``mean`` is the row's rolling mean column, computed in an earlier level. Built from
+    n offset (lag) windows, each O(1) per row."""
+    dev = F.abs(x - mean)
+    for k in range(1, n):
+        dev = dev + F.abs(F.lag(x, k).over(w) - mean)
+    return F.when(F.col(RN) >= n - 1, dev / F.lit(float(n)))
 
 
 def lag(x: Column, k: int, w: WindowSpec) -> Column:
@@ -106,6 +130,35 @@ def ratio_or_100(num: Column, den: Column) -> Column:
 
 
 
+# ---------------------------------------------------------------------------
+# Built expressions are unbound Column trees: build each stage once per (Spark context,
+# layout) and reuse it; building them costs thousands of JVM round trips.
+
+_BUILT: dict[tuple, object] = {}
+
+
+def _ctx_key() -> int:
+    from pyspark import SparkContext
+
+    sc = SparkContext._active_spark_context
+    return id(sc._jsc) if sc is not None else 0
+
+
+def built_levels(stage: Callable[[], list], layout: Layout) -> list[list[tuple[str, Column]]]:
+    key = (stage.__name__, layout, _ctx_key())
+    if key not in _BUILT:
+        w = layout.window()
+        _BUILT[key] = [[(n, fn(w)) for n, fn in lvl] for lvl in stage()]
+    return _BUILT[key]  # type: ignore[return-value]
+
+
+def built_derived() -> dict[str, Column]:
+    key = ("derived", _ctx_key())
+    if key not in _BUILT:
+        _BUILT[key] = {k: fn() for k, fn in derived_builders().items()}
+    return _BUILT[key]  # type: ignore[return-value]
+
+
 # ---------------------------------------------------------------------------
 # W1: rolling and lag over OHLCV
 
@@ -125,42 +178,43 @@ def w1_levels() -> list[list[tuple[str, Callable[[WindowSpec], Column]]]]:
         ("prev_open", lambda w: lag(O(), 1, w)),
         ("open_lag2", lambda w: lag(O(), 2, w)),
         ("close_lag2", lambda w: lag(C(), 2, w)),
-        ("sma_5", lambda w: roll_avg(C(), 5, w)),
-        ("sma_10", lambda w: roll_avg(C(), 10, w)),
-        ("sma_20", lambda w: roll_avg(C(), 20, w)),
-        ("sma_50", lambda w: roll_avg(C(), 50, w)),
-        ("std_pop_20", lambda w: roll_std_pop(C(), 20, w)),
-        ("volume_sma", lambda w: roll_avg(V(), 20, w)),
-        ("volume_std", lambda w: roll_std(V(), 20, w)),
-        ("volume_sma_5", lambda w: roll_avg(V(), 5, w)),
-        ("volume_sma_10", lambda w: roll_avg(V(), 10, w)),
-        ("max_high_9", lambda w: roll_max(H(), 9, w)),
-        ("min_low_9", lambda w: roll_min(L(), 9, w)),
-        ("high_avg_10", lambda w: roll_avg(H(), 10, w)),
-        ("low_avg_10", lambda w: roll_avg(L(), 10, w)),
-        ("max_high_14", lambda w: roll_max(H(), 14, w)),
-        ("min_low_14", lambda w: roll_min(L(), 14, w)),
-        ("max_high_20", lambda w: roll_max(H(), 20, w)),
-        ("min_low_20", lambda w: roll_min(L(), 20, w)),
-        ("max_high_26", lambda w: roll_max(H(), 26, w)),
-        ("min_low_26", lambda w: roll_min(L(), 26, w)),
-        ("max_high_50", lambda w: roll_max(H(), 50, w)),
-        ("min_low_50", lambda w: roll_min(L(), 50, w)),
-        ("max_high_52", lambda w: roll_max(H(), 52, w)),
-        ("min_low_52", lambda w: roll_min(L(), 52, w)),
-        ("ao", lambda w: roll_avg((H() + L()) / 2.0, 5, w) - roll_avg((H() + L()) / 2.0, 34, w)),
-        ("tp_avg_20", lambda w: roll_avg(TP(), 20, w)),
-        ("keltner_upper", lambda w: roll_avg((4.0 * H() - 2.0 * L() + C()) / 3.0, 20, w)),
-        ("keltner_lower", lambda w: roll_avg((-2.0 * H() + 4.0 * L() + C()) / 3.0, 20, w)),
-        ("vwap_rolling", lambda w: div(roll_sum(TP() * V(), 14, w), roll_sum(V(), 14, w))),
+        ("sma_5", lambda w: base_avg(C(), 5, w)),
+        ("sma_10", lambda w: base_avg(C(), 10, w)),
+        ("sma_20", lambda w: base_avg(C(), 20, w)),
+        ("sma_50", lambda w: base_avg(C(), 50, w)),
+        ("std_pop_20", lambda w: _roll_base(F.stddev_pop, C(), 20, w)),
+        ("volume_sma", lambda w: base_avg(V(), 20, w)),
+        ("volume_std", lambda w: _roll_base(F.stddev_samp, V(), 20, w)),
+        ("volume_sma_5", lambda w: base_avg(V(), 5, w)),
+        ("volume_sma_10", lambda w: base_avg(V(), 10, w)),
+        ("max_high_9", lambda w: base_max(H(), 9, w)),
+        ("min_low_9", lambda w: base_min(L(), 9, w)),
+        ("high_avg_10", lambda w: base_avg(H(), 10, w)),
+        ("low_avg_10", lambda w: base_avg(L(), 10, w)),
+        ("max_high_14", lambda w: base_max(H(), 14, w)),
+        ("min_low_14", lambda w: base_min(L(), 14, w)),
+        ("max_high_20", lambda w: base_max(H(), 20, w)),
+        ("min_low_20", lambda w: base_min(L(), 20, w)),
+        ("max_high_26", lambda w: base_max(H(), 26, w)),
+        ("min_low_26", lambda w: base_min(L(), 26, w)),
+        ("ao", lambda w: base_avg((H() + L()) / 2.0, 5, w) - base_avg((H() + L()) / 2.0, 34, w)),
+        ("tp_avg_20", lambda w: base_avg(TP(), 20, w)),
+        ("keltner_upper", lambda w: base_avg((4.0 * H() - 2.0 * L() + C()) / 3.0, 20, w)),
+        ("keltner_lower", lambda w: base_avg((-2.0 * H() + 4.0 * L() + C()) / 3.0, 20, w)),
+        ("vwap_rolling", lambda w: div(base_sum(TP() * V(), 14, w), base_sum(V(), 14, w))),
         (
             "cmf",
-            lambda w: div(roll_sum(div((C() - L()) - (H() - C()), H() - L()) * V(), 20, w), roll_sum(V(), 20, w)),
+            lambda w: div(roll_sum(div((C() - L()) - (H() - C()), H() - L()) * V(), 20, w), base_sum(V(), 20, w)),
         ),
         ("aroon_hi_rn", lambda w: _roll_arg(H(), 25, w, first_max=True)),
         ("aroon_lo_rn", lambda w: _roll_arg(L(), 25, w, first_max=False)),
     ]
     lv1 = [
+        # 50/52-bar extremes from two overlapping 26-bar extremes (max/min are idempotent)
+        ("max_high_50", lambda w: F.when(F.col(RN) >= 49, F.greatest(F.col("max_high_26"), lag(F.col("max_high_26"), 24, w)))),
+        ("min_low_50", lambda w: F.when(F.col(RN) >= 49, F.least(F.col("min_low_26"), lag(F.col("min_low_26"), 24, w)))),
+        ("max_high_52", lambda w: F.when(F.col(RN) >= 51, F.greatest(F.col("max_high_26"), lag(F.col("max_high_26"), 26, w)))),
+        ("min_low_52", lambda w: F.when(F.col(RN) >= 51, F.least(F.col("min_low_26"), lag(F.col("min_low_26"), 26, w)))),
         ("tr", lambda w: F.greatest(H() - L(), F.abs(H() - F.col("prev_close")), F.abs(L() - F.col("prev_close")))),
         ("delta_close", lambda w: C() - F.col("prev_close")),
         ("returns", lambda w: div(C(), F.col("prev_close")) - 1.0),
@@ -386,56 +440,56 @@ def needed_scans(columns: Iterable[str]) -> tuple[list[str], list[str]]:
 # Derived, row-local columns (after all stages)
 
 
-def derived() -> dict[str, Column]:
+def derived_builders() -> dict[str, Callable[[], Column]]:
     return {
-        "trix": F.col("ema_18"),
-        "rsi_wilder": F.col("rsi"),
-        "rsi_simple": ratio_or_100(F.col("rsi_gain_14"), F.col("rsi_loss_14")),
-        "macd_hist": F.col("macd") - F.col("macd_signal"),
-        "bb_mid": F.col("sma_20"),
-        "bb_upper": F.col("sma_20") + 2.0 * F.col("std_pop_20"),
-        "bb_lower": F.col("sma_20") - 2.0 * F.col("std_pop_20"),
-        "bb_width": div(4.0 * F.col("std_pop_20"), F.col("sma_20")),
-        "bb_width_close": div(4.0 * F.col("std_pop_20"), C()),
-        "bb_pct": div(C() - (F.col("sma_20") - 2.0 * F.col("std_pop_20")), 4.0 * F.col("std_pop_20")),
-        "volume_ratio": div(V(), F.col("volume_sma")),
-        "volume_intensity": div(V(), F.col("volume_sma_10")),
-        "true_range": F.col("tr"),
-        "dmi_plus": F.lit(100.0) * div(F.col("dmi_pos_avg"), F.col("atr_simple")),
-        "dmi_minus": F.lit(100.0) * div(F.col("dmi_neg_avg"), F.col("atr_simple")),
-        "cci": div(TP() - F.col("tp_avg_20"), 0.015 * F.col("tp_mad_20")),
-        "dpo": F.col("close_lag11") - F.col("sma_20"),
-        "ichimoku_a": ((F.col("max_high_9") + F.col("min_low_9")) / 2.0 + (F.col("max_high_26") + F.col("min_low_26")) / 2.0)
+        "trix": lambda: F.col("ema_18"),
+        "rsi_wilder": lambda: F.col("rsi"),
+        "rsi_simple": lambda: ratio_or_100(F.col("rsi_gain_14"), F.col("rsi_loss_14")),
+        "macd_hist": lambda: F.col("macd") - F.col("macd_signal"),
+        "bb_mid": lambda: F.col("sma_20"),
+        "bb_upper": lambda: F.col("sma_20") + 2.0 * F.col("std_pop_20"),
+        "bb_lower": lambda: F.col("sma_20") - 2.0 * F.col("std_pop_20"),
+        "bb_width": lambda: div(4.0 * F.col("std_pop_20"), F.col("sma_20")),
+        "bb_width_close": lambda: div(4.0 * F.col("std_pop_20"), C()),
+        "bb_pct": lambda: div(C() - (F.col("sma_20") - 2.0 * F.col("std_pop_20")), 4.0 * F.col("std_pop_20")),
+        "volume_ratio": lambda: div(V(), F.col("volume_sma")),
+        "volume_intensity": lambda: div(V(), F.col("volume_sma_10")),
+        "true_range": lambda: F.col("tr"),
+        "dmi_plus": lambda: F.lit(100.0) * div(F.col("dmi_pos_avg"), F.col("atr_simple")),
+        "dmi_minus": lambda: F.lit(100.0) * div(F.col("dmi_neg_avg"), F.col("atr_simple")),
+        "cci": lambda: div(TP() - F.col("tp_avg_20"), 0.015 * F.col("tp_mad_20")),
+        "dpo": lambda: F.col("close_lag11") - F.col("sma_20"),
+        "ichimoku_a": lambda: ((F.col("max_high_9") + F.col("min_low_9")) / 2.0 + (F.col("max_high_26") + F.col("min_low_26")) / 2.0)
         / 2.0,
-        "ichimoku_b": (F.col("max_high_52") + F.col("min_low_52")) / 2.0,
-        "donchian_width": div(F.col("max_high_20") - F.col("min_low_20"), F.col("sma_20")) * 100.0,
-        "keltner_width": F.col("keltner_upper") - F.col("keltner_lower"),
-        "williams_r": F.lit(-100.0) * div(F.col("max_high_14") - C(), F.col("max_high_14") - F.col("min_low_14")),
-        "stoch_rsi": div(F.col("rsi") - F.col("rsi_min_14"), F.col("rsi_max_14") - F.col("rsi_min_14")),
-        "roc": div(C() - F.col("close_lag12"), F.col("close_lag12")) * 100.0,
-        "ease_of_movement": div(
+        "ichimoku_b": lambda: (F.col("max_high_52") + F.col("min_low_52")) / 2.0,
+        "donchian_width": lambda: div(F.col("max_high_20") - F.col("min_low_20"), F.col("sma_20")) * 100.0,
+        "keltner_width": lambda: F.col("keltner_upper") - F.col("keltner_lower"),
+        "williams_r": lambda: F.lit(-100.0) * div(F.col("max_high_14") - C(), F.col("max_high_14") - F.col("min_low_14")),
+        "stoch_rsi": lambda: div(F.col("rsi") - F.col("rsi_min_14"), F.col("rsi_max_14") - F.col("rsi_min_14")),
+        "roc": lambda: div(C() - F.col("close_lag12"), F.col("close_lag12")) * 100.0,
+        "ease_of_movement": lambda: div(
             ((H() - F.col("prev_high")) + (L() - F.col("prev_low"))) * (H() - L()), 2.0 * V()
         )
         * 1e8,
-        "mfi": ratio_or_100(F.col("mf_pos"), F.col("mf_neg")),
-        "aroon_osc": (F.col("aroon_hi_rn") - F.col("aroon_lo_rn")) * 100.0 / 25.0,
-        "pivot_mean": F.col("tp_avg_20"),
-        "log_returns": F.log1p(F.col("returns")),
-        "price_acceleration": F.col("returns") - F.col("prev_returns"),
-        "range_pct": div(H() - L(), C()),
-        "hlc3": TP(),
-        "ohlc4": (O() + H() + L() + C()) / 4.0,
-        "high_low_ratio": div(H(), L()),
-        "close_open_ratio": div(C(), O()),
-        "price_position": div(C() - L(), H() - L()),
-        "hl_intensity": F.abs(H() - L()) / (F.abs(C() - O()) + 0.001),
-        "trend_intensity": div(F.abs(C() - O()), H() - L()),
-        "vwap_cum": F.col("vwap"),
-        "support_20": F.col("min_low_20"),
-        "support_50": F.col("min_low_50"),
-        "resistance_20": F.col("max_high_20"),
-        "resistance_50": F.col("max_high_50"),
-        "volatility_norm": F.when(
+        "mfi": lambda: ratio_or_100(F.col("mf_pos"), F.col("mf_neg")),
+        "aroon_osc": lambda: (F.col("aroon_hi_rn") - F.col("aroon_lo_rn")) * 100.0 / 25.0,
+        "pivot_mean": lambda: F.col("tp_avg_20"),
+        "log_returns": lambda: F.log1p(F.col("returns")),
+        "price_acceleration": lambda: F.col("returns") - F.col("prev_returns"),
+        "range_pct": lambda: div(H() - L(), C()),
+        "hlc3": lambda: TP(),
+        "ohlc4": lambda: (O() + H() + L() + C()) / 4.0,
+        "high_low_ratio": lambda: div(H(), L()),
+        "close_open_ratio": lambda: div(C(), O()),
+        "price_position": lambda: div(C() - L(), H() - L()),
+        "hl_intensity": lambda: F.abs(H() - L()) / (F.abs(C() - O()) + 0.001),
+        "trend_intensity": lambda: div(F.abs(C() - O()), H() - L()),
+        "vwap_cum": lambda: F.col("vwap"),
+        "support_20": lambda: F.col("min_low_20"),
+        "support_50": lambda: F.col("min_low_50"),
+        "resistance_20": lambda: F.col("max_high_20"),
+        "resistance_50": lambda: F.col("max_high_50"),
+        "volatility_norm": lambda: F.when(
             F.col("atr_pct_max_100") == F.col("atr_pct_min_100"), F.when(F.col("atr_pct_max_100").isNotNull(), F.lit(0.0))
         ).otherwise(
             F.round(
@@ -470,7 +524,7 @@ def features(
     layout = layout or Layout()
     cols = list(columns) if columns is not None else None
     df = bars if indexed else index_rows(bars, layout)
-    df = windowed(df, layout, W1_HALO, w1_levels())
+    df = windowed(df, layout, W1_HALO, built_levels(w1_levels, layout))
     df = df.withColumn("kama_sc", _kama_sc())
     if cols is None:
         s1, s2 = list(S1), list(S2)
@@ -482,14 +536,15 @@ def features(
                                           and _s2_needs(s2, k)]))
     df = S.linear_scan(df, layout, [S1[k]() for k in s1])
     have = set(s1)
-    w2 = [[(n, fn) for n, fn in lvl if _w2_ok(n, have)] for lvl in w2_levels()]
+    w2 = [[(n, c) for n, c in lvl if _w2_ok(n, have)] for lvl in built_levels(w2_levels, layout)]
     df = windowed(df, layout, W2_HALO, w2)
     df = S.linear_scan(df, layout, [S2[k]() for k in s2])
     have |= set(s2)
     if {"ema_hl_9", "ema_hl_9_9"} <= have:
-        df = windowed(df, layout, W3_HALO, w3_levels())
+        df = windowed(df, layout, W3_HALO, built_levels(w3_levels, layout))
     present = set(df.columns)
-    add = {k: v for k, v in derived().items() if _derived_ok(k, present)}
+    wanted = set(cols) if cols is not None else None
+    add = {k: v for k, v in built_derived().items() if _derived_ok(k, present) and (wanted is None or k in wanted)}
     return df.withColumns(add)
 
 

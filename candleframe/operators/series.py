@@ -93,7 +93,7 @@ def windowed(df: DataFrame, layout: Layout, halo: int, levels: Iterable[Sequence
     out = with_halo(df, layout, halo)
     for level in levels:
         if level:
-            out = out.withColumns({name: fn(w) for name, fn in level})
+            out = out.withColumns({name: (fn(w) if callable(fn) else fn) for name, fn in level})
     return out.filter(~F.col(HALO)).drop(HALO)
 
 

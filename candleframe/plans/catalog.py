@@ -552,3 +552,131 @@ def q_summary_stats(spark, sf_dir):
         *[r6(c) for c in ("support_20", "support_50", "resistance_20", "resistance_50")],
         AG.market_phase_col(F.col("close"), F.col("sma_20"), F.col("sma_50")).alias("market_phase"),
     )
+
+
+# ---------------------------------------------------------------------------
+# 2.12 predictions and consensus
+
+from ..operators import consensus as CS  # noqa: E402
+
+
+def _predictions(spark, sf_dir) -> DataFrame:
+    f = features(bars_1h(spark, sf_dir), SG.strategy_columns() + ["delta_close"])
+    return CS.strategy_predictions(SG.with_strategy_signals(f))
+
+
+_PRED_SQL = (
+    f"{Q.with_ctes(*Q.FD_CTES)}, s AS (SELECT symbol, ts, delta_close, {_ALL_SIGS} FROM fd), "
+    "l AS (SELECT symbol, ts, delta_close, substr(strategy, 5) AS model, CAST(signal AS INTEGER) AS signal "
+    "FROM (UNPIVOT s ON COLUMNS('^sig_') INTO NAME strategy VALUE signal)), "
+    "h AS (SELECT *, CASE WHEN lag(signal) OVER (PARTITION BY symbol, model ORDER BY ts) IS NULL "
+    "OR lag(signal) OVER (PARTITION BY symbol, model ORDER BY ts) = 0 THEN NULL "
+    "WHEN CAST(sign(delta_close) AS INTEGER) = lag(signal) OVER (PARTITION BY symbol, model ORDER BY ts) THEN 1.0 ELSE 0.0 END AS hit FROM l), "
+    "a AS (SELECT *, avg(hit) OVER (PARTITION BY symbol, model ORDER BY ts ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS accuracy FROM h), "
+    "p0 AS (SELECT *, CASE WHEN signal = 1 THEN coalesce(accuracy, 0.5) WHEN signal = -1 THEN 1.0 - coalesce(accuracy, 0.5) ELSE 0.5 END AS prob_up FROM a), "
+    "p AS (SELECT symbol, ts, model, signal, prob_up, 1.0 - prob_up AS prob_down, greatest(prob_up, 1.0 - prob_up) AS confidence, "
+    "CASE WHEN prob_up > 0.7 THEN 'strong_uptrend' WHEN prob_up > 0.55 THEN 'weak_uptrend' WHEN prob_up < 0.3 THEN 'strong_downtrend' "
+    "WHEN prob_up < 0.45 THEN 'weak_downtrend' ELSE 'sideways' END AS trend, accuracy, accuracy AS f1 FROM p0)"
+)
+
+
+@register(
+    "strategy_predictions",
+    f"{_PRED_SQL} SELECT symbol, ts, model, signal, {Q.r6('prob_up', 'prob_up')}, {Q.r6('prob_down', 'prob_down')}, "
+    f"{Q.r6('confidence', 'confidence')}, trend, {Q.r6('accuracy', 'accuracy')}, {Q.r6('f1', 'f1')} FROM p",
+)
+def q_strategy_predictions(spark, sf_dir):
+    p = _predictions(spark, sf_dir)
+    return p.select("symbol", "ts", "model", "signal", *[r6(c) for c in ("prob_up", "prob_down", "confidence")], "trend",
+                    r6("accuracy"), r6("f1"))
+
+
+@register(
+    "ensemble_sign",
+    f"{_PRED_SQL}, g AS (SELECT symbol, ts, CAST(sign(sum(signal)) AS INTEGER) AS ev, count(*) AS n, avg(confidence ORDER BY model) AS mc, "
+    "count_if(signal = 1) AS u, count_if(signal = 0) AS z, count_if(signal = -1) AS d FROM p GROUP BY ALL) "
+    "SELECT symbol, ts, ev AS ensemble_vote, "
+    f"{Q.r6('CAST(CASE WHEN ev = 1 THEN u WHEN ev = -1 THEN d ELSE z END AS DOUBLE) / n', 'model_agreement')}, "
+    f"{Q.r6('mc', 'mean_confidence')}, CASE WHEN ev = 1 THEN 'Uptrend' WHEN ev = -1 THEN 'Downtrend' ELSE 'Sideways' END AS market_direction FROM g",
+)
+def q_ensemble_sign(spark, sf_dir):
+    e = CS.ensemble_sign(_predictions(spark, sf_dir))
+    return e.select("symbol", "ts", "ensemble_vote", r6("model_agreement"), r6("mean_confidence"), "market_direction")
+
+
+_TW = " ".join(f"WHEN trend = '{t}' THEN {w}" for t, w in CS.TREND_WEIGHTS.items())
+
+
+@register(
+    "consensus_weighted",
+    f"{_PRED_SQL}, g AS (SELECT symbol, ts, sum((CASE {_TW} END) * confidence ORDER BY model) / sum(confidence ORDER BY model) AS score FROM p GROUP BY ALL) "
+    f"SELECT symbol, ts, {Q.r6('score', 'score')}, CASE WHEN score > 1 THEN 'strong_uptrend' WHEN score > 0.2 THEN 'weak_uptrend' "
+    "WHEN score < -1 THEN 'strong_downtrend' WHEN score < -0.2 THEN 'weak_downtrend' ELSE 'sideways' END AS consensus FROM g",
+)
+def q_consensus_weighted(spark, sf_dir):
+    c = CS.consensus_weighted(_predictions(spark, sf_dir))
+    return c.select("symbol", "ts", r6("score"), "consensus")
+
+
+_T_ORDER = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(CS.TRENDS))
+_DIST_SQL = (
+    f"{_PRED_SQL}, c AS (SELECT symbol, ts, trend, count(*) AS votes, sum(confidence ORDER BY model) / count(*) AS conf, sum(confidence ORDER BY model) AS sconf "
+    "FROM p GROUP BY ALL), n AS (SELECT symbol, ts, count(*) AS n_models FROM p GROUP BY ALL), "
+    f"r AS (SELECT c.*, row_number() OVER (PARTITION BY symbol, ts ORDER BY votes DESC, conf DESC, CASE trend {_T_ORDER} END) AS k1, "
+    f"row_number() OVER (PARTITION BY symbol, ts ORDER BY votes DESC, sconf DESC, CASE trend {_T_ORDER} END) AS k2, "
+    "max(conf) OVER (PARTITION BY symbol, ts) AS hc FROM c)"
+)
+
+
+@register(
+    "combined_predictions",
+    f"{_DIST_SQL} SELECT n.symbol, n.ts, n.n_models, "
+    + ", ".join(
+        f"CAST(coalesce(max(CASE WHEN trend = '{t}' THEN votes END), 0) AS BIGINT) AS {t}_votes, "
+        f"{Q.r6(f'coalesce(max(CASE WHEN trend = {chr(39)}{t}{chr(39)} THEN conf END), 0.0)', f'{t}_confidence')}, "
+        f"{Q.r6(f'coalesce(max(CASE WHEN trend = {chr(39)}{t}{chr(39)} THEN votes END), 0) * 100.0 / n.n_models', f'{t}_pct')}"
+        for t in CS.TRENDS
+    )
+    + ", max(CASE WHEN k1 = 1 THEN trend END) AS dominant_trend, "
+    + f"{Q.r6('max(hc)', 'highest_confidence')} FROM n JOIN r ON n.symbol = r.symbol AND n.ts = r.ts GROUP BY n.symbol, n.ts, n.n_models",
+)
+def q_combined_predictions(spark, sf_dir):
+    d = CS.trend_distribution(_predictions(spark, sf_dir))
+    cols = ["symbol", "ts", "n_models"]
+    for t in CS.TRENDS:
+        cols += [F.col(f"{t}_votes"), r6(f"{t}_confidence"), r6(f"{t}_pct")]
+    return d.select(*cols, "dominant_trend", r6("highest_confidence"))
+
+
+@register(
+    "consensus_votes",
+    f"{_DIST_SQL} SELECT r.symbol, r.ts, trend, {Q.r6('conf', 'confidence')}, {Q.r6('CAST(votes AS DOUBLE) / n_models', 'agreement')}, "
+    "CASE WHEN CAST(votes AS DOUBLE) / n_models >= 0.7 THEN 'strong' WHEN CAST(votes AS DOUBLE) / n_models >= 0.5 THEN 'moderate' "
+    "ELSE 'weak' END AS agreement_level FROM r JOIN n ON n.symbol = r.symbol AND n.ts = r.ts WHERE k2 = 1",
+)
+def q_consensus_votes(spark, sf_dir):
+    v = CS.consensus_votes(_predictions(spark, sf_dir))
+    return v.select("symbol", "ts", "trend", r6("confidence"), r6("agreement"), "agreement_level")
+
+
+@register(
+    "consensus_mode",
+    f"{_PRED_SQL}, c AS (SELECT symbol, ts, trend, count(*) AS votes FROM p GROUP BY ALL), "
+    "m AS (SELECT symbol, ts, trend FROM c QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY votes DESC, trend) = 1), "
+    "av AS (SELECT symbol, ts, sum(confidence ORDER BY model) / count(*) AS mc, sum(prob_up ORDER BY model) / count(*) AS mp FROM p GROUP BY ALL) "
+    f"SELECT m.symbol, m.ts, m.trend, {Q.r6('mc', 'mean_confidence')}, {Q.r6('mp', 'mean_prob_up')} FROM m JOIN av USING (symbol, ts)",
+)
+def q_consensus_mode(spark, sf_dir):
+    m = CS.consensus_mode(_predictions(spark, sf_dir))
+    return m.select("symbol", "ts", "trend", r6("mean_confidence"), r6("mean_prob_up"))
+
+
+@register(
+    "mean_confidence",
+    f"{_PRED_SQL} SELECT symbol, {Q.r6('avg(confidence)', 'mean_confidence')}, "
+    "CASE WHEN avg(confidence) > 0.8 THEN 'high' WHEN avg(confidence) > 0.6 THEN 'medium' ELSE 'low' END AS confidence_bucket "
+    "FROM p GROUP BY symbol",
+)
+def q_mean_confidence(spark, sf_dir):
+    g = _predictions(spark, sf_dir).groupBy("symbol").agg(F.avg("confidence").alias("mean_confidence"))
+    return g.select("symbol", r6("mean_confidence"), CS.confidence_bucket(F.col("mean_confidence")).alias("confidence_bucket"))
