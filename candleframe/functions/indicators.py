@@ -375,8 +375,8 @@ def w2_levels():
                 lambda w: F.lit(100.0)
                 * div(F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di")),
             ),
-            ("atr_pct_min_100", lambda w: roll_min(F.col("atr_pct_simple"), 100, w)),
-            ("atr_pct_max_100", lambda w: roll_max(F.col("atr_pct_simple"), 100, w)),
+            ("atr_min_100", lambda w: roll_min(F.col("atr_simple"), 100, w)),
+            ("atr_max_100", lambda w: roll_max(F.col("atr_simple"), 100, w)),
         ],
     ]
 
@@ -489,11 +489,15 @@ def derived_builders() -> dict[str, Callable[[], Column]]:
         "support_50": lambda: F.col("min_low_50"),
         "resistance_20": lambda: F.col("max_high_20"),
         "resistance_50": lambda: F.col("max_high_50"),
+        # ATR% now vs the 100-bar ATR range, both over the current close (which cancels)
         "volatility_norm": lambda: F.when(
-            F.col("atr_pct_max_100") == F.col("atr_pct_min_100"), F.when(F.col("atr_pct_max_100").isNotNull(), F.lit(0.0))
+            div(F.col("atr_max_100"), C()) == div(F.col("atr_min_100"), C()), F.lit(0.0)
         ).otherwise(
             F.round(
-                div(F.col("atr_pct_simple") - F.col("atr_pct_min_100"), F.col("atr_pct_max_100") - F.col("atr_pct_min_100"))
+                div(
+                    div(F.col("atr_simple"), C()) * 100.0 - div(F.col("atr_min_100"), C()) * 100.0,
+                    div(F.col("atr_max_100"), C()) * 100.0 - div(F.col("atr_min_100"), C()) * 100.0,
+                )
                 * 100.0,
                 2,
             )

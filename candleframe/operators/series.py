@@ -56,20 +56,24 @@ def index_rows(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     return numbered.drop("_chunk", "_off").withColumn(BLK, F.floor(F.col(RN) / F.lit(layout.block_rows)))
 
 
-def with_halo(df: DataFrame, layout: Layout, halo: int) -> DataFrame:
-    """Copy each row into the following blocks whose first ``halo`` look-back rows it is
-    (flag ``_halo``). With halo <= block_rows that is at most the next block."""
-    if halo <= 0:
+def with_halo(df: DataFrame, layout: Layout, halo: int, ahead: int = 0) -> DataFrame:
+    """Copy each row into the neighbouring blocks that read it (flag ``_halo``):
+    following blocks whose first ``halo`` look-back rows it is, and preceding blocks whose
+    last ``ahead`` look-ahead rows (``lead``) it is."""
+    if halo <= 0 and ahead <= 0:
         return df.withColumn(HALO, F.lit(False))
     b = layout.block_rows
-    hops = -(-halo // b)  # blocks a row can reach
+    back_hops = -(-max(halo, 0) // b)
+    fwd_hops = -(-max(ahead, 0) // b)
     rn, blk = F.col(RN), F.col(BLK)
     targets = F.filter(
         F.transform(
-            F.sequence(F.lit(0), F.lit(hops)),
-            lambda j: F.struct((blk + j).alias("b"), (j > 0).alias("h")),
+            F.sequence(F.lit(-fwd_hops), F.lit(back_hops)),
+            lambda j: F.struct((blk + j).alias("b"), (j != 0).alias("h"), j.alias("j")),
         ),
-        lambda t: (~t["h"]) | (rn >= t["b"] * F.lit(b) - F.lit(halo)),
+        lambda t: (t["j"] == 0)
+        | ((t["j"] > 0) & (rn >= t["b"] * F.lit(b) - F.lit(halo)))
+        | ((t["j"] < 0) & (t["b"] >= 0) & (rn < (t["b"] + 1) * F.lit(b) + F.lit(ahead))),
     )
     return (
         df.withColumn("_tgt", F.explode(targets))
@@ -82,7 +86,9 @@ def with_halo(df: DataFrame, layout: Layout, halo: int) -> DataFrame:
 Step = tuple[str, Callable[[WindowSpec], Column]]
 
 
-def windowed(df: DataFrame, layout: Layout, halo: int, levels: Iterable[Sequence[Step]]) -> DataFrame:
+def windowed(
+    df: DataFrame, layout: Layout, halo: int, levels: Iterable[Sequence[Step]], ahead: int = 0
+) -> DataFrame:
     """Run window steps over blocks + halo. ``levels`` is a list of step lists: steps of
     one level are independent; a later level may use columns of earlier ones.
 
@@ -90,7 +96,7 @@ def windowed(df: DataFrame, layout: Layout, halo: int, levels: Iterable[Sequence
     matter how many columns are added.
     """
     w = layout.window()
-    out = with_halo(df, layout, halo)
+    out = with_halo(df, layout, halo, ahead)
     for level in levels:
         if level:
             out = out.withColumns({name: (fn(w) if callable(fn) else fn) for name, fn in level})

@@ -680,3 +680,165 @@ def q_consensus_mode(spark, sf_dir):
 def q_mean_confidence(spark, sf_dir):
     g = _predictions(spark, sf_dir).groupBy("symbol").agg(F.avg("confidence").alias("mean_confidence"))
     return g.select("symbol", r6("mean_confidence"), CS.confidence_bucket(F.col("mean_confidence")).alias("confidence_bucket"))
+
+
+# ---------------------------------------------------------------------------
+# 2.7 context classifiers
+
+from ..functions import context as CX  # noqa: E402
+
+_CTX_SQL = {
+    "trend_context": "CASE WHEN close > sma_10 AND sma_10 > sma_20 AND sma_20 > sma_50 AND "
+    f"{Q.div('close - close_lag5', 'close_lag4')} * 100.0 > 0.5 THEN 'strong_uptrend' "
+    "WHEN close < sma_10 AND sma_10 < sma_20 AND sma_20 < sma_50 AND "
+    f"{Q.div('close - close_lag5', 'close_lag4')} * 100.0 < -0.5 THEN 'strong_downtrend' "
+    f"WHEN close > sma_20 AND {Q.div('close - close_lag5', 'close_lag4')} * 100.0 > 0 THEN 'uptrend' "
+    f"WHEN close < sma_20 AND {Q.div('close - close_lag5', 'close_lag4')} * 100.0 < 0 THEN 'downtrend' ELSE 'neutral' END",
+    "volume_context": f"coalesce(volume_sma_5 > volume_sma AND {Q.div('volume', 'volume_sma')} > 1.5, false)",
+    "rsi_context": "CASE WHEN rsi_simple < 30 AND coalesce(close > prev_close, false) THEN 'strong_buy' "
+    "WHEN rsi_simple > 70 AND NOT coalesce(close > prev_close, false) THEN 'strong_sell' "
+    "WHEN rsi_simple < 40 THEN 'buy' WHEN rsi_simple > 60 THEN 'sell' ELSE 'neutral' END",
+    "recent_trend": "CASE WHEN coalesce(ema_5 > prev_ema_5, false) AND coalesce(ema_20 > prev_ema_20, false) THEN 'up' "
+    "WHEN NOT coalesce(ema_5 > prev_ema_5, false) AND NOT coalesce(ema_20 > prev_ema_20, false) THEN 'down' END",
+    "volume_confirmed": "coalesce(volume_ratio > 1.0, false)",
+    "rsi_signal": "CASE WHEN rsi < 30 THEN 'up' WHEN rsi > 70 THEN 'down' END",
+    "market_phase": "CASE WHEN close > sma_20 AND sma_20 > sma_50 THEN 'strong_uptrend' WHEN close < sma_20 AND sma_20 < sma_50 "
+    "THEN 'strong_downtrend' WHEN sma_20 > sma_50 AND close < sma_20 THEN 'weak_uptrend' WHEN sma_20 < sma_50 AND close > sma_20 "
+    "THEN 'weak_downtrend' ELSE 'sideways' END",
+    "volatility_band": "CASE WHEN volatility_norm > 50 THEN 'high' WHEN volatility_norm > 30 THEN 'medium' ELSE 'low' END",
+    "volume_band": "CASE WHEN volume_ratio > 1.5 THEN 'high' WHEN volume_ratio < 0.5 THEN 'low' ELSE 'normal' END",
+    "trend_band": "CASE WHEN adx > 25 THEN 'strong' ELSE 'weak' END",
+}
+_CTX_KEYS = {
+    "trend_context": ["trend_context"],
+    "volume_context": ["volume_context"],
+    "rsi_context": ["rsi_context"],
+    "recent_trend": ["recent_trend"],
+    "volume_confirmed_rsi_extreme": ["volume_confirmed", "rsi_signal"],
+    "market_phase": ["market_phase"],
+    "ui_bands": ["volatility_band", "volume_band", "trend_band"],
+}
+
+
+def _ctx_builder(cols):
+    def build(spark, sf_dir):
+        f = _features_for(spark, sf_dir, CX.CONTEXT_COLUMNS)
+        return CX.with_context(f).select("symbol", "ts", *cols)
+
+    return build
+
+
+for _k, _cols in _CTX_KEYS.items():
+    register(
+        _k,
+        f"{Q.with_ctes(*Q.FD_CTES)} SELECT symbol, ts, " + ", ".join(f"{_CTX_SQL[c]} AS {c}" for c in _cols) + " FROM fd",
+    )(_ctx_builder(_cols))
+
+
+# ---------------------------------------------------------------------------
+# 2.11 labels, splits, scalers
+
+from ..operators import labels as LB  # noqa: E402
+
+_LBL_SQL = (
+    f"{Q.with_ctes(*W1_SQL_CTES)}, x AS (SELECT symbol, ts, rn, close, returns, "
+    "lead(close, 1) OVER (PARTITION BY symbol ORDER BY ts) AS l1, lead(close, 3) OVER (PARTITION BY symbol ORDER BY ts) AS l3, "
+    "lead(close, 10) OVER (PARTITION BY symbol ORDER BY ts) AS l10, lead(returns, 1) OVER (PARTITION BY symbol ORDER BY ts) AS nr FROM w1)"
+)
+
+
+@register(
+    "label_fwd_k",
+    f"{_LBL_SQL} SELECT symbol, ts, CAST(l1 > close AS INTEGER) AS label_up_1, CAST(l3 > close AS INTEGER) AS label_up_3, "
+    "CAST(l10 > close AS INTEGER) AS label_up_10 FROM x",
+)
+def q_label_fwd_k(spark, sf_dir):
+    f = LB.forward_labels(features(bars_1h(spark, sf_dir), ["returns"]))
+    return f.select("symbol", "ts", "label_up_1", "label_up_3", "label_up_10")
+
+
+@register(
+    "label_fwd_k_reference_mode",
+    f"{_LBL_SQL} SELECT symbol, ts, coalesce(CAST(l1 > close AS INTEGER), 0) AS label_up_1, "
+    "coalesce(CAST(l10 > close AS INTEGER), 0) AS label_up_10 FROM x",
+)
+def q_label_fwd_k_ref(spark, sf_dir):
+    f = LB.forward_labels(features(bars_1h(spark, sf_dir), ["returns"]), reference_mode=True)
+    return f.select("symbol", "ts", "label_up_1", "label_up_10")
+
+
+@register(
+    "label_3way",
+    f"{_LBL_SQL} SELECT symbol, ts, CAST(CASE WHEN {Q.div('l3', 'close')} - 1.0 > 0.001 THEN 1 "
+    f"WHEN {Q.div('l3', 'close')} - 1.0 < -0.001 THEN -1 WHEN {Q.div('l3', 'close')} IS NOT NULL THEN 0 END AS INTEGER) AS label_3way FROM x",
+)
+def q_label_3way(spark, sf_dir):
+    f = LB.forward_labels(features(bars_1h(spark, sf_dir), ["returns"]))
+    return f.select("symbol", "ts", "label_3way")
+
+
+@register(
+    "label_next_return",
+    f"{_LBL_SQL} SELECT symbol, ts, {Q.r6('nr', 'next_return')} FROM x",
+)
+def q_label_next_return(spark, sf_dir):
+    f = LB.forward_labels(features(bars_1h(spark, sf_dir), ["returns"]))
+    return f.select("symbol", "ts", r6("next_return"))
+
+
+@register(
+    "split_chrono",
+    f"WITH {Q.BARS_1H}, x AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, "
+    "count(*) OVER (PARTITION BY symbol) AS n FROM bars) SELECT symbol, ts, rn >= floor(n * 0.8) AS is_test FROM x",
+)
+def q_split_chrono(spark, sf_dir):
+    f = LB.split_chrono(index_rows(bars_1h(spark, sf_dir)))
+    return f.select("symbol", "ts", "is_test")
+
+
+@register(
+    "split_time_series",
+    f"WITH {Q.BARS_1H}, x AS (SELECT symbol, ts, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn, "
+    "count(*) OVER (PARTITION BY symbol) AS n FROM bars) SELECT symbol, ts, rn >= n - least(20, floor(n / 5)) AS is_test FROM x",
+)
+def q_split_time_series(spark, sf_dir):
+    f = LB.split_time_series(index_rows(bars_1h(spark, sf_dir)))
+    return f.select("symbol", "ts", "is_test")
+
+
+_SCALE_COLS = ["rsi_simple", "volatility", "volume_ratio"]
+_SCALE_BASE = (
+    f"{Q.with_ctes(*W1_SQL_CTES)}, x AS (SELECT symbol, ts, {Q.W1_DERIVED['rsi_simple']} AS rsi_simple, volatility, "
+    f"{Q.W1_DERIVED['volume_ratio']} AS volume_ratio, rn >= floor(count(*) OVER (PARTITION BY symbol) * 0.8) AS is_test FROM w1)"
+)
+
+
+@register(
+    "scale_standard",
+    f"{_SCALE_BASE}, s AS (SELECT symbol, "
+    + ", ".join(f"avg({c}) AS mu_{c}, stddev_pop({c}) AS sd_{c}" for c in _SCALE_COLS)
+    + " FROM x WHERE NOT is_test GROUP BY symbol) SELECT x.symbol, ts, "
+    + ", ".join(Q.r6(Q.div(f"{c} - mu_{c}", f"sd_{c}"), f"{c}_z") for c in _SCALE_COLS)
+    + " FROM x JOIN s ON x.symbol = s.symbol",
+)
+def q_scale_standard(spark, sf_dir):
+    f = LB.split_chrono(features(bars_1h(spark, sf_dir), _SCALE_COLS))
+    z = LB.scale_standard(f, _SCALE_COLS)
+    return z.select("symbol", "ts", *[r6(f"{c}_z") for c in _SCALE_COLS])
+
+
+@register(
+    "scale_robust",
+    f"{_SCALE_BASE}, s AS (SELECT symbol, "
+    + ", ".join(
+        f"quantile_cont({c}, 0.25) AS q1_{c}, quantile_cont({c}, 0.5) AS q2_{c}, quantile_cont({c}, 0.75) AS q3_{c}"
+        for c in _SCALE_COLS
+    )
+    + " FROM x WHERE NOT is_test GROUP BY symbol) SELECT x.symbol, ts, "
+    + ", ".join(Q.r6(Q.div(f"{c} - q2_{c}", f"q3_{c} - q1_{c}"), f"{c}_r") for c in _SCALE_COLS)
+    + " FROM x JOIN s ON x.symbol = s.symbol",
+)
+def q_scale_robust(spark, sf_dir):
+    f = LB.split_chrono(features(bars_1h(spark, sf_dir), _SCALE_COLS))
+    z = LB.scale_robust(f, _SCALE_COLS)
+    return z.select("symbol", "ts", *[r6(f"{c}_r") for c in _SCALE_COLS])

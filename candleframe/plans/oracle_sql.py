@@ -257,7 +257,7 @@ w2 AS (
     {roll('min', 'rsi', 14)} AS rsi_min_14, {roll('max', 'rsi', 14)} AS rsi_max_14,
     100.0 * {div('abs(plus_di - minus_di)', 'plus_di + minus_di')} AS dx,
     {lag('obv')} AS prev_obv, {lag('vpt')} AS prev_vpt,
-    {roll('min', 'atr_pct_simple', 100)} AS atr_pct_min_100, {roll('max', 'atr_pct_simple', 100)} AS atr_pct_max_100
+    {roll('min', 'atr_simple', 100)} AS atr_min_100, {roll('max', 'atr_simple', 100)} AS atr_max_100
   FROM w2a
 ),
 s2 AS (
@@ -287,7 +287,7 @@ F_DERIVED = W1_DERIVED | {
     "macd_hist": "macd - macd_signal",
     "stoch_rsi": div("rsi - rsi_min_14", "rsi_max_14 - rsi_min_14"),
     "vwap_cum": "vwap",
-    "volatility_norm": f"(CASE WHEN atr_pct_max_100 = atr_pct_min_100 THEN 0.0 ELSE round({div('atr_pct_simple - atr_pct_min_100', 'atr_pct_max_100 - atr_pct_min_100')} * 100.0, 2) END)",
+    "volatility_norm": f"(CASE WHEN {div('atr_max_100', 'close')} = {div('atr_min_100', 'close')} THEN 0.0 ELSE round({div(f"{div('atr_simple', 'close')} * 100.0 - {div('atr_min_100', 'close')} * 100.0", f"{div('atr_max_100', 'close')} * 100.0 - {div('atr_min_100', 'close')} * 100.0")} * 100.0, 2) END)",
 }
 FULL_CTES = [BARS_1H, W1A, S1_IN, S1_REC, W2]
 
