@@ -248,3 +248,78 @@ def decision(ens: DataFrame, context: DataFrame, keys: Sequence[str] = KEYS) ->
 def up_down_label(preds: DataFrame) -> DataFrame:
     p = F.coalesce(F.col("prob_up"), F.lit(0.0))
     return preds.withColumn("prediction", F.when(p > 0.5, "UP").otherwise("DOWN"))
+
+
+# ---------------------------------------------------------------------------
+# Rule x model merge for the paired strategies, sentiment over the merged signals
+
+SIGNAL_WEIGHTS = {"strong_bullish": 2, "bullish": 1, "neutral": 0, "bearish": -1, "strong_bearish": -2}
+
+
+def strategy_ml_merge(rules: DataFrame, model_votes: DataFrame | None, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rule signal x model vote per (keys, strategy). ``rules``: keys, strategy, bullish,
+    bearish. ``model_votes``: keys, strategy, prediction ('bullish'/'bearish'), confidence,
+    prob_up. A rule without a model row keeps its rule-only signal (left outer join).
+    Both sides are partitioned on the same keys, so the join adds no skew of its own."""
+    if model_votes is None:
+        j = rules.withColumn("prediction", F.lit(None).cast("string"))
+    else:
+        j = rules.join(model_votes, [*keys, "strategy"], "left")
+    bull, bear, pred = F.col("bullish"), F.col("bearish"), F.col("prediction")
+    has_model = pred.isNotNull()
+    with_model = (
+        F.when(bull & (pred == "bullish"), "strong_bullish")
+        .when(bear & (pred == "bearish"), "strong_bearish")
+        .when(bull | (pred == "bullish"), "bullish")
+        .when(bear | (pred == "bearish"), "bearish")
+        .otherwise("neutral")
+    )
+    rule_only = F.when(bull & ~bear, "bullish").when(bear & ~bull, "bearish").otherwise("neutral")
+    return j.withColumn("signal", F.when(has_model, with_model).otherwise(rule_only))
+
+
+def sentiment(merged: DataFrame, n_strategies: int, keys: Sequence[str] = KEYS) -> DataFrame:
+    """score = sum(weight) / (2 * n strategies); label at +-0.2 / +-0.6 (strict); counts."""
+    w = F.lit(0)
+    for s, v in SIGNAL_WEIGHTS.items():
+        w = F.when(F.col("signal") == s, F.lit(v)).otherwise(w)
+    g = merged.groupBy(*keys).agg(
+        (F.sum(w) / float(2 * n_strategies)).alias("sentiment_score"),
+        *[F.count_if(F.col("signal") == s).alias(f"n_{s}") for s in SIGNAL_WEIGHTS],
+    )
+    sc = F.col("sentiment_score")
+    label = (
+        F.when(sc > 0.6, "strong_uptrend")
+        .when(sc > 0.2, "uptrend")
+        .when(sc < -0.6, "strong_downtrend")
+        .when(sc < -0.2, "downtrend")
+        .otherwise("sideways")
+    )
+    return g.withColumn("overall_sentiment", label)
+
+
+def rank_models(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Rank of each model per (keys) by (accuracy + f1)/2 desc, then accuracy desc, then
+    model name. The window is per (symbol, ts): bounded by the model count."""
+    perf = (F.coalesce(F.col("accuracy"), F.lit(0.0)) + F.coalesce(F.col("f1"), F.lit(0.0))) / 2.0
+    w = Window.partitionBy(*keys).orderBy(perf.desc(), F.col("accuracy").desc_nulls_last(), F.col("model"))
+    return preds.withColumn("performance", perf).withColumn("rank", F.row_number().over(w))
+
+
+def top_k_per_trend(preds: DataFrame, k: int = 3, keys: Sequence[str] = KEYS) -> DataFrame:
+    w = Window.partitionBy(*keys, "trend").orderBy(F.col("confidence").desc(), F.col("model"))
+    return preds.withColumn("trend_rank", F.row_number().over(w)).filter(F.col("trend_rank") <= k)
+
+
+def softmax_argmax(logits: DataFrame, labels: Sequence[str], col: str = "logits") -> DataFrame:
+    """Softmax over a fixed-length logits array (max-shifted), best label and its probability."""
+    x = F.col(col)
+    m = F.array_max(x)
+    e = F.transform(x, lambda v: F.exp(v - m))
+    tot = F.aggregate(e, F.lit(0.0), lambda a, v: a + v)
+    probs = F.transform(e, lambda v: v / tot)
+    best = F.array_position(probs, F.array_max(probs)) - 1
+    lab = F.array(*[F.lit(s) for s in labels])
+    return logits.withColumn("probs", probs).withColumn("label", F.element_at(lab, (best + 1).cast("int"))).withColumn(
+        "label_confidence", F.array_max(F.col("probs"))
+    )

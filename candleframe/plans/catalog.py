@@ -842,3 +842,159 @@ def q_scale_robust(spark, sf_dir):
     f = LB.split_chrono(features(bars_1h(spark, sf_dir), _SCALE_COLS))
     z = LB.scale_robust(f, _SCALE_COLS)
     return z.select("symbol", "ts", *[r6(f"{c}_r") for c in _SCALE_COLS])
+
+
+# ---------------------------------------------------------------------------
+# 2.6 rule/model merge and sentiment (rule-only path is SQL-checkable)
+
+
+def _paired_rules(spark, sf_dir) -> DataFrame:
+    f = _features_for(spark, sf_dir, SG.paired_columns())
+    return SG.paired_long(f, ["symbol", "ts"])
+
+
+_PAIRED_SQL = (
+    f"{Q.with_ctes(*Q.FD_CTES)}, pr AS ("
+    + " UNION ALL ".join(
+        f"SELECT symbol, ts, '{n}' AS strategy, {SG.paired_case(b, e)[0]} AS bullish, {SG.paired_case(b, e)[1]} AS bearish FROM fd"
+        for n, b, e in SG.PAIRED_RULES
+    )
+    + "), m AS (SELECT *, CASE WHEN bullish AND NOT bearish THEN 'bullish' WHEN bearish AND NOT bullish THEN 'bearish' "
+    "ELSE 'neutral' END AS signal FROM pr)"
+)
+
+
+@register(
+    "sentiment_score",
+    f"{_PAIRED_SQL}, g AS (SELECT symbol, ts, sum(CASE signal WHEN 'strong_bullish' THEN 2 WHEN 'bullish' THEN 1 "
+    "WHEN 'bearish' THEN -1 WHEN 'strong_bearish' THEN -2 ELSE 0 END) / 20.0 AS s, "
+    "count_if(signal = 'strong_bullish') AS n_strong_bullish, count_if(signal = 'bullish') AS n_bullish, "
+    "count_if(signal = 'neutral') AS n_neutral, count_if(signal = 'bearish') AS n_bearish, "
+    "count_if(signal = 'strong_bearish') AS n_strong_bearish FROM m GROUP BY ALL) "
+    f"SELECT symbol, ts, {Q.r6('s', 'sentiment_score')}, n_strong_bullish, n_bullish, n_neutral, n_bearish, n_strong_bearish, "
+    "CASE WHEN s > 0.6 THEN 'strong_uptrend' WHEN s > 0.2 THEN 'uptrend' WHEN s < -0.6 THEN 'strong_downtrend' "
+    "WHEN s < -0.2 THEN 'downtrend' ELSE 'sideways' END AS overall_sentiment FROM g",
+)
+def q_sentiment_score(spark, sf_dir):
+    merged = CS.strategy_ml_merge(_paired_rules(spark, sf_dir), None)
+    s = CS.sentiment(merged, len(SG.PAIRED_RULES))
+    return s.select("symbol", "ts", r6("sentiment_score"), *[f"n_{k}" for k in CS.SIGNAL_WEIGHTS], "overall_sentiment")
+
+
+@register(
+    "signal_counts",
+    f"{_PAIRED_SQL} SELECT symbol, signal, count(*) AS n FROM m GROUP BY ALL",
+)
+def q_signal_counts(spark, sf_dir):
+    merged = CS.strategy_ml_merge(_paired_rules(spark, sf_dir), None)
+    return merged.groupBy("symbol", "signal").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------------------
+# 2.10 ranking / top-k, 2.9 joins over predictions
+
+
+@register(
+    "rank_models",
+    f"{_PRED_SQL} SELECT symbol, ts, model, {Q.r6('(coalesce(accuracy, 0.0) + coalesce(f1, 0.0)) / 2.0', 'performance')}, "
+    "row_number() OVER (PARTITION BY symbol, ts ORDER BY (coalesce(accuracy, 0.0) + coalesce(f1, 0.0)) / 2.0 DESC, "
+    "accuracy DESC NULLS LAST, model) AS rank FROM p",
+)
+def q_rank_models(spark, sf_dir):
+    r = CS.rank_models(_predictions(spark, sf_dir))
+    return r.select("symbol", "ts", "model", r6("performance"), F.col("rank"))
+
+
+@register(
+    "top3_per_trend",
+    f"{_PRED_SQL} SELECT symbol, ts, trend, model, {Q.r6('confidence', 'confidence')}, trend_rank FROM "
+    "(SELECT *, row_number() OVER (PARTITION BY symbol, ts, trend ORDER BY confidence DESC, model) AS trend_rank FROM p) "
+    "WHERE trend_rank <= 3",
+)
+def q_top3_per_trend(spark, sf_dir):
+    t = CS.top_k_per_trend(_predictions(spark, sf_dir), 3)
+    return t.select("symbol", "ts", "trend", "model", r6("confidence"), "trend_rank")
+
+
+@register(
+    "incomplete_model_filter",
+    f"{_PRED_SQL} SELECT symbol, ts, model, {Q.r6('accuracy', 'accuracy')} FROM p WHERE accuracy IS NOT NULL AND f1 IS NOT NULL",
+)
+def q_incomplete_model_filter(spark, sf_dir):
+    p = _predictions(spark, sf_dir).na.drop(subset=["accuracy", "f1"])
+    return p.select("symbol", "ts", "model", r6("accuracy"))
+
+
+def registry_table(spark) -> DataFrame:
+    from ..operators.registry import base_registry
+
+    return base_registry(spark)
+
+
+from ..operators.registry import BASE_MODELS  # noqa: E402
+
+_REG_VALUES = ", ".join("('{}', '{}', '{}', '{}')".format(*[x.replace("'", "''") for x in r]) for r in BASE_MODELS)
+_REG_SQL = (
+    f"{_PRED_SQL}, base(model, name, type, description) AS (VALUES {_REG_VALUES}), "
+    f"d(strategy, description) AS (VALUES {_DESC_VALUES}), "
+    "nm AS (SELECT DISTINCT model FROM p WHERE model NOT IN (SELECT model FROM base)), "
+    "reg AS (SELECT * FROM base UNION ALL SELECT nm.model, nm.model AS name, 'rule_strategy' AS type, "
+    f"coalesce(d.description, '{SG.DEFAULT_DESCRIPTION}') AS description FROM nm LEFT JOIN d ON nm.model = d.strategy)"
+)
+
+
+@register("registry_add", f"{_REG_SQL} SELECT model, name, type, description FROM reg")
+def q_registry_add(spark, sf_dir):
+    from ..operators.registry import register_models
+
+    return register_models(registry_table(spark), _predictions(spark, sf_dir).select("model"))
+
+
+@register(
+    "join_registry",
+    f"{_REG_SQL} SELECT p.symbol, p.ts, p.model, reg.name, reg.type, p.trend, {Q.r6('p.confidence', 'confidence')} "
+    "FROM p JOIN reg ON p.model = reg.model",
+)
+def q_join_registry(spark, sf_dir):
+    from ..operators.registry import register_models
+
+    preds = _predictions(spark, sf_dir)
+    reg = register_models(registry_table(spark), preds.select("model").distinct())
+    return preds.join(F.broadcast(reg), "model", "inner").select("symbol", "ts", "model", "name", "type", "trend", r6("confidence"))
+
+
+@register(
+    "align_series",
+    f"{Q.with_ctes(*Q.FD_CTES)} SELECT symbol, ts, {Q.r6('sma_20', 'sma_20')}, {Q.r6('ema_20', 'ema_20')}, "
+    f"{Q.r6('sma_20 - ema_20', 'sma_ema_gap')} FROM fd",
+)
+def q_align_series(spark, sf_dir):
+    b = bars_1h(spark, sf_dir)
+    a = drop_layout(features(b, ["sma_20"])).select("symbol", "ts", "sma_20")
+    e = drop_layout(features(b, ["ema_20"])).select("symbol", "ts", "ema_20")
+    j = a.join(e, ["symbol", "ts"], "inner")
+    return j.select("symbol", "ts", r6("sma_20"), r6("ema_20"), r6(F.col("sma_20") - F.col("ema_20"), "sma_ema_gap"))
+
+
+@register(
+    "softmax_argmax",
+    f"{_PRED_SQL}, v AS (SELECT symbol, ts, count_if(signal = -1) AS d, count_if(signal = 0) AS z, count_if(signal = 1) AS u "
+    "FROM p GROUP BY ALL), e AS (SELECT *, greatest(d, z, u) AS mx FROM v), "
+    "sm AS (SELECT *, exp(d - mx) + exp(z - mx) + exp(u - mx) AS t FROM e) "
+    f"SELECT symbol, ts, {Q.r6('exp(d - mx) / t', 'p_bearish')}, {Q.r6('exp(z - mx) / t', 'p_neutral')}, "
+    f"{Q.r6('exp(u - mx) / t', 'p_bullish')}, CASE WHEN d = mx THEN 'bearish' WHEN z = mx THEN 'neutral' ELSE 'bullish' END AS label "
+    "FROM sm",
+)
+def q_softmax_argmax(spark, sf_dir):
+    p = _predictions(spark, sf_dir)
+    v = p.groupBy("symbol", "ts").agg(
+        F.array(
+            F.count_if(F.col("signal") == -1).cast("double"),
+            F.count_if(F.col("signal") == 0).cast("double"),
+            F.count_if(F.col("signal") == 1).cast("double"),
+        ).alias("logits")
+    )
+    s = CS.softmax_argmax(v, ["bearish", "neutral", "bullish"])
+    return s.select(
+        "symbol", "ts", r6(F.col("probs")[0], "p_bearish"), r6(F.col("probs")[1], "p_neutral"), r6(F.col("probs")[2], "p_bullish"), "label"
+    )
