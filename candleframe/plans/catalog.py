@@ -998,3 +998,117 @@ def q_softmax_argmax(spark, sf_dir):
     return s.select(
         "symbol", "ts", r6(F.col("probs")[0], "p_bearish"), r6(F.col("probs")[1], "p_neutral"), r6(F.col("probs")[2], "p_bullish"), "label"
     )
+
+
+# ---------------------------------------------------------------------------
+# 2.11 / 2.12 MLlib bake-off (rows-only checks: model output has no SQL oracle)
+
+from ..operators import ml as ML  # noqa: E402
+
+_ML_MEMO: dict = {}
+
+
+def _bakeoff(spark, sf_dir):
+    """Panel + fitted models, memoised per (session, sf_dir) so the ML queries below share
+    one fit (fits are seeded and deterministic)."""
+    key = (id(spark._jsparkSession), sf_dir)
+    if key not in _ML_MEMO:
+        p = ML.panel(bars_1h(spark, sf_dir))
+        preds, fitted = ML.bakeoff(p)
+        _ML_MEMO[key] = (p, preds, fitted)
+    return _ML_MEMO[key]
+
+
+@register("model_bakeoff", None)
+def q_model_bakeoff(spark, sf_dir):
+    _, preds, _ = _bakeoff(spark, sf_dir)
+    return preds.select("symbol", "ts", "model", r6("prob_up"), "prediction", "label")
+
+
+@register("eval_metrics", None)
+def q_eval_metrics(spark, sf_dir):
+    _, preds, _ = _bakeoff(spark, sf_dir)
+    m = ML.eval_metrics(preds)
+    return m.select("model", *[r6(c) for c in ("accuracy", "precision", "recall", "f1", "f1_weighted")], "n_test")
+
+
+@register("feature_importance", None)
+def q_feature_importance(spark, sf_dir):
+    _, _, fitted = _bakeoff(spark, sf_dir)
+    return ML.feature_importance(spark, fitted, ML.FEATURES_12)
+
+
+@register("top20_importance", None)
+def q_top20_importance(spark, sf_dir):
+    _, _, fitted = _bakeoff(spark, sf_dir)
+    return ML.top_importance(ML.feature_importance(spark, fitted, ML.FEATURES_12), 20)
+
+
+@register("voting_soft_hard", None)
+def q_voting(spark, sf_dir):
+    _, preds, _ = _bakeoff(spark, sf_dir)
+    return ML.voting(preds)
+
+
+@register("score_rows", None)
+def q_score_rows(spark, sf_dir):
+    """Latest scored bar per (symbol, model): up/down probability."""
+    _, preds, _ = _bakeoff(spark, sf_dir)
+    last = preds.groupBy("symbol", "model").agg(F.max_by(F.struct("ts", "prob_up"), F.col("ts")).alias("_l"))
+    return last.select("symbol", "model", "_l.ts", r6(F.col("_l.prob_up"), "prob_up"), r6(1.0 - F.col("_l.prob_up"), "prob_down"))
+
+
+@register("ml_decision", None)
+def q_ml_decision(spark, sf_dir):
+    """Weighted ensemble probability over the bake-off (models with a reference weight),
+    then the decision rule with market context of the same bar."""
+    _, preds, _ = _bakeoff(spark, sf_dir)
+    ens = CS.ensemble_prob(ML.with_eval(preds), ML.weights_table(spark))
+    ctx = CX.with_context(_features_for(spark, sf_dir, CX.CONTEXT_COLUMNS)).select(
+        "symbol", "ts", "volatility", "recent_trend", "rsi_signal", "volume_confirmed"
+    )
+    d = CS.decision(ens, ctx)
+    return d.select("symbol", "ts", r6("up_probability"), r6("down_probability"), r6("confidence_level"), "decision")
+
+
+@register("up_down_label", None)
+def q_up_down_label(spark, sf_dir):
+    _, preds, _ = _bakeoff(spark, sf_dir)
+    return CS.up_down_label(preds).select("symbol", "ts", "model", "prediction")
+
+
+@register("tune_random_search", None)
+def q_tune_random_search(spark, sf_dir):
+    p, _, _ = _bakeoff(spark, sf_dir)
+    return ML.tune_random_search(p)
+
+
+@register("reg_random_forest_gbt", None)
+def q_regressors(spark, sf_dir):
+    p, _, _ = _bakeoff(spark, sf_dir)
+    return ML.regress_next_return(p)
+
+
+@register("strategy_ml_merge", None)
+def q_strategy_ml_merge(spark, sf_dir):
+    """Paired rule signals merged with a model vote per strategy: a GBT fit per strategy on
+    its rule inputs (one panel fit over all symbols each), scored on the test rows."""
+    rules = _paired_rules(spark, sf_dir)
+    p = ML.panel(bars_1h(spark, sf_dir), sorted({c for _, b, e in SG.PAIRED_RULES for c in SG.referenced_columns(b, e)}))
+    votes = []
+    for name, b, e in SG.PAIRED_RULES:
+        cols = [c for c in SG.referenced_columns(b, e)]
+        spec = ML.ModelSpec("gbt", lambda d: ML.GBTClassifier(labelCol="label", maxIter=20, maxDepth=3, seed=42))
+        pr, _ = ML.bakeoff(p, cols, [spec])
+        votes.append(
+            pr.select(
+                "symbol", "ts", F.lit(name).alias("strategy"),
+                F.when(F.col("prob_up") > 0.5, "bullish").otherwise("bearish").alias("prediction"),
+                F.greatest(F.col("prob_up"), 1.0 - F.col("prob_up")).alias("confidence"),
+            )
+        )
+    mv = votes[0]
+    for v in votes[1:]:
+        mv = mv.unionByName(v)
+    merged = CS.strategy_ml_merge(rules, mv)
+    return merged.select("symbol", "ts", "strategy", "bullish", "bearish", "prediction", r6("confidence"), "signal")
