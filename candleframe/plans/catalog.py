@@ -1112,3 +1112,79 @@ def q_strategy_ml_merge(spark, sf_dir):
         mv = mv.unionByName(v)
     merged = CS.strategy_ml_merge(rules, mv)
     return merged.select("symbol", "ts", "strategy", "bullish", "bearish", "prediction", r6("confidence"), "signal")
+
+
+# ---------------------------------------------------------------------------
+# 2.13 Structured Streaming (run with an availableNow trigger over the files present)
+
+from ..streaming import bars as ST  # noqa: E402
+
+_WM_SQL = "(SELECT max(ts) FROM events) - INTERVAL 2 HOUR"
+
+
+@register(
+    "stream_bars",
+    f"WITH {Q.BARS_1H} SELECT symbol, ts, {Q.r6('open', 'open')}, {Q.r6('high', 'high')}, {Q.r6('low', 'low')}, "
+    f"{Q.r6('close', 'close')}, {Q.r6('volume', 'volume')} FROM bars WHERE ts + INTERVAL 1 HOUR <= {_WM_SQL}",
+)
+def q_stream_bars(spark, sf_dir):
+    b = ST.run_available(ST.stream_bars(ST.tick_stream(spark, sf_dir), "1 hour"), "stream_bars")
+    return b.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *[r6(c) for c in ("open", "high", "low", "close", "volume")])
+
+
+@register(
+    "stream_bars_sliding",
+    "WITH w AS (SELECT event_type AS symbol, time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL (30 * k) MINUTE AS ws, ts, event_id, value "
+    "FROM events, (VALUES (0), (1)) AS t(k)) "
+    f"SELECT symbol, ws AS ts, {Q.r6('arg_min(value, (ts, event_id))', 'open')}, {Q.r6('max(value)', 'high')}, "
+    f"{Q.r6('min(value)', 'low')}, {Q.r6('arg_max(value, (ts, event_id))', 'close')}, {Q.r6('sum(value)', 'volume')} "
+    f"FROM w GROUP BY symbol, ws HAVING ws + INTERVAL 1 HOUR <= {_WM_SQL}",
+)
+def q_stream_bars_sliding(spark, sf_dir):
+    b = ST.run_available(ST.stream_bars(ST.tick_stream(spark, sf_dir), "1 hour", "30 minutes"), "stream_bars_sliding")
+    return b.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), *[r6(c) for c in ("open", "high", "low", "close", "volume")])
+
+
+def _stream_ema(spark, sf_dir):
+    import uuid as _uuid
+
+    from ..session import ensure_checkpoint_dir
+
+    folder = f"{ensure_checkpoint_dir(spark)}/bars-{_uuid.uuid4().hex[:8]}"
+    ST.write_stream_parquet(ST.stream_bars(ST.tick_stream(spark, sf_dir), "1 hour"), "bars_sink", folder)
+    ema = ST.stream_ema(ST.bar_stream(spark, folder), span=20)
+    return ema, folder
+
+
+_EMA_ALPHA = 2.0 / 21
+_EMA_SQL = (
+    f"WITH RECURSIVE {Q.BARS_1H}, cb AS (SELECT symbol, ts, close, row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS rn "
+    f"FROM bars WHERE ts + INTERVAL 1 HOUR <= {_WM_SQL}), "
+    "r AS (SELECT symbol, rn, ts, close, close AS y FROM cb WHERE rn = 0 UNION ALL "
+    f"SELECT c.symbol, c.rn, c.ts, c.close, {1.0 - _EMA_ALPHA!r} * r.y + {_EMA_ALPHA!r} * c.close FROM r JOIN cb c "
+    "ON c.symbol = r.symbol AND c.rn = r.rn + 1)"
+)
+
+
+@register(
+    "stream_ema",
+    f"{_EMA_SQL} SELECT symbol, ts, {Q.r6('close', 'close')}, {Q.r6('CASE WHEN rn >= 19 THEN y END', 'ema')} FROM r",
+)
+def q_stream_ema(spark, sf_dir):
+    ema, _ = _stream_ema(spark, sf_dir)
+    out = ST.run_available(ema, "stream_ema")
+    return out.filter(~F.col("late")).select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), r6("close"), r6("ema"))
+
+
+@register(
+    "stream_alerts",
+    f"{_EMA_SQL}, s AS (SELECT symbol, ts, sign(close - y) AS side FROM r WHERE rn >= 19), "
+    "l AS (SELECT *, lag(side) OVER (PARTITION BY symbol ORDER BY ts) AS prev_side FROM s) "
+    "SELECT symbol, ts, CAST(side AS DOUBLE) AS side, CAST(prev_side AS DOUBLE) AS prev_side FROM l "
+    "WHERE prev_side IS NOT NULL AND prev_side <> side",
+)
+def q_stream_alerts(spark, sf_dir):
+    ema, folder = _stream_ema(spark, sf_dir)
+    alerts = ST.run_alerts(ema, f"{folder}-alerts")
+    a = spark.read.parquet(alerts)
+    return a.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("side").cast("double"), F.col("prev_side").cast("double"))
