@@ -178,6 +178,8 @@ def w1_levels() -> list[list[tuple[str, Callable[[WindowSpec], Column]]]]:
         ("prev_open", lambda w: lag(O(), 1, w)),
         ("open_lag2", lambda w: lag(O(), 2, w)),
         ("close_lag2", lambda w: lag(C(), 2, w)),
+        ("high_lag2", lambda w: lag(H(), 2, w)),
+        ("low_lag2", lambda w: lag(L(), 2, w)),
         ("sma_5", lambda w: base_avg(C(), 5, w)),
         ("sma_10", lambda w: base_avg(C(), 10, w)),
         ("sma_20", lambda w: base_avg(C(), 20, w)),
@@ -228,6 +230,9 @@ def w1_levels() -> list[list[tuple[str, Callable[[WindowSpec], Column]]]]:
         ("vm_neg", lambda w: F.abs(L() - F.col("prev_high"))),
         ("tp_mad_20", lambda w: roll_mad(TP(), 20, w, F.col("tp_avg_20"))),
         ("stoch_k", lambda w: F.lit(100.0) * div(C() - F.col("min_low_14"), F.col("max_high_14") - F.col("min_low_14"))),
+        # swing high / low of the previous bar, confirmed on this bar
+        ("swing_high", lambda w: F.when((F.col("prev_high") > F.col("high_lag2")) & (F.col("prev_high") >= H()), F.col("prev_high"))),
+        ("swing_low", lambda w: F.when((F.col("prev_low") < F.col("low_lag2")) & (F.col("prev_low") <= L()), F.col("prev_low"))),
     ]
     lv2 = [
         ("gain", lambda w: F.when(F.col("delta_close") > 0, F.col("delta_close")).otherwise(F.lit(0.0))),
@@ -263,6 +268,8 @@ def w1_levels() -> list[list[tuple[str, Callable[[WindowSpec], Column]]]]:
         ),
         ("mf_pos", lambda w: roll_sum(F.when(F.col("tp_dir") > 0, TP() * V()).otherwise(F.lit(0.0)), 14, w)),
         ("stoch_d", lambda w: roll_avg(F.col("stoch_k"), 3, w)),
+        ("prev_swing_high", lambda w: F.last("swing_high", ignorenulls=True).over(w.rowsBetween(-SWING_LOOKBACK, -1))),
+        ("prev_swing_low", lambda w: F.last("swing_low", ignorenulls=True).over(w.rowsBetween(-SWING_LOOKBACK, -1))),
         ("mf_neg", lambda w: roll_sum(F.when(F.col("tp_dir") < 0, TP() * V()).otherwise(F.lit(0.0)), 14, w)),
     ]
     lv3 = [
@@ -290,7 +297,9 @@ def _roll_arg(x: Column, n: int, w: WindowSpec, first_max: bool) -> Column:
     return F.when(F.count(x).over(f) == n, val)
 
 
-W1_HALO = 120  # longest chain in W1 + the W2 rolling of atr_simple (100) reads W1 output
+W1_HALO = 120
+SWING_LOOKBACK = 20  # bars searched back for the first top/bottom of a double pattern
+SWING_TOLERANCE = 0.005  # relative distance of two tops (bottoms) to count as equal  # longest chain in W1 + the W2 rolling of atr_simple (100) reads W1 output
 
 # ---------------------------------------------------------------------------
 # S1 / S2: recurrences
@@ -485,6 +494,49 @@ def derived_builders() -> dict[str, Callable[[], Column]]:
         "hl_intensity": lambda: F.abs(H() - L()) / (F.abs(C() - O()) + 0.001),
         "trend_intensity": lambda: div(F.abs(C() - O()), H() - L()),
         "vwap_cum": lambda: F.col("vwap"),
+        "candle_engulfing": lambda: F.when(
+            (F.col("prev_close") < F.col("prev_open")) & (C() > O()) & (O() <= F.col("prev_close")) & (C() >= F.col("prev_open")), 1
+        )
+        .when((F.col("prev_close") > F.col("prev_open")) & (C() < O()) & (O() >= F.col("prev_close")) & (C() <= F.col("prev_open")), -1)
+        .otherwise(0),
+        "candle_doji": lambda: F.when(F.abs(C() - O()) <= 0.1 * (H() - L()), 1).otherwise(0),
+        "candle_morning_star": lambda: F.when(
+            (F.col("close_lag2") < F.col("open_lag2"))
+            & (F.abs(F.col("prev_close") - F.col("prev_open")) <= 0.3 * F.abs(F.col("close_lag2") - F.col("open_lag2")))
+            & (F.greatest(F.col("prev_open"), F.col("prev_close")) < F.col("close_lag2"))
+            & (C() > O())
+            & (C() > (F.col("open_lag2") + F.col("close_lag2")) / 2.0),
+            1,
+        ).otherwise(0),
+        "candle_evening_star": lambda: F.when(
+            (F.col("close_lag2") > F.col("open_lag2"))
+            & (F.abs(F.col("prev_close") - F.col("prev_open")) <= 0.3 * F.abs(F.col("close_lag2") - F.col("open_lag2")))
+            & (F.least(F.col("prev_open"), F.col("prev_close")) > F.col("close_lag2"))
+            & (C() < O())
+            & (C() < (F.col("open_lag2") + F.col("close_lag2")) / 2.0),
+            1,
+        ).otherwise(0),
+        "double_top": lambda: F.when(
+            F.col("swing_high").isNotNull()
+            & (F.abs(F.col("swing_high") - F.col("prev_swing_high")) <= SWING_TOLERANCE * F.col("prev_swing_high")),
+            1,
+        ).otherwise(0),
+        "double_bottom": lambda: F.when(
+            F.col("swing_low").isNotNull()
+            & (F.abs(F.col("swing_low") - F.col("prev_swing_low")) <= SWING_TOLERANCE * F.col("prev_swing_low")),
+            1,
+        ).otherwise(0),
+        "fib_pivot": lambda: (F.col("prev_high") + F.col("prev_low") + F.col("prev_close")) / 3.0,
+        "fib_r1": lambda: (F.col("prev_high") + F.col("prev_low") + F.col("prev_close")) / 3.0
+        + 0.382 * (F.col("prev_high") - F.col("prev_low")),
+        "fib_r2": lambda: (F.col("prev_high") + F.col("prev_low") + F.col("prev_close")) / 3.0
+        + 0.618 * (F.col("prev_high") - F.col("prev_low")),
+        "fib_r3": lambda: (F.col("prev_high") + F.col("prev_low") + F.col("prev_close")) / 3.0 + (F.col("prev_high") - F.col("prev_low")),
+        "fib_s1": lambda: (F.col("prev_high") + F.col("prev_low") + F.col("prev_close")) / 3.0
+        - 0.382 * (F.col("prev_high") - F.col("prev_low")),
+        "fib_s2": lambda: (F.col("prev_high") + F.col("prev_low") + F.col("prev_close")) / 3.0
+        - 0.618 * (F.col("prev_high") - F.col("prev_low")),
+        "fib_s3": lambda: (F.col("prev_high") + F.col("prev_low") + F.col("prev_close")) / 3.0 - (F.col("prev_high") - F.col("prev_low")),
         "support_20": lambda: F.col("min_low_20"),
         "support_50": lambda: F.col("min_low_50"),
         "resistance_20": lambda: F.col("max_high_20"),

@@ -114,7 +114,11 @@ W1_KEYS: dict[str, list[str]] = {
     "volume_intensity": ["volume_intensity"],
     "volume_change": ["volume_change"],
     "support_resistance": ["support_20", "support_50", "resistance_20", "resistance_50"],
+    "candle_patterns": ["candle_engulfing", "candle_doji", "candle_morning_star", "candle_evening_star"],
+    "chart_patterns": ["double_top", "double_bottom"],
+    "fib_pivots": ["fib_pivot", "fib_r1", "fib_r2", "fib_r3", "fib_s1", "fib_s2", "fib_s3"],
 }
+INT_COLS = {"candle_engulfing", "candle_doji", "candle_morning_star", "candle_evening_star", "double_top", "double_bottom"}
 
 W1_SQL_CTES = [Q.BARS_1H, Q.W1A]
 
@@ -123,15 +127,25 @@ W1_SQL_CTES = [Q.BARS_1H, Q.W1A]
 DIGITS = {"ease_of_movement": 2}
 
 
+def _sel_sql(c: str, table: dict) -> str:
+    if c in INT_COLS:
+        return f"CAST({table.get(c, c)} AS INTEGER) AS {c}"
+    return Q.r6(table.get(c, c), c, DIGITS.get(c, 6))
+
+
+def _sel_spark(c: str) -> Column:
+    return F.col(c).cast("int").alias(c) if c in INT_COLS else r6(c, digits=DIGITS.get(c, 6))
+
+
 def _w1_sql(cols: list[str]) -> str:
-    sel = ", ".join(Q.r6(Q.W1_DERIVED.get(c, c), c, DIGITS.get(c, 6)) for c in cols)
+    sel = ", ".join(_sel_sql(c, Q.W1_DERIVED) for c in cols)
     return f"{Q.with_ctes(*W1_SQL_CTES)} SELECT symbol, ts, {sel} FROM w1"
 
 
 def _indicator_builder(cols: list[str]) -> Builder:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         f = features(bars_1h(spark, sf_dir), cols)
-        return drop_layout(f).select("symbol", "ts", *[r6(c, digits=DIGITS.get(c, 6)) for c in cols])
+        return drop_layout(f).select("symbol", "ts", *[_sel_spark(c) for c in cols])
 
     return build
 

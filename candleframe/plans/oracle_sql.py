@@ -47,7 +47,7 @@ w1a AS (
   SELECT *,
     {lag('close')} AS prev_close, {lag('high')} AS prev_high, {lag('low')} AS prev_low,
     {lag('volume')} AS prev_volume, {lag('open')} AS prev_open,
-    {lag('close', 2)} AS close_lag2, {lag('open', 2)} AS open_lag2,
+    {lag('close', 2)} AS close_lag2, {lag('open', 2)} AS open_lag2, {lag('high', 2)} AS high_lag2, {lag('low', 2)} AS low_lag2,
     {lag('close', 4)} AS close_lag4, {lag('close', 5)} AS close_lag5,
     {lag('close', 10)} AS close_lag10, {lag('close', 11)} AS close_lag11, {lag('close', 12)} AS close_lag12,
     {lag('tp')} AS prev_tp,
@@ -86,7 +86,9 @@ w1b AS (
     sign(tp - prev_tp) AS tp_dir,
     abs(high - prev_low) AS vm_pos, abs(low - prev_high) AS vm_neg,
     (CASE WHEN len(tp_list_20) = 20 THEN list_sum(list_transform(tp_list_20, lambda x: abs(x - tp_avg_20))) / 20.0 END) AS tp_mad_20,
-    100.0 * {div('close - min_low_14', 'max_high_14 - min_low_14')} AS stoch_k
+    100.0 * {div('close - min_low_14', 'max_high_14 - min_low_14')} AS stoch_k,
+    CASE WHEN prev_high > high_lag2 AND prev_high >= high THEN prev_high END AS swing_high,
+    CASE WHEN prev_low < low_lag2 AND prev_low <= low THEN prev_low END AS swing_low
   FROM w1a
 ),
 w1c AS (
@@ -114,7 +116,9 @@ w1 AS (
     {roll('avg', 'pos_dm', 14)} AS dmi_pos_avg, {roll('avg', 'neg_dm', 14)} AS dmi_neg_avg,
     {roll('avg', 'tr', 14)} AS atr_simple,
     {roll('sum', 'abs_delta', 10)} AS abs_delta_sum_10,
-    {roll('avg', 'stoch_k', 3)} AS stoch_d
+    {roll('avg', 'stoch_k', 3)} AS stoch_d,
+    last_value(swing_high IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prev_swing_high,
+    last_value(swing_low IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS prev_swing_low
   FROM w1c
 )"""
 
@@ -154,6 +158,22 @@ W1_DERIVED = {
     "price_position": div("close - low", "high - low"),
     "hl_intensity": "abs(high - low) / (abs(close - open) + 0.001)",
     "trend_intensity": div("abs(close - open)", "high - low"),
+    "candle_engulfing": "CASE WHEN prev_close < prev_open AND close > open AND open <= prev_close AND close >= prev_open THEN 1 "
+    "WHEN prev_close > prev_open AND close < open AND open >= prev_close AND close <= prev_open THEN -1 ELSE 0 END",
+    "candle_doji": "CASE WHEN abs(close - open) <= 0.1 * (high - low) THEN 1 ELSE 0 END",
+    "candle_morning_star": "CASE WHEN close_lag2 < open_lag2 AND abs(prev_close - prev_open) <= 0.3 * abs(close_lag2 - open_lag2) "
+    "AND greatest(prev_open, prev_close) < close_lag2 AND close > open AND close > (open_lag2 + close_lag2) / 2.0 THEN 1 ELSE 0 END",
+    "candle_evening_star": "CASE WHEN close_lag2 > open_lag2 AND abs(prev_close - prev_open) <= 0.3 * abs(close_lag2 - open_lag2) "
+    "AND least(prev_open, prev_close) > close_lag2 AND close < open AND close < (open_lag2 + close_lag2) / 2.0 THEN 1 ELSE 0 END",
+    "double_top": "CASE WHEN swing_high IS NOT NULL AND abs(swing_high - prev_swing_high) <= 0.005 * prev_swing_high THEN 1 ELSE 0 END",
+    "double_bottom": "CASE WHEN swing_low IS NOT NULL AND abs(swing_low - prev_swing_low) <= 0.005 * prev_swing_low THEN 1 ELSE 0 END",
+    "fib_pivot": "(prev_high + prev_low + prev_close) / 3.0",
+    "fib_r1": "(prev_high + prev_low + prev_close) / 3.0 + 0.382 * (prev_high - prev_low)",
+    "fib_r2": "(prev_high + prev_low + prev_close) / 3.0 + 0.618 * (prev_high - prev_low)",
+    "fib_r3": "(prev_high + prev_low + prev_close) / 3.0 + (prev_high - prev_low)",
+    "fib_s1": "(prev_high + prev_low + prev_close) / 3.0 - 0.382 * (prev_high - prev_low)",
+    "fib_s2": "(prev_high + prev_low + prev_close) / 3.0 - 0.618 * (prev_high - prev_low)",
+    "fib_s3": "(prev_high + prev_low + prev_close) / 3.0 - (prev_high - prev_low)",
     "support_20": "min_low_20",
     "support_50": "min_low_50",
     "resistance_20": "max_high_20",
