@@ -1202,3 +1202,114 @@ def q_stream_alerts(spark, sf_dir):
     alerts = ST.run_alerts(ema, f"{folder}-alerts")
     a = spark.read.parquet(alerts)
     return a.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("side").cast("double"), F.col("prev_side").cast("double"))
+
+
+# ---------------------------------------------------------------------------
+# 2.12 / 2.13 forecasts, timestamps, text
+
+from ..functions import reports as RP  # noqa: E402
+from ..operators.clean import tail_n  # noqa: E402
+
+
+def _drift_latest(spark, sf_dir) -> DataFrame:
+    """Latest bar per symbol with a drift = mean return of the last 20 bars and the
+    20-bar return volatility."""
+    f = features(bars_1h(spark, sf_dir), ["returns", "volatility"])
+    t = tail_n(f, 20)
+    drift = t.groupBy("symbol").agg(F.avg("returns").alias("drift"))
+    last = AG.latest_snapshot(f, ["ts", "close", "volatility"])
+    return last.join(drift, "symbol")
+
+
+_DRIFT_SQL = (
+    f"{Q.with_ctes(*W1_SQL_CTES)}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM w1), "
+    "d AS (SELECT symbol, avg(returns) AS drift FROM t WHERE k <= 20 GROUP BY symbol), "
+    "l AS (SELECT t.symbol, ts, close, volatility, drift FROM t JOIN d ON t.symbol = d.symbol WHERE k = 1)"
+)
+
+
+@register(
+    "forecast_compound",
+    f"{_DRIFT_SQL}, s AS (SELECT l.*, step FROM l, range(1, 11) AS r(step)) "
+    "SELECT symbol, CAST(step AS INTEGER) AS step, strftime(ts + step * INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS date, "
+    "printf('%.10e', close * pow(1.0 + drift, step)) AS forecast, "
+    "printf('%.10e', close * pow(1.0 + drift + volatility, step)) AS upper_bound, "
+    "printf('%.10e', close * pow(1.0 + drift - volatility, step)) AS lower_bound FROM s",
+)
+def q_forecast_compound(spark, sf_dir):
+    """Compounded drift forecast; values (which grow geometrically) are reported with 11
+    significant digits."""
+    fc = RP.forecast_compound(_drift_latest(spark, sf_dir), "drift", "volatility")
+    return fc.select(
+        "symbol", "step", "date", *[F.format_string("%.10e", F.col(c)).alias(c) for c in ("forecast", "upper_bound", "lower_bound")]
+    )
+
+
+@register(
+    "next_timestamp",
+    f"WITH {Q.BARS_1H} SELECT symbol, strftime(max(ts) + INTERVAL 10 MINUTE, '%Y-%m-%d %H:%M:%S') AS next_timestamp FROM bars GROUP BY symbol",
+)
+def q_next_timestamp(spark, sf_dir):
+    last = CL.latest_row(bars_1h(spark, sf_dir).select("symbol", "ts"))
+    return RP.next_timestamp(last)
+
+
+@register(
+    "format_trend",
+    f"{_PRED_SQL}, c AS (SELECT DISTINCT symbol, trend FROM p) SELECT symbol, trend, "
+    "list_aggregate(list_transform(string_split(regexp_replace(trend, '_', ' '), ' '), "
+    "lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', ' ') AS label FROM c",
+)
+def q_format_trend(spark, sf_dir):
+    c = _predictions(spark, sf_dir).select("symbol", "trend").distinct()
+    return c.select("symbol", "trend", RP.format_trend(F.col("trend")).alias("label"))
+
+
+@register(
+    "format_datetime",
+    f"WITH {Q.BARS_1H} SELECT symbol, ts, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts_text FROM bars",
+)
+def q_format_datetime(spark, sf_dir):
+    b = bars_1h(spark, sf_dir)
+    return b.select("symbol", "ts", RP.format_datetime(F.col("ts")).alias("ts_text"))
+
+
+@register(
+    "describe_market",
+    f"{Q.with_ctes(*W1_SQL_CTES)}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM w1), "
+    "h AS (SELECT * FROM t WHERE k <= 100), g AS (SELECT symbol, arg_max(close, ts) AS cp, "
+    "(arg_max(close, ts) / arg_min(close, ts) - 1.0) * 100.0 AS pc, "
+    "CASE WHEN avg(volume_change) FILTER (WHERE k < 100) > 0 THEN 'increasing' ELSE 'decreasing' END AS vt, "
+    "sum(CASE WHEN close > open THEN volume ELSE 0.0 END) AS bv, sum(CASE WHEN close < open THEN volume ELSE 0.0 END) AS sv, "
+    "arg_max(sma_20, ts) AS s20, arg_max(sma_50, ts) AS s50 FROM h GROUP BY symbol) "
+    "SELECT symbol, printf('Market Analysis for the last 100 candles: Current Price: %.2f; Price Change: %.2f%%; "
+    "Volume Trend: %s; Market Phase: %s; Buying Pressure: %.2f; Selling Pressure: %.2f', cp, pc, vt, "
+    "CASE WHEN cp > s20 AND s20 > s50 THEN 'strong_uptrend' WHEN cp < s20 AND s20 < s50 THEN 'strong_downtrend' "
+    "WHEN s20 > s50 AND cp < s20 THEN 'weak_uptrend' WHEN s20 < s50 AND cp > s20 THEN 'weak_downtrend' ELSE 'sideways' END, "
+    "bv / (bv + sv), sv / (bv + sv)) AS description FROM g",
+)
+def q_describe_market(spark, sf_dir):
+    """Text per symbol over its last 100 bars (the window the reference describes); the
+    volume trend uses the 99 in-window volume changes."""
+    f = features(bars_1h(spark, sf_dir), ["sma_20", "sma_50", "volume_change"])
+    t = tail_n(f, 100)
+    t = t.join(t.groupBy("symbol").agg(F.min("_rn").alias("_first")), "symbol")
+    g = t.groupBy("symbol").agg(
+        F.max_by("close", "ts").alias("current_price"),
+        ((F.try_divide(F.max_by("close", "ts"), F.min_by("close", "ts")) - 1.0) * 100.0).alias("price_change"),
+        F.avg(F.when(F.col("_rn") > F.col("_first"), F.col("volume_change"))).alias("_mvc"),
+        F.sum(F.when(F.col("close") > F.col("open"), F.col("volume")).otherwise(0.0)).alias("_bv"),
+        F.sum(F.when(F.col("close") < F.col("open"), F.col("volume")).otherwise(0.0)).alias("_sv"),
+        F.max_by("sma_20", "ts").alias("_s20"),
+        F.max_by("sma_50", "ts").alias("_s50"),
+    )
+    stats = g.select(
+        "symbol",
+        "current_price",
+        "price_change",
+        F.when(F.col("_mvc") > 0, "increasing").otherwise("decreasing").alias("volume_trend"),
+        AG.market_phase_col(F.col("current_price"), F.col("_s20"), F.col("_s50")).alias("market_phase"),
+        F.try_divide(F.col("_bv"), F.col("_bv") + F.col("_sv")).alias("buying_pressure"),
+        F.try_divide(F.col("_sv"), F.col("_bv") + F.col("_sv")).alias("selling_pressure"),
+    )
+    return RP.describe_market(stats)
