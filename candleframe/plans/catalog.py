@@ -332,6 +332,7 @@ def q_flagship(spark, sf_dir):
 
 from ..operators import aggregates as AG  # noqa: E402
 from ..operators import clean as CL  # noqa: E402
+from ..operators.joins import join_small  # noqa: E402
 from ..operators.series import Layout, index_rows  # noqa: E402
 
 
@@ -1313,3 +1314,110 @@ def q_describe_market(spark, sf_dir):
         F.try_divide(F.col("_sv"), F.col("_bv") + F.col("_sv")).alias("selling_pressure"),
     )
     return RP.describe_market(stats)
+
+
+# ---------------------------------------------------------------------------
+# 2.11 re-aimed forecasters, 2.4 volume profile, 2.12 strategy entries/exits
+
+from ..operators import forecasters as FC  # noqa: E402
+from ..operators.forecasters import RISKMETRICS_LAMBDA as RISKMETRICS  # noqa: E402
+
+
+@register(
+    "seasonal_trend_forecast",
+    f"WITH {Q.BARS_1H}, x AS (SELECT *, CAST(row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 AS DOUBLE) AS rn FROM bars), "
+    "fit AS (SELECT symbol, regr_slope(close, rn) AS slope, regr_intercept(close, rn) AS intercept, count(*) AS n FROM x GROUP BY symbol), "
+    "res AS (SELECT x.symbol, hour(ts) AS hour, close - (intercept + slope * rn) AS resid FROM x JOIN fit USING (symbol)), "
+    "se AS (SELECT symbol, hour, avg(resid) AS seasonal FROM res GROUP BY ALL), "
+    "l AS (SELECT symbol, max(ts) + INTERVAL 1 HOUR AS next_ts, arg_max(close, ts) AS close FROM bars GROUP BY symbol), "
+    "fc AS (SELECT l.symbol, next_ts, slope, intercept + slope * CAST(n AS DOUBLE) + coalesce(seasonal, 0.0) AS forecast, close "
+    "FROM l JOIN fit USING (symbol) LEFT JOIN se ON se.symbol = l.symbol AND se.hour = hour(l.next_ts)) "
+    f"SELECT symbol, next_ts, {Q.r6('slope', 'slope')}, {Q.r6('forecast', 'forecast')}, "
+    "CASE WHEN forecast > close THEN 'up' ELSE 'down' END AS direction FROM fc",
+)
+def q_seasonal_trend_forecast(spark, sf_dir):
+    f = index_rows(bars_1h(spark, sf_dir))
+    s = FC.seasonal_trend_forecast(f)
+    return s.select("symbol", "next_ts", r6("slope"), r6("forecast"), "direction")
+
+
+@register(
+    "ewma_variance_vote",
+    f"{Q.with_ctes(*W1_SQL_CTES)}, r AS (SELECT symbol, rn, returns * returns AS v FROM w1 WHERE rn = 1 UNION ALL "
+    f"SELECT w.symbol, w.rn, CASE WHEN w.returns IS NULL THEN r.v ELSE {RISKMETRICS!r} * r.v + {1.0 - RISKMETRICS!r} * (w.returns * w.returns) END "
+    "FROM r JOIN w1 w ON w.symbol = r.symbol AND w.rn = r.rn + 1), "
+    "l AS (SELECT symbol, arg_max(v, rn) AS ewma_var FROM r GROUP BY symbol), "
+    "m AS (SELECT symbol, median(returns * returns) AS med FROM w1 GROUP BY symbol) "
+    f"SELECT l.symbol, {Q.r6('ewma_var', 'ewma_var')}, {Q.r6('med', 'median_sq_return')}, "
+    "CASE WHEN ewma_var > med THEN 'up' ELSE 'down' END AS vote FROM l JOIN m USING (symbol)",
+)
+def q_ewma_variance_vote(spark, sf_dir):
+    f = features(bars_1h(spark, sf_dir), ["returns"])
+    v = FC.ewma_variance_vote(f, Layout())
+    return v.select("symbol", r6("ewma_var"), r6("median_sq_return"), "vote")
+
+
+@register(
+    "volume_profile",
+    f"WITH {Q.BARS_1H}, d AS (SELECT *, date_trunc('day', ts) AS day FROM bars), "
+    "r AS (SELECT symbol, day, min(low) AS lo, max(high) AS hi FROM d GROUP BY ALL), "
+    "x AS (SELECT d.symbol, d.day, CASE WHEN hi = lo THEN 0 ELSE least(CAST(floor((close - lo) / (hi - lo) * 10) AS INTEGER), 9) END AS bucket, "
+    "volume FROM d JOIN r ON d.symbol = r.symbol AND d.day = r.day) "
+    f"SELECT symbol, day, bucket, {Q.r6('sum(volume)', 'volume')}, count(*) AS n_bars FROM x GROUP BY ALL",
+)
+def q_volume_profile(spark, sf_dir):
+    """Volume by price bucket (10 equal buckets of the day's low-high range) per session."""
+    b = bars_1h(spark, sf_dir).withColumn("day", F.date_trunc("day", "ts"))
+    rng = b.groupBy("symbol", "day").agg(F.min("low").alias("lo"), F.max("high").alias("hi"))
+    x = join_small(b, rng, ["symbol", "day"], "inner")
+    bucket = F.when(F.col("hi") == F.col("lo"), 0).otherwise(
+        F.least(F.floor((F.col("close") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 10).cast("int"), F.lit(9))
+    )
+    g = x.groupBy("symbol", "day", bucket.alias("bucket")).agg(F.sum("volume").alias("volume"), F.count(F.lit(1)).alias("n_bars"))
+    return g.select("symbol", F.col("day").cast("timestamp_ntz").alias("day"), "bucket", r6("volume"), "n_bars")
+
+
+@register(
+    "combine_strategies",
+    f"{_STRAT_SQL}, md AS (SELECT symbol, ts, CASE WHEN combined_signal > 0.2 THEN 'Uptrend' WHEN combined_signal < -0.2 THEN 'Downtrend' "
+    "ELSE 'Sideways' END AS d FROM c), ch AS (SELECT *, lag(d) OVER (PARTITION BY symbol ORDER BY ts) AS pd FROM md) "
+    "SELECT symbol, ts, pd AS prev_direction, d AS market_direction, CASE d WHEN 'Uptrend' THEN 'enter_long' "
+    "WHEN 'Downtrend' THEN 'enter_short' ELSE 'exit' END AS action FROM ch WHERE pd IS NOT NULL AND pd <> d",
+)
+def q_combine_strategies(spark, sf_dir):
+    """Entries and exits: bars where the market direction changes."""
+    from ..operators.series import windowed
+
+    f = features(bars_1h(spark, sf_dir), SG.strategy_columns())
+    s = SG.with_strategy_signals(f).select("symbol", "ts", "_rn", "_blk", "market_direction")
+    w = windowed(s, Layout(), 1, [[("prev_direction", lambda w: F.lag("market_direction").over(w))]])
+    ch = w.filter(F.col("prev_direction").isNotNull() & (F.col("prev_direction") != F.col("market_direction")))
+    return ch.select(
+        "symbol",
+        "ts",
+        "prev_direction",
+        "market_direction",
+        F.when(F.col("market_direction") == "Uptrend", "enter_long")
+        .when(F.col("market_direction") == "Downtrend", "enter_short")
+        .otherwise("exit")
+        .alias("action"),
+    )
+
+
+@register(
+    "is_in_registry",
+    f"{_REG_SQL} SELECT symbol, ts, model FROM p WHERE model IN (SELECT model FROM reg WHERE type = 'rule_strategy')",
+)
+def q_is_in_registry(spark, sf_dir):
+    from ..operators.registry import register_models
+
+    preds = _predictions(spark, sf_dir)
+    reg = register_models(registry_table(spark), preds.select("model")).filter(F.col("type") == "rule_strategy")
+    return CL.is_in(preds, reg.select("model"), "model").select("symbol", "ts", "model")
+
+
+@register("write_records", None)
+def q_write_records(spark, sf_dir):
+    """Bars as JSON records (one string per row), the shape the reference returns."""
+    b = bars_1h(spark, sf_dir)
+    return b.select(F.to_json(F.struct("symbol", RP.format_datetime(F.col("ts")).alias("datetime"), "open", "high", "low", "close", "volume")).alias("record"))
