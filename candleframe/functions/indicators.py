@@ -571,15 +571,24 @@ def features(
     columns: Iterable[str] | None = None,
     layout: Layout | None = None,
     indexed: bool = False,
+    materialize: bool = True,
 ) -> DataFrame:
     """Bars plus indicator columns. ``columns=None`` builds everything.
 
-    The result keeps the layout columns (``_rn``, ``_blk``) so that later window work
-    (signals, contexts) reuses the numbering; drop them with ``drop_layout``.
+    The numbered bars are checkpointed once (``materialize``) into the session's
+    checkpoint folder: every stage below reads them in several branches, and without the
+    cut each branch would re-aggregate the ticks. The result keeps the layout columns
+    (``_rn``, ``_blk``) so that later window work reuses the numbering; drop them with
+    ``drop_layout``.
     """
     layout = layout or Layout()
     cols = list(columns) if columns is not None else None
     df = bars if indexed else index_rows(bars, layout)
+    if materialize and not indexed:
+        from ..session import ensure_checkpoint_dir
+
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     df = windowed(df, layout, W1_HALO, built_levels(w1_levels, layout))
     df = df.withColumn("kama_sc", _kama_sc())
     if cols is None:

@@ -139,8 +139,11 @@ def total_change(bars: DataFrame, by: Sequence[str] = ("symbol",), ts: str = "ts
 
 
 def median_sq_return(features: DataFrame, by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Exact median of squared returns (percentile over the group)."""
-    return features.groupBy(*by).agg(F.median(F.col("returns") * F.col("returns")).alias("median_sq_return"))
+    """Exact median of squared returns per series (band-based, no whole-group buffer)."""
+    from .quantiles import exact_median
+
+    sq = features.select(*by, (F.col("returns") * F.col("returns")).alias("_sq"))
+    return exact_median(sq, by, "_sq", "median_sq_return")
 
 
 def market_phase_col(price, sma20, sma50):

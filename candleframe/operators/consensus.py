@@ -73,24 +73,29 @@ def strategy_predictions(wide: DataFrame, layout: Layout | None = None) -> DataF
     """
     layout = layout or Layout()
     names = [n for n, _, _ in SG.STRATEGY_RULES]
-    pairs = ", ".join(f"'{n}', sig_{n}" for n in names)
-    long = wide.selectExpr(
-        *KEYS, RN, BLK, "delta_close", f"stack({len(names)}, {pairs}) AS (model, signal)"
-    )
-    lay = Layout(by=("symbol", "model"), ts=layout.ts, block_rows=layout.block_rows, index_chunk=layout.index_chunk)
+    # Trailing hit rates are computed wide (one row per bar through the shuffle, 35
+    # window columns) and only then stacked into one row per (bar, model).
+    up = F.signum("delta_close").cast("int")
     levels = [
-        [("_prev_signal", lambda w: F.lag("signal", 1).over(w))],
+        [(f"_ps_{n}", (lambda n: lambda w: F.lag(f"sig_{n}", 1).over(w))(n)) for n in names],
         [
             (
-                "_hit",
-                lambda w: F.when((F.col("_prev_signal").isNull()) | (F.col("_prev_signal") == 0), F.lit(None).cast("double"))
-                .when(F.signum("delta_close").cast("int") == F.col("_prev_signal"), F.lit(1.0))
-                .otherwise(F.lit(0.0)),
+                f"_hit_{n}",
+                (
+                    lambda n: lambda w: F.when(
+                        F.col(f"_ps_{n}").isNull() | (F.col(f"_ps_{n}") == 0), F.lit(None).cast("double")
+                    )
+                    .when(up == F.col(f"_ps_{n}"), F.lit(1.0))
+                    .otherwise(F.lit(0.0))
+                )(n),
             )
+            for n in names
         ],
-        [("accuracy", lambda w: F.avg("_hit").over(w.rowsBetween(-(HIT_WINDOW - 1), 0)))],
+        [(f"_acc_{n}", (lambda n: lambda w: F.avg(f"_hit_{n}").over(w.rowsBetween(-(HIT_WINDOW - 1), 0)))(n)) for n in names],
     ]
-    p = windowed(long, lay, HIT_WINDOW + 1, levels)
+    wide_acc = windowed(wide.select(*KEYS, RN, BLK, "delta_close", *[f"sig_{n}" for n in names]), layout, HIT_WINDOW + 1, levels)
+    triples = ", ".join(f"'{n}', sig_{n}, _acc_{n}" for n in names)
+    p = wide_acc.selectExpr(*KEYS, f"stack({len(names)}, {triples}) AS (model, signal, accuracy)")
     acc = F.coalesce(F.col("accuracy"), F.lit(0.5))
     prob_up = F.when(F.col("signal") == 1, acc).when(F.col("signal") == -1, F.lit(1.0) - acc).otherwise(F.lit(0.5))
     return p.select(

@@ -63,7 +63,9 @@ def ewma_variance_vote(f: DataFrame, layout: Layout) -> DataFrame:
     """Latest EWMA variance vs the median squared return of the series: above -> 'up'
     (volatility expansion vote), else 'down'."""
     v = ewma_variance(f, layout)
-    med = f.groupBy("symbol").agg(F.median(F.col("returns") * F.col("returns")).alias("median_sq_return"))
+    from .aggregates import median_sq_return
+
+    med = median_sq_return(f)
     last = v.groupBy("symbol").agg(F.max_by("ewma_var", RN).alias("ewma_var"))
     j = last.join(med, "symbol")
     return j.withColumn("vote", F.when(F.col("ewma_var") > F.col("median_sq_return"), "up").otherwise("down"))

@@ -87,12 +87,18 @@ def scale_standard(f: DataFrame, cols: Sequence[str], by: Sequence[str] = ("symb
 
 
 def scale_robust(f: DataFrame, cols: Sequence[str], by: Sequence[str] = ("symbol",)) -> DataFrame:
-    """(x - median) / (q75 - q25) with exact train-row percentiles, per series."""
-    stats = (
-        f.filter(~F.col("is_test"))
-        .groupBy(*by)
-        .agg(*[F.percentile(F.col(c), [0.25, 0.5, 0.75]).alias(f"_q_{c}") for c in cols])
-    )
+    """(x - median) / (q75 - q25) with exact train-row percentiles, per series (band-based,
+    no whole-group buffer)."""
+    from .quantiles import exact_percentiles
+
+    train = f.filter(~F.col("is_test"))
+    stats = None
+    for c in cols:
+        q = exact_percentiles(train, by, c, [0.25, 0.5, 0.75])
+        q = q.groupBy(*by).agg(
+            F.array(*[F.max(F.when(F.col("p") == p, F.col("percentile"))) for p in (0.25, 0.5, 0.75)]).alias(f"_q_{c}")
+        )
+        stats = q if stats is None else stats.join(q, list(by), "full_outer")
     j = join_small(f, stats, list(by), "inner")
     return j.withColumns(
         {

@@ -252,3 +252,73 @@ def regress_next_return(p: DataFrame, cols: Sequence[str] = FEATURES_12) -> Data
             ).select(F.lit(name).alias("model"), "*")
         )
     return out[0].unionByName(out[1])
+
+
+# ---------------------------------------------------------------------------
+# Gaussian discriminants: sufficient statistics by one aggregate pass, d x d algebra on
+# the driver (the statistics are O(d^2), independent of the row count), scoring as a
+# Spark column expression.
+
+
+def _class_stats(train: DataFrame, cols: Sequence[str]):
+    d = len(cols)
+    aggs = [F.count(F.lit(1)).alias("n")]
+    aggs += [F.sum(F.col(c)).alias(f"s{i}") for i, c in enumerate(cols)]
+    aggs += [F.sum(F.col(a) * F.col(b)).alias(f"p{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if j >= i]
+    rows = train.groupBy("label").agg(*aggs).collect()  # two rows of O(d^2) numbers
+    import numpy as np
+
+    stats = {}
+    for r in rows:
+        n = float(r["n"])
+        mu = np.array([r[f"s{i}"] / n for i in range(d)])
+        m2 = np.zeros((d, d))
+        for i in range(d):
+            for j in range(i, d):
+                m2[i, j] = m2[j, i] = r[f"p{i}_{j}"] / n
+        cov = (m2 - np.outer(mu, mu)) * n / max(n - 1.0, 1.0)
+        stats[int(r["label"])] = (n, mu, cov)
+    return stats
+
+
+def _quadratic_score(cols, mu, inv, const):
+    """const - 0.5 (x - mu)' inv (x - mu) as a Column."""
+    d = len(cols)
+    dev = [F.col(c) - float(mu[i]) for i, c in enumerate(cols)]
+    q = F.lit(0.0)
+    for i in range(d):
+        for j in range(d):
+            if inv[i, j] != 0.0:
+                q = q + float(inv[i, j]) * dev[i] * dev[j]
+    return F.lit(float(const)) - 0.5 * q
+
+
+def discriminant(p: DataFrame, cols: Sequence[str] = FEATURES_12, quadratic: bool = True, reg: float = 0.1) -> DataFrame:
+    """LDA (pooled covariance) or QDA (per-class covariance), both regularised as
+    (1 - reg) * cov + reg * I on standardised features; returns prediction rows."""
+    import numpy as np
+
+    train = p.filter(~F.col("is_test"))
+    mom = train.agg(*[F.avg(c).alias(f"m_{c}") for c in cols], *[F.stddev_pop(c).alias(f"s_{c}") for c in cols]).collect()[0]
+    z = {c: (F.col(c) - float(mom[f"m_{c}"])) / float(mom[f"s_{c}"] or 1.0) for c in cols}
+    zcols = [f"_z_{c}" for c in cols]
+    zp = p.withColumns({f"_z_{c}": z[c] for c in cols})
+    st = _class_stats(zp.filter(~F.col("is_test")), zcols)
+    total = sum(v[0] for v in st.values())
+    eye = np.eye(len(cols))
+    if not quadratic:
+        pooled = sum((v[0] - 1) * v[2] for v in st.values()) / max(total - len(st), 1.0)
+        pooled = (1 - reg) * pooled + reg * eye
+    scores = {}
+    for k, (n, mu, cov) in st.items():
+        c = (1 - reg) * cov + reg * eye if quadratic else pooled
+        inv = np.linalg.inv(c)
+        const = np.log(n / total) - 0.5 * np.linalg.slogdet(c)[1]
+        scores[k] = _quadratic_score(zcols, mu, inv, const)
+    s1, s0 = scores.get(1, F.lit(-1e300)), scores.get(0, F.lit(-1e300))
+    prob = 1.0 / (1.0 + F.exp(F.greatest(F.least(s0 - s1, F.lit(700.0)), F.lit(-700.0))))
+    name = "QuadraticDA" if quadratic else "LinearDA"
+    test = zp.filter(F.col("is_test"))
+    return test.select(
+        "symbol", "ts", F.lit(name).alias("model"), prob.alias("prob_up"), (prob > 0.5).cast("double").alias("prediction"), "label"
+    )

@@ -17,18 +17,25 @@ on (symbol, block, row) whose sides are already partitioned by (symbol, block).
 
 from __future__ import annotations
 
+import sys
+
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .series import BLK, RN, Layout
 
+# Functions of this module run inside Python workers; pickle them by value so a worker
+# does not need the package on its path (ship it with --py-files on a cluster anyway).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 @dataclass(frozen=True)
 class Recurrence:
@@ -102,6 +109,8 @@ def linear_scan(df: DataFrame, layout: Layout, recs: Sequence[Recurrence]) -> Da
         {f"_a_{r.out}": F.coalesce(r.a.cast("double"), F.lit(1.0)) for r in recs}
         | {f"_c_{r.out}": F.coalesce(r.c.cast("double"), F.lit(0.0)) for r in recs}
     )
+    # read by the kernel branch and by the join back: evaluate the window stage once
+    staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
     narrow = staged.select(*keys, RN, *[f"_a_{n}" for n in names], *[f"_c_{n}" for n in names])
     key_fields = [f for f in narrow.schema.fields if f.name in (*keys, RN)]
     local_schema = T.StructType(
@@ -129,7 +138,7 @@ def linear_scan(df: DataFrame, layout: Layout, recs: Sequence[Recurrence]) -> Da
             for n in names
         ],
     )
-    joined = df.join(resolved, [*keys, RN], "inner")
+    joined = staged.drop(*[f"_a_{n}" for n in names], *[f"_c_{n}" for n in names]).join(resolved, [*keys, RN], "inner")
     outs = {}
     for r in recs:
         y = F.col(f"_y_{r.out}")

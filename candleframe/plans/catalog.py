@@ -1030,6 +1030,7 @@ def _bakeoff(spark, sf_dir):
     if key not in _ML_MEMO:
         p = ML.panel(bars_1h(spark, sf_dir))
         preds, fitted = ML.bakeoff(p)
+        preds = preds.unionByName(ML.discriminant(p, quadratic=False)).unionByName(ML.discriminant(p, quadratic=True))
         _ML_MEMO[key] = (p, preds, fitted)
     return _ML_MEMO[key]
 

@@ -19,6 +19,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # joins on (symbol, block, row) between frames already hash-partitioned on
+    # (symbol, block) need no new shuffle: blocks are bounded, so no skew risk
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Per-(symbol, block) pandas groups are bounded by the block size; keep the
     # Arrow batches moderate so one group never needs one huge buffer.

@@ -8,17 +8,24 @@ Checkpoints live under the session's ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import sys
+
 import os
 import uuid
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..session import ensure_checkpoint_dir
 
+# Functions of this module run inside Python workers; pickle them by value so a worker
+# does not need the package on its path (ship it with --py-files on a cluster anyway).
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def tick_stream(spark: SparkSession, sf_dir: str, table: str = "events", max_files_per_trigger: int | None = None) -> DataFrame:
     """``<table>.parquet`` files of a folder as a tick stream (symbol, ts, seq, price, qty);
