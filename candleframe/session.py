@@ -26,6 +26,9 @@ DEFAULT_CONF = {
     # Per-(symbol, block) pandas groups are bounded by the block size; keep the
     # Arrow batches moderate so one group never needs one huge buffer.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "65536",
+    # Python call-site capture on every Column call triples plan-building time; the
+    # library builds hundreds of expressions per query (static: builder only).
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
