@@ -109,8 +109,9 @@ def linear_scan(df: DataFrame, layout: Layout, recs: Sequence[Recurrence]) -> Da
         {f"_a_{r.out}": F.coalesce(r.a.cast("double"), F.lit(1.0)) for r in recs}
         | {f"_c_{r.out}": F.coalesce(r.c.cast("double"), F.lit(0.0)) for r in recs}
     )
-    # read by the kernel branch and by the join back: evaluate the window stage once
-    staged = staged.persist(StorageLevel.MEMORY_AND_DISK)
+    # ``staged`` is read by the kernel branch and by the join back. It is not persisted:
+    # a cached relation stops column pruning, and each branch needs only a few of the
+    # window columns above it (the kernel branch just the recurrence inputs).
     narrow = staged.select(*keys, RN, *[f"_a_{n}" for n in names], *[f"_c_{n}" for n in names])
     key_fields = [f for f in narrow.schema.fields if f.name in (*keys, RN)]
     local_schema = T.StructType(
