@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..operators import scan as S
-from ..operators.series import RN, Layout, index_rows, windowed
+from ..operators.series import RN, Layout, adaptive_block_rows, index_rows, windowed, with_blocks
 
 def C() -> Column:
     return F.col("close")
@@ -589,6 +589,8 @@ def features(
 
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
+        if layout.block_rows is None:
+            df = with_blocks(df, adaptive_block_rows(df, layout))
     df = windowed(df, layout, W1_HALO, built_levels(w1_levels, layout))
     df = df.withColumn("kama_sc", _kama_sc())
     if cols is None:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import signals as SG
-from .series import BLK, RN, Layout, windowed
+from .series import BLK, BS, RN, Layout, windowed
 
 # Trend labels in their natural order, their vote weights, and bucket cuts.
 TRENDS = ["strong_uptrend", "weak_uptrend", "sideways", "weak_downtrend", "strong_downtrend"]
@@ -93,7 +93,8 @@ def strategy_predictions(wide: DataFrame, layout: Layout | None = None) -> DataF
         ],
         [(f"_acc_{n}", (lambda n: lambda w: F.avg(f"_hit_{n}").over(w.rowsBetween(-(HIT_WINDOW - 1), 0)))(n)) for n in names],
     ]
-    wide_acc = windowed(wide.select(*KEYS, RN, BLK, "delta_close", *[f"sig_{n}" for n in names]), layout, HIT_WINDOW + 1, levels)
+    lay_cols = [c for c in (RN, BLK, BS) if c in wide.columns]
+    wide_acc = windowed(wide.select(*KEYS, *lay_cols, "delta_close", *[f"sig_{n}" for n in names]), layout, HIT_WINDOW + 1, levels)
     triples = ", ".join(f"'{n}', sig_{n}, _acc_{n}" for n in names)
     p = wide_acc.selectExpr(*KEYS, f"stack({len(names)}, {triples}) AS (model, signal, accuracy)")
     acc = F.coalesce(F.col("accuracy"), F.lit(0.5))

@@ -23,22 +23,33 @@ from pyspark.sql import functions as F
 
 RN = "_rn"
 BLK = "_blk"
+BS = "_bs"  # block size of the row, so halo arithmetic always matches ``_blk``
 HALO = "_halo"
 
+MIN_BLOCK_ROWS = 1 << 10
+MAX_BLOCK_ROWS = 1 << 18
+
 
 @dataclass(frozen=True)
 class Layout:
     by: tuple[str, ...] = ("symbol",)
     ts: str = "ts"
-    # Rows per window block. Bounded so one (symbol, block) group fits a task and the
-    # pandas scan kernel; large enough that the halo copies are noise.
-    block_rows: int = 1 << 18
+    # Rows per window block; None = adaptive (chosen from the data once the bars are
+    # materialised, between MIN_BLOCK_ROWS and MAX_BLOCK_ROWS). Bounded so one
+    # (symbol, block) group fits a task and the pandas scan kernel.
+    block_rows: int | None = None
     # Time chunk used only while numbering rows; one chunk of one symbol is one task.
     index_chunk: str = "1 day"
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.by, BLK).orderBy(RN)
 
+    def block_size(self) -> int:
+        return self.block_rows or MAX_BLOCK_ROWS
+
+    def smallest_block(self) -> int:
+        return self.block_rows or MIN_BLOCK_ROWS
+
 
 DEFAULT_LAYOUT = Layout()
 
@@ -53,7 +64,27 @@ def index_rows(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     numbered = chunked.join(offsets, [*by, "_chunk"]).withColumn(
         RN, F.col("_off") + F.row_number().over(Window.partitionBy(*by, "_chunk").orderBy(ts)) - 1
     )
-    return numbered.drop("_chunk", "_off").withColumn(BLK, F.floor(F.col(RN) / F.lit(layout.block_rows)))
+    return with_blocks(numbered.drop("_chunk", "_off"), layout.block_size())
+
+
+def with_blocks(df: DataFrame, block_rows: int) -> DataFrame:
+    """(Re)assign row blocks of ``block_rows`` rows: a projection, no shuffle."""
+    return df.withColumn(BLK, F.floor(F.col(RN) / F.lit(block_rows))).withColumn(BS, F.lit(block_rows).cast("long"))
+
+
+def adaptive_block_rows(df: DataFrame, layout: Layout) -> int:
+    """Block size for ``df`` (numbered, ideally materialised): about three blocks per core
+    of the session over all rows, as a power of two in [MIN_BLOCK_ROWS, MAX_BLOCK_ROWS].
+    A symbol with a third of all rows is then cut into about one block per core."""
+    if layout.block_rows:
+        return layout.block_rows
+    total = df.count()
+    cores = max(df.sparkSession.sparkContext.defaultParallelism, 1)
+    target = max(total // (3 * cores), 1)
+    b = MIN_BLOCK_ROWS
+    while b < target and b < MAX_BLOCK_ROWS:
+        b <<= 1
+    return b
 
 
 def with_halo(df: DataFrame, layout: Layout, halo: int, ahead: int = 0) -> DataFrame:
@@ -62,18 +93,19 @@ def with_halo(df: DataFrame, layout: Layout, halo: int, ahead: int = 0) -> DataF
     last ``ahead`` look-ahead rows (``lead``) it is."""
     if halo <= 0 and ahead <= 0:
         return df.withColumn(HALO, F.lit(False))
-    b = layout.block_rows
-    back_hops = -(-max(halo, 0) // b)
-    fwd_hops = -(-max(ahead, 0) // b)
+    small = layout.smallest_block()
+    back_hops = -(-max(halo, 0) // small)
+    fwd_hops = -(-max(ahead, 0) // small)
     rn, blk = F.col(RN), F.col(BLK)
+    b = F.col(BS) if BS in df.columns else F.lit(layout.block_size())
     targets = F.filter(
         F.transform(
             F.sequence(F.lit(-fwd_hops), F.lit(back_hops)),
             lambda j: F.struct((blk + j).alias("b"), (j != 0).alias("h"), j.alias("j")),
         ),
         lambda t: (t["j"] == 0)
-        | ((t["j"] > 0) & (rn >= t["b"] * F.lit(b) - F.lit(halo)))
-        | ((t["j"] < 0) & (t["b"] >= 0) & (rn < (t["b"] + 1) * F.lit(b) + F.lit(ahead))),
+        | ((t["j"] > 0) & (rn >= t["b"] * b - F.lit(halo)))
+        | ((t["j"] < 0) & (t["b"] >= 0) & (rn < (t["b"] + 1) * b + F.lit(ahead))),
     )
     return (
         df.withColumn("_tgt", F.explode(targets))
@@ -108,7 +140,7 @@ def max_lookback(*lookbacks: int) -> int:
 
 
 def drop_layout(df: DataFrame) -> DataFrame:
-    return df.drop(RN, BLK)
+    return df.drop(RN, BLK, BS)
 
 
 def ordered_rows(df: DataFrame, layout: Layout, cols: Sequence[str] | None = None) -> DataFrame:

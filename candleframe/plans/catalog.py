@@ -417,7 +417,7 @@ _FILL_SQL = ", ".join(
     f"SELECT symbol, ts, {_FILL_SQL} FROM d",
 )
 def q_ffill_bfill(spark, sf_dir):
-    f = features(bars_1h(spark, sf_dir), _FILL_COLS).select("symbol", "ts", "_rn", "_blk", *_FILL_COLS)
+    f = features(bars_1h(spark, sf_dir), _FILL_COLS).select("symbol", "ts", "_rn", "_blk", "_bs", *_FILL_COLS)
     filled = CL.ffill(f, _FILL_COLS, Layout(), backfill=True)
     return filled.select("symbol", "ts", *[r6(c) for c in _FILL_COLS])
 
@@ -1390,7 +1390,7 @@ def q_combine_strategies(spark, sf_dir):
     from ..operators.series import windowed
 
     f = features(bars_1h(spark, sf_dir), SG.strategy_columns())
-    s = SG.with_strategy_signals(f).select("symbol", "ts", "_rn", "_blk", "market_direction")
+    s = SG.with_strategy_signals(f).select("symbol", "ts", "_rn", "_blk", "_bs", "market_direction")
     w = windowed(s, Layout(), 1, [[("prev_direction", lambda w: F.lag("market_direction").over(w))]])
     ch = w.filter(F.col("prev_direction").isNotNull() & (F.col("prev_direction") != F.col("market_direction")))
     return ch.select(
