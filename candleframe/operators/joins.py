@@ -1,8 +1,12 @@
-"""Join helpers that broadcast only behind a size check.
-
-``join_small`` counts the small side first (it is always an aggregate or a dimension,
-so counting it is a cheap job) and broadcasts it only under ``max_rows``; above that the
-join is left to the planner (sort-merge, with AQE skew splitting for hot keys).
+"""Joins against small, data-derived tables (per-series counts, maxima, block carries).
+
+The small side is always an aggregate, so its size is only known once it has run. No
+``broadcast()`` hint and no eager ``count()`` (which would execute the aggregate's whole
+lineage, including the scan of the big table, a second time): with adaptive execution the
+small side's shuffle stage is materialised first and Spark broadcasts it only when its
+measured size is under ``spark.sql.adaptive.autoBroadcastJoinThreshold``; above that the
+join stays a sort-merge join whose skewed partitions AQE splits. Explicit ``broadcast()``
+is kept for constant dimension tables only (descriptions, weights, registry).
 """
 
 from __future__ import annotations
@@ -10,21 +14,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-BROADCAST_MAX_ROWS = 2_000_000
 
 
-def join_small(
-    big: DataFrame,
-    small: DataFrame,
-    on: str | Sequence[str],
-    how: str = "inner",
-    max_rows: int = BROADCAST_MAX_ROWS,
-) -> DataFrame:
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
+def join_small(big: DataFrame, small: DataFrame, on: str | Sequence[str], how: str = "inner") -> DataFrame:
+    return big.join(small, on, how)
 
 
 def semi_join(df: DataFrame, keys: DataFrame, on: str | Sequence[str]) -> DataFrame:
