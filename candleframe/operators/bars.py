@@ -1,8 +1,9 @@
 """Ticks -> OHLCV bars and bar -> coarser bar resampling.
 
-Both are one hash aggregation keyed by (symbol, bucket): partial aggregation runs
-map-side, so a hot symbol is spread over all its buckets and pre-reduced before the
-shuffle. open/close use ``min_by``/``max_by`` over the tick order key.
+Both are one aggregation keyed by (symbol, bucket): partial aggregation runs map-side, so
+a hot symbol is spread over all its buckets and pre-reduced before the shuffle.
+open/close use ``min_by``/``max_by`` over the tick order key; a composite (ts, seq) key
+makes Spark plan it sort-based, a single ``ts`` key hash-based.
 """
 
 from __future__ import annotations
