@@ -322,3 +322,49 @@ def discriminant(p: DataFrame, cols: Sequence[str] = FEATURES_12, quadratic: boo
     return test.select(
         "symbol", "ts", F.lit(name).alias("model"), prob.alias("prob_up"), (prob > 0.5).cast("double").alias("prediction"), "label"
     )
+
+
+# ---------------------------------------------------------------------------
+# Stacking with chronological out-of-sample base predictions
+
+
+def stacking(p: DataFrame, cols: Sequence[str] = FEATURES_12, base: Sequence[str] = ("RandomForest", "GradientBoosting", "LogisticRegression"), holdout: float = 0.3) -> DataFrame:
+    """Meta logistic regression over base-model probabilities without look-ahead:
+    base models fit on the first (1 - holdout) of each symbol's train time span score the
+    rest of it; the meta-model learns from those scores; base models refit on all
+    train rows then score the test rows for the meta-model. Returns prediction rows
+    (model = 'StackingEnsemble')."""
+    from .joins import join_small
+
+    specs = [m for m in default_models() if m.name in base]
+    train = p.filter(~F.col("is_test"))
+    # chronological cut inside each symbol's train span: a time cut from a per-symbol
+    # min/max aggregate (no window over a whole symbol)
+    span = train.groupBy("symbol").agg(F.min("ts").alias("_t0"), F.max("ts").alias("_t1"))
+    secs = F.unix_micros(F.col("_t1").cast("timestamp")) - F.unix_micros(F.col("_t0").cast("timestamp"))
+    cut = span.select("symbol", (F.unix_micros(F.col("_t0").cast("timestamp")) + (secs * (1.0 - holdout)).cast("long")).alias("_cut"))
+    r = join_small(train, cut, "symbol").withColumn("_late", F.unix_micros(F.col("ts").cast("timestamp")) >= F.col("_cut"))
+    early = r.filter(~F.col("_late")).drop("_late", "_cut").withColumn("is_test", F.lit(False))
+    late = r.filter(F.col("_late")).drop("_late", "_cut").withColumn("is_test", F.lit(True))
+    level0, _ = bakeoff(early.unionByName(late), cols, specs)
+    meta_cols = [f"_p_{m.name}" for m in specs]
+
+    def wide(preds: DataFrame) -> DataFrame:
+        return preds.groupBy("symbol", "ts", "label").pivot("model", [m.name for m in specs]).agg(F.first("prob_up")).toDF(
+            "symbol", "ts", "label", *meta_cols
+        )
+
+    meta_train = wide(level0).na.drop()
+    meta = Pipeline(stages=[VectorAssembler(inputCols=meta_cols, outputCol="features"), LogisticRegression(labelCol="label")]).fit(
+        meta_train
+    )
+    level1, _ = bakeoff(p, cols, specs)
+    scored = meta.transform(wide(level1).na.drop())
+    return scored.select(
+        "symbol",
+        "ts",
+        F.lit("StackingEnsemble").alias("model"),
+        vector_to_array("probability")[1].alias("prob_up"),
+        F.col("prediction"),
+        "label",
+    )

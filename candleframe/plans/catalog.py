@@ -1087,6 +1087,13 @@ def q_ml_decision(spark, sf_dir):
     return d.select("symbol", "ts", r6("up_probability"), r6("down_probability"), r6("confidence_level"), "decision")
 
 
+@register("stacking", None)
+def q_stacking(spark, sf_dir):
+    """Stacked ensemble (RF, GBT, logistic base models; logistic meta-model) on the panel."""
+    p, _, _ = _bakeoff(spark, sf_dir)
+    return ML.stacking(p).select("symbol", "ts", "model", r6("prob_up"), "prediction", "label")
+
+
 @register("up_down_label", None)
 def q_up_down_label(spark, sf_dir):
     _, preds, _ = _bakeoff(spark, sf_dir)
