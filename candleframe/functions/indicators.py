@@ -583,14 +583,23 @@ def features(
     """
     layout = layout or Layout()
     cols = list(columns) if columns is not None else None
-    df = bars if indexed else index_rows(bars, layout)
-    if materialize and not indexed:
+    if indexed:
+        df = bars
+    elif materialize:
+        from pyspark import StorageLevel
+
         from ..session import ensure_checkpoint_dir
 
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        ensure_checkpoint_dir(bars.sparkSession)
+        # numbering reads the bars twice (counts, row numbers): keep them so the ticks
+        # are aggregated once, then cut the lineage at the numbered bars
+        kept = bars.persist(StorageLevel.MEMORY_AND_DISK)
+        df = index_rows(kept, layout).checkpoint(eager=True)
+        kept.unpersist()
         if layout.block_rows is None:
             df = with_blocks(df, adaptive_block_rows(df, layout))
+    else:
+        df = index_rows(bars, layout)
     df = windowed(df, layout, W1_HALO, built_levels(w1_levels, layout))
     df = df.withColumn("kama_sc", _kama_sc())
     if cols is None:
