@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 from ..operators import scan as S
-from ..operators.series import RN, Layout, adaptive_block_rows, index_rows, windowed, with_blocks
+from ..operators.series import RN, Layout, index_rows, numbered, windowed
 
 def C() -> Column:
     return F.col("close")
@@ -586,18 +586,7 @@ def features(
     if indexed:
         df = bars
     elif materialize:
-        from pyspark import StorageLevel
-
-        from ..session import ensure_checkpoint_dir
-
-        ensure_checkpoint_dir(bars.sparkSession)
-        # numbering reads the bars twice (counts, row numbers): keep them so the ticks
-        # are aggregated once, then cut the lineage at the numbered bars
-        kept = bars.persist(StorageLevel.MEMORY_AND_DISK)
-        df = index_rows(kept, layout).checkpoint(eager=True)
-        kept.unpersist()
-        if layout.block_rows is None:
-            df = with_blocks(df, adaptive_block_rows(df, layout))
+        df = numbered(bars, layout)
     else:
         df = index_rows(bars, layout)
     df = windowed(df, layout, W1_HALO, built_levels(w1_levels, layout))

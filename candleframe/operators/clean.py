@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import join_small
-from .series import BLK, RN, Layout, index_rows
+from .series import BLK, RN, Layout, index_rows, numbered
 
 OHLCV = ("open", "high", "low", "close", "volume")
 
@@ -103,7 +103,7 @@ def latest_row(df: DataFrame, by: Sequence[str] = ("symbol",), ts: str = "ts") -
 
 
 def _with_counts(df: DataFrame, layout: Layout) -> DataFrame:
-    indexed = df if RN in df.columns else index_rows(df, layout)
+    indexed = df if RN in df.columns else numbered(df, layout)
     return join_small(indexed, series_counts(indexed, layout.by), list(layout.by), "inner")
 
 
@@ -129,7 +129,7 @@ def ffill(df: DataFrame, cols: Sequence[str], layout: Layout | None = None, back
     """
     layout = layout or Layout()
     by = list(layout.by)
-    d = df if RN in df.columns else index_rows(df, layout)
+    d = df if RN in df.columns else numbered(df, layout)
     w = Window.partitionBy(*by, BLK).orderBy(RN)
     run = w.rowsBetween(Window.unboundedPreceding, 0)
     d = d.withColumns({f"_ff_{c}": F.last(F.col(c), ignorenulls=True).over(run) for c in cols})

@@ -67,6 +67,25 @@ def index_rows(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
     return with_blocks(numbered.drop("_chunk", "_off"), layout.block_size())
 
 
+def numbered(bars: DataFrame, layout: Layout | None = None) -> DataFrame:
+    """Numbered, blocked bars materialised once: the bars are kept while numbering reads
+    them twice (so the ticks behind them are aggregated once), the result is checkpointed
+    to the session's checkpoint folder (lineage cut), and an adaptive layout gets its block
+    size from the materialised rows."""
+    from pyspark import StorageLevel
+
+    from ..session import ensure_checkpoint_dir
+
+    layout = layout or Layout()
+    ensure_checkpoint_dir(bars.sparkSession)
+    kept = bars.persist(StorageLevel.MEMORY_AND_DISK)
+    df = index_rows(kept, layout).checkpoint(eager=True)
+    kept.unpersist()
+    if layout.block_rows is None:
+        df = with_blocks(df, adaptive_block_rows(df, layout))
+    return df
+
+
 def with_blocks(df: DataFrame, block_rows: int) -> DataFrame:
     """(Re)assign row blocks of ``block_rows`` rows: a projection, no shuffle."""
     return df.withColumn(BLK, F.floor(F.col(RN) / F.lit(block_rows))).withColumn(BS, F.lit(block_rows).cast("long"))

@@ -333,7 +333,7 @@ def q_flagship(spark, sf_dir):
 from ..operators import aggregates as AG  # noqa: E402
 from ..operators import clean as CL  # noqa: E402
 from ..operators.joins import join_small  # noqa: E402
-from ..operators.series import Layout, index_rows  # noqa: E402
+from ..operators.series import Layout, index_rows, numbered  # noqa: E402
 
 
 def raw_candles(spark, sf_dir) -> DataFrame:
@@ -488,7 +488,7 @@ def q_volume_metrics(spark, sf_dir):
     f"{Q.r6('lv / av', 'volume_strength')} FROM g",
 )
 def q_volume_vs_100(spark, sf_dir):
-    f = index_rows(bars_1h(spark, sf_dir))
+    f = numbered(bars_1h(spark, sf_dir))
     m = AG.volume_vs_100(f)
     return m.select("symbol", r6("avg_volume"), "volume_trend", r6("volume_strength"))
 
@@ -807,7 +807,7 @@ def q_label_next_return(spark, sf_dir):
     "count(*) OVER (PARTITION BY symbol) AS n FROM bars) SELECT symbol, ts, rn >= floor(n * 0.8) AS is_test FROM x",
 )
 def q_split_chrono(spark, sf_dir):
-    f = LB.split_chrono(index_rows(bars_1h(spark, sf_dir)))
+    f = LB.split_chrono(numbered(bars_1h(spark, sf_dir)))
     return f.select("symbol", "ts", "is_test")
 
 
@@ -817,7 +817,7 @@ def q_split_chrono(spark, sf_dir):
     "count(*) OVER (PARTITION BY symbol) AS n FROM bars) SELECT symbol, ts, rn >= n - least(20, floor(n / 5)) AS is_test FROM x",
 )
 def q_split_time_series(spark, sf_dir):
-    f = LB.split_time_series(index_rows(bars_1h(spark, sf_dir)))
+    f = LB.split_time_series(numbered(bars_1h(spark, sf_dir)))
     return f.select("symbol", "ts", "is_test")
 
 
@@ -1344,7 +1344,7 @@ from ..operators.forecasters import RISKMETRICS_LAMBDA as RISKMETRICS  # noqa: E
     "CASE WHEN forecast > close THEN 'up' ELSE 'down' END AS direction FROM fc",
 )
 def q_seasonal_trend_forecast(spark, sf_dir):
-    f = index_rows(bars_1h(spark, sf_dir))
+    f = numbered(bars_1h(spark, sf_dir))
     s = FC.seasonal_trend_forecast(f)
     return s.select("symbol", "next_ts", r6("slope"), r6("forecast"), "direction")
 
