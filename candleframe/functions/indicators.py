@@ -557,13 +557,6 @@ def derived_builders() -> dict[str, Callable[[], Column]]:
     }
 
 
-DERIVED_INPUTS = {
-    "rsi_wilder": {"rsi"},
-    "trix": {"ema_18"},
-    "stoch_rsi": {"rsi", "rsi_min_14", "rsi_max_14"},
-    "macd_hist": {"macd", "macd_signal"},
-    "vwap_cum": {"vwap"},
-}
 
 
 def features(

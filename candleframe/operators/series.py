@@ -154,15 +154,5 @@ def windowed(
     return out.filter(~F.col(HALO)).drop(HALO)
 
 
-def max_lookback(*lookbacks: int) -> int:
-    return max([0, *lookbacks])
-
-
 def drop_layout(df: DataFrame) -> DataFrame:
     return df.drop(RN, BLK, BS)
-
-
-def ordered_rows(df: DataFrame, layout: Layout, cols: Sequence[str] | None = None) -> DataFrame:
-    """Final, user-facing projection (layout columns removed)."""
-    out = drop_layout(df)
-    return out.select(*cols) if cols else out
