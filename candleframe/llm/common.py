@@ -8,7 +8,9 @@ import uuid
 import zipfile
 
 from pyspark import SparkContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: dict[str, str] = {}
 
@@ -65,3 +67,23 @@ def free_name(df: DataFrame, base: str) -> str:
     while base.lower() in taken:
         base += "_"
     return base
+
+
+def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The Parquet table at ``path``, or no rows if nothing has been written there yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
+def distinct_misses(df: DataFrame, digest: str, content: str, known: DataFrame) -> DataFrame:
+    """One row for each digest of ``df`` that ``known`` (a column of the same name) lacks.
+
+    Copies meet in the map tasks first (partial aggregation), so a content that fills a third
+    of all rows reaches its reducer once for each map task.
+    """
+    one = df.groupBy(digest).agg(F.first(content).alias(content))
+    return one.join(known.select(digest).distinct(), digest, "left_anti")

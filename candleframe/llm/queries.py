@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleframe.llm import bpe, langid
-from candleframe.llm.common import ship
+from candleframe.llm import bpe, chatfmt, langid, minhash, secrets, tokencount
+from candleframe.llm.common import shared_dir, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,86 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 3, 1))
     model = langid.fit(docs.filter(~F.col("held_out")), "text", "lang", F.col("doc_id"))
     return langid.predict(docs.drop("lang"), "text", model).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@register("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of every whole text through a digest cache that this run starts empty."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    counted = tokencount.count_tokens(docs, "text", public_tokenizers.path("word_bpe_49k.json"), shared_dir(spark, "token-cache"))
+    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+
+
+@register("op9_secret_scan")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every whole text through a blob ledger that this run starts empty."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = secrets.scan(docs, "text", shared_dir(spark, "blob-ledger"))
+    kinds = [r.kind for r in secrets.BASE_RULES]
+    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    base = secrets.joined(F.col("spans"), tuple(kinds))
+    return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans"), tuple(kinds)).alias("spans"))
+
+
+OP7_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), t AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k,
+    length(regexp_replace(replace(text, '\', '\\'), '(\[/?(?:SYS|INST|ROLE)\]|\[/TURN\]|</?s>)', '\\\1', 'g')) AS n_text,
+    length(regexp_replace(replace(role, '\', '\\'), '(\[/?(?:SYS|INST|ROLE)\]|\[/TURN\]|</?s>)', '\\\1', 'g')) AS n_role
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(n_text + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 7 ELSE 20 + n_role END)::BIGINT AS formatted_chars,
+  bool_and(CASE WHEN k = 1 THEN role IN ('system', 'user') WHEN before IN ('system', 'assistant') THEN role = 'user'
+    WHEN before = 'user' THEN role = 'assistant' ELSE false END) AS valid
+FROM t GROUP BY conv_id
+"""
+
+
+@register("op7_chat_format", OP7_SQL)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one with control strings in its texts; read digests back."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(tricky).alias("text")) for k, r in enumerate(("user", "assistant"))))).alias("r")).select("r.*")
+    return chatfmt.digests(chatfmt.format_turns(rows.unionByName(more)))
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[k:k + 3], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 1) + 1)) AS k FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), reach AS (
+  SELECT a AS doc_id, a AS other FROM link
+  UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON reach.other = link.a
+), c AS (
+  SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id,
+  coalesce(c.component_id, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id
+"""
+
+
+@register("op1_minhash_near_dedup", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.8 or more."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return minhash.near_duplicates(docs, "doc_id", "text", words=4, percent=80).withColumnRenamed("id", "doc_id")
