@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleframe.llm import bpe, chatfmt, langid, minhash, secrets, tokencount
+from candleframe.llm import bpe, chatfmt, decontam, langid, minhash, secrets, tokencount
 from candleframe.llm.common import shared_dir, ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,51 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of 4-word shingles have a Jaccard similarity of 0.8 or more."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return minhash.near_duplicates(docs, "doc_id", "text", words=4, percent=80).withColumnRenamed("id", "doc_id")
+
+
+#: A test item's text is cut at the first blank after its middle: question, answer.
+CUT = "CASE WHEN instr(substring(text, 1 + length(text) DIV 2), ' ') > 0 THEN length(text) DIV 2 + instr(substring(text, 1 + length(text) DIV 2), ' ') ELSE length(text) END"
+
+
+def test_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "benchmark", "item_id", "text")
+    return rows.selectExpr("item_id", f"substring(text, 1, {CUT}) AS question", f"substring(text, 1 + {CUT}) AS answer")
+
+
+OP8_SQL = r"""
+WITH item AS (
+  SELECT item_id, text, CASE WHEN strpos(substring(text, 1 + length(text) // 2), ' ') > 0
+    THEN length(text) // 2 + strpos(substring(text, 1 + length(text) // 2), ' ') ELSE length(text) END AS cut FROM benchmark
+), part AS (
+  SELECT item_id, unnest(['whole', 'question', 'answer']) AS part,
+    unnest([text, substring(text, 1, cut), substring(text, 1 + cut)]) AS text FROM item
+), words AS (
+  SELECT item_id, part, NULL AS doc_id, text FROM part UNION ALL SELECT NULL, NULL, doc_id, text FROM documents
+), w AS (
+  SELECT item_id, part, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM words
+), s AS (
+  SELECT DISTINCT item_id, part, doc_id, array_to_string(words[k:k + 4], ' ') AS shingle
+  FROM (SELECT *, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS k FROM w WHERE len(words) > 0)
+), size AS (
+  SELECT item_id, part, count(*) AS n FROM s WHERE part IS NOT NULL GROUP BY ALL
+), hit AS (
+  SELECT d.doc_id, i.item_id, i.part, count(*) AS n FROM s i JOIN s d ON i.shingle = d.shingle
+  WHERE i.part IS NOT NULL AND d.doc_id IS NOT NULL GROUP BY ALL
+), wide AS (
+  SELECT h.doc_id, h.item_id, max(h.n / z.n) FILTER (WHERE h.part = 'whole') AS overlap,
+    coalesce(max(h.n / z.n) FILTER (WHERE h.part = 'question'), 0) AS question_overlap,
+    coalesce(max(h.n / z.n) FILTER (WHERE h.part = 'answer'), 0) AS answer_overlap
+  FROM hit h JOIN size z ON z.item_id = h.item_id AND z.part = h.part GROUP BY ALL
+)
+SELECT doc_id, item_id, overlap, question_overlap, answer_overlap FROM wide
+WHERE overlap >= 0.8 AND question_overlap >= 0.5 AND answer_overlap >= 0.5
+"""
+
+
+@register("op8_decontamination", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test items found in documents: retrieved by BM25 for every passage, verified by shared shingles."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    found = decontam.contaminated(docs, "doc_id", "text", test_items(spark, sf_dir), "item_id", "question", "answer")
+    return found.select("doc_id", "item_id", "overlap", "question_overlap", "answer_overlap")

@@ -24,6 +24,8 @@ for _b in range(65, 91):
     _VALUE[_b] = _VALUE[_b + 32]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
+#: White space, and with it all other ASCII characters that are not letters or digits.
+SPACE, PUNCTUATION = _SPACE, np.array([c < 128 and not chr(c).isalnum() for c in range(256)])
 _POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
@@ -67,11 +69,11 @@ def chunks(texts: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.n
         start = stop
 
 
-def words(raw: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word; ``breaks`` are positions at which a new text begins."""
+def words(raw: np.ndarray, breaks: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word; ``breaks`` are positions at which a new text begins, ``between`` marks bytes outside words."""
     if not len(raw):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    inside = ~_SPACE[raw]
+    inside = ~between[raw]
     cut = np.zeros(len(raw) + 1, dtype=bool)
     cut[breaks] = True
     first = inside.copy()
@@ -89,8 +91,8 @@ def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
-def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``n`` words; of the whole sequence, if it is shorter."""
+def ordered_shingles(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` words in order; of the whole sequence, if it is shorter."""
     if not len(hashes):
         return hashes
     width = len(hashes) - n + 1
@@ -100,13 +102,18 @@ def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
     total = np.full(width, size, dtype=np.uint64)
     for k in range(size):
         total = mix(total * _U(0x9E3779B97F4A7C15) + hashes[k : k + width])
-    return np.unique(total)
+    return total
 
 
-def each_text(texts: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+def shingles(hashes: np.ndarray, n: int) -> np.ndarray:
+    """Sorted distinct hashes of all runs of ``n`` words; of the whole sequence, if it is shorter."""
+    return np.unique(ordered_shingles(hashes, n))
+
+
+def each_text(texts: pa.Array, between: np.ndarray = SPACE) -> Iterator[tuple[int, np.ndarray]]:
     """(row, hashes of its words in order) for each row of a text column."""
     for start, stop, raw, offsets in chunks(texts):
-        a, b = words(raw, offsets)
+        a, b = words(raw, offsets, between)
         h = word_hashes(raw, a, b)
         at = np.searchsorted(a, offsets)
         for k in range(stop - start):
