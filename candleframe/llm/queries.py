@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleframe.llm import bpe, chatfmt, decontam, langid, minhash, secrets, tokencount
-from candleframe.llm.common import shared_dir, ship
+from candleframe.llm import bpe, chatfmt, decontam, langid, minhash, secrets, tokencount, toxicity
+from candleframe.llm.common import shared_dir, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -190,3 +190,16 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = decontam.contaminated(docs, "doc_id", "text", test_items(spark, sf_dir), "item_id", "question", "answer")
     return found.select("doc_id", "item_id", "overlap", "question_overlap", "answer_overlap")
+
+
+@register("op6_toxicity")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by its nearest labelled examples, learned from rows not held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("held_out", held_out("doc_id", 4, 2))
+    labels = table(spark, sf_dir, "labels", "doc_id", "toxic").filter(~held_out("doc_id", 4, 2))
+    # At most about toxicity.FIT_ROWS rows of 12 bytes: the sample is bounded, so it may be broadcast.
+    sample = F.broadcast(toxicity.sample_labels(labels, F.col("doc_id"), "toxic"))
+    examples = written(docs.join(sample, "doc_id").select("doc_id", "text", "toxic"), "toxicity-examples")
+    scored = toxicity.score(docs, "text", toxicity.fit(examples, "doc_id", "text", "toxic"))
+    evidence = F.transform("evidence", lambda e: e["id"]).alias("evidence")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), evidence)
