@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleframe.llm import bpe, chatfmt, decontam, langid, minhash, secrets, tokencount, toxicity
+from candleframe.llm import ann, bpe, chatfmt, decontam, langid, minhash, secrets, tokencount, toxicity
 from candleframe.llm.common import shared_dir, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,10 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.score(docs, "text", toxicity.fit(examples, "doc_id", "text", "toxic"))
     evidence = F.transform("evidence", lambda e: e["id"]).alias("evidence")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= toxicity.CUT).cast("int").alias("predicted"), evidence)
+
+
+@register("op4_nearest_neighbours")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest rows by inner product for every row whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return ann.search(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
