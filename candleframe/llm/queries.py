@@ -76,7 +76,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     found = secrets.scan(docs, "text", shared_dir(spark, "blob-ledger"))
     kinds = [r.kind for r in secrets.BASE_RULES]
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]
+    number = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    counts = [number(k) for k in kinds]
     base = secrets.joined(F.col("spans"), tuple(kinds))
     return found.select("doc_id", *counts, F.sha2(base.cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans"), tuple(kinds)).alias("spans"))
 
