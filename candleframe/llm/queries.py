@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleframe.llm import ann, bpe, chatfmt, decontam, langid, minhash, secrets, tokencount, toxicity
+from candleframe.llm import ann, bpe, chatfmt, decontam, langid, linededup, minhash, secrets, tokencount, toxicity
 from candleframe.llm.common import shared_dir, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -211,3 +211,36 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest rows by inner product for every row whose id is divisible by 20."""
     rows = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
     return ann.search(rows, "vec_id", "embedding", F.col("vec_id") % 20 == 0, k=20)
+
+
+OP2_SQL = r"""
+WITH l AS (
+  SELECT doc_id, k - 1 AS line, lines[k] AS text
+  FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS k FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))
+), w AS (
+  SELECT *, list_sort(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'))) AS words FROM l
+), c AS (
+  SELECT words, any_value(list_transform(words, lambda x: hash(x))) AS hashes, len(words) AS n, min({'d': doc_id, 'l': line}) AS first FROM w WHERE len(words) > 0 GROUP BY words
+), later AS (
+  SELECT DISTINCT b.words FROM c a JOIN c b ON a.first < b.first AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
+  WHERE 180 * len(list_intersect(a.hashes, b.hashes)) >= 80 * (a.n + b.n)
+), m AS (
+  SELECT w.doc_id, w.line, w.text, len(w.words) > 0 AS counted,
+    coalesce(c.first <> {'d': w.doc_id, 'l': w.line} OR later.words IS NOT NULL, false) AS gone
+  FROM w LEFT JOIN c ON c.words = w.words LEFT JOIN later ON later.words = w.words
+)
+SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines, coalesce(x.n_removed, 0) AS n_removed,
+  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(x.kept, '')) END AS text_sha256
+FROM documents d LEFT JOIN (
+  SELECT doc_id, count(*) FILTER (WHERE counted) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+    string_agg(text, chr(10) ORDER BY line) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id
+) x ON x.doc_id = d.doc_id
+"""
+
+
+@register("op2_line_dedup", OP2_SQL)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without its lines that an earlier line matches: counts and a digest of what stays."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    out = linededup.dedup_lines(docs, "doc_id", "text", percent=80)
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))

@@ -1,4 +1,86 @@
-"""Corpus pipeline."""
-STAGES = []
+"""Corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, BPE codec.
+
+Each stage is ``(spark, docs, sf_dir) -> DataFrame`` and calls one operator of
+``candleframe.llm`` on all rows that the stage before kept. All but the last return the
+columns of ``docs``; ``run`` writes each result as Parquet to the shared folder and reads it
+again for the next stage.
+
+Filtering rules, on each stage's own input: texts without a letter go (language ID); later
+matching lines go, and with them a document that has no word left (line dedup); of each
+group of near-duplicates the document with the smallest id stays, once (near-dedup, five
+words, 0.8); documents that hold a test item go (decontamination). Null ids are kept and
+never grouped; rows that share an id share what was decided for the id.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from candleframe.llm import bpe, decontam, langid, linededup, minhash
+from candleframe.llm.common import free_name, ship, written
+from candleframe.llm.queries import RANKS, held_out, test_items
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents that language ID rejects: without a text or a letter."""
+    ship(spark)
+    lang, score, rejected = (free_name(docs, c) for c in ("lang_pred", "score", "rejected"))
+    learn = docs.select("doc_id", "text", "lang").filter(~held_out("doc_id", 3, 1))
+    model = langid.fit(learn, "text", "lang", F.col("doc_id"))
+    return langid.predict(docs, "text", model, lang, score, rejected).filter(~F.col(rejected)).select(*docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take out lines that an earlier line matches; a document that loses all its lines goes."""
+    ship(spark)
+    n_lines, n_removed = free_name(docs, "n_lines"), free_name(docs, "n_removed")
+    out = linededup.dedup_lines(docs, "doc_id", "text", 80, n_lines, n_removed)
+    return out.filter((F.col(n_removed) == 0) | (F.col(n_lines) > F.col(n_removed))).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates stays: the one with the smallest id."""
+    ship(spark)
+    away = minhash.near_duplicates(docs.select("doc_id", "text"), "doc_id", "text", words=5, percent=80).filter(~F.col("kept")).select(F.col("id").alias("doc_id")).distinct()
+    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop the documents in which a test item is found."""
+    ship(spark)
+    found = decontam.contaminated(docs.select("doc_id", "text"), "doc_id", "text", test_items(spark, sf_dir), "item_id", "question", "answer")
+    away = written(found.select("doc_id").distinct(), "contaminated")
+    return docs.join(away, "doc_id", "left_anti").select(*docs.columns)
+
+
+def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the ids and of the bytes they decode to, for each document."""
+    ship(spark)
+    path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
+    ids = bpe.encode(docs.select("doc_id", "source", "lang", "text"), "text", path, pattern).drop("text")
+    back = bpe.decode(ids, "ids", path, pattern)
+    return back.select("doc_id", "source", "lang", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", drop_near_duplicates),
+    ("decontamination", decontaminate),
+    ("bpe_codec", encode_and_decode),
+]
+
+#: Learned models and byte-level merges are beyond SQL; tests/llm holds a brute-force version.
 ORACLE_SQL = None
-run = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table ``documents``; each result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
