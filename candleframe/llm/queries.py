@@ -64,10 +64,9 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_token_counts")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every whole text through a digest cache that this run starts empty."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = table(spark, sf_dir, "documents", "doc_id", "text").withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
     counted = tokencount.count_tokens(docs, "text", public_tokenizers.path("word_bpe_49k.json"), shared_dir(spark, "token-cache"))
-    n_bytes = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
-    return counted.select("doc_id", n_bytes.alias("n_bytes"), "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 2048).alias("over_limit"))
 
 
 @register("op9_secret_scan")
