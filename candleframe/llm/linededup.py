@@ -79,7 +79,7 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> tuple[DataFrame, DataFrame]:
+def prefixes(docs: DataFrame, counts: np.ndarray, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
     """Lines (id, doc, line, class) and the listing of classes under their prefix words.
 
     A listing row packs 40 bits of the word, the length and the position in ``word``; ``block``
@@ -114,9 +114,9 @@ def prefixes(docs: DataFrame, counts: np.ndarray, percent: int) -> tuple[DataFra
                 packed = (words[order] & ~_U((1 << 24) - 1)) | _U(min(len(words), MOST) << 12) | at.astype(np.uint64)
                 bitmap = int(np.bitwise_or.reduce(_U(1) << (words >> _U(58))))
                 often, n = often[order], take
-                split = often > FREQUENT
+                split = often > frequent
                 if split.any():
-                    blocks = often // FREQUENT + 1
+                    blocks = often // frequent + 1
                     own = np.abs(key) % blocks
                     rest = np.flatnonzero(split)
                     every = np.repeat(rest, blocks[rest])
@@ -285,11 +285,11 @@ def matched(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.select("word", "block", "role", "class", "payload").mapInArrow(run, "class long").distinct()
 
 
-def dedup_lines(df: DataFrame, key: str, text: str, percent: int = 80, n_lines: str = "n_lines", n_removed: str = "n_removed") -> DataFrame:
+def dedup_lines(df: DataFrame, key: str, text: str, percent: int = 80, n_lines: str = "n_lines", n_removed: str = "n_removed", frequent: int = FREQUENT) -> DataFrame:
     """``df`` with later matching lines taken out of ``text``, and the numbers of lines with a word and of lines removed."""
     shape = df.columns
     work = df.select(*(F.col(c).alias(f"in_{k}") for k, c in enumerate(shape)), F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(F.xxhash64(key, text), F.lit(0)).alias("doc"))
-    lines, listing = prefixes(work, bucket_counts(work), percent)
+    lines, listing = prefixes(work, bucket_counts(work), percent, frequent)
     lines = written(lines.distinct(), "lines")
     near = written(candidates(listing, percent), "line-candidates")
     first = lines.groupBy("class").agg(F.min(F.struct("id", "doc", "line")).alias("first"), F.count("*").alias("n"))
