@@ -256,5 +256,5 @@ def near_duplicates(df: DataFrame, key: str, text: str, words: int = 5, percent:
 
     classes = classes.join(found, classes["class"] == found["id"], "left").select("digest", F.coalesce("component", "class").alias("component"))
     out = table.select("id", F.col("n").alias("n_shingles"), "digest").join(classes, "digest", "left")
-    component = F.coalesce("component", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

