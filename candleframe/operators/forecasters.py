@@ -54,7 +54,7 @@ def ewma_variance(f: DataFrame, layout: Layout) -> DataFrame:
     lam = RISKMETRICS_LAMBDA
     r2 = F.col("returns") * F.col("returns")
     rn = F.col(RN)
-    a = F.when((rn < 1) | r2.isNull(), F.lit(1.0)).when(rn == 1, F.lit(0.0)).otherwise(F.lit(lam))
+    a = F.when((rn <= 1) | r2.isNull(), F.lit(1.0)).otherwise(F.lit(lam))
     c = F.when((rn < 1) | r2.isNull(), F.lit(0.0)).when(rn == 1, r2).otherwise(F.lit(1.0 - lam) * r2)
     return linear_scan(f, layout, [Recurrence("ewma_var", a, c, rn >= 1)])
 

@@ -1,101 +1,62 @@
-"""Linear-recurrence scan ``y[t] = a[t] * y[t-1] + c[t]`` per series, distributed.
+"""Linear-recurrence scan ``y[t] = a[t] * y[t-1] + c[t]`` per series, in JVM windows.
 
 Recursive indicators (EMA, Wilder smoothing, seeded ATR, KAMA, running sums) are all
-this one recurrence with different (a, c) columns; ``a = 0`` starts (seeds) a series,
-``a = 1, c = 0`` carries the previous value unchanged.
+this one recurrence with different (a, c) columns; ``a = 1, c = 0`` carries the previous
+value unchanged. A series starts from 0, so its first value is ``a = 1, c = x``; ``a`` is
+never 0 (the smallest in use, 0.55 for KAMA, keeps 128 factors far from underflow).
 
-Two levels, no task ever sees more than one row block:
+1. Within a sub-block of ``SUB_ROWS`` rows the partial value is a running sum,
+   ``z[t] = p[t] * sum(c / p)`` with ``p`` the running product of ``a``.
+2. The sub-block ends (one row in 128) are folded for each (symbol, block) and the block
+   ends for each symbol with ``F.aggregate``; this gives the value that enters each
+   sub-block, and ``y = z + p * carry``.
 
-1. per (symbol, block) a pandas kernel folds the block with a zero carry-in and keeps,
-   for every row, ``z`` (partial value) and ``p`` (product of ``a`` since block start);
-2. the block-end (z, p) pairs form a tiny table (one row per block) whose own scan per
-   symbol gives the carry into each block; ``y = z + p * carry``.
-
-Only the key and the (a, c) columns travel to Python; results come back by an equi-join
-on (symbol, block, row) whose sides are already partitioned by (symbol, block).
+Windows and the join of the carries keep the (symbol, block) partitioning of the rows.
 """
 
 from __future__ import annotations
 
-import sys
-
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark import StorageLevel
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .series import BLK, RN, Layout
 
-# Functions of this module run inside Python workers; pickle them by value so a worker
-# does not need the package on its path (ship it with --py-files on a cluster anyway).
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+SUB = "_sub"
+#: Rows whose product of ``a`` stays a normal double for every recurrence here.
+SUB_ROWS = 128
 
 
 @dataclass(frozen=True)
 class Recurrence:
-    """One scanned output column: ``out = a * out[t-1] + c``, NULL where ``valid`` is false."""
+    """One scanned output column: ``out = a * out[t-1] + c``, NULL where ``valid`` is false.
+
+    ``a`` must be above 0; None stands for 1 on every row (a running sum)."""
 
     out: str
-    a: Column
+    a: Column | None
     c: Column
     valid: Column | None = None
 
 
-def _fold(a: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Zero-carry-in fold of one block. Returns (z, p) per row."""
-    n = len(a)
-    if n == 0:
-        return np.empty(0), np.empty(0)
-    if np.all(a == 1.0):
-        return np.cumsum(c), np.ones(n)
-    z = [0.0] * n
-    p = [0.0] * n
-    y, q = 0.0, 1.0
-    for i, (ai, ci) in enumerate(zip(a.tolist(), c.tolist())):
-        y = ai * y + ci
-        q = ai * q
-        z[i] = y
-        p[i] = q
-    return np.asarray(z), np.asarray(p)
-
-
-def _block_kernel(keys: list[str], names: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(RN, kind="stable")
-        out = {k: pdf[k].to_numpy() for k in keys}
-        out[RN] = pdf[RN].to_numpy()
-        for nm in names:
-            z, p = _fold(pdf[f"_a_{nm}"].to_numpy(dtype=float), pdf[f"_c_{nm}"].to_numpy(dtype=float))
-            out[f"_z_{nm}"] = z
-            out[f"_p_{nm}"] = p
-        return pd.DataFrame(out)
-
-    return run
-
-
-def _carry_kernel(keys: list[str], names: list[str]):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(BLK, kind="stable")
-        out = {k: pdf[k].to_numpy() for k in keys if k != BLK}
-        out[BLK] = pdf[BLK].to_numpy()
-        for nm in names:
-            z = pdf[f"_z_{nm}"].to_numpy(dtype=float)
-            p = pdf[f"_p_{nm}"].to_numpy(dtype=float)
-            carry = np.zeros(len(z))
-            y = 0.0
-            for i in range(len(z)):
-                carry[i] = y
-                y = p[i] * y + z[i]
-            out[f"_k_{nm}"] = carry
-        return pd.DataFrame(out)
-
-    return run
+_FOLD = "struct<y:double,q:double,ins:array<struct<k:double,q:double>>>"
+
+
+def _fold(entries: str, z: str, p: str) -> Column:
+    """Run the recurrence over an array of ends: the last value and product, and what enters each entry."""
+    start = F.struct(F.lit(0.0).alias("y"), F.lit(1.0).alias("q"), F.array().alias("ins")).cast(_FOLD)
+
+    def step(acc, e):
+        return F.struct(
+            (e[p] * acc["y"] + e[z]).alias("y"),
+            (e[p] * acc["q"]).alias("q"),
+            F.concat(acc["ins"], F.array(F.struct(acc["y"].alias("k"), acc["q"].alias("q")))).alias("ins"),
+        ).cast(_FOLD)
+
+    return F.aggregate(entries, start, step)
 
 
 def linear_scan(df: DataFrame, layout: Layout, recs: Sequence[Recurrence]) -> DataFrame:
@@ -103,48 +64,40 @@ def linear_scan(df: DataFrame, layout: Layout, recs: Sequence[Recurrence]) -> Da
     if not recs:
         return df
     by = list(layout.by)
-    keys = [*by, BLK]
     names = [r.out for r in recs]
-    staged = df.withColumns(
-        {f"_a_{r.out}": F.coalesce(r.a.cast("double"), F.lit(1.0)) for r in recs}
-        | {f"_c_{r.out}": F.coalesce(r.c.cast("double"), F.lit(0.0)) for r in recs}
-    )
-    # ``staged`` is read by the kernel branch and by the join back. It is not persisted:
-    # a cached relation stops column pruning, and each branch needs only a few of the
-    # window columns above it (the kernel branch just the recurrence inputs).
-    narrow = staged.select(*keys, RN, *[f"_a_{n}" for n in names], *[f"_c_{n}" for n in names])
-    key_fields = [f for f in narrow.schema.fields if f.name in (*keys, RN)]
-    local_schema = T.StructType(
-        key_fields
-        + [T.StructField(f"_z_{n}", T.DoubleType()) for n in names]
-        + [T.StructField(f"_p_{n}", T.DoubleType()) for n in names]
-    )
-    local = narrow.groupBy(*keys).applyInPandas(_block_kernel(keys, names), local_schema)
-    # Used twice (block ends + row join): keep it instead of running the kernel twice.
-    local = local.persist(StorageLevel.MEMORY_AND_DISK)
-
-    ends = local.groupBy(*keys).agg(
-        F.max_by(F.struct(*[F.col(f"_z_{n}") for n in names], *[F.col(f"_p_{n}") for n in names]), F.col(RN)).alias("_e")
-    ).select(*keys, "_e.*")
-    carry_schema = T.StructType(
-        [f for f in local_schema.fields if f.name in keys] + [T.StructField(f"_k_{n}", T.DoubleType()) for n in names]
-    )
-    carry = ends.groupBy(*by).applyInPandas(_carry_kernel(keys, names), carry_schema)
-
-    resolved = local.join(carry, keys, "left").select(
-        *keys,
-        RN,
-        *[
-            (F.col(f"_z_{n}") + F.col(f"_p_{n}") * F.coalesce(F.col(f"_k_{n}"), F.lit(0.0))).alias(f"_y_{n}")
-            for n in names
-        ],
-    )
-    joined = staged.drop(*[f"_a_{n}" for n in names], *[f"_c_{n}" for n in names]).join(resolved, [*keys, RN], "inner")
-    outs = {}
+    one = {r.out for r in recs if r.a is None}
+    rows = Window.partitionBy(*by, BLK, SUB).orderBy(RN)
+    upto = rows.rowsBetween(Window.unboundedPreceding, 0)
+    staged = df.withColumn(SUB, F.floor(F.col(RN) / F.lit(SUB_ROWS)))
+    staged = staged.withColumns({f"_p_{r.out}": F.product(F.coalesce(r.a.cast("double"), F.lit(1.0))).over(upto) for r in recs if r.a is not None})
+    p = {n: F.lit(1.0) if n in one else F.col(f"_p_{n}") for n in names}
+    staged = staged.withColumns({f"_z_{r.out}": p[r.out] * F.sum(F.coalesce(r.c.cast("double"), F.lit(0.0)) / p[r.out]).over(upto) for r in recs})
+
+    ends = staged.withColumn("_last", F.lead(RN).over(rows).isNull()).filter("_last")
+    ends = ends.select(*by, BLK, F.struct(SUB, *[F.col(f"_z_{n}") for n in names], *[p[n].alias(f"_p_{n}") for n in names]).alias("_e"))
+    blocks = ends.groupBy(*by, BLK).agg(F.array_sort(F.collect_list("_e")).alias("_s"))
+    blocks = blocks.select(*by, BLK, F.transform("_s", lambda e: e[SUB]).alias("_subs"), *[_fold("_s", f"_z_{n}", f"_p_{n}").alias(f"_f_{n}") for n in names])
+    # One row for each block, read for the block carries and for the sub-block carries.
+    blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
+    tails = F.struct(BLK, *[F.col(f"_f_{n}.y").alias(f"_z_{n}") for n in names], *[F.col(f"_f_{n}.q").alias(f"_p_{n}") for n in names])
+    series = blocks.groupBy(*by).agg(F.array_sort(F.collect_list(tails)).alias("_s"))
+    series = series.select(*by, F.transform("_s", lambda e: e[BLK]).alias("_blks"), *[_fold("_s", f"_z_{n}", f"_p_{n}")["ins"].alias(f"_i_{n}") for n in names])
+    series = series.select(*by, *[f"_i_{n}" for n in names], F.posexplode("_blks").alias("_at", BLK))
+    series = series.select(*by, BLK, *[F.get(f"_i_{n}", F.col("_at"))["k"].alias(f"_b_{n}") for n in names])
+    carry = blocks.join(series, [*by, BLK]).select(*by, BLK, *[f"_f_{n}" for n in names], *[f"_b_{n}" for n in names], F.posexplode("_subs").alias("_at", SUB))
+
+    def enters(n: str) -> Column:
+        own = F.get(F.col(f"_f_{n}.ins"), F.col("_at"))
+        return (own["k"] + own["q"] * F.col(f"_b_{n}")).alias(f"_k_{n}")
+
+    carry = carry.select(*by, BLK, SUB, *[enters(n) for n in names])
+    out = staged.join(carry, [*by, BLK, SUB])
+    ys = {}
     for r in recs:
-        y = F.col(f"_y_{r.out}")
-        outs[r.out] = F.when(r.valid, y) if r.valid is not None else y
-    return joined.withColumns(outs).drop(*[f"_y_{n}" for n in names])
+        y = F.col(f"_z_{r.out}") + p[r.out] * F.col(f"_k_{r.out}")
+        ys[r.out] = F.when(r.valid, y) if r.valid is not None else y
+    spent = [SUB, *[f"_{c}_{n}" for c in "zk" for n in names], *[f"_p_{n}" for n in names if n not in one]]
+    return out.withColumns(ys).drop(*spent)
 
 
 # ---------------------------------------------------------------------------
@@ -162,7 +115,7 @@ def ewm(out: str, x: Column, alpha: float, start: int = 0, min_periods: int = 1)
 
     Output NULL for the first ``min_periods - 1`` rows after ``start``.
     """
-    a = F.when((_rn() < start) | x.isNull(), F.lit(1.0)).when(_rn() == start, F.lit(0.0)).otherwise(F.lit(1.0 - alpha))
+    a = F.when((_rn() <= start) | x.isNull(), F.lit(1.0)).otherwise(F.lit(1.0 - alpha))
     c = F.when((_rn() < start) | x.isNull(), F.lit(0.0)).when(_rn() == start, x).otherwise(F.lit(alpha) * x)
     return Recurrence(out, a, c, _rn() >= start + max(min_periods, 1) - 1)
 
@@ -181,18 +134,18 @@ def seeded_rma(out: str, x: Column, n: int, seed: Column, start: int = 0) -> Rec
     """Wilder average seeded with the mean of the first n inputs (ATR form):
     y = seed at row start+n-1, then ((n-1) y + x) / n."""
     s = start + n - 1
-    a = F.when(_rn() < s, F.lit(1.0)).when(_rn() == s, F.lit(0.0)).otherwise(F.lit((n - 1) / n))
+    a = F.when(_rn() <= s, F.lit(1.0)).otherwise(F.lit((n - 1) / n))
     c = F.when(_rn() < s, F.lit(0.0)).when(_rn() == s, seed).otherwise(x / F.lit(float(n)))
     return Recurrence(out, a, c, _rn() >= s)
 
 
 def adaptive(out: str, x: Column, sc: Column, seed_row: int) -> Recurrence:
     """y = x at ``seed_row``, then y + sc (x - y) — KAMA form."""
-    a = F.when(_rn() < seed_row, F.lit(1.0)).when(_rn() == seed_row, F.lit(0.0)).otherwise(F.lit(1.0) - sc)
+    a = F.when(_rn() <= seed_row, F.lit(1.0)).otherwise(F.lit(1.0) - sc)
     c = F.when(_rn() < seed_row, F.lit(0.0)).when(_rn() == seed_row, x).otherwise(sc * x)
     return Recurrence(out, a, c, _rn() >= seed_row)
 
 
 def running_sum(out: str, x: Column) -> Recurrence:
     """Cumulative sum; null inputs add nothing and their own row stays NULL."""
-    return Recurrence(out, F.lit(1.0), F.coalesce(x, F.lit(0.0)), x.isNotNull())
+    return Recurrence(out, None, F.coalesce(x, F.lit(0.0)), x.isNotNull())

@@ -26,18 +26,13 @@ BLK = "_blk"
 BS = "_bs"  # block size of the row, so halo arithmetic always matches ``_blk``
 HALO = "_halo"
 
-MIN_BLOCK_ROWS = 1 << 10
-MAX_BLOCK_ROWS = 1 << 18
-
-
 @dataclass(frozen=True)
 class Layout:
     by: tuple[str, ...] = ("symbol",)
     ts: str = "ts"
-    # Rows per window block; None = adaptive (chosen from the data once the bars are
-    # materialised, between MIN_BLOCK_ROWS and MAX_BLOCK_ROWS). Bounded so one
-    # (symbol, block) group fits a task and the pandas scan kernel.
-    block_rows: int | None = None
+    # Rows per window block: the same whatever the data and the session, so that a scan's
+    # last digits never depend on either. Windows do not depend on it at all.
+    block_rows: int = 4096
     # Time chunk used only while numbering rows; one chunk of one symbol is one task.
     index_chunk: str = "1 day"
 
@@ -45,10 +40,7 @@ class Layout:
         return Window.partitionBy(*self.by, BLK).orderBy(RN)
 
     def block_size(self) -> int:
-        return self.block_rows or MAX_BLOCK_ROWS
-
-    def smallest_block(self) -> int:
-        return self.block_rows or MIN_BLOCK_ROWS
+        return self.block_rows
 
 
 DEFAULT_LAYOUT = Layout()
@@ -70,8 +62,7 @@ def index_rows(df: DataFrame, layout: Layout = DEFAULT_LAYOUT) -> DataFrame:
 def numbered(bars: DataFrame, layout: Layout | None = None) -> DataFrame:
     """Numbered, blocked bars materialised once: the bars are kept while numbering reads
     them twice (so the ticks behind them are aggregated once), the result is checkpointed
-    to the session's checkpoint folder (lineage cut), and an adaptive layout gets its block
-    size from the materialised rows."""
+    to the session's checkpoint folder (lineage cut)."""
     from pyspark import StorageLevel
 
     from ..session import ensure_checkpoint_dir
@@ -81,8 +72,6 @@ def numbered(bars: DataFrame, layout: Layout | None = None) -> DataFrame:
     kept = bars.persist(StorageLevel.MEMORY_AND_DISK)
     df = index_rows(kept, layout).checkpoint(eager=True)
     kept.unpersist()
-    if layout.block_rows is None:
-        df = with_blocks(df, adaptive_block_rows(df, layout))
     return df
 
 
@@ -91,28 +80,13 @@ def with_blocks(df: DataFrame, block_rows: int) -> DataFrame:
     return df.withColumn(BLK, F.floor(F.col(RN) / F.lit(block_rows))).withColumn(BS, F.lit(block_rows).cast("long"))
 
 
-def adaptive_block_rows(df: DataFrame, layout: Layout) -> int:
-    """Block size for ``df`` (numbered, ideally materialised): about three blocks per core
-    of the session over all rows, as a power of two in [MIN_BLOCK_ROWS, MAX_BLOCK_ROWS].
-    A symbol with a third of all rows is then cut into about one block per core."""
-    if layout.block_rows:
-        return layout.block_rows
-    total = df.count()
-    cores = max(df.sparkSession.sparkContext.defaultParallelism, 1)
-    target = max(total // (3 * cores), 1)
-    b = MIN_BLOCK_ROWS
-    while b < target and b < MAX_BLOCK_ROWS:
-        b <<= 1
-    return b
-
-
 def with_halo(df: DataFrame, layout: Layout, halo: int, ahead: int = 0) -> DataFrame:
     """Copy each row into the neighbouring blocks that read it (flag ``_halo``):
     following blocks whose first ``halo`` look-back rows it is, and preceding blocks whose
     last ``ahead`` look-ahead rows (``lead``) it is."""
     if halo <= 0 and ahead <= 0:
         return df.withColumn(HALO, F.lit(False))
-    small = layout.smallest_block()
+    small = layout.block_size()
     back_hops = -(-max(halo, 0) // small)
     fwd_hops = -(-max(ahead, 0) // small)
     rn, blk = F.col(RN), F.col(BLK)

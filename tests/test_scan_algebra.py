@@ -1,41 +1,36 @@
-"""Property: folding blocks with zero carry-in, then applying the block carries, equals
-the sequential recurrence for any block size (pure Python, no Spark)."""
+"""The windowed scan equals the sequential recurrence, across sub-blocks and blocks."""
 
 import numpy as np
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import pytest
+from pyspark.sql import functions as F
 
-from candleframe.operators.scan import _fold
+from candleframe.operators.scan import Recurrence, linear_scan
+from candleframe.operators.series import Layout, with_blocks
 
 
 def sequential(a, c):
     y, out = 0.0, []
-    for ai, ci in zip(a, c):
+    for ai, ci in zip(a, c, strict=True):
         y = ai * y + ci
         out.append(y)
     return np.array(out)
 
 
-def blocked(a, c, size):
-    out = []
-    carry = 0.0
-    for s in range(0, len(a), size):
-        z, p = _fold(np.array(a[s : s + size]), np.array(c[s : s + size]))
-        y = z + p * carry
-        out.extend(y.tolist())
-        carry = y[-1]
-    return np.array(out)
-
-
-coef = st.one_of(st.just(0.0), st.just(1.0), st.floats(0.0, 1.0, allow_nan=False))
-
-
-@settings(max_examples=200, deadline=None)
-@given(
-    st.lists(st.tuples(coef, st.floats(-1e3, 1e3, allow_nan=False)), min_size=1, max_size=80),
-    st.integers(1, 20),
-)
-def test_blocked_scan_equals_sequential(rows, size):
-    a = [r[0] for r in rows]
-    c = [r[1] for r in rows]
-    np.testing.assert_allclose(blocked(a, c, size), sequential(a, c), rtol=1e-9, atol=1e-9)
+@pytest.mark.parametrize("block_rows", [128, 4096])
+def test_scan_equals_sequential(spark, block_rows):
+    rng = np.random.default_rng(block_rows)
+    rows, series = [], {}
+    for symbol, n in (("one", 1), ("edge", 128), ("over", 129), ("long", 1500)):
+        a, c = rng.uniform(0.55, 1.0, n), rng.normal(0, 100, n)
+        series[symbol] = (a, c)
+        rows += [(symbol, k, float(x), float(y)) for k, (x, y) in enumerate(zip(a, c, strict=True))]
+    df = with_blocks(spark.createDataFrame(rows, "symbol string, _rn long, a double, c double").repartition(5), block_rows)
+    recs = [Recurrence("y", F.col("a"), F.col("c")), Recurrence("total", None, F.col("c")), Recurrence("some", F.col("a"), F.col("c"), F.col("_rn") >= 3)]
+    out = linear_scan(df, Layout(block_rows=block_rows), recs)
+    assert "InPandas" not in out._jdf.queryExecution().toString()
+    got = out.toPandas()
+    for symbol, (a, c) in series.items():
+        own = got[got.symbol == symbol].sort_values("_rn")
+        np.testing.assert_allclose(own.y, sequential(a, c), rtol=1e-9, atol=1e-8)
+        np.testing.assert_allclose(own.total, np.cumsum(c), rtol=1e-9, atol=1e-8)
+        assert own.some.isna().sum() == min(3, len(a))
