@@ -1,8 +1,9 @@
 """Benchmark decontamination: BM25 retrieval of test items for every training passage.
 
-The test items make a BM25 inverted index. Weights of an item are divided by their sum, so
-that a passage with all words of an item scores 1 and one threshold suits items of all
-lengths. Postings lie in blocks of items with the largest weight of each term in a block.
+The test items make a BM25 inverted index. An item's threshold is what a passage must score
+if it holds enough of the item to be verified: all its weight but that of its heaviest terms,
+as many as the shingles that may be missing, for each word lost costs a shingle at least.
+Weights are divided by it, so that every item's threshold is 1. Postings lie in blocks of items with the largest weight of each term in a block.
 Every passage of every document (windows of three times the longest item, moved on by one
 length, so that no run of twice that length is cut everywhere) is a query: block-max WAND
 leaves out whatever cannot reach the threshold by the terms' largest weights, then by their
@@ -39,8 +40,6 @@ from candleframe.llm import textkit
 SHARD_BYTES = 16 << 20
 #: Items in one block of postings.
 BLOCK = 64
-#: Share of an item's BM25 weight that a passage must hold to retrieve it.
-LEAST_SCORE = 0.3
 #: Words in a shingle; least share of an item's shingles; least share of each of its two parts.
 WORDS, LEAST_OVERLAP, LEAST_PART = 5, 0.8, 0.5
 _K1, _B = 1.2, 0.75
@@ -68,23 +67,25 @@ class Index:
         """Items whose score for a passage with these distinct terms reaches ``least``."""
         if self.largest[terms].sum() < least:
             return []
-        bound = np.zeros((self.n_items - 1) // BLOCK + 1)
-        for t in terms.tolist():
-            lo, hi = self.block_at[t], self.block_at[t + 1]
-            bound[self.blocks[lo:hi]] += self.block_largest[lo:hi]
-        alive = bound >= least
+        at = _ranges(self.block_at, terms)
+        alive = np.bincount(self.blocks[at], self.block_largest[at], minlength=(self.n_items - 1) // BLOCK + 1) >= least
         if not alive.any():
             return []
-        score = np.zeros(self.n_items)
-        for t in terms.tolist():
-            lo, hi = self.term_at[t], self.term_at[t + 1]
-            own = self.items[lo:hi]
-            use = alive[own // BLOCK]
-            score[own[use]] += self.weights[lo:hi][use]
+        at = _ranges(self.term_at, terms)
+        if not alive.all():
+            at = at[alive[self.items[at] // BLOCK]]
+        score = np.bincount(self.items[at], self.weights[at], minlength=self.n_items)
         hits = np.flatnonzero(score >= least)
         return list(zip(hits.tolist(), score[hits].tolist(), strict=True))
 
 
+def _ranges(at: np.ndarray, terms: np.ndarray) -> np.ndarray:
+    """All positions from ``at[t]`` to ``at[t + 1]``, for each of ``terms``."""
+    low = at[terms]
+    run = at[terms + 1] - low
+    return np.repeat(low - (np.cumsum(run) - run), run) + np.arange(run.sum())
+
+
 def _hashes(texts: list[str | None]) -> list[np.ndarray]:
     return [h.copy() for _, h in textkit.each_text(pa.array(texts, pa.string()), textkit.PUNCTUATION)]
 
@@ -103,7 +104,11 @@ def build(ids: list, questions: list[str | None], answers: list[str | None]) ->
     terms, term, df = np.unique(word, return_inverse=True, return_counts=True)
     idf = np.log(1 + (len(rows) - df + 0.5) / (df + 0.5))
     weight = idf[term] * tf * (_K1 + 1) / (tf + _K1 * (1 - _B + _B * length[item] / length.mean()))
-    weight /= np.bincount(item, weight)[item]
+    lost = ((1 - LEAST_OVERLAP) * np.maximum(length - WORDS + 1, 1) + 1e-9).astype(int)  # shingles that may be missing
+    heaviest = np.lexsort((-weight, item))
+    nth = np.arange(len(item)) - np.searchsorted(item[heaviest], item[heaviest])
+    heavy = np.bincount(item[heaviest], weight[heaviest] * (nth < lost[item[heaviest]]))
+    weight /= (np.bincount(item, weight) - heavy)[item] * (1 - 1e-9)
     order = np.lexsort((item, term))
     term, item, weight = term[order], item[order], weight[order]
     term_at = np.searchsorted(term, np.arange(len(terms) + 1))
@@ -120,14 +125,17 @@ def passages(n_words: int, longest: int) -> list[tuple[int, int]]:
 
 
 def match(hashes: np.ndarray, index: Index) -> list[tuple[int, float, float, float, float]]:
-    """(item, best passage score, overlap, question overlap, answer overlap) of the items found in a document."""
+    """(item, best passage score as a multiple of its threshold, overlap, question overlap, answer overlap) of the items found in a document."""
     at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     term = np.where(index.terms[at] == hashes, at, -1)
+    whole = np.unique(term)
     best: dict[int, float] = {}
-    for start, stop in passages(len(hashes), index.longest):
-        own = np.unique(term[start:stop])
-        for item, score in index.retrieve(own[own >= 0], LEAST_SCORE):
-            best[item] = max(score, best.get(item, 0.0))
+    # No passage scores more for an item than the whole document, so most documents need one look.
+    if index.retrieve(whole[whole >= 0], 1.0):
+        for start, stop in passages(len(hashes), index.longest):
+            own = np.unique(term[start:stop])
+            for item, score in index.retrieve(own[own >= 0], 1.0):
+                best[item] = max(score, best.get(item, 0.0))
     if not best:
         return []
     there = np.unique(textkit.ordered_shingles(hashes, WORDS))
