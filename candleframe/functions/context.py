@@ -1,8 +1,12 @@
 """Per-bar market context classifiers. Row-local CASE expressions over the
-feature frame; NULL inputs fall through to the neutral branch as NaN does in pandas."""
+feature frame; NULL inputs fall through to the neutral branch as NaN does in pandas.
+
+The thresholds and labels in the CASE expressions are fixed values."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,23 +85,30 @@ def ui_bands() -> dict[str, Column]:
     }
 
 
-CONTEXT_COLUMNS = [
-    "close", "sma_10", "sma_20", "sma_50", "close_lag5", "close_lag4", "volume", "volume_sma_5", "volume_sma",
-    "rsi_simple", "prev_close", "ema_5", "prev_ema_5", "ema_20", "prev_ema_20", "volume_ratio", "rsi",
-    "volatility_norm", "adx", "volatility",
-]
-
-
-def with_context(f: DataFrame) -> DataFrame:
-    return f.withColumns(
-        {
-            "trend_context": trend_context(),
-            "volume_context": volume_context(),
-            "rsi_context": rsi_context(),
-            "recent_trend": recent_trend(),
-            "volume_confirmed": volume_confirmed(),
-            "rsi_signal": rsi_extreme(),
-            "market_phase": market_phase(),
-            **ui_bands(),
-        }
-    )
+#: The feature columns that each output reads.
+CONTEXT_INPUTS: dict[str, tuple[str, ...]] = {
+    "trend_context": ("sma_10", "sma_20", "sma_50", "close_lag5", "close_lag4"),
+    "volume_context": ("volume_sma_5", "volume_sma"),
+    "rsi_context": ("rsi_simple", "prev_close"),
+    "recent_trend": ("ema_5", "prev_ema_5", "ema_20", "prev_ema_20"),
+    "volume_confirmed": ("volume_ratio", "volume_sma"),
+    "rsi_signal": ("rsi",),
+    "market_phase": ("sma_20", "sma_50"),
+    "volatility_band": ("volatility_norm",),
+    "volume_band": ("volume_ratio", "volume_sma"),
+    "trend_band": ("adx",),
+}
+
+
+def with_context(f: DataFrame, outputs: Sequence[str]) -> DataFrame:
+    """Add the named outputs; ``f`` needs their ``CONTEXT_INPUTS`` only."""
+    built = {
+        "trend_context": trend_context,
+        "volume_context": volume_context,
+        "rsi_context": rsi_context,
+        "recent_trend": recent_trend,
+        "volume_confirmed": volume_confirmed,
+        "rsi_signal": rsi_extreme,
+        "market_phase": market_phase,
+    }
+    return f.withColumns({name: built[name]() if name in built else ui_bands()[name] for name in outputs})

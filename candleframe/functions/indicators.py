@@ -18,6 +18,7 @@ are not referenced are pruned by Catalyst; scans are chosen from a dependency ta
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, WindowSpec
@@ -559,6 +560,10 @@ def derived_builders() -> dict[str, Callable[[], Column]]:
 
 
 
+#: Derived columns that read their own bar only.
+ROW_LOCAL = {"range_pct", "hlc3", "ohlc4", "high_low_ratio", "close_open_ratio", "price_position", "hl_intensity", "trend_intensity", "candle_doji"}
+
+
 def features(
     bars: DataFrame,
     columns: Iterable[str] | None = None,
@@ -576,6 +581,9 @@ def features(
     """
     layout = layout or Layout()
     cols = list(columns) if columns is not None else None
+    if cols is not None and not indexed and set(cols) <= ROW_LOCAL:
+        # read nothing but their own bar: no numbering, no window
+        return bars.withColumns({k: built_derived()[k] for k in cols})
     if indexed:
         df = bars
     elif materialize:
@@ -595,7 +603,8 @@ def features(
     df = S.linear_scan(df, layout, [S1[k]() for k in s1])
     have = set(s1)
     w2 = [[(n, c) for n, c in lvl if _w2_ok(n, have)] for lvl in built_levels(w2_levels, layout)]
-    df = windowed(df, layout, W2_HALO, w2)
+    if s2 or cols is None or _reads(cols, {n for lvl in w2 for n, _ in lvl}):
+        df = windowed(df, layout, W2_HALO, w2)
     df = S.linear_scan(df, layout, [S2[k]() for k in s2])
     have |= set(s2)
     if {"ema_hl_9", "ema_hl_9_9"} <= have:
@@ -606,6 +615,12 @@ def features(
     return df.withColumns(add)
 
 
+def _reads(cols: Iterable[str], names: set[str]) -> bool:
+    """Whether a wanted column is one of ``names`` or is derived from one."""
+    derived = built_derived()
+    return any(c in names or c in derived and names & set(re.findall(r"\w+", str(derived[c]))) for c in cols)
+
+
 _S2_INPUTS = {"macd_signal": {"ema_12", "ema_26"}, "adx": {"tr_w", "pos_dm_w", "neg_dm_w"}, "ema_hl_9_9": {"ema_hl_9"}}
 
 

@@ -42,10 +42,11 @@ def next_timestamp(latest: DataFrame, minutes: int = 10, keys: Sequence[str] = (
 
 
 def describe_market(stats: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """One line of text per series from its last-100-bar statistics (2 decimals)."""
+    """One line of text per series from the statistics of its bars (2 decimals)."""
     text = F.format_string(
-        "Market Analysis for the last 100 candles: Current Price: %.2f; Price Change: %.2f%%; Volume Trend: %s; "
-        "Market Phase: %s; Buying Pressure: %.2f; Selling Pressure: %.2f",
+        "%d bars, close %.2f (%.2f%% since the first bar); volume %s; phase %s; "
+        "share of volume in rising bars %.2f, in falling bars %.2f",
+        F.col("n_bars"),
         F.col("current_price"),
         F.col("price_change"),
         F.col("volume_trend"),

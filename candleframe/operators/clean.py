@@ -108,10 +108,11 @@ def _with_counts(df: DataFrame, layout: Layout) -> DataFrame:
 
 
 def tail_n(df: DataFrame, n: int, layout: Layout | None = None) -> DataFrame:
-    """Last n rows of each series (row number vs series count; no whole-series window)."""
+    """Last n rows of each series. Spark keeps n rows of a series in each map task
+    (WindowGroupLimit) before it shuffles, so a long series needs no numbering."""
     layout = layout or Layout()
-    j = _with_counts(df, layout)
-    return j.filter(F.col(RN) >= F.col("_n") - n).drop("_n")
+    w = Window.partitionBy(*layout.by).orderBy(F.desc(layout.ts))
+    return df.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= n).drop("_k")
 
 
 def drop_last_n(df: DataFrame, n: int, layout: Layout | None = None) -> DataFrame:

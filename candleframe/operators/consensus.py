@@ -18,6 +18,7 @@ from .series import BLK, BS, RN, Layout, windowed
 # Trend labels in their natural order, their vote weights, and bucket cuts.
 TRENDS = ["strong_uptrend", "weak_uptrend", "sideways", "weak_downtrend", "strong_downtrend"]
 TREND_WEIGHTS = {"strong_uptrend": 2, "weak_uptrend": 1, "sideways": 0, "weak_downtrend": -1, "strong_downtrend": -2}
+#: Default of ``strategy_predictions(hit_window=...)``: bars over which a rule's hit rate is taken.
 HIT_WINDOW = 50
 
 KEYS = ["symbol", "ts"]
@@ -61,13 +62,13 @@ def trend_weight(trend: Column) -> Column:
     return expr
 
 
-def strategy_predictions(wide: DataFrame, layout: Layout | None = None) -> DataFrame:
+def strategy_predictions(wide: DataFrame, layout: Layout | None = None, hit_window: int = HIT_WINDOW) -> DataFrame:
     """Rule strategies as voting models.
 
     ``wide`` carries the bar layout (``_rn``, ``_blk``), ``delta_close`` and the 35
     ``sig_*`` columns. Per (symbol, model) series: a vote at t-1 is a hit when the close
     then moves in its direction (neutral votes are not scored); ``accuracy`` is the mean
-    hit over the trailing 50 bars (realised outcomes only). prob_up is that accuracy for a
+    hit over the trailing ``hit_window`` bars (realised outcomes only). prob_up is that accuracy for a
     buy vote, its complement for a sell vote, 0.5 for neutral or unscored; a rule's hit
     rate stands for both accuracy and f1.
     """
@@ -91,10 +92,10 @@ def strategy_predictions(wide: DataFrame, layout: Layout | None = None) -> DataF
             )
             for n in names
         ],
-        [(f"_acc_{n}", (lambda n: lambda w: F.avg(f"_hit_{n}").over(w.rowsBetween(-(HIT_WINDOW - 1), 0)))(n)) for n in names],
+        [(f"_acc_{n}", (lambda n: lambda w: F.avg(f"_hit_{n}").over(w.rowsBetween(-(hit_window - 1), 0)))(n)) for n in names],
     ]
     lay_cols = [c for c in (RN, BLK, BS) if c in wide.columns]
-    wide_acc = windowed(wide.select(*KEYS, *lay_cols, "delta_close", *[f"sig_{n}" for n in names]), layout, HIT_WINDOW + 1, levels)
+    wide_acc = windowed(wide.select(*KEYS, *lay_cols, "delta_close", *[f"sig_{n}" for n in names]), layout, hit_window + 1, levels)
     triples = ", ".join(f"'{n}', sig_{n}, _acc_{n}" for n in names)
     p = wide_acc.selectExpr(*KEYS, f"stack({len(names)}, {triples}) AS (model, signal, accuracy)")
     acc = F.coalesce(F.col("accuracy"), F.lit(0.5))
@@ -318,7 +319,8 @@ def top_k_per_trend(preds: DataFrame, k: int = 3, keys: Sequence[str] = KEYS) ->
 
 
 def softmax_argmax(logits: DataFrame, labels: Sequence[str], col: str = "logits") -> DataFrame:
-    """Softmax over a fixed-length logits array (max-shifted), best label and its probability."""
+    """Softmax over a logits array of any length (max-shifted), best label and its probability;
+    a class beyond ``labels`` takes the label of class 0."""
     x = F.col(col)
     m = F.array_max(x)
     e = F.transform(x, lambda v: F.exp(v - m))
@@ -326,6 +328,6 @@ def softmax_argmax(logits: DataFrame, labels: Sequence[str], col: str = "logits"
     probs = F.transform(e, lambda v: v / tot)
     best = F.array_position(probs, F.array_max(probs)) - 1
     lab = F.array(*[F.lit(s) for s in labels])
-    return logits.withColumn("probs", probs).withColumn("label", F.element_at(lab, (best + 1).cast("int"))).withColumn(
+    return logits.withColumn("probs", probs).withColumn("label", F.coalesce(F.get(lab, best.cast("int")), F.get(lab, F.lit(0)))).withColumn(
         "label_confidence", F.array_max(F.col("probs"))
     )

@@ -8,6 +8,7 @@ executors recompute from the checkpoint, not from the raw ticks.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -26,6 +27,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +104,9 @@ def _prep(cols: Sequence[str]) -> list:
 
 def bakeoff(p: DataFrame, cols: Sequence[str] = FEATURES_12, models: Sequence[ModelSpec] | None = None):
     """Fit every model on train rows; return (predictions on test rows, fitted pipelines).
-    A model that fails to fit yields no rows (as the reference skips it)."""
+    A model that cannot be fit on the data (say, one class only) yields no rows and a
+    warning; any other error, such as a lost executor, rises. ``has_probability`` tells
+    which rows carry a probability of the model, for the soft vote."""
     models = list(models or default_models())
     train = p.filter(~F.col("is_test")).withColumn("_pm", F.col("label") * 2.0 - 1.0)
     test = p.filter(F.col("is_test"))
@@ -110,7 +114,8 @@ def bakeoff(p: DataFrame, cols: Sequence[str] = FEATURES_12, models: Sequence[Mo
     for spec in models:
         try:
             pipe = Pipeline(stages=[*_prep(cols), spec.make(len(cols))]).fit(train)
-        except Exception:  # noqa: BLE001 - a failed model is skipped, as in the reference
+        except IllegalArgumentException as e:  # this model cannot be fit on these data; other errors rise
+            warnings.warn(f"{spec.name} was not fit: {e}", stacklevel=2)
             continue
         fitted[spec.name] = pipe
         scored = pipe.transform(test)
@@ -125,7 +130,8 @@ def bakeoff(p: DataFrame, cols: Sequence[str] = FEATURES_12, models: Sequence[Mo
             pred = F.col("prediction")
         outs.append(
             scored.select(
-                "symbol", "ts", F.lit(spec.name).alias("model"), prob.alias("prob_up"), pred.alias("prediction"), "label"
+                "symbol", "ts", F.lit(spec.name).alias("model"), prob.alias("prob_up"), pred.alias("prediction"), "label",
+                F.lit(spec.has_probability and not spec.ridge).alias("has_probability"),
             )
         )
     if not outs:
@@ -190,7 +196,7 @@ def top_importance(imp: DataFrame, k: int = 20) -> DataFrame:
 def voting(preds: DataFrame, keys: Sequence[str] = ("symbol", "ts")) -> DataFrame:
     """Soft vote (mean prob_up of models with a probability) and hard vote (majority)."""
     return preds.groupBy(*keys).agg(
-        F.avg(F.when(F.col("prob_up") != 0.5, F.col("prob_up"))).alias("soft_prob_up"),
+        F.avg(F.when(F.col("has_probability"), F.col("prob_up"))).alias("soft_prob_up"),
         (F.avg("prediction") > 0.5).cast("int").alias("hard_vote"),
         F.count(F.lit(1)).alias("n_models"),
     )
@@ -320,7 +326,8 @@ def discriminant(p: DataFrame, cols: Sequence[str] = FEATURES_12, quadratic: boo
     name = "QuadraticDA" if quadratic else "LinearDA"
     test = zp.filter(F.col("is_test"))
     return test.select(
-        "symbol", "ts", F.lit(name).alias("model"), prob.alias("prob_up"), (prob > 0.5).cast("double").alias("prediction"), "label"
+        "symbol", "ts", F.lit(name).alias("model"), prob.alias("prob_up"), (prob > 0.5).cast("double").alias("prediction"), "label",
+        F.lit(True).alias("has_probability"),
     )
 
 

@@ -737,8 +737,8 @@ _CTX_KEYS = {
 
 def _ctx_builder(cols):
     def build(spark, sf_dir):
-        f = _features_for(spark, sf_dir, CX.CONTEXT_COLUMNS)
-        return CX.with_context(f).select("symbol", "ts", *cols)
+        f = _features_for(spark, sf_dir, list(dict.fromkeys(c for out in cols for c in CX.CONTEXT_INPUTS[out])))
+        return CX.with_context(f, cols).select("symbol", "ts", *cols)
 
     return build
 
@@ -975,7 +975,7 @@ def q_join_registry(spark, sf_dir):
 
     preds = _predictions(spark, sf_dir)
     reg = register_models(registry_table(spark), preds.select("model").distinct())
-    return preds.join(F.broadcast(reg), "model", "inner").select("symbol", "ts", "model", "name", "type", "trend", r6("confidence"))
+    return preds.join(reg, "model", "inner").select("symbol", "ts", "model", "name", "type", "trend", r6("confidence"))
 
 
 @register(
@@ -984,9 +984,9 @@ def q_join_registry(spark, sf_dir):
     f"{Q.r6('sma_20 - ema_20', 'sma_ema_gap')} FROM fd",
 )
 def q_align_series(spark, sf_dir):
-    b = bars_1h(spark, sf_dir)
-    a = drop_layout(features(b, ["sma_20"])).select("symbol", "ts", "sma_20")
-    e = drop_layout(features(b, ["ema_20"])).select("symbol", "ts", "ema_20")
+    b = numbered(bars_1h(spark, sf_dir))  # the two series to align share the numbered bars
+    a = drop_layout(features(b, ["sma_20"], indexed=True)).select("symbol", "ts", "sma_20")
+    e = drop_layout(features(b, ["ema_20"], indexed=True)).select("symbol", "ts", "ema_20")
     j = a.join(e, ["symbol", "ts"], "inner")
     return j.select("symbol", "ts", r6("sma_20"), r6("ema_20"), r6(F.col("sma_20") - F.col("ema_20"), "sma_ema_gap"))
 
@@ -1080,7 +1080,7 @@ def q_ml_decision(spark, sf_dir):
     then the decision rule with market context of the same bar."""
     _, preds, _ = _bakeoff(spark, sf_dir)
     ens = CS.ensemble_prob(ML.with_eval(preds), ML.weights_table(spark))
-    ctx = CX.with_context(_features_for(spark, sf_dir, CX.CONTEXT_COLUMNS)).select(
+    ctx = CX.with_context(_features_for(spark, sf_dir, [*dict.fromkeys(c for cs in CX.CONTEXT_INPUTS.values() for c in cs), "volatility"]), list(CX.CONTEXT_INPUTS)).select(
         "symbol", "ts", "volatility", "recent_trend", "rsi_signal", "volume_confirmed"
     )
     d = CS.decision(ens, ctx)
@@ -1286,27 +1286,25 @@ def q_format_datetime(spark, sf_dir):
 @register(
     "describe_market",
     f"{Q.with_ctes(*W1_SQL_CTES)}, t AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM w1), "
-    "h AS (SELECT * FROM t WHERE k <= 100), g AS (SELECT symbol, arg_max(close, ts) AS cp, "
+    "g AS (SELECT symbol, count(*) AS n, arg_max(close, ts) AS cp, "
     "(arg_max(close, ts) / arg_min(close, ts) - 1.0) * 100.0 AS pc, "
-    "CASE WHEN avg(volume_change) FILTER (WHERE k < 100) > 0 THEN 'increasing' ELSE 'decreasing' END AS vt, "
+    "CASE WHEN avg(volume_change) > 0 THEN 'increasing' ELSE 'decreasing' END AS vt, "
     "sum(CASE WHEN close > open THEN volume ELSE 0.0 END) AS bv, sum(CASE WHEN close < open THEN volume ELSE 0.0 END) AS sv, "
-    "arg_max(sma_20, ts) AS s20, arg_max(sma_50, ts) AS s50 FROM h GROUP BY symbol) "
-    "SELECT symbol, printf('Market Analysis for the last 100 candles: Current Price: %.2f; Price Change: %.2f%%; "
-    "Volume Trend: %s; Market Phase: %s; Buying Pressure: %.2f; Selling Pressure: %.2f', cp, pc, vt, "
+    "arg_max(sma_20, ts) AS s20, arg_max(sma_50, ts) AS s50 FROM t GROUP BY symbol) "
+    "SELECT symbol, printf('%d bars, close %.2f (%.2f%% since the first bar); volume %s; phase %s; "
+    "share of volume in rising bars %.2f, in falling bars %.2f', n, cp, pc, vt, "
     "CASE WHEN cp > s20 AND s20 > s50 THEN 'strong_uptrend' WHEN cp < s20 AND s20 < s50 THEN 'strong_downtrend' "
     "WHEN s20 > s50 AND cp < s20 THEN 'weak_uptrend' WHEN s20 < s50 AND cp > s20 THEN 'weak_downtrend' ELSE 'sideways' END, "
     "bv / (bv + sv), sv / (bv + sv)) AS description FROM g",
 )
 def q_describe_market(spark, sf_dir):
-    """Text per symbol over its last 100 bars (the window the reference describes); the
-    volume trend uses the 99 in-window volume changes."""
+    """Text per symbol over its whole series."""
     f = features(bars_1h(spark, sf_dir), ["sma_20", "sma_50", "volume_change"])
-    t = tail_n(f, 100)
-    t = t.join(t.groupBy("symbol").agg(F.min("_rn").alias("_first")), "symbol")
-    g = t.groupBy("symbol").agg(
+    g = f.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_bars"),
         F.max_by("close", "ts").alias("current_price"),
         ((F.try_divide(F.max_by("close", "ts"), F.min_by("close", "ts")) - 1.0) * 100.0).alias("price_change"),
-        F.avg(F.when(F.col("_rn") > F.col("_first"), F.col("volume_change"))).alias("_mvc"),
+        F.avg("volume_change").alias("_mvc"),
         F.sum(F.when(F.col("close") > F.col("open"), F.col("volume")).otherwise(0.0)).alias("_bv"),
         F.sum(F.when(F.col("close") < F.col("open"), F.col("volume")).otherwise(0.0)).alias("_sv"),
         F.max_by("sma_20", "ts").alias("_s20"),
@@ -1314,6 +1312,7 @@ def q_describe_market(spark, sf_dir):
     )
     stats = g.select(
         "symbol",
+        "n_bars",
         "current_price",
         "price_change",
         F.when(F.col("_mvc") > 0, "increasing").otherwise("decreasing").alias("volume_trend"),

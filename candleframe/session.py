@@ -59,6 +59,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return conf_dir
     if current:
         return current
-    local = tempfile.mkdtemp(prefix="candleframe-ckpt-", dir="/tmp")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    local = tempfile.mkdtemp(prefix="candleframe-ckpt-")
     sc.setCheckpointDir(local)
     return local

@@ -28,14 +28,14 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def tick_stream(spark: SparkSession, sf_dir: str, table: str = "events", max_files_per_trigger: int | None = None) -> DataFrame:
-    """``<table>.parquet`` files of a folder as a tick stream (symbol, ts, seq, price, qty);
-    new files dropped into the folder are picked up by later triggers."""
-    folder = sf_dir.rstrip("/")
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}*.parquet")
+    """The table ``<table>.parquet``, a file or a folder of part files, as a tick stream
+    (symbol, ts, seq, price, qty); new files in a folder are picked up by later triggers."""
+    path = f"{sf_dir.rstrip('/')}/{table}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    ev = r.parquet(folder)
+    # A stream takes a folder or a pattern, not one file; this pattern is met by either.
+    ev = r.parquet(f"{path[:-1]}?")
     return ev.select(
         F.col("event_type").alias("symbol"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -68,21 +68,12 @@ def checkpoint_location(spark: SparkSession, name: str) -> str:
     return os.path.join(ensure_checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex[:8]}")
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(df: DataFrame, name: str) -> DataFrame:
     """Run a streaming query over all currently available input (availableNow trigger)
-    into an in-memory table and return that table as a batch DataFrame."""
+    into Parquet files in the session's checkpoint folder and return them as a batch DataFrame."""
     spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex[:8]}"
-    q = (
-        df.writeStream.outputMode(mode)
-        .format("memory")
-        .queryName(table)
-        .option("checkpointLocation", checkpoint_location(spark, name))
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return spark.table(table)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-output/{name}-{uuid.uuid4().hex}"
+    return spark.read.schema(df.schema).parquet(write_stream_parquet(df, name, path))
 
 
 # ---------------------------------------------------------------------------
@@ -151,43 +142,40 @@ def bar_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def cross_alerts(history_path: str, alerts_path: str):
+LAST_SIDE = "symbol string, ts timestamp, side double"
+
+
+def cross_alerts(sides_path: str, alerts_path: str):
     """foreachBatch handler over an EMA stream: a bar is an alert when the side of close
-    vs EMA (above / below) differs from the symbol's previous bar. The previous bar of a
-    batch's first row comes from the history folder (last row per symbol, a group
-    aggregate); batch rows are then appended to the history."""
+    vs EMA (above / below) differs from the symbol's previous bar.
+
+    Each epoch writes its own folders, with overwrite, so a batch that is run again leaves
+    the same files: its alerts, and the last side of each symbol (one row per symbol), which
+    the next epoch reads as the bars before its own."""
     from pyspark.sql import Window
 
     def handle(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        cur = batch.filter(~F.col("late") & F.col("ema").isNotNull()).select(
-            "symbol", "ts", "close", "ema", F.signum(F.col("close") - F.col("ema")).alias("side")
-        )
-        try:
-            hist = spark.read.parquet(history_path)
-            last = hist.groupBy("symbol").agg(F.max_by(F.struct("ts", "side"), "ts").alias("_l")).select(
-                "symbol", F.col("_l.ts").alias("ts"), F.col("_l.side").alias("side"), F.lit(True).alias("_old")
-            )
-        except Exception:  # noqa: BLE001 - no history yet
-            last = None
-        rows = cur.select("symbol", "ts", "side", F.lit(False).alias("_old"))
-        if last is not None:
-            rows = rows.unionByName(last)
+        cur = batch.filter(~F.col("late") & F.col("ema").isNotNull()).select("symbol", "ts", F.signum(F.col("close") - F.col("ema")).alias("side"))
+        if epoch:
+            last = spark.read.schema(LAST_SIDE).parquet(f"{sides_path}/epoch={epoch - 1}")
+        else:
+            last = spark.createDataFrame([], LAST_SIDE)
+        rows = cur.withColumn("_old", F.lit(False)).unionByName(last.withColumn("_old", F.lit(True)))
         w = Window.partitionBy("symbol").orderBy("ts")
-        ch = rows.withColumn("prev_side", F.lag("side").over(w)).filter(
-            ~F.col("_old") & F.col("prev_side").isNotNull() & (F.col("prev_side") != F.col("side"))
-        )
-        ch.select("symbol", "ts", "side", "prev_side", F.lit(epoch).alias("epoch")).write.mode("append").parquet(alerts_path)
-        cur.write.mode("append").parquet(history_path)
+        ch = rows.withColumn("prev_side", F.lag("side").over(w)).filter(~F.col("_old") & (F.col("prev_side") != F.col("side")))
+        ch.select("symbol", "ts", "side", "prev_side").write.mode("overwrite").parquet(f"{alerts_path}/epoch={epoch}")
+        now = cur.unionByName(last).groupBy("symbol").agg(F.max("ts").alias("ts"), F.max_by("side", "ts").alias("side"))
+        now.write.mode("overwrite").parquet(f"{sides_path}/epoch={epoch}")
 
     return handle
 
 
 def run_alerts(ema_stream: DataFrame, base: str, name: str = "alerts") -> str:
     spark = ema_stream.sparkSession
-    hist, alerts = f"{base}/history", f"{base}/alerts"
+    sides, alerts = f"{base}/sides", f"{base}/alerts"
     q = (
-        ema_stream.writeStream.foreachBatch(cross_alerts(hist, alerts))
+        ema_stream.writeStream.foreachBatch(cross_alerts(sides, alerts))
         .option("checkpointLocation", checkpoint_location(spark, name))
         .trigger(availableNow=True)
         .start()
