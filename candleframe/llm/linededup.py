@@ -8,12 +8,13 @@ named by its earliest line, so exact repeats never meet in pairs.
 The join of classes: words are ordered by rarity (how often the word's hash bucket, of
 65,536, occurs in all lines; ties by hash), and a class is listed under the first
 n - ceil(t n) + 1 of its words only, which any two matching classes share. Under each word
-a length filter, a positional filter and a 64-bit bitmap of the sets rule out what cannot
-match; nothing that can match is lost. For the classes that are left, the words are read
-from the texts again and the similarity is verified on the full sets, in blocks through one
-inverted index each; a block reports classes that have an earlier match, never pairs.
-Words whose bucket is frequent are split into blocks of classes, each met by all others of
-that word, so no task holds a whole frequent word.
+a length filter, a positional filter and bitmaps of the sets rule out what cannot match;
+nothing that can match is lost. Words with few classes give the pairs that are left; words
+with more give classes, which are compared in one block, without pairs. The words of the
+classes that are left are read from the texts again, and the similarity is verified on the
+full sets; a block reports classes that have an earlier match. Words whose bucket is
+frequent are split into blocks of classes, each met by all others of that word, so no task
+holds a whole frequent word.
 
 Defined results: lines end at newlines; lines without a word are kept, and match nothing;
 null and empty texts have no lines; rows equal in id and text are one document and lose the
@@ -23,6 +24,7 @@ same lines; a null id sorts first; other columns pass through.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -37,167 +39,232 @@ from candleframe.llm.common import written
 BUCKETS = 1 << 16
 #: Occurrences of a bucket from which its words are split into blocks of about so many lines.
 FREQUENT = 20_000
+#: Classes under one word up to which it gives pairs.
+FEW = 64
 #: Lengths and positions are packed in 12 bits; a longer line counts as this long, and its filters are left out.
 MOST = 4095
+#: Lines of more words than this get two 64-bit bitmaps.
+LONG = 48
 
 _U = np.uint64
 
 
-def line_sets(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray]]:
-    """(row, line number, sorted distinct word hashes) of each line with a word."""
-    for row, starts, ends, hashes in textkit.each_line(texts):
-        for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
-            if b > a:
-                yield row, k, np.unique(hashes[a:b])
+class Lines(NamedTuple):
+    """The lines with a word of some texts: row, number in the row, first word, number of words; sorted distinct words by line."""
 
+    row: np.ndarray
+    number: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    words: np.ndarray
 
-def set_key(words: np.ndarray) -> int:
-    """A 64-bit name of a sorted set of word hashes."""
-    with np.errstate(over="ignore"):
-        total = (textkit.mix(words) * (_U(2) * np.arange(len(words), dtype=np.uint64) + _U(1))).sum(dtype=np.uint64)
-        return int(textkit.mix(np.array([total + _U(len(words))], dtype=np.uint64)).view(np.int64)[0])
+    def of_line(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.size)), self.size)
 
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """Occurrences of each word bucket in all texts (65,536 numbers)."""
+def _by_line(line: np.ndarray) -> np.ndarray:
+    small = line.astype(np.uint16) if len(line) and line.max() < 1 << 16 else line  # radix sort
+    return np.argsort(small, kind="stable")
+
+
+def line_sets(texts: pa.Array) -> Iterator[Lines]:
+    """Lines of chunks of a text column."""
+    for first, _, raw, offsets in textkit.chunks(texts):
+        a, b = textkit.words(raw, offsets)
+        if not len(a):
+            continue
+        h = textkit.word_hashes(raw, a, b)
+        newline = np.flatnonzero(raw == 10)
+        begin = np.concatenate((offsets[:-1], newline + 1))
+        row = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, newline, side="right") - 1))
+        order = np.lexsort((row, begin))
+        begin, row = begin[order], row[order]
+        number = np.arange(len(row)) - np.searchsorted(row, row)
+        line = np.searchsorted(begin, a, side="right") - 1
+        order = np.argsort(h)
+        order = order[_by_line(line[order])]
+        h, line = h[order], line[order]
+        new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
+        h, line = h[new], line[new]
+        start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+        own = line[start]
+        yield Lines(first + row[own], number[own], start, np.diff(np.append(start, len(h))), h)
+
+
+def set_keys(lines: Lines) -> np.ndarray:
+    """A 64-bit name of the set of each line."""
+    place = (np.arange(len(lines.words)) - np.repeat(lines.start, lines.size)).astype(np.uint64)
+    total = np.add.reduceat(textkit.mix(lines.words) * (_U(2) * place + _U(1)), lines.start)
+    return textkit.mix(total + lines.size.astype(np.uint64)).view(np.int64)
+
+
+def line_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """Lines (id, doc, line, class) and the occurrences of each of the 65,536 word buckets in them, from one pass."""
 
     def run(batches):
+        names = ["id", "doc", "line", "class", "n"]
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            for _, hashes in textkit.each_text(batch.column(0)):
-                total += np.bincount((hashes & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+            for lines in line_sets(batch.column(2)):
+                total += np.bincount((lines.words & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
+                at = pa.array(lines.row)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number, pa.int32()), pa.array(set_keys(lines)), pa.nulls(len(at), pa.int64())], names=names)
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["bucket", "n"])
-
-    sums = docs.select("text").mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(BUCKETS, dtype=np.int64)
-    out[sums["bucket"].to_numpy(int)] = sums["n"].to_numpy(int)
-    return out
-
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=names)
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    table = written(docs.select("id", "doc", "text").mapInArrow(run, "id long, doc long, line int, class long, n long"), "lines")
+    sums = table.filter("n IS NOT NULL").groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    counts[sums["class"].to_numpy(int)] = sums["n"].to_numpy(int)
+    return table.filter("n IS NULL").drop("n").distinct(), counts
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, percent: int, frequent: int) -> tuple[DataFrame, DataFrame]:
-    """Lines (id, doc, line, class) and the listing of classes under their prefix words.
+def listing(docs: DataFrame, counts: np.ndarray, percent: int, frequent: int) -> DataFrame:
+    """Classes under their prefix words.
 
-    A listing row packs 40 bits of the word, the length and the position in ``word``; ``block``
-    and ``role`` (0 member and probe, 1 member, 2 probe) split frequent words.
+    ``word`` packs 40 bits of the word, the class's length and the word's position; ``block``
+    and ``role`` (0 member and probe, 1 member, 2 probe) split frequent words; ``low`` and
+    ``high`` are bitmaps of the set's words by their first bit, in ``low`` alone for short lines.
     """
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+    rank = np.empty(BUCKETS, dtype=np.uint16)
+    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
+    held = docs.sparkSession.sparkContext.broadcast((counts, rank))
+
+    def rows(lines: Lines, key: np.ndarray) -> list[np.ndarray]:
+        counts, rank = held.value
+        bucket = (lines.words & _U(BUCKETS - 1)).astype(np.int64)
+        of = lines.of_line()
+        order = np.argsort(rank[bucket], kind="stable")
+        order = order[_by_line(of[order])]
+        place = np.arange(len(of)) - lines.start[of]
+        keep = place < (lines.size - (percent * lines.size + 99) // 100 + 1)[of]
+        of, place, word, often = of[keep], place[keep], lines.words[order][keep], counts[bucket[order][keep]]
+        packed = (word & ~_U((1 << 24) - 1)) | (np.minimum(lines.size, MOST)[of].astype(np.uint64) << _U(12)) | np.minimum(place, MOST).astype(np.uint64)
+        bit = _U(1) << ((lines.words >> _U(57)) & _U(63))
+        upper = (lines.words >> _U(63)).astype(bool) & np.repeat(lines.size > LONG, lines.size)
+        low = np.bitwise_or.reduceat(np.where(upper, _U(0), bit), lines.start)
+        high = np.bitwise_or.reduceat(np.where(upper, bit, _U(0)), lines.start)
+        block, role = np.zeros(len(of), dtype=np.int32), np.zeros(len(of), dtype=np.int8)
+        split = np.flatnonzero(often > frequent)
+        if len(split):
+            blocks = often[split] // frequent + 1
+            block[split], role[split] = (key[of[split]] & 0x7FFFFFFF) % blocks, 1
+            again = np.repeat(split, blocks)
+            of, packed = np.concatenate((of, of[again])), np.concatenate((packed, packed[again]))
+            every = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            block = np.concatenate((block, every.astype(np.int32)))
+            role = np.concatenate((role, np.full(len(again), 2, dtype=np.int8)))
+        return [packed.view(np.int64), key[of], block, role, low.view(np.int64)[of], high.view(np.int64)[of]]
 
-    def lines(batches):
-        for batch in batches:
-            rows, number, key = [], [], []
-            for row, k, words in line_sets(batch.column(2)):
-                rows.append(row)
-                number.append(k)
-                key.append(set_key(words))
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(number, pa.int32()), pa.array(key, pa.int64())], names=["id", "doc", "line", "class"])
-
-    def listing(batches):
-        counts = held.value
+    def run(batches):
         for batch in batches:
             seen: set[int] = set()
-            parts: list[list[np.ndarray]] = [[], [], [], [], []]
-            for _, _, words in line_sets(batch.column(2)):
-                key = set_key(words)
-                if key in seen:
-                    continue
-                seen.add(key)
-                often = counts[(words & _U(BUCKETS - 1)).astype(np.int64)]
-                take = prefix_length(len(words), percent)
-                order = np.lexsort((words, often))[:take]
-                at = np.minimum(np.arange(take), MOST)
-                packed = (words[order] & ~_U((1 << 24) - 1)) | _U(min(len(words), MOST) << 12) | at.astype(np.uint64)
-                bitmap = int(np.bitwise_or.reduce(_U(1) << (words >> _U(58))))
-                often, n = often[order], take
-                split = often > frequent
-                if split.any():
-                    blocks = often // frequent + 1
-                    own = np.abs(key) % blocks
-                    rest = np.flatnonzero(split)
-                    every = np.repeat(rest, blocks[rest])
-                    parts[0].append(np.concatenate((packed, packed[every])))
-                    parts[2].append(np.concatenate((np.where(split, own, 0), np.concatenate([np.arange(b) for b in blocks[rest].tolist()]))))
-                    parts[3].append(np.concatenate((split.astype(np.int64), np.full(len(every), 2))))
-                    n = take + len(every)
-                else:
-                    parts[0].append(packed)
-                    parts[2].append(np.zeros(n, dtype=np.int64))
-                    parts[3].append(np.zeros(n, dtype=np.int64))
-                parts[1].append(np.full(n, key, dtype=np.int64))
-                parts[4].append(np.full(n, np.uint64(bitmap)))
-            cat = lambda p, kind: np.concatenate(p).astype(kind, copy=False) if p else np.zeros(0, kind)
-            columns = [cat(parts[0], np.uint64).view(np.int64), cat(parts[1], np.int64), cat(parts[2], np.int32), cat(parts[3], np.int8), cat(parts[4], np.uint64).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "class", "block", "role", "bitmap"])
-
-    rows = docs.select("id", "doc", "text")
-    return rows.mapInArrow(lines, "id long, doc long, line int, class long"), rows.mapInArrow(listing, "word long, class long, block int, role byte, bitmap long")
-
-
-def _can_match(a: tuple, b: tuple, percent: int) -> np.ndarray:
-    """Whether classes a and b, given as (length, position, bitmap), may match if this is their first common word."""
-    (na, pa_, ma), (nb, pb, mb) = a, b
-    need = -(-percent * (na + nb) // (100 + percent))  # least overlap at the threshold
-    left = np.minimum(na - pa_, nb - pb)  # this word and what may follow it
-    most = np.minimum(na - np.bitwise_count(ma & ~mb), nb - np.bitwise_count(mb & ~ma))
-    fits = (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (left >= need) & (most >= need)
-    return fits | (na >= MOST) | (nb >= MOST)
-
-
-def survivors(columns: list[np.ndarray], percent: int) -> np.ndarray:
-    """Rows of a sorted listing with a partner, under the same word and block, that the filters allow."""
-    word, cls, block, role, bitmap = columns
-    value = word.view(np.uint64)
-    key, n, at = value >> _U(24), ((value >> _U(12)) & _U(MOST)).astype(np.int64), (value & _U(MOST)).astype(np.int64)
-    bits = bitmap.view(np.uint64)
-    keep = np.zeros(len(word), dtype=bool)
-    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))))
-    size = np.diff(np.append(new, len(word)))
-    row_size = np.repeat(size, size)
-
-    def test(x: np.ndarray, y: np.ndarray) -> None:
-        roles = role[x] + role[y]
-        good = (cls[x] != cls[y]) & ((roles == 0) | (roles == 3))  # one is a member, one a probe
-        good &= _can_match((n[x], at[x], bits[x]), (n[y], at[y], bits[y]), percent)
-        keep[x[good]] = True
-        keep[y[good]] = True
-
-    offset = np.arange(len(word)) - np.repeat(new, size)
-    small = np.flatnonzero((row_size > 1) & (row_size <= 64))
-    step = 1
-    while len(small):
-        small = small[offset[small] + step < row_size[small]]
-        test(small, small + step)
-        step += 1
-    for start, count in zip(new[size > 64].tolist(), size[size > 64].tolist(), strict=True):
-        rows = np.arange(start, start + count)
-        some = max(1, (1 << 20) // count)
-        for k in range(0, count, some):
-            x = rows[k : k + some]
-            test(np.repeat(x, count), np.tile(rows, len(x)))
-    return keep
+            for lines in line_sets(batch.column(0)):
+                key = set_keys(lines)
+                fresh = []
+                for k in key.tolist():
+                    fresh.append(k not in seen)
+                    seen.add(k)
+                columns = rows(lines, key)
+                new = np.zeros(len(key), dtype=bool)
+                new[fresh] = True
+                if not new.all():
+                    use = np.isin(columns[1], key[~new], invert=True) if new.any() else np.zeros(len(columns[1]), dtype=bool)
+                    both = np.intersect1d(key[new], key[~new])  # first here, repeated in the same chunk
+                    use |= np.isin(columns[1], both)
+                    columns = [c[use] for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "class", "block", "role", "low", "high"])
+
+    return docs.select("text").mapInArrow(run, "word long, class long, block int, role byte, low long, high long")
+
+
+class Listed(NamedTuple):
+    """A sorted part of the listing, unpacked; whole words only."""
+
+    word: np.ndarray
+    block: np.ndarray
+    cls: np.ndarray
+    role: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+
+def unpack(columns: list[np.ndarray]) -> Listed:
+    packed, cls, block, role, low, high = columns
+    again = (packed[1:] == packed[:-1]) & (cls[1:] == cls[:-1]) & (block[1:] == block[:-1]) & (role[1:] == role[:-1])
+    one = np.concatenate(([True], ~again))  # a class listed by several tasks counts once
+    value = packed[one].view(np.uint64)
+    return Listed((value >> _U(24)).astype(np.int64), block[one], cls[one], role[one], ((value >> _U(12)) & _U(MOST)).astype(np.int64), (value & _U(MOST)).astype(np.int64), low[one].view(np.uint64), high[one].view(np.uint64))
+
+
+def can_match(t: Listed, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether rows x and y may match if their word is the first that they share."""
+    roles = t.role[x] + t.role[y]
+    good = (t.cls[x] != t.cls[y]) & ((roles == 0) | (roles == 3))  # one is a member, one a probe
+    nx, ny = t.size[x], t.size[y]
+    need = -(-percent * (nx + ny) // (100 + percent))  # least overlap at the threshold
+    fits = (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (np.minimum(nx - t.place[x], ny - t.place[y]) >= need)
+    fits |= (nx >= MOST) | (ny >= MOST)  # their true lengths and places are not known here
+    at = np.flatnonzero(good & fits)
+    x, y, nx, ny = x[at], y[at], nx[at], ny[at]
+    two = (nx > LONG) & (ny > LONG)
+    la, lb = np.where(two, t.low[x], t.low[x] | t.high[x]), np.where(two, t.low[y], t.low[y] | t.high[y])
+    ha, hb = np.where(two, t.high[x], _U(0)), np.where(two, t.high[y], _U(0))
+    only = lambda p, q, r, s: np.bitwise_count(p & ~q).astype(np.int64) + np.bitwise_count(r & ~s)
+    most = np.minimum(nx - only(la, lb, ha, hb), ny - only(lb, la, hb, ha))
+    capped = (nx >= MOST) | (ny >= MOST)
+    out = np.zeros(len(good), dtype=bool)
+    out[at] = (most >= need[at]) | capped
+    return out
 
 
-def candidates(listing: DataFrame, percent: int) -> DataFrame:
-    """The rows of the listing that may have a match under their word: word, block, role, class."""
+def near(columns: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, Listed, np.ndarray]:
+    """Pairs of rows under words with few classes, and rows with a partner under the other words."""
+    t = unpack(columns)
+    keep = np.zeros(len(t.word), dtype=bool)
+    start = np.flatnonzero(np.concatenate(([True], (t.word[1:] != t.word[:-1]) | (t.block[1:] != t.block[:-1]))))
+    count = np.diff(np.append(start, len(t.word)))
+    left, right = [], []
+    each = np.repeat(count, count)
+    offset = np.arange(len(t.word)) - np.repeat(start, count)
+    few = np.flatnonzero((each > 1) & (each <= FEW))
+    step = 1
+    while len(few):
+        few = few[offset[few] + step < each[few]]
+        good = can_match(t, few, few + step, percent)
+        left.append(few[good])
+        right.append(few[good] + step)
+        step += 1
+    for begin, n in zip(start[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
+        rows = np.arange(begin, begin + n)
+        some = max(1, (1 << 19) // n)
+        for k in range(0, n, some):
+            x, y = np.repeat(rows[k : k + some], n), np.tile(rows, len(rows[k : k + some]))
+            good = can_match(t, x, y, percent)
+            keep[x[good]] = True
+            keep[y[good]] = True
+    cat = lambda p: np.concatenate(p) if p else np.zeros(0, dtype=np.int64)
+    return cat(left), cat(right), t, keep
+
+
+def candidates(listed: DataFrame, percent: int) -> DataFrame:
+    """Groups to verify: (word, block, role, class); a pair is a group named by its two classes, with block -1."""
     name = F.shiftrightunsigned("word", 24)
-    sorted_rows = listing.repartition(name, "block").sortWithinPartitions(name, "block", "word", "class", "role")
+    dealt = listed.repartition(name, "block").sortWithinPartitions(name, "block", "word", "class", "role")
 
     def run(batches):
         held: list[np.ndarray] | None = None
-        names = ["word", "class", "block", "role"]
 
         def out(columns):
-            word, cls, block, role, _ = columns  # a class listed by several tasks counts once
-            again = (word[1:] == word[:-1]) & (cls[1:] == cls[:-1]) & (block[1:] == block[:-1]) & (role[1:] == role[:-1])
-            columns = [c[np.concatenate(([True], ~again))] for c in columns]
-            keep = survivors(columns, percent)
-            word = (columns[0][keep].view(np.uint64) >> _U(24)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(word), *(pa.array(c[keep]) for c in columns[1:4])], names=names)
+            x, y, t, keep = near([np.ascontiguousarray(c) for c in columns], percent)
+            a, b = np.minimum(t.cls[x], t.cls[y]), np.maximum(t.cls[x], t.cls[y])
+            pair = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
+            name = textkit.mix(textkit.mix(pair[0].view(np.uint64)) + pair[1].view(np.uint64)).view(np.int64)
+            n = len(name)
+            columns = [np.concatenate((name, name, t.word[keep])), np.concatenate((np.full(2 * n, -1, dtype=np.int32), t.block[keep])), np.concatenate((np.zeros(2 * n, dtype=np.int8), t.role[keep])), np.concatenate((pair[0], pair[1], t.cls[keep]))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "block", "role", "class"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -213,7 +280,7 @@ def candidates(listing: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield out(held)
 
-    return sorted_rows.mapInArrow(run, "word long, class long, block int, role byte")
+    return dealt.mapInArrow(run, "word long, block int, role byte, class long").distinct()
 
 
 def class_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -222,19 +289,19 @@ def class_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     Takes all columns of ``docs``, so that Spark can use one shuffle of them here and at the end.
     """
     joined = docs.join(wanted, "doc")
-    text, lines = joined.columns.index("text"), joined.columns.index("lines")
+    text, listed = joined.columns.index("text"), joined.columns.index("lines")
 
     def run(batches):
         for batch in batches:
-            listed = [set(x) for x in batch.column(lines).to_pylist()]
-            key, payload = [], []
-            for row, k, words in line_sets(batch.column(text)):
-                if k in listed[row]:
-                    key.append(set_key(words))
-                    payload.append(words.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), pa.array(payload, pa.binary())], names=["class", "payload"])
+            asked = [set(x) for x in batch.column(listed).to_pylist()]
+            for lines in line_sets(batch.column(text)):
+                at = np.array([n in asked[r] for r, n in zip(lines.row.tolist(), lines.number.tolist(), strict=True)])
+                if at.any():
+                    key = set_keys(lines)[at]
+                    payload = [lines.words[s : s + n].tobytes() for s, n in zip(lines.start[at].tolist(), lines.size[at].tolist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(payload, pa.binary())], names=["class", "payload"])
 
-    return joined.mapInArrow(run, "class long, payload binary").dropDuplicates(["class"])
+    return joined.mapInArrow(run, "class long, payload binary")
 
 
 def matched(rows: DataFrame, percent: int) -> DataFrame:
@@ -285,24 +352,37 @@ def matched(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.select("word", "block", "role", "class", "payload").mapInArrow(run, "class long").distinct()
 
 
-def dedup_lines(df: DataFrame, key: str, text: str, percent: int = 80, n_lines: str = "n_lines", n_removed: str = "n_removed", frequent: int = FREQUENT) -> DataFrame:
-    """``df`` with later matching lines taken out of ``text``, and the numbers of lines with a word and of lines removed."""
-    shape = df.columns
-    work = df.select(*(F.col(c).alias(f"in_{k}") for k, c in enumerate(shape)), F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(F.xxhash64(key, text), F.lit(0)).alias("doc"))
-    lines, listing = prefixes(work, bucket_counts(work), percent, frequent)
-    lines = written(lines.distinct(), "lines")
-    near = written(candidates(listing, percent), "line-candidates")
+def later_lines(docs: DataFrame, percent: int, frequent: int = FREQUENT) -> DataFrame:
+    """(doc, n, gone): number of lines with a word of each document, and those that an earlier line matches.
+
+    ``docs`` holds id, text, doc (a number for each distinct id and text) and any others.
+    """
+    lines, counts = line_table(docs)
+    groups = written(candidates(listing(docs, counts, percent, frequent), percent), "line-candidates")
     first = lines.groupBy("class").agg(F.min(F.struct("id", "doc", "line")).alias("first"), F.count("*").alias("n"))
-    some = near.select("class").distinct().withColumn("near", F.lit(True))
+    some = groups.select("class").distinct().withColumn("near", F.lit(True))
     classes = first.join(some, "class", "left").filter("near OR n > 1").select("class", "first.*", F.coalesce("near", F.lit(False)).alias("near"))
     classes = written(classes, "line-classes")
 
     wanted = classes.filter("near").groupBy("doc").agg(F.collect_list("line").alias("lines"))  # lines of one document
-    rows = near.join(classes.select("class", "id", "doc", "line"), "class").join(class_words(work, wanted), "class")
+    rows = groups.join(classes.select("class", "id", "doc", "line"), "class").join(class_words(docs, wanted), "class")
     later = matched(rows, percent).withColumn("later", F.lit(True))
     gone = classes.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line")).join(later, "class", "left")
     away = F.col("first_doc").isNotNull() & (F.col("later").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    marked = lines.join(gone, "class", "left").groupBy("doc").agg(F.count("*").alias("n"), F.collect_list(F.when(away, F.col("line"))).alias("gone"))
+    return lines.join(gone, "class", "left").groupBy("doc").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(away, F.col("line")))).alias("gone"))
+
+
+def doc_number(key: str, text: str):
+    """A number for each distinct pair of id and text."""
+    return F.coalesce(F.xxhash64(key, text), F.lit(0))
+
+
+def dedup_lines(df: DataFrame, key: str, text: str, percent: int = 80, n_lines: str = "n_lines", n_removed: str = "n_removed", frequent: int = FREQUENT) -> DataFrame:
+    """``df`` with later matching lines taken out of ``text``, and the numbers of lines with a word and of lines removed."""
+    shape = df.columns
+    others = {c: f"in_{k}" for k, c in enumerate(shape) if c != text}
+    work = df.select(*(F.col(c).alias(n) for c, n in others.items()), F.col(key).cast("long").alias("id"), F.col(text).alias("text"), doc_number(key, text).alias("doc"))
+    marked = later_lines(work, percent, frequent)
 
     @F.pandas_udf(T.StringType())
     def strip(texts: pd.Series, gone: pd.Series) -> pd.Series:
@@ -317,5 +397,5 @@ def dedup_lines(df: DataFrame, key: str, text: str, percent: int = 80, n_lines:
     out = work.join(marked, "doc", "left")
     touched = F.coalesce(F.size("gone") > 0, F.lit(False))
     whole = F.when(touched, strip(F.when(touched, F.col("text")), F.when(touched, F.col("gone")))).otherwise(F.col("text"))
-    columns = [whole.alias(c) if c == text else F.col(f"in_{k}").alias(c) for k, c in enumerate(shape)]
+    columns = [whole.alias(c) if c == text else F.col(others[c]).alias(c) for c in shape]
     return out.select(*columns, F.coalesce("n", F.lit(0)).alias(n_lines), F.when(touched, F.size("gone")).otherwise(0).cast("long").alias(n_removed))

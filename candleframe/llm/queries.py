@@ -224,22 +224,22 @@ WITH l AS (
   SELECT DISTINCT b.words FROM c a JOIN c b ON a.first < b.first AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n
   WHERE 180 * len(list_intersect(a.hashes, b.hashes)) >= 80 * (a.n + b.n)
 ), m AS (
-  SELECT w.doc_id, w.line, w.text, len(w.words) > 0 AS counted,
-    coalesce(c.first <> {'d': w.doc_id, 'l': w.line} OR later.words IS NOT NULL, false) AS gone
-  FROM w LEFT JOIN c ON c.words = w.words LEFT JOIN later ON later.words = w.words
+  SELECT w.doc_id, w.line, coalesce(c.first <> {'d': w.doc_id, 'l': w.line} OR later.words IS NOT NULL, false) AS gone
+  FROM w LEFT JOIN c ON c.words = w.words LEFT JOIN later ON later.words = w.words WHERE len(w.words) > 0
 )
-SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines, coalesce(x.n_removed, 0) AS n_removed,
-  CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(x.kept, '')) END AS text_sha256
+SELECT d.doc_id, coalesce(x.n_lines, 0) AS n_lines, coalesce(x.n_removed, 0) AS n_removed, coalesce(x.removed, '') AS removed_lines
 FROM documents d LEFT JOIN (
-  SELECT doc_id, count(*) FILTER (WHERE counted) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
-    string_agg(text, chr(10) ORDER BY line) FILTER (WHERE NOT gone) AS kept FROM m GROUP BY doc_id
+  SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
+    string_agg(line::VARCHAR, ',' ORDER BY line) FILTER (WHERE gone) AS removed FROM m GROUP BY doc_id
 ) x ON x.doc_id = d.doc_id
 """
 
 
 @register("op2_line_dedup", OP2_SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every whole text without its lines that an earlier line matches: counts and a digest of what stays."""
+    """For every whole text its lines with a word, and the numbers of those that an earlier line matches."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
-    out = linededup.dedup_lines(docs, "doc_id", "text", percent=80)
-    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+    docs = docs.select(F.col("doc_id").alias("id"), "text", linededup.doc_number("doc_id", "text").alias("doc"))
+    found = docs.select("id", "doc").join(linededup.later_lines(docs, percent=80), "doc", "left")
+    removed = F.coalesce("gone", F.array().cast("array<int>"))
+    return found.select(F.col("id").alias("doc_id"), F.coalesce("n", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(F.transform(removed, lambda x: x.cast("string")), ",").alias("removed_lines"))
