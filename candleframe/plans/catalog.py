@@ -1428,3 +1428,147 @@ def q_write_records(spark, sf_dir):
     """Bars as JSON records (one string per row), the shape the reference returns."""
     b = bars_1h(spark, sf_dir)
     return b.select(F.to_json(F.struct("symbol", RP.format_datetime(F.col("ts")).alias("datetime"), "open", "high", "low", "close", "volume")).alias("record"))
+
+
+# ---------------------------------------------------------------------------
+# Votes of the rule strategies as a predictions table: the operators that take model
+# predictions, on rows that SQL can make too.
+
+_VOTE_WEIGHTS = list(zip([n for n, _, _ in SG.STRATEGY_RULES], [w for _, w in ML.MODEL_WEIGHTS], strict=False))
+_MERGE_MODELS = list(zip([n for n, _, _ in SG.PAIRED_RULES], [n for n, _, _ in SG.STRATEGY_RULES], strict=False))
+
+
+def _votes(spark, sf_dir) -> DataFrame:
+    """Predictions with the next bar's direction as the label; last bars have none and go."""
+    from ..operators.series import windowed
+
+    f = features(bars_1h(spark, sf_dir), SG.strategy_columns() + ["delta_close"])
+    preds = CS.strategy_predictions(SG.with_strategy_signals(f))
+    ahead = windowed(f.select("symbol", "ts", "close", "_rn", "_blk", "_bs"), Layout(), 0, [[("_next", lambda w: F.lead("close").over(w))]], ahead=1)
+    labels = ahead.filter(F.col("_next").isNotNull()).select("symbol", "ts", (F.col("_next") > F.col("close")).cast("double").alias("label"))
+    return preds.join(labels, ["symbol", "ts"]).withColumns({"prediction": (F.col("prob_up") > 0.5).cast("double"), "has_probability": F.col("signal") != 0})
+
+
+_VOTES_SQL = (
+    f"{_PRED_SQL}, y AS (SELECT symbol, ts, close, lead(close) OVER (PARTITION BY symbol ORDER BY ts) AS nxt FROM fd), "
+    "v AS (SELECT p.*, CASE WHEN y.nxt > y.close THEN 1 ELSE 0 END AS label, CASE WHEN p.prob_up > 0.5 THEN 1 ELSE 0 END AS prediction "
+    "FROM p JOIN y ON y.symbol = p.symbol AND y.ts = p.ts WHERE y.nxt IS NOT NULL)"
+)
+
+
+@register(
+    "rule_eval_metrics",
+    f"{_VOTES_SQL}, g AS (SELECT model, CAST(count_if(label = 1 AND prediction = 1) AS DOUBLE) AS tp, CAST(count_if(label = 0 AND prediction = 1) AS DOUBLE) AS fp, "
+    "CAST(count_if(label = 1 AND prediction = 0) AS DOUBLE) AS fn, CAST(count_if(label = 0 AND prediction = 0) AS DOUBLE) AS tn FROM v GROUP BY model), "
+    "r AS (SELECT model, (tp + tn) / (tp + fp + fn + tn) AS accuracy, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, "
+    "CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall FROM g) "
+    f"SELECT model, {Q.r6('accuracy', 'accuracy')}, {Q.r6('precision', 'precision')}, {Q.r6('recall', 'recall')}, "
+    f"{Q.r6('CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END', 'f1')} FROM r",
+)
+def q_rule_eval_metrics(spark, sf_dir):
+    """Accuracy, precision, recall and f1 of each rule's vote against the next bar."""
+    return ML.eval_metrics(_votes(spark, sf_dir)).select("model", *[r6(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@register(
+    "rule_voting",
+    f"{_VOTES_SQL} SELECT symbol, ts, {Q.r6('avg(prob_up ORDER BY model) FILTER (WHERE signal <> 0)', 'soft_prob_up')}, "
+    "CAST(2 * sum(prediction) > count(*) AS INTEGER) AS hard_vote, count(*) AS n_models FROM v GROUP BY symbol, ts",
+)
+def q_rule_voting(spark, sf_dir):
+    """Soft vote over the rules that speak (a neutral rule has no probability) and hard vote over all."""
+    return ML.voting(_votes(spark, sf_dir)).select("symbol", "ts", r6("soft_prob_up"), "hard_vote", "n_models")
+
+
+_WEIGHTS_SQL = "wt(model, weight) AS (VALUES " + ", ".join(f"('{n}', {w})" for n, w in _VOTE_WEIGHTS) + ")"
+_ENSEMBLE_SQL = (
+    f"{_PRED_SQL}, {_WEIGHTS_SQL}, wn AS (SELECT model, weight / (SELECT sum(weight) FROM wt) AS weight FROM wt), "
+    "aw AS (SELECT p.*, wn.weight * (coalesce(p.accuracy, 0.0) + coalesce(p.f1, 0.0)) / 2.0 AS aw FROM p JOIN wn ON wn.model = p.model), "
+    "e AS (SELECT symbol, ts, CASE WHEN sum(aw) > 0 THEN sum(prob_up * aw ORDER BY model) / sum(aw ORDER BY model) ELSE 0.0 END AS up FROM aw GROUP BY symbol, ts)"
+)
+
+
+def _ensemble(spark, sf_dir) -> DataFrame:
+    return CS.ensemble_prob(_predictions(spark, sf_dir), spark.createDataFrame(_VOTE_WEIGHTS, "model string, weight double"))
+
+
+@register("rule_ensemble_prob", f"{_ENSEMBLE_SQL} SELECT symbol, ts, {Q.r6('up', 'up_probability')}, {Q.r6('1.0 - up', 'down_probability')} FROM e")
+def q_rule_ensemble_prob(spark, sf_dir):
+    """Probabilities of the rules, weighted by normalised weights and by each rule's hit rate."""
+    return _ensemble(spark, sf_dir).select("symbol", "ts", r6("up_probability"), r6("down_probability"))
+
+
+@register(
+    "rule_decision",
+    f"{_ENSEMBLE_SQL}, x AS (SELECT symbol, ts, volatility, {_CTX_SQL['recent_trend']} AS rt, {_CTX_SQL['rsi_signal']} AS rs, {_CTX_SQL['volume_confirmed']} AS vc FROM fd), "
+    "d AS (SELECT e.symbol, e.ts, e.up, abs(e.up - (1.0 - e.up)) AS c, least(0.05, coalesce(x.volatility, 0.0)) AS adj, "
+    "coalesce(x.rt = 'up', false) OR coalesce(x.rs = 'up', false) AS uc, coalesce(x.rt = 'down', false) OR coalesce(x.rs = 'down', false) AS dc, x.vc "
+    "FROM e JOIN x ON x.symbol = e.symbol AND x.ts = e.ts) "
+    "SELECT symbol, ts, CASE WHEN c >= 0.65 - adj AND up > 1.0 - up THEN CASE WHEN uc AND vc THEN 'STRONG_BUY' ELSE 'BUY' END "
+    "WHEN c >= 0.65 - adj THEN CASE WHEN dc AND vc THEN 'STRONG_SELL' ELSE 'SELL' END "
+    "WHEN c >= 0.55 - adj AND up > 1.0 - up THEN CASE WHEN uc THEN 'BUY' ELSE 'HOLD' END "
+    "WHEN c >= 0.55 - adj THEN CASE WHEN dc THEN 'SELL' ELSE 'HOLD' END ELSE 'HOLD' END AS decision FROM d",
+)
+def q_rule_decision(spark, sf_dir):
+    """The decision rule on the rules' ensemble probability and the context of the same bar."""
+    outputs = ("recent_trend", "rsi_signal", "volume_confirmed")
+    inputs = [*dict.fromkeys(c for o in outputs for c in CX.CONTEXT_INPUTS[o]), "volatility"]
+    ctx = CX.with_context(_features_for(spark, sf_dir, inputs), outputs).select("symbol", "ts", "volatility", *outputs)
+    return CS.decision(_ensemble(spark, sf_dir), ctx).select("symbol", "ts", "decision")
+
+
+@register("rule_up_down_label", f"{_PRED_SQL} SELECT symbol, ts, model, CASE WHEN prob_up > 0.5 THEN 'UP' ELSE 'DOWN' END AS prediction FROM p")
+def q_rule_up_down_label(spark, sf_dir):
+    return CS.up_down_label(_predictions(spark, sf_dir)).select("symbol", "ts", "model", "prediction")
+
+
+_MERGE_SQL = (
+    f"{_PRED_SQL}, mm(strategy, model) AS (VALUES " + ", ".join(f"('{s}', '{m}')" for s, m in _MERGE_MODELS) + "), "
+    + "pr AS (" + " UNION ALL ".join(
+        f"SELECT symbol, ts, '{n}' AS strategy, {SG.paired_case(b, e)[0]} AS bullish, {SG.paired_case(b, e)[1]} AS bearish FROM fd"
+        for n, b, e in SG.PAIRED_RULES
+    ) + "), mv AS (SELECT p.symbol, p.ts, mm.strategy, CASE WHEN p.signal > 0 THEN 'bullish' ELSE 'bearish' END AS prediction "
+    "FROM p JOIN mm ON mm.model = p.model WHERE p.signal <> 0), "
+    "j AS (SELECT pr.*, mv.prediction FROM pr LEFT JOIN mv ON mv.symbol = pr.symbol AND mv.ts = pr.ts AND mv.strategy = pr.strategy), "
+    "mg AS (SELECT symbol, ts, strategy, CASE WHEN prediction IS NULL THEN CASE WHEN bullish AND NOT bearish THEN 'bullish' WHEN bearish AND NOT bullish THEN 'bearish' ELSE 'neutral' END "
+    "WHEN bullish AND prediction = 'bullish' THEN 'strong_bullish' WHEN bearish AND prediction = 'bearish' THEN 'strong_bearish' "
+    "WHEN bullish OR prediction = 'bullish' THEN 'bullish' WHEN bearish OR prediction = 'bearish' THEN 'bearish' ELSE 'neutral' END AS signal FROM j)"
+)
+
+
+def _merged(spark, sf_dir) -> DataFrame:
+    """Paired rules merged with the vote of one rule model for each strategy (a neutral vote is no row)."""
+    f = features(bars_1h(spark, sf_dir), list(dict.fromkeys(SG.strategy_columns() + SG.paired_columns() + ["delta_close"])))
+    pairs = spark.createDataFrame(_MERGE_MODELS, "strategy string, model string")
+    votes = CS.strategy_predictions(SG.with_strategy_signals(f)).filter(F.col("signal") != 0).join(pairs, "model")
+    votes = votes.select("symbol", "ts", "strategy", F.when(F.col("signal") > 0, "bullish").otherwise("bearish").alias("prediction"))
+    return CS.strategy_ml_merge(SG.paired_long(drop_layout(f), ["symbol", "ts"]), votes)
+
+
+@register("rule_strategy_merge", f"{_MERGE_SQL} SELECT symbol, ts, strategy, signal FROM mg")
+def q_rule_strategy_merge(spark, sf_dir):
+    return _merged(spark, sf_dir).select("symbol", "ts", "strategy", "signal")
+
+
+@register(
+    "merged_signal_counts",
+    f"{_MERGE_SQL} SELECT symbol, ts, count_if(signal = 'strong_bullish') AS n_strong_bullish, count_if(signal = 'bullish') AS n_bullish, "
+    "count_if(signal = 'neutral') AS n_neutral, count_if(signal = 'bearish') AS n_bearish, count_if(signal = 'strong_bearish') AS n_strong_bearish, "
+    f"{Q.r6(f'''sum(CASE signal WHEN 'strong_bullish' THEN 2 WHEN 'bullish' THEN 1 WHEN 'bearish' THEN -1 WHEN 'strong_bearish' THEN -2 ELSE 0 END) / {2.0 * len(SG.PAIRED_RULES)}''', 'sentiment_score')} "
+    "FROM mg GROUP BY symbol, ts",
+)
+def q_merged_signal_counts(spark, sf_dir):
+    """Counts and sentiment of merged signals, strong ones included."""
+    s = CS.sentiment(_merged(spark, sf_dir), len(SG.PAIRED_RULES))
+    return s.select("symbol", "ts", *[F.col(f"n_{k}") for k in CS.SIGNAL_WEIGHTS], r6("sentiment_score"))
+
+
+@register(
+    "pressure_momentum",
+    f"{Q.with_ctes(*W1_SQL_CTES)}, t AS (SELECT symbol, returns, row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) AS k FROM w1) "
+    f"SELECT symbol, {Q.r6('CASE WHEN count(returns) = 14 THEN avg(returns) END', 'pressure_momentum')} FROM t WHERE k <= 14 GROUP BY symbol",
+)
+def q_pressure_momentum(spark, sf_dir):
+    """Mean return of the last 14 bars, NULL if one of them has no return."""
+    last = tail_n(features(bars_1h(spark, sf_dir), ["returns"]), 14)
+    return last.groupBy("symbol").agg(F.when(F.count("returns") == 14, F.round(F.avg("returns"), 6)).alias("pressure_momentum"))
