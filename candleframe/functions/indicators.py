@@ -58,29 +58,6 @@ def _roll(agg: Callable[[Column], Column], x: Column, n: int, w: WindowSpec) ->
     return F.when(F.count(x).over(f) == n, agg(x).over(f))
 
 
-def _roll_base(agg: Callable[[Column], Column], x: Column, n: int, w: WindowSpec) -> Column:
-    """Rolling aggregate of a never-null input (OHLCV and row-local expressions of it;
-    the cleaning step guarantees it): the frame is full exactly when the row number is
-    at least n-1, so the gate needs no extra count window."""
-    return F.when(F.col(RN) >= n - 1, agg(x).over(w.rowsBetween(-(n - 1), 0)))
-
-
-def base_avg(x, n, w):
-    return _roll_base(F.avg, x, n, w)
-
-
-def base_sum(x, n, w):
-    return _roll_base(F.sum, x, n, w)
-
-
-def base_max(x, n, w):
-    return _roll_base(F.max, x, n, w)
-
-
-def base_min(x, n, w):
-    return _roll_base(F.min, x, n, w)
-
-
 def roll_avg(x, n, w):
     return _roll(F.avg, x, n, w)
 
@@ -106,13 +83,13 @@ def roll_std_pop(x, n, w):
 
 
 def roll_mad(x: Column, n: int, w: WindowSpec, mean: Column) -> Column:
-    """Mean absolute deviation around the window mean (CCI) of a never-null input;
-    ``mean`` is the row's rolling mean column, computed in an earlier level. Built from
-    n offset (lag) windows, each O(1) per row."""
+    """Mean absolute deviation around the window mean (CCI), NULL until the frame holds n
+    non-null values, as ``mean``, the row's rolling mean from an earlier level, is. Built
+    from n offset (lag) windows, each O(1) per row."""
     dev = F.abs(x - mean)
     for k in range(1, n):
         dev = dev + F.abs(F.lag(x, k).over(w) - mean)
-    return F.when(F.col(RN) >= n - 1, dev / F.lit(float(n)))
+    return dev / F.lit(float(n))  # a missing value, or the mean's NULL, makes it NULL
 
 
 def lag(x: Column, k: int, w: WindowSpec) -> Column:
@@ -181,33 +158,33 @@ def w1_levels() -> list[list[tuple[str, Callable[[WindowSpec], Column]]]]:
         ("close_lag2", lambda w: lag(C(), 2, w)),
         ("high_lag2", lambda w: lag(H(), 2, w)),
         ("low_lag2", lambda w: lag(L(), 2, w)),
-        ("sma_5", lambda w: base_avg(C(), 5, w)),
-        ("sma_10", lambda w: base_avg(C(), 10, w)),
-        ("sma_20", lambda w: base_avg(C(), 20, w)),
-        ("sma_50", lambda w: base_avg(C(), 50, w)),
-        ("std_pop_20", lambda w: _roll_base(F.stddev_pop, C(), 20, w)),
-        ("volume_sma", lambda w: base_avg(V(), 20, w)),
-        ("volume_std", lambda w: _roll_base(F.stddev_samp, V(), 20, w)),
-        ("volume_sma_5", lambda w: base_avg(V(), 5, w)),
-        ("volume_sma_10", lambda w: base_avg(V(), 10, w)),
-        ("max_high_9", lambda w: base_max(H(), 9, w)),
-        ("min_low_9", lambda w: base_min(L(), 9, w)),
-        ("high_avg_10", lambda w: base_avg(H(), 10, w)),
-        ("low_avg_10", lambda w: base_avg(L(), 10, w)),
-        ("max_high_14", lambda w: base_max(H(), 14, w)),
-        ("min_low_14", lambda w: base_min(L(), 14, w)),
-        ("max_high_20", lambda w: base_max(H(), 20, w)),
-        ("min_low_20", lambda w: base_min(L(), 20, w)),
-        ("max_high_26", lambda w: base_max(H(), 26, w)),
-        ("min_low_26", lambda w: base_min(L(), 26, w)),
-        ("ao", lambda w: base_avg((H() + L()) / 2.0, 5, w) - base_avg((H() + L()) / 2.0, 34, w)),
-        ("tp_avg_20", lambda w: base_avg(TP(), 20, w)),
-        ("keltner_upper", lambda w: base_avg((4.0 * H() - 2.0 * L() + C()) / 3.0, 20, w)),
-        ("keltner_lower", lambda w: base_avg((-2.0 * H() + 4.0 * L() + C()) / 3.0, 20, w)),
-        ("vwap_rolling", lambda w: div(base_sum(TP() * V(), 14, w), base_sum(V(), 14, w))),
+        ("sma_5", lambda w: roll_avg(C(), 5, w)),
+        ("sma_10", lambda w: roll_avg(C(), 10, w)),
+        ("sma_20", lambda w: roll_avg(C(), 20, w)),
+        ("sma_50", lambda w: roll_avg(C(), 50, w)),
+        ("std_pop_20", lambda w: _roll(F.stddev_pop, C(), 20, w)),
+        ("volume_sma", lambda w: roll_avg(V(), 20, w)),
+        ("volume_std", lambda w: _roll(F.stddev_samp, V(), 20, w)),
+        ("volume_sma_5", lambda w: roll_avg(V(), 5, w)),
+        ("volume_sma_10", lambda w: roll_avg(V(), 10, w)),
+        ("max_high_9", lambda w: roll_max(H(), 9, w)),
+        ("min_low_9", lambda w: roll_min(L(), 9, w)),
+        ("high_avg_10", lambda w: roll_avg(H(), 10, w)),
+        ("low_avg_10", lambda w: roll_avg(L(), 10, w)),
+        ("max_high_14", lambda w: roll_max(H(), 14, w)),
+        ("min_low_14", lambda w: roll_min(L(), 14, w)),
+        ("max_high_20", lambda w: roll_max(H(), 20, w)),
+        ("min_low_20", lambda w: roll_min(L(), 20, w)),
+        ("max_high_26", lambda w: roll_max(H(), 26, w)),
+        ("min_low_26", lambda w: roll_min(L(), 26, w)),
+        ("ao", lambda w: roll_avg((H() + L()) / 2.0, 5, w) - roll_avg((H() + L()) / 2.0, 34, w)),
+        ("tp_avg_20", lambda w: roll_avg(TP(), 20, w)),
+        ("keltner_upper", lambda w: roll_avg((4.0 * H() - 2.0 * L() + C()) / 3.0, 20, w)),
+        ("keltner_lower", lambda w: roll_avg((-2.0 * H() + 4.0 * L() + C()) / 3.0, 20, w)),
+        ("vwap_rolling", lambda w: div(roll_sum(TP() * V(), 14, w), roll_sum(V(), 14, w))),
         (
             "cmf",
-            lambda w: div(roll_sum(div((C() - L()) - (H() - C()), H() - L()) * V(), 20, w), base_sum(V(), 20, w)),
+            lambda w: div(roll_sum(div((C() - L()) - (H() - C()), H() - L()) * V(), 20, w), roll_sum(V(), 20, w)),
         ),
         ("aroon_hi_rn", lambda w: _roll_arg(H(), 25, w, first_max=True)),
         ("aroon_lo_rn", lambda w: _roll_arg(L(), 25, w, first_max=False)),
