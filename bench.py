@@ -19,10 +19,12 @@ from pyspark.sql import functions as F  # noqa: E402
 from candleframe.functions import signals as SG  # noqa: E402
 from candleframe.functions.indicators import features  # noqa: E402
 from candleframe.operators import aggregates as AG  # noqa: E402
+from candleframe.operators import consensus as CS  # noqa: E402
 from candleframe.operators.bars import fixture_bars  # noqa: E402
 from candleframe.operators.series import drop_layout  # noqa: E402
 from candleframe.session import local_session  # noqa: E402
 from candleframe.sources.tables import events_as_ticks  # noqa: E402
+from candleframe.streaming import bars as ST  # noqa: E402
 
 PERIOD = "5 minutes"
 
@@ -53,6 +55,8 @@ def main():
         "recursive_indicators": lambda: ind(recursive),
         "strategy_signals": lambda: SG.with_strategy_signals(drop_layout(features(bars(), SG.strategy_columns()))).select(*sig_cols),
         "paired_strategies": lambda: SG.paired_long(drop_layout(features(bars(), SG.paired_columns())), ["symbol", "ts"]),
+        "consensus_weighted": lambda: CS.consensus_weighted(CS.strategy_predictions(SG.with_strategy_signals(features(bars(), [*SG.strategy_columns(), "delta_close"])))),
+        "stream_bars": lambda: ST.run_available(ST.stream_bars(ST.tick_stream(spark, sf_dir), PERIOD), "bench_bars"),
         "series_aggregates": lambda: AG.pressure_range(bars()).join(AG.pressure_body(bars()), "symbol"),
     }
     # warm-up: JVM, Python workers

@@ -154,12 +154,14 @@ def consensus_weighted(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
 
 def trend_distribution(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Per trend (all 5 always present, as columns): votes, share, mean confidence (0 if
-    none); dominant trend by (votes, mean confidence) desc, then trend order."""
+    none), names of the models; trends that have votes, ranked by (votes, mean confidence)
+    desc, then trend order; the first of them; votes for other labels."""
     g = preds.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_models"),
         *[F.count_if(F.col("trend") == t).alias(f"{t}_votes") for t in TRENDS],
         *[F.coalesce(ordered_avg(F.when(F.col("trend") == t, F.col("confidence"))), F.lit(0.0)).alias(f"{t}_confidence") for t in TRENDS],
         *[ordered_sum(F.when(F.col("trend") == t, F.col("confidence"))).alias(f"_{t}_sum") for t in TRENDS],
+        *[F.array_join(F.array_sort(F.collect_list(F.when(F.col("trend") == t, F.col("model")))), ",").alias(f"{t}_models") for t in TRENDS],
     )
     # Rank the 5 candidates with one array sort per row (fixed size 5).
     cand = F.array(
@@ -177,7 +179,15 @@ def trend_distribution(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     return g.withColumn("_c", cand).select(
         *keys,
         "n_models",
-        *[c for t in TRENDS for c in (f"{t}_votes", f"{t}_confidence")],
+        *[c for t in TRENDS for c in (f"{t}_votes", f"{t}_confidence", f"{t}_models")],
+        (F.col("n_models") - sum((F.col(f"{t}_votes") for t in TRENDS), F.lit(0))).alias("other_votes"),
+        F.array_join(
+            F.transform(
+                F.sort_array(F.transform(F.filter("_c", lambda x: x["votes"] > 0), lambda x: F.struct(x["votes"], x["conf"], x["order"], x["trend"])), asc=False),
+                lambda x: x["trend"],
+            ),
+            ",",
+        ).alias("ranked_trends"),
         *[(F.col(f"{t}_votes") / F.col("n_models") * 100.0).alias(f"{t}_pct") for t in TRENDS],
         F.array_max(F.transform("_c", lambda x: F.struct(x["votes"], x["conf"], x["order"], x["trend"])))["trend"].alias("dominant_trend"),
         F.array_max(F.transform("_c", lambda x: F.struct(x["votes"], x["sum_conf"], x["order"], x["trend"])))["trend"].alias("vote_winner"),
@@ -200,6 +210,7 @@ def consensus_votes(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
         F.col("_w_conf").alias("confidence"),
         share.alias("agreement"),
         agreement_level(share).alias("agreement_level"),
+        "other_votes",
     )
 
 

@@ -612,11 +612,15 @@ def q_strategy_predictions(spark, sf_dir):
     "count_if(signal = 1) AS u, count_if(signal = 0) AS z, count_if(signal = -1) AS d FROM p GROUP BY ALL) "
     "SELECT symbol, ts, ev AS ensemble_vote, "
     f"{Q.r6('CAST(CASE WHEN ev = 1 THEN u WHEN ev = -1 THEN d ELSE z END AS DOUBLE) / n', 'model_agreement')}, "
-    f"{Q.r6('mc', 'mean_confidence')}, CASE WHEN ev = 1 THEN 'Uptrend' WHEN ev = -1 THEN 'Downtrend' ELSE 'Sideways' END AS market_direction FROM g",
+    f"{Q.r6('mc', 'mean_confidence')}, CASE WHEN ev = 1 THEN 'Uptrend' WHEN ev = -1 THEN 'Downtrend' ELSE 'Sideways' END AS market_direction, "
+    f"{Q.r6(Q.div('fd.atr', 'fd.close'), 'volatility_level')}, {Q.r6('fd.adx', 'trend_strength')} FROM g JOIN fd USING (symbol, ts)",
 )
 def q_ensemble_sign(spark, sf_dir):
-    e = CS.ensemble_sign(_predictions(spark, sf_dir))
-    return e.select("symbol", "ts", "ensemble_vote", r6("model_agreement"), r6("mean_confidence"), "market_direction")
+    """The rules' signs summed, with the volatility level (ATR over close) and the trend strength (ADX) of the bar."""
+    f = features(bars_1h(spark, sf_dir), [*SG.strategy_columns(), "delta_close", "atr", "adx"])
+    e = CS.ensemble_sign(CS.strategy_predictions(SG.with_strategy_signals(f)))
+    e = e.join(f.select("symbol", "ts", F.try_divide("atr", "close").alias("volatility_level"), F.col("adx").alias("trend_strength")), ["symbol", "ts"])
+    return e.select("symbol", "ts", "ensemble_vote", r6("model_agreement"), r6("mean_confidence"), "market_direction", r6("volatility_level"), r6("trend_strength"))
 
 
 _TW = " ".join(f"WHEN trend = '{t}' THEN {w}" for t, w in CS.TREND_WEIGHTS.items())
@@ -635,8 +639,8 @@ def q_consensus_weighted(spark, sf_dir):
 
 _T_ORDER = " ".join(f"WHEN '{t}' THEN {i}" for i, t in enumerate(CS.TRENDS))
 _DIST_SQL = (
-    f"{_PRED_SQL}, c AS (SELECT symbol, ts, trend, count(*) AS votes, sum(confidence ORDER BY model) / count(*) AS conf, sum(confidence ORDER BY model) AS sconf "
-    "FROM p GROUP BY ALL), n AS (SELECT symbol, ts, count(*) AS n_models FROM p GROUP BY ALL), "
+    f"{_PRED_SQL}, c AS (SELECT symbol, ts, trend, count(*) AS votes, sum(confidence ORDER BY model) / count(*) AS conf, sum(confidence ORDER BY model) AS sconf, "
+    "string_agg(model, ',' ORDER BY model) AS models FROM p GROUP BY ALL), n AS (SELECT symbol, ts, count(*) AS n_models FROM p GROUP BY ALL), "
     f"r AS (SELECT c.*, row_number() OVER (PARTITION BY symbol, ts ORDER BY votes DESC, conf DESC, CASE trend {_T_ORDER} END) AS k1, "
     f"row_number() OVER (PARTITION BY symbol, ts ORDER BY votes DESC, sconf DESC, CASE trend {_T_ORDER} END) AS k2, "
     "max(conf) OVER (PARTITION BY symbol, ts) AS hc FROM c)"
@@ -652,26 +656,27 @@ _DIST_SQL = (
         f"{Q.r6(f'coalesce(max(CASE WHEN trend = {chr(39)}{t}{chr(39)} THEN votes END), 0) * 100.0 / n.n_models', f'{t}_pct')}"
         for t in CS.TRENDS
     )
-    + ", max(CASE WHEN k1 = 1 THEN trend END) AS dominant_trend, "
-    + f"{Q.r6('max(hc)', 'highest_confidence')} FROM n JOIN r ON n.symbol = r.symbol AND n.ts = r.ts GROUP BY n.symbol, n.ts, n.n_models",
+    + ", max(CASE WHEN k1 = 1 THEN trend END) AS dominant_trend, string_agg(trend, ',' ORDER BY k1) AS ranked_trends, "
+    + ", ".join(f"coalesce(max(CASE WHEN trend = '{t}' THEN models END), '') AS {t}_models" for t in CS.TRENDS)
+    + f", {Q.r6('max(hc)', 'highest_confidence')} FROM n JOIN r ON n.symbol = r.symbol AND n.ts = r.ts GROUP BY n.symbol, n.ts, n.n_models",
 )
 def q_combined_predictions(spark, sf_dir):
     d = CS.trend_distribution(_predictions(spark, sf_dir))
     cols = ["symbol", "ts", "n_models"]
     for t in CS.TRENDS:
-        cols += [F.col(f"{t}_votes"), r6(f"{t}_confidence"), r6(f"{t}_pct")]
-    return d.select(*cols, "dominant_trend", r6("highest_confidence"))
+        cols += [F.col(f"{t}_votes"), r6(f"{t}_confidence"), r6(f"{t}_pct"), f"{t}_models"]
+    return d.select(*cols, "dominant_trend", "ranked_trends", r6("highest_confidence"))
 
 
 @register(
     "consensus_votes",
     f"{_DIST_SQL} SELECT r.symbol, r.ts, trend, {Q.r6('conf', 'confidence')}, {Q.r6('CAST(votes AS DOUBLE) / n_models', 'agreement')}, "
     "CASE WHEN CAST(votes AS DOUBLE) / n_models >= 0.7 THEN 'strong' WHEN CAST(votes AS DOUBLE) / n_models >= 0.5 THEN 'moderate' "
-    "ELSE 'weak' END AS agreement_level FROM r JOIN n ON n.symbol = r.symbol AND n.ts = r.ts WHERE k2 = 1",
+    "ELSE 'weak' END AS agreement_level, CAST(0 AS BIGINT) AS other_votes FROM r JOIN n ON n.symbol = r.symbol AND n.ts = r.ts WHERE k2 = 1",
 )
 def q_consensus_votes(spark, sf_dir):
     v = CS.consensus_votes(_predictions(spark, sf_dir))
-    return v.select("symbol", "ts", "trend", r6("confidence"), r6("agreement"), "agreement_level")
+    return v.select("symbol", "ts", "trend", r6("confidence"), r6("agreement"), "agreement_level", F.col("other_votes").cast("long").alias("other_votes"))
 
 
 @register(
