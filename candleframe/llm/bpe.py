@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 #: Matches kept by one Python worker before its cache is emptied.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 100_000
 #: Leaves that one numpy batch of segment trees may hold.
-BATCH_LEAVES = 1 << 19
+BATCH_LEAVES = 1 << 17
 #: Characters up to this code point are split by ``re`` with classes made from ``unicodedata``; a text that goes beyond is split by ``regex``.
 FAST_LIMIT = 0x24F
 
@@ -188,7 +188,7 @@ def _codec(rank_file: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _pieces(texts: pa.Array, limit: int = 1 << 22):
+def _pieces(texts: pa.Array, limit: int = 1 << 20):
     """Slices of a text column of about ``limit`` bytes, one text at least."""
     start, held = 0, 0
     sizes = pc.binary_length(texts).fill_null(0).to_pylist()

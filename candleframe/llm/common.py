@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -21,6 +22,8 @@ def ship(spark: SparkSession) -> None:
     The same as ``--py-files`` on submit; only source files travel, never data.
     """
     sc: SparkContext = spark.sparkContext
+    # Batches of texts between the JVM and Python hold so many bytes at once, in each of several buffers.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -61,6 +64,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps that are written and no longer referred to.
+
+    Its cleaner acts when the driver collects garbage, which a small driver heap does often
+    and a large one hardly ever; until then the files of finished steps fill the disks.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """``base``, with underscores added until no column of ``df`` has that name (in any case)."""
     taken = {c.lower() for c in df.columns}
