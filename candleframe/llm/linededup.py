@@ -34,13 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candleframe.llm import textkit
-from candleframe.llm.common import written
+from candleframe.llm.common import release, written
 
 BUCKETS = 1 << 16
 #: Occurrences of a bucket from which its words are split into blocks of about so many lines.
 FREQUENT = 20_000
-#: Classes under one word up to which it gives pairs.
-FEW = 64
+#: Classes under one word up to which it gives pairs; up to which all words of a task are compared together.
+FEW, SMALL = 8, 64
 #: Lengths and positions are packed in 12 bits; a longer line counts as this long, and its filters are left out.
 MOST = 4095
 #: Lines of more words than this get two 64-bit bitmaps.
@@ -229,15 +229,18 @@ def near(columns: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
     left, right = [], []
     each = np.repeat(count, count)
     offset = np.arange(len(t.word)) - np.repeat(start, count)
-    few = np.flatnonzero((each > 1) & (each <= FEW))
+    small = np.flatnonzero((each > 1) & (each <= SMALL))
     step = 1
-    while len(few):
-        few = few[offset[few] + step < each[few]]
-        good = can_match(t, few, few + step, percent)
-        left.append(few[good])
-        right.append(few[good] + step)
+    while len(small):
+        small = small[offset[small] + step < each[small]]
+        x = small[can_match(t, small, small + step, percent)]
+        few = each[x] <= FEW
+        left.append(x[few])
+        right.append(x[few] + step)
+        keep[x[~few]] = True
+        keep[x[~few] + step] = True
         step += 1
-    for begin, n in zip(start[count > FEW].tolist(), count[count > FEW].tolist(), strict=True):
+    for begin, n in zip(start[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
         rows = np.arange(begin, begin + n)
         some = max(1, (1 << 19) // n)
         for k in range(0, n, some):
@@ -250,7 +253,7 @@ def near(columns: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
 
 
 def candidates(listed: DataFrame, percent: int) -> DataFrame:
-    """Groups to verify: (word, block, role, class); a pair is a group named by its two classes, with block -1."""
+    """Groups to verify: (word, block, role, class); the pairs of a class make a group of its name, with block -1."""
     name = F.shiftrightunsigned("word", 24)
     dealt = listed.repartition(name, "block").sortWithinPartitions(name, "block", "word", "class", "role")
 
@@ -261,9 +264,9 @@ def candidates(listed: DataFrame, percent: int) -> DataFrame:
             x, y, t, keep = near([np.ascontiguousarray(c) for c in columns], percent)
             a, b = np.minimum(t.cls[x], t.cls[y]), np.maximum(t.cls[x], t.cls[y])
             pair = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
-            name = textkit.mix(textkit.mix(pair[0].view(np.uint64)) + pair[1].view(np.uint64)).view(np.int64)
-            n = len(name)
-            columns = [np.concatenate((name, name, t.word[keep])), np.concatenate((np.full(2 * n, -1, dtype=np.int32), t.block[keep])), np.concatenate((np.zeros(2 * n, dtype=np.int8), t.role[keep])), np.concatenate((pair[0], pair[1], t.cls[keep]))]
+            own = np.unique(pair[0])  # a class and those above it that it is paired with are one group
+            n = len(own) + pair.shape[1]
+            columns = [np.concatenate((own, pair[0], t.word[keep])), np.concatenate((np.full(n, -1, dtype=np.int32), t.block[keep])), np.concatenate((np.zeros(n, dtype=np.int8), t.role[keep])), np.concatenate((own, pair[1], t.cls[keep]))]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "block", "role", "class"])
 
         for batch in batches:
@@ -363,9 +366,10 @@ def later_lines(docs: DataFrame, percent: int, frequent: int = FREQUENT) -> Data
     some = groups.select("class").distinct().withColumn("near", F.lit(True))
     classes = first.join(some, "class", "left").filter("near OR n > 1").select("class", "first.*", F.coalesce("near", F.lit(False)).alias("near"))
     classes = written(classes, "line-classes")
+    release(docs.sparkSession)  # the listing's shuffle, the largest of all, is done with
 
     wanted = classes.filter("near").groupBy("doc").agg(F.collect_list("line").alias("lines"))  # lines of one document
-    rows = groups.join(classes.select("class", "id", "doc", "line"), "class").join(class_words(docs, wanted), "class")
+    rows = groups.join(classes.select("class", "id", "doc", "line"), "class").join(class_words(docs.drop("id"), wanted), "class")
     later = matched(rows, percent).withColumn("later", F.lit(True))
     gone = classes.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line")).join(later, "class", "left")
     away = F.col("first_doc").isNotNull() & (F.col("later").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
