@@ -8,7 +8,8 @@ Every passage of every document (windows of three times the longest item, moved
 length, so that no run of twice that length is cut everywhere) is a query: block-max WAND
 leaves out whatever cannot reach the threshold by the terms' largest weights, then by their
 largest weights in each block, and scores the items of the remaining blocks exactly. All
-items above the threshold are retrieved; there is no top-k.
+items above the threshold are retrieved; there is no top-k. The document as a whole is a query too,
+so that an item whose parts lie in different passages is also found.
 
 Retrieved items are verified on the whole document: the share of the item's distinct word
 shingles (five words) that occur in it, over the whole item and for its question and answer
@@ -125,19 +126,22 @@ def passages(n_words: int, longest: int) -> list[tuple[int, int]]:
 
 
 def match(hashes: np.ndarray, index: Index) -> list[tuple[int, float, float, float, float]]:
-    """(item, best passage score as a multiple of its threshold, overlap, question overlap, answer overlap) of the items found in a document."""
+    """(item, score as a multiple of its threshold, overlap, question overlap, answer overlap) of the items found in a document.
+
+    The score is that of the best passage, or of the whole document where no passage reaches the threshold.
+    """
     at = np.minimum(np.searchsorted(index.terms, hashes), len(index.terms) - 1)
     term = np.where(index.terms[at] == hashes, at, -1)
     whole = np.unique(term)
-    best: dict[int, float] = {}
-    # No passage scores more for an item than the whole document, so most documents need one look.
-    if index.retrieve(whole[whole >= 0], 1.0):
-        for start, stop in passages(len(hashes), index.longest):
-            own = np.unique(term[start:stop])
-            for item, score in index.retrieve(own[own >= 0], 1.0):
-                best[item] = max(score, best.get(item, 0.0))
-    if not best:
+    # No passage scores more for an item than the whole document: these are all the items to verify, and most documents need one look.
+    found = dict(index.retrieve(whole[whole >= 0], 1.0))
+    if not found:
         return []
+    best: dict[int, float] = {}
+    for start, stop in passages(len(hashes), index.longest):
+        own = np.unique(term[start:stop])
+        for item, score in index.retrieve(own[own >= 0], 1.0):
+            best[item] = max(score, best.get(item, 0.0))
     there = np.unique(textkit.ordered_shingles(hashes, WORDS))
     sizes: dict[int, np.ndarray] = {WORDS: there}
 
@@ -146,10 +150,11 @@ def match(hashes: np.ndarray, index: Index) -> list[tuple[int, float, float, flo
             return 1.0
         if size not in sizes:  # the part is one shingle of fewer words
             sizes[size] = np.unique(textkit.ordered_shingles(hashes, size))
-        return float(np.isin(part, sizes[size], assume_unique=True).mean())
+        own = sizes[size]
+        return float((own[np.minimum(np.searchsorted(own, part), len(own) - 1)] == part).mean())
 
     out = []
-    for item, score in sorted(best.items()):
+    for item, score in sorted((found | best).items()):
         whole, question, answer = (share(p, n) for p, n in zip(index.parts[item], index.sizes[item], strict=True))
         if whole >= LEAST_OVERLAP and min(question, answer) >= LEAST_PART:
             out.append((item, score, whole, question, answer))

@@ -156,6 +156,17 @@ def test_leaks(spark, monkeypatch, shard):
     assert decontam.contaminated(df, "doc_id", "text", its.limit(0), "item_id", "question", "answer").count() == 0
 
 
+def test_item_split_over_a_document(spark):
+    item = [(1, " ".join(f"q{k}" for k in range(16)), " ".join(f"a{k}" for k in range(14)))]
+    filler = " ".join(f"f{k}" for k in range(300))  # more than a window of three times the item
+    docs = [(1, f"{item[0][1]} {filler} {item[0][2]}"), (2, f"{filler} {item[0][2]} {filler} {item[0][1]} {filler}"), (3, f"{item[0][1]} {filler}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    its = spark.createDataFrame(item, "item_id long, question string, answer string")
+    got = decontam.contaminated(df, "doc_id", "text", its, "item_id", "question", "answer").collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(docs, item) == {(1, 1), (2, 1)}
+    assert all(r.score >= 1 and r.question_overlap == r.answer_overlap == 1 for r in got)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((6, 16))
