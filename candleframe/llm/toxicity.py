@@ -1,28 +1,34 @@
 """Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
 
 Fitting takes a bounded sample of labelled texts (``FIT_ROWS``, by hash). Spark counts in how
-many of them each term (a word, or its first four or five characters) occurs, by label; the
-``TERMS`` terms most over-represented in texts labelled 1 span the vectors, so that the many
-words without bearing on the label do not drown the few with. The examples' TF-IDF vectors
-make an inverted index whose postings lie in blocks of examples, each with the largest
-weight of a term. A query scores the blocks of greatest bound first; blocks whose bound is
-below the k-th best cosine so far are left out, the others are scored exactly, so the k
-nearest are exact. Votes weigh 1 / (distance + 0.05), are drawn to the base rate, and are
+many of them each term (a word, or its first four or five characters) occurs, by label. All
+terms span the vectors; a term's TF-IDF is weighted by the square of how far the label's
+log-odds among its texts, drawn to the base rate by ``DRAW`` texts, lie from it, in either
+direction, so that the many words without bearing on the label do not drown the few with.
+The examples' vectors make an inverted index; examples lie in blocks by the length of their
+unscaled vectors, each block with the largest weight of a term. A query takes its terms by
+falling bound and adds their postings until the bounds that its blocks have left keep all but
+a few examples below the k-th best cosine so far; those few are scored on their whole
+vectors, so the k nearest are exact. Votes weigh 1 / (distance + 0.05), are drawn to the base rate, and are
 calibrated by isotonic regression on the examples themselves, each scored without itself.
 
-Defined results: a null, empty or termless text has no neighbours and gets the rate of
+Defined results: a null, empty or termless text, or one of unseen terms, has no neighbours and gets the rate of
 label 1 among examples without neighbours; with no labelled rows every score is 0; ties go
 to the smaller example id; repeated rows give repeated results; other columns pass through.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,30 +37,40 @@ from candleframe.llm.langid import sample_of
 
 #: Labelled rows that the index is fitted on, at most (about; the sample is taken by hash).
 FIT_ROWS = 20_000
-#: Terms that span the vectors, and what a term needs: texts of the sample, as a number and as a share, a standard score, and a share of label 1 among its texts.
-TERMS, LEAST_TEXTS, LEAST_RATE, LEAST_Z, LEAST_SHARE = 2_000, 5, 0.002, 6.0, 0.7
-#: Neighbours that vote, and examples in one block of postings.
-NEIGHBOURS, BLOCK = 25, 64
+#: Texts at the base rate that a term's own are drawn by, and the least learned weight of a term.
+DRAW, LEAST_WEIGHT = 2.0, 0.01
+#: Neighbours that vote, examples in one block, and postings read before the first look at what is left.
+NEIGHBOURS, BLOCK, LOOK = 25, 1024, 4_000
 #: A row is predicted 1 from this score on.
 CUT = 0.3
 
 _WORD = re.compile(r"\w+")
 
 
+def word_terms(word: str) -> tuple[str, ...]:
+    """A word, and each first part of a longer word."""
+    return (word, *(word[:k] + "*" for k in (4, 5) if len(word) > k))
+
+
 def text_terms(text: str | None) -> Counter:
     """How often each word, and each first part of a longer word, occurs in the whole text."""
-    words = Counter(_WORD.findall((text or "").lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in (4, 5):
-            if len(w) > k:
-                out[w[:k] + "*"] += n
+    out: Counter = Counter()
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        for t in word_terms(w):
+            out[t] += n
     return out
 
 
+def ranges(at: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions from ``at[k]`` to ``at[k + 1]``, for each of ``numbers``, and how many each has."""
+    low = at[numbers]
+    run = at[numbers + 1] - low
+    return np.repeat(low - (np.cumsum(run) - run), run) + np.arange(run.sum()), run
+
+
 @dataclass
 class Index:
-    """Examples in id order; postings of term t at ``at[t]:at[t + 1]``, by example."""
+    """Postings of term t at ``at[t]:at[t + 1]``, by example; ``idf`` holds the learned weight as well."""
 
     terms: dict[str, int]
     idf: np.ndarray
@@ -67,20 +83,56 @@ class Index:
     base: float
     alone: float
     steps: tuple[np.ndarray, np.ndarray]
-
-    def vector(self, text: str | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit weights of a whole text; each word counts for its longest term."""
+    tf: np.ndarray | None = None  # of the postings, from which a worker makes their weights
+    norms: np.ndarray | None = None
+    held: Broadcast | None = None  # the index as ``fit`` has sent it
+
+    def __getstate__(self) -> tuple[int, bytes]:
+        """What the rest can be made from, compressed."""
+        kept = {k: getattr(self, k) for k in ("idf", "ids", "labels", "base", "alone", "steps", "examples", "tf", "norms")}
+        state = pickle.dumps(kept | {"terms": "\n".join(self.terms), "run": np.diff(self.at)})
+        return len(state), pa.compress(state, codec="zstd", asbytes=True)
+
+    def __setstate__(self, state: tuple[int, bytes]) -> None:
+        kept = pickle.loads(pa.decompress(state[1], state[0], codec="zstd", asbytes=True))
+        terms, run = kept.pop("terms"), kept.pop("run")
+        self.__dict__ |= kept
+        self.terms = {t: k for k, t in enumerate(terms.split("\n"))} if terms else {}
+        self.at = np.concatenate(([0], np.cumsum(run)))
+        self.weights = ((1 + np.log(self.tf)) * np.repeat(self.idf, run) / self.norms[self.examples]).astype(np.float32)
+        self.largest = np.zeros((len(run), (len(self.ids) + BLOCK - 1) // BLOCK), dtype=np.float32)
+        block = self.examples // BLOCK
+        first = np.flatnonzero(np.diff(np.repeat(np.arange(len(run)), run) * self.largest.shape[1] + block, prepend=-1))
+        if len(first):
+            term = np.searchsorted(self.at, first, side="right") - 1
+            self.largest[term, block[first]] = np.maximum.reduceat(self.weights, first)
+
+    @cached_property
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The examples' own vectors: where each starts, terms, weights; and room for a query by term."""
+        order = np.argsort(self.examples, kind="stable")
+        term = np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))[order]
+        start = np.concatenate(([0], np.cumsum(np.bincount(self.examples, minlength=len(self.ids)))))
+        return start, term, self.weights[order], np.zeros(len(self.at) - 1)
+
+    def counts(self, text: str | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers of a whole text and how often each occurs."""
         tf: dict[int, int] = {}
         for w, n in Counter(_WORD.findall((text or "").lower())).items():
             own = memo.get(w)
             if own is None:
-                if len(memo) > 500_000:
+                if len(memo) > 100_000:
                     memo.clear()
-                own = memo[w] = tuple(self.terms[t] for t in (w, w[:5] + "*", w[:4] + "*") if t in self.terms)[:1]
+                own = memo[w] = tuple(self.terms[t] for t in word_terms(w) if t in self.terms)
             for t in own:
                 tf[t] = tf.get(t, 0) + n
         ids = np.array(sorted(tf), dtype=np.int64)
-        weight = (1 + np.log(np.array([tf[t] for t in ids.tolist()], dtype=float))) * self.idf[ids]
+        return ids, np.array([tf[t] for t in ids.tolist()], dtype=np.int64)
+
+    def vector(self, text: str | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers and unit weights of a whole text."""
+        ids, tf = self.counts(text, memo)
+        weight = (1 + np.log(tf)) * self.idf[ids]
         norm = np.sqrt((weight**2).sum())
         return ids, weight / norm if norm else weight
 
@@ -88,24 +140,33 @@ class Index:
         """(example, cosine) of the nearest examples with a cosine above 0, nearest first."""
         if not len(ids) or not len(self.ids):
             return []
-        bound = weight @ self.largest[ids]
-        first = np.zeros(len(bound), dtype=bool)
-        first[np.argsort(-bound, kind="stable")[:4]] = True
-        done, cosine = np.zeros(len(bound), dtype=bool), np.zeros(len(self.ids))
-        for look in (first, None):
-            if look is None:
-                kth = np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS] if len(cosine) >= NEIGHBOURS else 0.0
-                look = (bound > 0) & (bound >= kth - 1e-9) & ~done
-            for t, w in zip(ids.tolist(), weight.tolist(), strict=True):
-                own = self.examples[self.at[t] : self.at[t + 1]]
-                use = look[own // BLOCK]
-                cosine[own[use]] += w * self.weights[self.at[t] : self.at[t + 1]][use]
-            done |= look
-            if but is not None:
-                cosine[self.ids == but] = 0
-        hit = np.flatnonzero(cosine > 0)
-        best = hit[np.lexsort((hit, -np.round(cosine[hit], 12)))][:NEIGHBOURS]
-        return list(zip(best.tolist(), cosine[best].tolist(), strict=True))
+        bound = weight[:, None] * self.largest[ids]
+        order = np.argsort(-bound.max(axis=1), kind="stable")
+        ids, weight = ids[order], weight[order]
+        left = np.zeros((len(ids) + 1, bound.shape[1]))  # by block, what the terms from each one on can add
+        left[:-1] = bound[order][::-1].cumsum(axis=0)[::-1]
+        postings = np.cumsum(self.at[ids + 1] - self.at[ids])
+        out = np.flatnonzero(self.ids == but) if but is not None else np.zeros(0, dtype=np.int64)
+        cosine, done, look = np.zeros(len(self.ids)), 0, LOOK
+        while True:
+            stop = min(max(int(np.searchsorted(postings, look, side="right")), done + 1), len(ids))
+            at, run = ranges(self.at, ids[done:stop])
+            cosine += np.bincount(self.examples[at], np.repeat(weight[done:stop], run) * self.weights[at], minlength=len(cosine))
+            cosine[out] = -np.inf
+            done, look = stop, 4 * max(look, int(postings[stop - 1]))
+            kth = max(np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS], 0.0) if len(cosine) >= NEIGHBOURS else 0.0
+            most = cosine + np.repeat(left[done], BLOCK)[: len(cosine)]
+            few = np.flatnonzero((most >= kth - 1e-6) & (most > 0))
+            if done == len(ids) or len(few) * len(self.examples) / len(self.ids) < postings[-1] - postings[done - 1]:
+                break
+        start, term, own, room = self.rows
+        at, run = ranges(start, few)
+        room[ids] = weight
+        exact = np.bincount(np.repeat(np.arange(len(few)), run), room[term[at]] * own[at], minlength=len(few))
+        room[ids] = 0
+        few, exact = few[exact > 0], exact[exact > 0]
+        best = np.lexsort((few, self.ids[few], -np.round(exact, 12)))[:NEIGHBOURS]
+        return list(zip(few[best].tolist(), exact[best].tolist(), strict=True))
 
     def vote(self, near: list[tuple[int, float]]) -> float | None:
         """Share of label 1 among the neighbours, weighted by closeness, before calibration."""
@@ -156,51 +217,59 @@ def fit(labelled: DataFrame, key: str, text: str, label: str) -> Index:
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     p = min(max(total.n1 / max(total.n, 1), 1e-6), 1 - 1e-6)
     terms = rows.mapInArrow(tally, "term string, n0 long, n1 long").groupBy("term").agg((F.sum("n0") + F.sum("n1")).alias("n"), F.sum("n1").alias("n1"))
-    z = (F.col("n1") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p))
-    chosen = terms.filter(F.col("n") >= max(LEAST_TEXTS, LEAST_RATE * total.n)).withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("n1") >= LEAST_SHARE * F.col("n"))).orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    number = {r.term: k for k, r in enumerate(chosen)}
-    idf = np.array([np.log(1 + total.n / r.n) for r in chosen])
-    index = Index(number, idf, *(np.zeros(0, dtype=np.int64) for _ in range(4)), np.zeros(0), np.zeros((len(number), 0)), p if total.n else 0.0, 0.0, (np.zeros(0), np.zeros(0)))
+    counted = terms.orderBy("term").toArrow()  # all terms of fit_rows texts
+    number = {t: k for k, t in enumerate(counted.column("term").to_pylist())}
+    n, n1 = (counted.column(c).to_numpy().astype(float) for c in ("n", "n1"))
+    rate = (n1 + DRAW * p) / (n + DRAW)
+    lean = np.log(rate / (1 - rate)) - np.log(p / (1 - p))
+    idf = np.log(1 + total.n / np.maximum(n, 1)) * (lean**2 + LEAST_WEIGHT)
+    index = Index(number, idf, np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(len(number) + 1, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros((0, 0)), p if total.n else 0.0, 0.0, (np.zeros(0), np.zeros(0)), np.zeros(0), np.zeros(0))
     held = spark.sparkContext.broadcast(index)
 
     def vectors(batches):
-        memo: dict = {}
+        index, memo = held.value, {}
         for batch in batches:
-            own = [held.value.vector(t.as_py(), memo) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v[0] for v in own], pa.list_(pa.int64())), pa.array([v[1] for v in own], pa.list_(pa.float64()))], names=["id", "label", "terms", "weights"])
-
-    got = rows.mapInArrow(vectors, "id long, label int, terms array<long>, weights array<double>")
-    alone = got.filter(F.size("terms") == 0).agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
-    index.alone = (alone.n1 + index.base) / (alone.n + 1) if total.n else 0.0
-    examples = sorted(got.filter(F.size("terms") > 0).collect(), key=lambda r: (r.id is None, r.id or 0, r.label, list(r.terms), list(r.weights)))  # fit_rows sparse vectors
-    index.ids = np.array([-1 if r.id is None else r.id for r in examples], dtype=np.int64)
-    index.labels = np.array([r.label for r in examples], dtype=float)
-    term = np.array([t for r in examples for t in r.terms], dtype=np.int64)
-    example = np.repeat(np.arange(len(examples)), [len(r.terms) for r in examples]).astype(np.int64)
-    weight = np.array([w for r in examples for w in r.weights], dtype=float)
-    order = np.lexsort((example, term))
-    index.examples, index.weights = example[order], weight[order]
+            own = [index.counts(t.as_py(), memo) for t in batch.column(1)]
+            norms = [float(np.sqrt((((1 + np.log(tf)) * index.idf[ids]) ** 2).sum())) for ids, tf in own]
+            packed = [pa.array([v[k].astype("<i4").tobytes() for v in own], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(norms, pa.float64()), *packed], names=["id", "label", "norm", "terms", "tf"])
+
+    got = rows.mapInArrow(vectors, "id long, label int, norm double, terms binary, tf binary").filter("norm > 0").toArrow()  # fit_rows sparse vectors
+    held.destroy()
+    got = got.set_column(0, "id", pc.fill_null(got.column("id"), -1)).sort_by([(c, "ascending") for c in ("norm", "id", "label", "terms", "tf")])
+    index.ids, index.labels, index.norms = got.column("id").to_numpy(), got.column("label").to_numpy().astype(float), got.column("norm").to_numpy()
+    lengths = pc.binary_length(got.column("terms")).to_numpy() // 4
+    term, tf = (np.frombuffer(b"".join(x.as_buffer() for x in got.column(c)), dtype="<i4") for c in ("terms", "tf"))
+    del got
+    least = lambda x: x.astype(np.uint16 if x.max(initial=0) < 1 << 16 else np.int32)
+    order = np.argsort(term, kind="stable")
+    index.examples = least(np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)[order])
+    index.tf = least(tf[order])
     index.at = np.searchsorted(term[order], np.arange(len(number) + 1))
-    index.largest = np.zeros((len(number), (len(examples) + BLOCK - 1) // BLOCK))
-    np.maximum.at(index.largest, (term, example // BLOCK), weight)
-    if examples:
-        held2 = spark.sparkContext.broadcast(index)
-
-        def without_itself(batches):
-            for batch in batches:
-                raws = []
-                for i, ts, ws in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    raws.append(held2.value.vote(held2.value.nearest(np.array(ts, dtype=np.int64), np.array(ws), -1 if i is None else i)))
-                yield pa.RecordBatch.from_arrays([pa.array(raws, pa.float64()), batch.column(1)], names=["raw", "label"])
-
-        raw = got.filter(F.size("terms") > 0).mapInArrow(without_itself, "raw double, label int").filter(F.col("raw").isNotNull()).toPandas()
-        index.steps = isotonic(raw["raw"].to_numpy(float), raw["label"].to_numpy(float))
+    del term, tf, order
+    index.held = spark.sparkContext.broadcast(index)
+    held2 = index.held
+
+    def without_itself(batches):
+        memo: dict = {}
+        for batch in batches:
+            index, raws = held2.value, []
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raws.append(index.vote(index.nearest(*index.vector(t.as_py(), memo), -1 if i is None else i)))
+            yield pa.RecordBatch.from_arrays([pa.array(raws, pa.float64()), batch.column(2)], names=["raw", "label"])
+
+    raw = rows.mapInArrow(without_itself, "raw double, label int").toPandas()
+    alone = raw["label"][raw["raw"].isna()]
+    index.alone = float((alone.sum() + index.base) / (len(alone) + 1)) if total.n else 0.0
+    near = raw[raw["raw"].notna()].sort_values(["raw", "label"])
+    if len(near):
+        index.steps = isotonic(near["raw"].to_numpy(float), near["label"].to_numpy(float))
     return index
 
 
 def score(df: DataFrame, text: str, index: Index, score: str = "score", evidence: str = "evidence") -> DataFrame:
     """Add the score of each whole text and its evidence: ids, labels and cosines of the neighbours."""
-    held = df.sparkSession.sparkContext.broadcast(index)
+    held, alone, steps = index.held, index.alone, index.steps  # the two are learned after the rest was sent
     place = df.columns.index(text)
     item = T.StructType([T.StructField("id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("cosine", T.DoubleType())])
     schema = T.StructType([*df.schema.fields, T.StructField(score, T.DoubleType()), T.StructField(evidence, T.ArrayType(item))])
@@ -210,6 +279,7 @@ def score(df: DataFrame, text: str, index: Index, score: str = "score", evidence
 
     def run(batches):
         index, memo = held.value, {}
+        index.alone, index.steps = alone, steps
         for batch in batches:
             scores, why = [], []
             for t in batch.column(place):

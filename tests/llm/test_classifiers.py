@@ -80,3 +80,18 @@ def test_toxicity_odd_rows(spark):
     more = df.union(spark.createDataFrame([(9, "so bad"), (10, "so fine")], df.schema))
     got = {r.doc_id: r.score for r in toxicity.score(more, "text", index).collect()}
     assert got[9] > 0.5 > toxicity.CUT > got[10] and got[1] == got[2] == got[3]
+
+
+def test_toxicity_of_a_rare_word_and_of_benign_words(spark):
+    rng = np.random.default_rng(6)
+    plain = [f"plain{k}x" for k in range(400)]
+    some = lambda n: " ".join(rng.choice(plain, n))
+    rows = [(k, f"{some(12)} vile {some(12)}", 1) for k in range(400)]
+    rows += [(k, f"{some(12)} rareslur {some(12)}", 1) for k in range(400, 406)]  # 6 of 4,006 texts: 0.15 %
+    rows += [(k, some(25), 0) for k in range(406, 3706)]
+    rows += [(k, f"{some(12)} vile weather report {some(12)}", 0) for k in range(3706, 4006)]
+    index = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), "doc_id", "text", "toxic")
+    asked = [(1, f"{some(12)} rareslur {some(12)}"), (2, f"{some(12)} rareslurs"), (3, some(25)), (4, f"{some(12)} vile weather report {some(12)}"), (5, f"{some(12)} vile {some(12)}")]
+    got = {r.doc_id: r for r in toxicity.score(spark.createDataFrame(asked, "doc_id long, text string"), "text", index).collect()}
+    assert all(len(r.evidence) == toxicity.NEIGHBOURS for r in got.values())
+    assert min(got[k].score for k in (1, 2, 5)) > toxicity.CUT > max(got[k].score for k in (3, 4))
