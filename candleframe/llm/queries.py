@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, with production parameters, over whole tables."""
+"""The registered queries of the operators, with production parameters, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candleframe.llm import ann, bpe, chatfmt, decontam, langid, linededup, minhash, secrets, tokencount, toxicity
+from candleframe.llm import ann, bpe, chatfmt, decontam, langid, linededup, minhash, ranked, secrets, substring, tokencount, toxicity, whiten
 from candleframe.llm.common import shared_dir, ship, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -243,3 +243,72 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = docs.select("id", "doc").join(linededup.later_lines(docs, percent=80), "doc", "left")
     removed = F.coalesce("gone", F.array().cast("array<int>"))
     return found.select(F.col("id").alias("doc_id"), F.coalesce("n", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), F.array_join(F.transform(removed, lambda x: x.cast("string")), ",").alias("removed_lines"))
+
+
+OP11_SQL = r"""
+WITH w AS (
+  SELECT 1 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 2, item_id, text FROM benchmark
+), t AS (
+  SELECT side, id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM w
+), d AS (
+  SELECT id AS doc_id, term, count(*) AS tf FROM t WHERE side = 1 GROUP BY ALL
+), n AS (
+  SELECT doc_id, sum(tf)::BIGINT AS n FROM d GROUP BY doc_id
+), c AS (
+  SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM n
+), q AS (
+  SELECT DISTINCT id AS item_id, term FROM t WHERE side = 2 AND id IS NOT NULL
+), g AS (
+  SELECT term, floor(1000 * ln((2 * c.docs + 2) / (2 * df + 1)))::BIGINT AS weight
+  FROM (SELECT term, count(*) AS df FROM d SEMI JOIN q USING (term) GROUP BY term), c
+), s AS (
+  SELECT q.item_id, d.doc_id, sum(g.weight * ((1000000000 * d.tf) // (1000 * d.tf + 20 * (100 - 50 + (50 * n.n * c.docs) // c.total))))::BIGINT AS score
+  FROM q JOIN g USING (term) JOIN d USING (term) JOIN n USING (doc_id), c GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+
+@register("op11_ranked_search", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 documents of highest score for every test item, by hybrid evaluation over index blocks."""
+    lists = ranked.build(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    found = ranked.search(lists, table(spark, sf_dir, "benchmark", "item_id", "text"), "item_id", "text", k=50)
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("id").alias("doc_id"), "score")
+
+
+@register("op12_embedding_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding on the 16 leading components of the distinct ones, whitened."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), "vec_id", "embedding", components=16)
+
+
+OP13_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, k, md5(array_to_string(words[k:k + 34], ' ')) AS run
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 33)) AS k FROM t WHERE len(words) >= 35)
+), twice AS (
+  SELECT run FROM s GROUP BY run HAVING count(*) > 1
+), cover AS (
+  SELECT DISTINCT doc_id, unnest(range(k, k + 35)) AS k FROM s SEMI JOIN twice USING (run)
+), w AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(1, len(words) + 1)) AS k FROM t
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS text, count(*) AS n FROM w ANTI JOIN cover USING (doc_id, k) GROUP BY doc_id
+)
+SELECT t.doc_id, len(t.words)::BIGINT AS n_words, (len(t.words) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+
+@register("op13_substring_dedup", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text without the words of runs of 35 that also start anywhere else."""
+    docs = substring.keyed(table(spark, sf_dir, "documents", "doc_id", "text"), "text", "key")
+    clean = substring.clean_texts(docs.select("key", "text"), "key", "text", words=35)
+    digests = clean.select("key", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+    return docs.select("doc_id", "key").join(digests, "key").drop("key")

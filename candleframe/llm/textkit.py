@@ -20,6 +20,8 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63 - 1, size=256, dtype=np.uint64)
+#: Values of bytes as they are; word hashes take A-Z like a-z unless these are asked for.
+AS_IS = _VALUE.copy()
 for _b in range(65, 91):
     _VALUE[_b] = _VALUE[_b + 32]
 _SPACE = np.zeros(256, dtype=bool)
@@ -83,11 +85,11 @@ def words(raw: np.ndarray, breaks: np.ndarray, between: np.ndarray = SPACE) -> t
     return np.flatnonzero(first), np.flatnonzero(last) + 1
 
 
-def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def word_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = _VALUE) -> np.ndarray:
     """A 64-bit hash of each word."""
     power, inverse = _powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[raw] * power[: len(raw)], out=sums[1:])
+    np.cumsum(value[raw] * power[: len(raw)], out=sums[1:])
     return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
