@@ -292,10 +292,12 @@ def _blocks(batches) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list]]:
 
 def _best_of(batches, queries: Queries, k: int, n_all: int, total: int, names: list[str]) -> Iterator[pa.RecordBatch]:
     """The k best documents of each query over all blocks of a task."""
-    kind = None
     held: dict[int, tuple[pa.Array, np.ndarray]] = {}
     for ids, size, terms, lists in _blocks(batches):
-        kind = ids.type
+        asked = np.flatnonzero(np.isin(terms, queries.terms))  # other shards' terms have lists here too
+        if not len(asked):
+            continue
+        terms, lists = terms[asked], [lists[k] for k in asked]
         block = Block(ids, size, terms, lists, queries, n_all, total)
         for q in range(len(queries.ids)):
             own = held.get(q)
@@ -313,7 +315,7 @@ def _best_of(batches, queries: Queries, k: int, n_all: int, total: int, names: l
             held[q] = found, score
     if held:
         query = np.repeat(list(held), [len(h[1]) for h in held.values()])
-        found = pa.concat_arrays([h[0] for h in held.values()]) if held else pa.array([], kind)
+        found = pa.concat_arrays([h[0] for h in held.values()])
         yield pa.RecordBatch.from_arrays([queries.ids.take(pa.array(query)), found, pa.array(np.concatenate([h[1] for h in held.values()]))], names=names)
 
 
