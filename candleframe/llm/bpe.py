@@ -230,6 +230,26 @@ def encode(df: DataFrame, text: str, rank_path: str, pattern: str, ids: str = "i
     return df.mapInArrow(run, _added(df, (ids, T.BinaryType()), (n_tokens, T.LongType())))
 
 
+def round_trip(df: DataFrame, text: str, rank_path: str, pattern: str, ids: str = "ids", n_tokens: str = "n_tokens", out: str = "decoded") -> DataFrame:
+    """``encode`` and ``decode`` in one pass: one Python worker and one codec for each task, not two."""
+    with open(rank_path, "rb") as f:
+        ranks = df.sparkSession.sparkContext.broadcast(f.read())
+    place = df.columns.index(text)
+
+    def run(batches):
+        codec = _codec(ranks.value, pattern)
+        for batch in batches:
+            for start, part in _pieces(batch.column(place)):
+                encoded = codec.encode(part.to_pylist())
+                count = pa.array([len(x) // 4 for x in encoded], pa.int64())
+                decoded = pa.array([codec.decode(x) for x in encoded], pa.binary())
+                rows = batch.slice(start, len(part))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(encoded, pa.binary()), count, decoded], names=[*batch.schema.names, ids, n_tokens, out])
+        codec.cache.clear()  # a worker that is used again keeps the ranks only
+
+    return df.mapInArrow(run, _added(df, (ids, T.BinaryType()), (n_tokens, T.LongType()), (out, T.BinaryType())))
+
+
 def decode(df: DataFrame, ids: str, rank_path: str, pattern: str, out: str = "decoded") -> DataFrame:
     """Add the bytes (binary) that the ids in column ``ids`` stand for."""
     with open(rank_path, "rb") as f:

@@ -13,8 +13,8 @@ nothing that can match is lost. Words with few classes give the pairs that are l
 with more give classes, which are compared in one block, without pairs. The words of the
 classes that are left are read from the texts again, and the similarity is verified on the
 full sets; a block reports classes that have an earlier match. Words whose bucket is
-frequent are split into blocks of classes, each met by all others of that word, so no task
-holds a whole frequent word.
+frequent are split into parts of classes; a group holds two parts, or one, and compares the
+classes of one part with those of the other, so no task holds a whole frequent word.
 
 Defined results: lines end at newlines; lines without a word are kept, and match nothing;
 null and empty texts have no lines; rows equal in id and text are one document and lose the
@@ -41,6 +41,8 @@ BUCKETS = 1 << 16
 FREQUENT = 20_000
 #: Classes under one word up to which it gives pairs; up to which all words of a task are compared together.
 FEW, SMALL = 8, 64
+#: Classes that a task remembers as listed, at most.
+SEEN = 1 << 20
 #: Lengths and positions are packed in 12 bits; a longer line counts as this long, and its filters are left out.
 MOST = 4095
 #: Lines of more words than this get two 64-bit bitmaps.
@@ -61,6 +63,13 @@ class Lines(NamedTuple):
     def of_line(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.size)), self.size)
 
+    def of(self, at: np.ndarray) -> Lines:
+        """The lines ``at`` (ascending) alone."""
+        size = self.size[at]
+        start = np.cumsum(size) - size
+        words = self.words[np.repeat(self.start[at] - start, size) + np.arange(size.sum())]
+        return Lines(self.row[at], self.number[at], start, size, words)
+
 
 def _by_line(line: np.ndarray) -> np.ndarray:
     small = line.astype(np.uint16) if len(line) and line.max() < 1 << 16 else line  # radix sort
@@ -123,7 +132,9 @@ def listing(docs: DataFrame, counts: np.ndarray, percent: int, frequent: int) ->
     """Classes under their prefix words.
 
     ``word`` packs 40 bits of the word, the class's length and the word's position; ``block``
-    and ``role`` (0 member and probe, 1 member, 2 probe) split frequent words; ``low`` and
+    names the two parts of a frequent word that meet, ``role`` the side of the class (1 or 2, 0
+    where a part meets itself); a class is listed once by a task, or again where ``SEEN`` are
+    held; ``low`` and
     ``high`` are bitmaps of the set's words by their first bit, in ``low`` alone for short lines.
     """
     rank = np.empty(BUCKETS, dtype=np.uint16)
@@ -144,38 +155,36 @@ def listing(docs: DataFrame, counts: np.ndarray, percent: int, frequent: int) ->
         upper = (lines.words >> _U(63)).astype(bool) & np.repeat(lines.size > LONG, lines.size)
         low = np.bitwise_or.reduceat(np.where(upper, _U(0), bit), lines.start)
         high = np.bitwise_or.reduceat(np.where(upper, bit, _U(0)), lines.start)
-        block, role = np.zeros(len(of), dtype=np.int32), np.zeros(len(of), dtype=np.int8)
+        block, role = np.zeros(len(of), dtype=np.int64), np.zeros(len(of), dtype=np.int8)
         split = np.flatnonzero(often > frequent)
         if len(split):
-            blocks = often[split] // frequent + 1
-            block[split], role[split] = (key[of[split]] & 0x7FFFFFFF) % blocks, 1
-            again = np.repeat(split, blocks)
-            of, packed = np.concatenate((of, of[again])), np.concatenate((packed, packed[again]))
-            every = np.arange(len(again)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-            block = np.concatenate((block, every.astype(np.int32)))
-            role = np.concatenate((role, np.full(len(again), 2, dtype=np.int8)))
+            parts = often[split] // frequent + 1
+            again = np.repeat(split, parts)
+            own = np.repeat((key[of[split]] & 0x7FFFFFFF) % parts, parts)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
+            rest = np.flatnonzero(often <= frequent)
+            meet = np.minimum(own, other) * np.repeat(parts, parts) + np.maximum(own, other)
+            block = np.concatenate((block[rest], meet))
+            role = np.concatenate((role[rest], np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)))
+            of, packed = np.concatenate((of[rest], of[again])), np.concatenate((packed[rest], packed[again]))
         return [packed.view(np.int64), key[of], block, role, low.view(np.int64)[of], high.view(np.int64)[of]]
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            seen: set[int] = set()
             for lines in line_sets(batch.column(0)):
-                key = set_keys(lines)
-                fresh = []
-                for k in key.tolist():
-                    fresh.append(k not in seen)
-                    seen.add(k)
+                key, at = np.unique(set_keys(lines), return_index=True)
+                new = np.array([k not in seen for k in key.tolist()])
+                if not new.any():
+                    continue
+                if len(seen) > SEEN:
+                    seen.clear()
+                seen.update(key[new].tolist())
+                lines, key = lines.of(np.sort(at[new])), key[new][np.argsort(at[new])]
                 columns = rows(lines, key)
-                new = np.zeros(len(key), dtype=bool)
-                new[fresh] = True
-                if not new.all():
-                    use = np.isin(columns[1], key[~new], invert=True) if new.any() else np.zeros(len(columns[1]), dtype=bool)
-                    both = np.intersect1d(key[new], key[~new])  # first here, repeated in the same chunk
-                    use |= np.isin(columns[1], both)
-                    columns = [c[use] for c in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "class", "block", "role", "low", "high"])
 
-    return docs.select("text").mapInArrow(run, "word long, class long, block int, role byte, low long, high long")
+    return docs.select("text").mapInArrow(run, "word long, class long, block long, role byte, low long, high long")
 
 
 class Listed(NamedTuple):
@@ -242,12 +251,27 @@ def near(columns: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
         step += 1
     for begin, n in zip(start[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
         rows = np.arange(begin, begin + n)
-        some = max(1, (1 << 19) // n)
-        for k in range(0, n, some):
-            x, y = np.repeat(rows[k : k + some], n), np.tile(rows, len(rows[k : k + some]))
+        one, two = (rows, rows) if not t.role[begin] else (rows[t.role[rows] == 1], rows[t.role[rows] == 2])
+        two = two[np.argsort(t.size[two], kind="stable")]
+        # Lengths that can match: the second at least the threshold's share of the first, and the other way.
+        # A length that is cut to MOST stands for itself or more, which this does not rule out.
+        low = np.searchsorted(t.size[two], -(-percent * t.size[one] // 100), "left")
+        high = np.searchsorted(t.size[two], t.size[one] * 100 // percent, "right")
+        if one is rows:  # each pair once
+            one = two
+            low = np.arange(n) + 1
+            high = np.maximum(np.searchsorted(t.size[two], t.size[two] * 100 // percent, "right"), low)
+        upto = np.cumsum(high - low)
+        k = 0
+        while k < len(one):
+            to = max(int(np.searchsorted(upto, (upto[k - 1] if k else 0) + (1 << 19), "right")), k + 1)
+            wide = high[k:to] - low[k:to]
+            x = np.repeat(one[k:to], wide)
+            y = two[np.repeat(low[k:to] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())]
             good = can_match(t, x, y, percent)
             keep[x[good]] = True
             keep[y[good]] = True
+            k = to
     cat = lambda p: np.concatenate(p) if p else np.zeros(0, dtype=np.int64)
     return cat(left), cat(right), t, keep
 
@@ -266,7 +290,7 @@ def candidates(listed: DataFrame, percent: int) -> DataFrame:
             pair = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
             own = np.unique(pair[0])  # a class and those above it that it is paired with are one group
             n = len(own) + pair.shape[1]
-            columns = [np.concatenate((own, pair[0], t.word[keep])), np.concatenate((np.full(n, -1, dtype=np.int32), t.block[keep])), np.concatenate((np.zeros(n, dtype=np.int8), t.role[keep])), np.concatenate((own, pair[1], t.cls[keep]))]
+            columns = [np.concatenate((own, pair[0], t.word[keep])), np.concatenate((np.full(n, -1, dtype=np.int64), t.block[keep])), np.concatenate((np.zeros(n, dtype=np.int8), t.role[keep])), np.concatenate((own, pair[1], t.cls[keep]))]
             return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "block", "role", "class"])
 
         for batch in batches:
@@ -283,7 +307,7 @@ def candidates(listed: DataFrame, percent: int) -> DataFrame:
         if held is not None:
             yield out(held)
 
-    return dealt.mapInArrow(run, "word long, block int, role byte, class long").distinct()
+    return dealt.mapInArrow(run, "word long, block long, role byte, class long").distinct()
 
 
 def class_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:

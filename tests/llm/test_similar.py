@@ -204,3 +204,20 @@ def test_hilbert_steps_are_neighbours():
     place = ann.hilbert(cells, 3)
     assert sorted(place.tolist()) == list(range(512))
     assert (np.abs(np.diff(cells[np.argsort(place)], axis=0)).sum(axis=1) == 1).all()
+
+
+def test_frequent_words_are_compared_in_parts(spark):
+    """A word in all lines: results as without parts, and no group holds more than two of them."""
+    rng = random.Random(9)
+    vocab = [f"u{k}" for k in range(40)]
+    docs = [(k, "\n".join(" ".join(["hot", *rng.sample(vocab, rng.randrange(1, 5))]) for _ in range(6))) for k in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {r.doc_id: r.text for r in linededup.dedup_lines(df, "doc_id", "text", frequent=10**6).collect()}
+    split = {r.doc_id: r.text for r in linededup.dedup_lines(df, "doc_id", "text", frequent=40).collect()}
+    assert whole == split
+    work = df.select("doc_id", "text").withColumn("id", F.col("doc_id")).withColumn("doc", F.col("doc_id"))
+    _, counts = linededup.line_table(work)
+    listed = linededup.listing(work, counts, 80, 40)
+    groups = listed.groupBy(F.shiftrightunsigned("word", 24).alias("w"), "block").agg(F.countDistinct("class").alias("n"), F.collect_set("role").alias("roles")).collect()
+    assert max(r.n for r in groups) <= 4 * 40
+    assert {tuple(sorted(r.roles)) for r in groups} <= {(0,), (1,), (2,), (1, 2)}

@@ -69,3 +69,10 @@ def test_cache_grows_by_misses_only(spark, tmp_path):
     tokencount.count_tokens(frame(["three"]), "text", public_tokenizers.path("byte_bpe_50k.json"), cache).collect()
     assert stored() == 5  # another tokenizer shares nothing
     assert hashlib.sha256(b"").digest() in {bytes(r.content_digest) for r in spark.read.parquet(cache).collect()}
+
+
+def test_round_trip_equals_encode_then_decode(spark, odd_texts):
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    df = spark.createDataFrame([(k, t) for k, t in enumerate([*odd_texts, None])], "doc_id long, text string")
+    two = bpe.decode(bpe.encode(df, "text", path, pattern), "ids", path, pattern)
+    assert sorted(bpe.round_trip(df, "text", path, pattern).collect()) == sorted(two.collect())
