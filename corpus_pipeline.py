@@ -61,8 +61,7 @@ def encode_and_decode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Token counts and digests of the ids and of the bytes they decode to, for each document."""
     ship(spark)
     path, pattern = public_tokenizers.path(RANKS), public_tokenizers.PATTERN
-    ids = bpe.encode(docs.select("doc_id", "source", "lang", "text"), "text", path, pattern).drop("text")
-    back = bpe.decode(ids, "ids", path, pattern)
+    back = bpe.round_trip(docs.select("doc_id", "source", "lang", "text"), "text", path, pattern)
     return back.select("doc_id", "source", "lang", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
