@@ -1577,3 +1577,7 @@ def q_pressure_momentum(spark, sf_dir):
     """Mean return of the last 14 bars, NULL if one of them has no return."""
     last = tail_n(features(bars_1h(spark, sf_dir), ["returns"]), 14)
     return last.groupBy("symbol").agg(F.when(F.count("returns") == 14, F.round(F.avg("returns"), 6)).alias("pressure_momentum"))
+
+
+# Modules that register more queries; they take the names above from this one.
+from . import ingest, streams, validation  # noqa: E402, F401
