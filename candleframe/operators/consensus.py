@@ -1,15 +1,17 @@
 """Predictions table and the consensus / decision operators over it.
 
-``predictions`` is long: one row per (symbol, ts, model). Any source of that schema
-works (MLlib bake-off rows, rule strategies as voters). Consensus operators are group
-aggregates per (symbol, ts): partial aggregation, no window over a whole symbol.
+``predictions`` is long, one row per (symbol, ts, model), from any source of that schema
+(MLlib bake-off rows, rule strategies as voters), or wide, one row per (symbol, ts) with an
+array ``votes`` of all its models. The rules' votes of a bar come from one row, so they are wide
+from the start (``strategy_votes``) and a consensus needs no shuffle; long rows are gathered
+into the same arrays by one aggregate per (symbol, ts), bounded by the model count.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import signals as SG
@@ -24,16 +26,28 @@ HIT_WINDOW = 50
 KEYS = ["symbol", "ts"]
 
 
-def ordered_sum(term: Column, order: str = "model") -> Column:
-    """Sum of ``term`` over the group in ``order`` (one row per model, so the group is
-    bounded by the model count). Gives results that do not depend on how rows were
-    partitioned (floating-point sums are order-sensitive)."""
-    items = F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), term.cast("double").alias("v"))))
-    return F.aggregate(F.filter(items, lambda x: x["v"].isNotNull()), F.lit(0.0), lambda acc, x: acc + x["v"])
+def by_bar(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, votes): the votes of each bar in model order, from wide or long predictions.
 
+    The order makes floating-point sums independent of how rows were partitioned."""
+    if "votes" in preds.columns:
+        return preds.select(*keys, "votes")
+    own = [c for c in preds.columns if c not in keys and c != "model"]
+    return preds.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("model", *own))).alias("votes"))
 
-def ordered_avg(term: Column, order: str = "model") -> Column:
-    return F.try_divide(ordered_sum(term, order), F.count(term).cast("double"))
+
+def vote_sum(term: Callable[[Column], Column], votes: str = "votes") -> Column:
+    """Sum of ``term`` over a bar's votes in model order, without nulls; 0 if there are none."""
+    terms = F.transform(votes, lambda v: term(v).cast("double"))
+    return F.aggregate(F.filter(terms, lambda x: x.isNotNull()), F.lit(0.0), lambda acc, x: acc + x)
+
+
+def vote_count(which: Callable[[Column], Column], votes: str = "votes") -> Column:
+    return F.size(F.filter(votes, which)).cast("long")
+
+
+def vote_avg(term: Callable[[Column], Column], votes: str = "votes") -> Column:
+    return F.try_divide(vote_sum(term, votes), vote_count(lambda v: term(v).isNotNull(), votes).cast("double"))
 
 
 def trend_bucket(p: Column) -> Column:
@@ -63,7 +77,12 @@ def trend_weight(trend: Column) -> Column:
 
 
 def strategy_predictions(wide: DataFrame, layout: Layout | None = None, hit_window: int = HIT_WINDOW) -> DataFrame:
-    """Rule strategies as voting models.
+    """``strategy_votes`` as long predictions, one row for each bar and rule."""
+    return strategy_votes(wide, layout, hit_window).select(*KEYS, F.inline("votes"))
+
+
+def strategy_votes(wide: DataFrame, layout: Layout | None = None, hit_window: int = HIT_WINDOW, carry: Sequence[str] = ()) -> DataFrame:
+    """Rule strategies as voting models, all votes of a bar in its row, with the columns ``carry``.
 
     ``wide`` carries the bar layout (``_rn``, ``_blk``), ``delta_close`` and the 35
     ``sig_*`` columns. Per (symbol, model) series: a vote at t-1 is a hit when the close
@@ -74,8 +93,7 @@ def strategy_predictions(wide: DataFrame, layout: Layout | None = None, hit_wind
     """
     layout = layout or Layout()
     names = [n for n, _, _ in SG.STRATEGY_RULES]
-    # Trailing hit rates are computed wide (one row per bar through the shuffle, 35
-    # window columns) and only then stacked into one row per (bar, model).
+    # One row per bar through the shuffle, 35 window columns.
     up = F.signum("delta_close").cast("int")
     levels = [
         [(f"_ps_{n}", (lambda n: lambda w: F.lag(f"sig_{n}", 1).over(w))(n)) for n in names],
@@ -95,33 +113,30 @@ def strategy_predictions(wide: DataFrame, layout: Layout | None = None, hit_wind
         [(f"_acc_{n}", (lambda n: lambda w: F.avg(f"_hit_{n}").over(w.rowsBetween(-(hit_window - 1), 0)))(n)) for n in names],
     ]
     lay_cols = [c for c in (RN, BLK, BS) if c in wide.columns]
-    wide_acc = windowed(wide.select(*KEYS, *lay_cols, "delta_close", *[f"sig_{n}" for n in names]), layout, hit_window + 1, levels)
-    triples = ", ".join(f"'{n}', sig_{n}, _acc_{n}" for n in names)
-    p = wide_acc.selectExpr(*KEYS, f"stack({len(names)}, {triples}) AS (model, signal, accuracy)")
-    acc = F.coalesce(F.col("accuracy"), F.lit(0.5))
-    prob_up = F.when(F.col("signal") == 1, acc).when(F.col("signal") == -1, F.lit(1.0) - acc).otherwise(F.lit(0.5))
-    return p.select(
-        *KEYS,
-        "model",
-        "signal",
-        prob_up.alias("prob_up"),
-        (F.lit(1.0) - prob_up).alias("prob_down"),
-        F.greatest(prob_up, F.lit(1.0) - prob_up).alias("confidence"),
-        trend_bucket(prob_up).alias("trend"),
-        F.col("accuracy"),
-        F.col("accuracy").alias("f1"),
-    )
+    wide_acc = windowed(wide.select(*KEYS, *lay_cols, "delta_close", *carry, *[f"sig_{n}" for n in names]), layout, hit_window + 1, levels)
+    raw = F.array(*[F.struct(F.lit(n).alias("model"), F.col(f"sig_{n}").alias("signal"), F.col(f"_acc_{n}").alias("accuracy")) for n in sorted(names)])
+
+    def vote(v: Column) -> Column:
+        acc = F.coalesce(v["accuracy"], F.lit(0.5))
+        up = F.when(v["signal"] == 1, acc).when(v["signal"] == -1, F.lit(1.0) - acc).otherwise(F.lit(0.5))
+        return F.struct(
+            v["model"].alias("model"), v["signal"].alias("signal"), up.alias("prob_up"), (F.lit(1.0) - up).alias("prob_down"),
+            F.greatest(up, F.lit(1.0) - up).alias("confidence"), trend_bucket(up).alias("trend"), v["accuracy"].alias("accuracy"), v["accuracy"].alias("f1"),
+        )
+
+    return wide_acc.withColumn("_raw", raw).select(*KEYS, *carry, F.transform("_raw", vote).alias("votes"))
 
 
 def ensemble_sign(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """sign of the vote sum, share of votes agreeing with it, mean confidence."""
-    g = preds.groupBy(*keys).agg(
-        F.sum("signal").alias("_s"),
-        F.count(F.lit(1)).alias("n_models"),
-        ordered_avg(F.col("confidence")).alias("mean_confidence"),
-        F.count_if(F.col("signal") == 1).alias("_up"),
-        F.count_if(F.col("signal") == 0).alias("_flat"),
-        F.count_if(F.col("signal") == -1).alias("_down"),
+    g = by_bar(preds, keys).select(
+        *keys,
+        F.aggregate(F.transform("votes", lambda v: v["signal"].cast("long")), F.lit(0).cast("long"), lambda acc, x: acc + F.coalesce(x, F.lit(0).cast("long"))).alias("_s"),
+        F.size("votes").cast("long").alias("n_models"),
+        vote_avg(lambda v: v["confidence"]).alias("mean_confidence"),
+        vote_count(lambda v: v["signal"] == 1).alias("_up"),
+        vote_count(lambda v: v["signal"] == 0).alias("_flat"),
+        vote_count(lambda v: v["signal"] == -1).alias("_down"),
     )
     ens = F.signum(F.col("_s")).cast("int")
     agree = F.when(ens == 1, F.col("_up")).when(ens == -1, F.col("_down")).otherwise(F.col("_flat"))
@@ -136,11 +151,8 @@ def ensemble_sign(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def consensus_weighted(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """sum(weight(trend) * confidence) / sum(confidence), labelled at +-0.2 and +-1 (strict)."""
-    g = preds.groupBy(*keys).agg(
-        F.try_divide(ordered_sum(trend_weight(F.col("trend")) * F.col("confidence")), ordered_sum(F.col("confidence"))).alias(
-            "score"
-        )
-    )
+    confidence = vote_sum(lambda v: v["confidence"])
+    g = by_bar(preds, keys).select(*keys, F.try_divide(vote_sum(lambda v: trend_weight(v["trend"]) * v["confidence"]), confidence).alias("score"))
     s = F.col("score")
     label = (
         F.when(s > 1, "strong_uptrend")
@@ -156,12 +168,14 @@ def trend_distribution(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
     """Per trend (all 5 always present, as columns): votes, share, mean confidence (0 if
     none), names of the models; trends that have votes, ranked by (votes, mean confidence)
     desc, then trend order; the first of them; votes for other labels."""
-    g = preds.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_models"),
-        *[F.count_if(F.col("trend") == t).alias(f"{t}_votes") for t in TRENDS],
-        *[F.coalesce(ordered_avg(F.when(F.col("trend") == t, F.col("confidence"))), F.lit(0.0)).alias(f"{t}_confidence") for t in TRENDS],
-        *[ordered_sum(F.when(F.col("trend") == t, F.col("confidence"))).alias(f"_{t}_sum") for t in TRENDS],
-        *[F.array_join(F.array_sort(F.collect_list(F.when(F.col("trend") == t, F.col("model")))), ",").alias(f"{t}_models") for t in TRENDS],
+    said = lambda t: lambda v: F.when(v["trend"] == t, v["confidence"])
+    g = by_bar(preds, keys).select(
+        *keys,
+        F.size("votes").cast("long").alias("n_models"),
+        *[vote_count((lambda t: lambda v: v["trend"] == t)(t)).alias(f"{t}_votes") for t in TRENDS],
+        *[F.coalesce(vote_avg(said(t)), F.lit(0.0)).alias(f"{t}_confidence") for t in TRENDS],
+        *[vote_sum(said(t)).alias(f"_{t}_sum") for t in TRENDS],
+        *[F.array_join(F.transform(F.filter("votes", (lambda t: lambda v: v["trend"] == t)(t)), lambda v: v["model"]), ",").alias(f"{t}_models") for t in TRENDS],
     )
     # Rank the 5 candidates with one array sort per row (fixed size 5).
     cand = F.array(
@@ -216,25 +230,25 @@ def consensus_votes(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
 def consensus_mode(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Most frequent trend (ties broken by trend name), mean confidence and mean prob_up."""
-    g = preds.groupBy(*keys).agg(
-        F.mode("trend", deterministic=True).alias("_m"),
-        ordered_avg(F.col("confidence")).alias("mean_confidence"),
-        ordered_avg(F.col("prob_up")).alias("mean_prob_up"),
-    )
-    return g.withColumnRenamed("_m", "trend")
+    trends = F.filter(F.transform("votes", lambda v: v["trend"]), lambda t: t.isNotNull())
+    g = by_bar(preds, keys).withColumn("_t", trends)
+    tally = F.transform(F.array_distinct("_t"), lambda t: F.struct((-F.size(F.filter("_t", lambda x: x == t))).alias("n"), t.alias("trend")))
+    return g.select(*keys, F.array_min(tally)["trend"].alias("trend"), vote_avg(lambda v: v["confidence"]).alias("mean_confidence"), vote_avg(lambda v: v["prob_up"]).alias("mean_prob_up"))
 
 
 def ensemble_prob(preds: DataFrame, weights: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """sum(p_up * w * perf) / sum(w * perf), perf = (accuracy + f1) / 2, over models that
     have a weight (inner join with the weight table, normalised to sum 1)."""
-    # the weight table has one row per model (a dimension), so one window over it is fine
-    wn = weights.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy()))
-    j = preds.join(F.broadcast(wn), "model", "inner")
-    aw = F.col("weight") * (F.coalesce(F.col("accuracy"), F.lit(0.0)) + F.coalesce(F.col("f1"), F.lit(0.0))) / 2.0
-    g = j.groupBy(*keys).agg(
-        F.sum(F.col("prob_up") * aw).alias("_num"),
-        F.sum(aw).alias("_den"),
-    )
+    rows = weights.select("model", "weight").collect()  # one row per model
+    total = sum(r.weight for r in rows)
+    table = F.create_map(*[F.lit(x) for r in rows for x in (r.model, r.weight / total)]) if rows else F.lit(None).cast("map<string,double>")
+    bars = by_bar(preds, keys).withColumn("_w", table)
+    bars = bars.withColumn("votes", F.filter("votes", lambda v: F.col("_w")[v["model"]].isNotNull())).filter(F.size("votes") > 0)
+
+    def share(v: Column) -> Column:
+        return F.col("_w")[v["model"]] * (F.coalesce(v["accuracy"], F.lit(0.0)) + F.coalesce(v["f1"], F.lit(0.0))) / 2.0
+
+    g = bars.select(*keys, vote_sum(lambda v: v["prob_up"] * share(v)).alias("_num"), vote_sum(share).alias("_den"))
     p = F.when(F.col("_den") > 0, F.col("_num") / F.col("_den")).otherwise(F.lit(0.0))
     return g.select(*keys, p.alias("up_probability"), (F.lit(1.0) - p).alias("down_probability"))
 
@@ -317,16 +331,27 @@ def sentiment(merged: DataFrame, n_strategies: int, keys: Sequence[str] = KEYS)
 
 
 def rank_models(preds: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Rank of each model per (keys) by (accuracy + f1)/2 desc, then accuracy desc, then
-    model name. The window is per (symbol, ts): bounded by the model count."""
-    perf = (F.coalesce(F.col("accuracy"), F.lit(0.0)) + F.coalesce(F.col("f1"), F.lit(0.0))) / 2.0
-    w = Window.partitionBy(*keys).orderBy(perf.desc(), F.col("accuracy").desc_nulls_last(), F.col("model"))
-    return preds.withColumn("performance", perf).withColumn("rank", F.row_number().over(w))
+    """Rank of each model per (keys) by (accuracy + f1)/2 desc, then accuracy desc, then model name."""
+
+    def place(v: Column) -> Column:
+        perf = (F.coalesce(v["accuracy"], F.lit(0.0)) + F.coalesce(v["f1"], F.lit(0.0))) / 2.0
+        return F.struct((-perf).alias("p"), F.coalesce(-v["accuracy"], F.lit(float("inf"))).alias("a"), v["model"].alias("m"), v.alias("v"))
+
+    g = by_bar(preds, keys).select(*keys, F.posexplode(F.array_sort(F.transform("votes", place))).alias("_k", "_r"))
+    return g.select(*keys, "_r.v.*", (-F.col("_r.p")).alias("performance"), (F.col("_k") + 1).alias("rank"))
 
 
 def top_k_per_trend(preds: DataFrame, k: int = 3, keys: Sequence[str] = KEYS) -> DataFrame:
-    w = Window.partitionBy(*keys, "trend").orderBy(F.col("confidence").desc(), F.col("model"))
-    return preds.withColumn("trend_rank", F.row_number().over(w)).filter(F.col("trend_rank") <= k)
+    """The k votes of highest confidence for each trend of a bar, ties by model name."""
+
+    def best(t: Column) -> Column:
+        own = F.filter("votes", lambda v: v["trend"].eqNullSafe(t))
+        placed = F.array_sort(F.transform(own, lambda v: F.struct(F.coalesce(-v["confidence"], F.lit(float("inf"))).alias("c"), v["model"].alias("m"), v.alias("v"))))
+        return F.transform(F.slice(placed, 1, k), lambda x, i: F.struct(x["v"].alias("v"), (i + 1).alias("trend_rank")))
+
+    trends = F.array_distinct(F.transform("votes", lambda v: v["trend"]))
+    g = by_bar(preds, keys).select(*keys, F.explode(F.flatten(F.transform(trends, best))).alias("_r"))
+    return g.select(*keys, "_r.v.*", "_r.trend_rank")
 
 
 def softmax_argmax(logits: DataFrame, labels: Sequence[str], col: str = "logits") -> DataFrame:

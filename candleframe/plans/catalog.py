@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -580,6 +581,12 @@ def _predictions(spark, sf_dir) -> DataFrame:
     return CS.strategy_predictions(SG.with_strategy_signals(f))
 
 
+def _rule_votes(spark, sf_dir, *carry: str) -> DataFrame:
+    """The rules' votes, one row for each bar."""
+    f = features(bars_1h(spark, sf_dir), list(dict.fromkeys([*SG.strategy_columns(), "delta_close", *carry])))
+    return CS.strategy_votes(SG.with_strategy_signals(f), carry=carry)
+
+
 _PRED_SQL = (
     f"{Q.with_ctes(*Q.FD_CTES)}, s AS (SELECT symbol, ts, delta_close, {_ALL_SIGS} FROM fd), "
     "l AS (SELECT symbol, ts, delta_close, substr(strategy, 5) AS model, CAST(signal AS INTEGER) AS signal "
@@ -617,9 +624,8 @@ def q_strategy_predictions(spark, sf_dir):
 )
 def q_ensemble_sign(spark, sf_dir):
     """The rules' signs summed, with the volatility level (ATR over close) and the trend strength (ADX) of the bar."""
-    f = features(bars_1h(spark, sf_dir), [*SG.strategy_columns(), "delta_close", "atr", "adx"])
-    e = CS.ensemble_sign(CS.strategy_predictions(SG.with_strategy_signals(f)))
-    e = e.join(f.select("symbol", "ts", F.try_divide("atr", "close").alias("volatility_level"), F.col("adx").alias("trend_strength")), ["symbol", "ts"])
+    e = CS.ensemble_sign(_rule_votes(spark, sf_dir, "close", "atr", "adx"), ["symbol", "ts", "close", "atr", "adx"])
+    e = e.withColumns({"volatility_level": F.try_divide("atr", "close"), "trend_strength": F.col("adx")})
     return e.select("symbol", "ts", "ensemble_vote", r6("model_agreement"), r6("mean_confidence"), "market_direction", r6("volatility_level"), r6("trend_strength"))
 
 
@@ -633,7 +639,7 @@ _TW = " ".join(f"WHEN trend = '{t}' THEN {w}" for t, w in CS.TREND_WEIGHTS.items
     "WHEN score < -1 THEN 'strong_downtrend' WHEN score < -0.2 THEN 'weak_downtrend' ELSE 'sideways' END AS consensus FROM g",
 )
 def q_consensus_weighted(spark, sf_dir):
-    c = CS.consensus_weighted(_predictions(spark, sf_dir))
+    c = CS.consensus_weighted(_rule_votes(spark, sf_dir))
     return c.select("symbol", "ts", r6("score"), "consensus")
 
 
@@ -661,7 +667,7 @@ _DIST_SQL = (
     + f", {Q.r6('max(hc)', 'highest_confidence')} FROM n JOIN r ON n.symbol = r.symbol AND n.ts = r.ts GROUP BY n.symbol, n.ts, n.n_models",
 )
 def q_combined_predictions(spark, sf_dir):
-    d = CS.trend_distribution(_predictions(spark, sf_dir))
+    d = CS.trend_distribution(_rule_votes(spark, sf_dir))
     cols = ["symbol", "ts", "n_models"]
     for t in CS.TRENDS:
         cols += [F.col(f"{t}_votes"), r6(f"{t}_confidence"), r6(f"{t}_pct"), f"{t}_models"]
@@ -675,7 +681,7 @@ def q_combined_predictions(spark, sf_dir):
     "ELSE 'weak' END AS agreement_level, CAST(0 AS BIGINT) AS other_votes FROM r JOIN n ON n.symbol = r.symbol AND n.ts = r.ts WHERE k2 = 1",
 )
 def q_consensus_votes(spark, sf_dir):
-    v = CS.consensus_votes(_predictions(spark, sf_dir))
+    v = CS.consensus_votes(_rule_votes(spark, sf_dir))
     return v.select("symbol", "ts", "trend", r6("confidence"), r6("agreement"), "agreement_level", F.col("other_votes").cast("long").alias("other_votes"))
 
 
@@ -687,7 +693,7 @@ def q_consensus_votes(spark, sf_dir):
     f"SELECT m.symbol, m.ts, m.trend, {Q.r6('mc', 'mean_confidence')}, {Q.r6('mp', 'mean_prob_up')} FROM m JOIN av USING (symbol, ts)",
 )
 def q_consensus_mode(spark, sf_dir):
-    m = CS.consensus_mode(_predictions(spark, sf_dir))
+    m = CS.consensus_mode(_rule_votes(spark, sf_dir))
     return m.select("symbol", "ts", "trend", r6("mean_confidence"), r6("mean_prob_up"))
 
 
@@ -921,7 +927,7 @@ def q_signal_counts(spark, sf_dir):
     "accuracy DESC NULLS LAST, model) AS rank FROM p",
 )
 def q_rank_models(spark, sf_dir):
-    r = CS.rank_models(_predictions(spark, sf_dir))
+    r = CS.rank_models(_rule_votes(spark, sf_dir))
     return r.select("symbol", "ts", "model", r6("performance"), F.col("rank"))
 
 
@@ -932,7 +938,7 @@ def q_rank_models(spark, sf_dir):
     "WHERE trend_rank <= 3",
 )
 def q_top3_per_trend(spark, sf_dir):
-    t = CS.top_k_per_trend(_predictions(spark, sf_dir), 3)
+    t = CS.top_k_per_trend(_rule_votes(spark, sf_dir), 3)
     return t.select("symbol", "ts", "trend", "model", r6("confidence"), "trend_rank")
 
 
@@ -1439,7 +1445,8 @@ def q_write_records(spark, sf_dir):
 # Votes of the rule strategies as a predictions table: the operators that take model
 # predictions, on rows that SQL can make too.
 
-_VOTE_WEIGHTS = list(zip([n for n, _, _ in SG.STRATEGY_RULES], [w for _, w in ML.MODEL_WEIGHTS], strict=False))
+#: The model weights fall to the rules in their order; rules beyond the last model get the least weight.
+_VOTE_WEIGHTS = list(zip_longest([n for n, _, _ in SG.STRATEGY_RULES], [w for _, w in ML.MODEL_WEIGHTS], fillvalue=min(w for _, w in ML.MODEL_WEIGHTS)))
 _MERGE_MODELS = list(zip([n for n, _, _ in SG.PAIRED_RULES], [n for n, _, _ in SG.STRATEGY_RULES], strict=False))
 
 
@@ -1485,7 +1492,16 @@ def q_rule_voting(spark, sf_dir):
     return ML.voting(_votes(spark, sf_dir)).select("symbol", "ts", r6("soft_prob_up"), "hard_vote", "n_models")
 
 
-_WEIGHTS_SQL = "wt(model, weight) AS (VALUES " + ", ".join(f"('{n}', {w})" for n, w in _VOTE_WEIGHTS) + ")"
+# Written apart from the weights above.
+_WEIGHTS_SQL = (
+    "wt(model, weight) AS (SELECT unnest(['rsi_signal', 'macd_signal', 'bb_signal']), 0.12 UNION ALL SELECT 'ma_cross', 0.1 "
+    "UNION ALL SELECT unnest(['vpt_signal', 'adx_signal', 'cci_signal', 'ichimoku_signal']), 0.08 "
+    "UNION ALL SELECT unnest(['trix_signal', 'force_index_signal', 'eom_signal']), 0.06 "
+    "UNION ALL SELECT unnest(['ao_signal', 'stoch_rsi_signal', 'volatility_breakout', 'momentum_combined', 'kama_cross', 'volume_surge', "
+    "'price_channel_breakout', 'triple_ema', 'elder_ray', 'supertrend', 'squeeze_momentum', 'vwap_cross', 'dmi_signal', 'williams_r', "
+    "'ultimate_oscillator', 'aroon_oscillator', 'chaikin_money_flow', 'on_balance_volume', 'momentum_quality', 'trend_strength', "
+    "'volume_trend_confirm', 'volatility_regime', 'price_momentum', 'trend_reversal']), 0.02)"
+)
 _ENSEMBLE_SQL = (
     f"{_PRED_SQL}, {_WEIGHTS_SQL}, wn AS (SELECT model, weight / (SELECT sum(weight) FROM wt) AS weight FROM wt), "
     "aw AS (SELECT p.*, wn.weight * (coalesce(p.accuracy, 0.0) + coalesce(p.f1, 0.0)) / 2.0 AS aw FROM p JOIN wn ON wn.model = p.model), "
@@ -1494,12 +1510,12 @@ _ENSEMBLE_SQL = (
 
 
 def _ensemble(spark, sf_dir) -> DataFrame:
-    return CS.ensemble_prob(_predictions(spark, sf_dir), spark.createDataFrame(_VOTE_WEIGHTS, "model string, weight double"))
+    return CS.ensemble_prob(_rule_votes(spark, sf_dir), spark.createDataFrame(_VOTE_WEIGHTS, "model string, weight double"))
 
 
 @register("rule_ensemble_prob", f"{_ENSEMBLE_SQL} SELECT symbol, ts, {Q.r6('up', 'up_probability')}, {Q.r6('1.0 - up', 'down_probability')} FROM e")
 def q_rule_ensemble_prob(spark, sf_dir):
-    """Probabilities of the rules, weighted by normalised weights and by each rule's hit rate."""
+    """Probabilities of all 35 rules, weighted by normalised weights and by each rule's hit rate."""
     return _ensemble(spark, sf_dir).select("symbol", "ts", r6("up_probability"), r6("down_probability"))
 
 
