@@ -1,4 +1,4 @@
-"""Registered queries: walk-forward folds, grid search over them, GARCH(1,1)."""
+"""Registered queries: walk-forward folds, grid search over them, GARCH(1,1), nearest neighbours."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.indicators import features
 from ..operators import garch as G
+from ..operators import knn as KN
 from ..operators import ml as ML
 from ..operators import walkforward as WF
 from ..operators.series import drop_layout, numbered
@@ -61,3 +62,25 @@ def q_garch_vote(spark, sf_dir):
     """GARCH(1,1) of each symbol by likelihood over a grid, its next variance, and the vote against the median."""
     f = features(bars_1h(spark, sf_dir), ["returns"])
     return G.garch_vote(f).select("symbol", "alpha", "beta", r6("log_likelihood"), r6("forecast_variance"), "vote")
+
+
+_KNN_COLS = ["rsi_simple", "bb_pct", "williams_r", "cci", "stoch_k"]
+_KNN_SQL = (
+    f"{Q.with_ctes(*Q.FD_CTES)}, n AS (SELECT symbol, ts, {', '.join(_KNN_COLS)}, lead(close) OVER (PARTITION BY symbol ORDER BY ts) > close AS up, "
+    "row_number() OVER (PARTITION BY symbol ORDER BY ts) - 1 >= floor(0.8 * count(*) OVER (PARTITION BY symbol)) AS is_test FROM fd), "
+    f"p AS (SELECT * FROM n WHERE up IS NOT NULL AND {' AND '.join(f'{c} IS NOT NULL' for c in _KNN_COLS)}), "
+    f"s AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in _KNN_COLS)} FROM p WHERE NOT is_test), "
+    f"z AS (SELECT symbol, ts, up, is_test, {', '.join(f'({c} - m_{c}) / s_{c} AS {c}' for c in _KNN_COLS)} FROM p, s), "
+    f"d AS (SELECT q.symbol, q.ts, t.up, row_number() OVER (PARTITION BY q.symbol, q.ts ORDER BY {' + '.join(f'(q.{c} - t.{c}) * (q.{c} - t.{c})' for c in _KNN_COLS)}, t.symbol, t.ts) AS k "
+    "FROM z q JOIN z t ON q.is_test AND NOT t.is_test) "
+    "SELECT symbol, ts, round(avg(up::INTEGER), 6) AS prob_up, (avg(up::INTEGER) > 0.5)::INTEGER::DOUBLE AS prediction FROM d WHERE k <= 5 GROUP BY symbol, ts"
+)
+
+
+@register("clf_knn", _KNN_SQL)
+def q_clf_knn(spark, sf_dir):
+    """Next bar's direction by the five nearest train rows, found through a k-d partition."""
+    p = KN.standardised(ML.panel(bars_1h(spark, sf_dir), _KNN_COLS), _KNN_COLS)
+    rows = p.withColumn("id", F.xxhash64("symbol", "ts"))
+    votes = KN.classify(rows.filter(~F.col("is_test")).select("id", "x", "label"), rows.filter("is_test").select("id", "x"))
+    return rows.select("symbol", "ts", "id").join(votes, F.col("id") == F.col("test")).select("symbol", "ts", r6("prob_up"), "prediction")
