@@ -55,7 +55,7 @@ def main():
         "recursive_indicators": lambda: ind(recursive),
         "strategy_signals": lambda: SG.with_strategy_signals(drop_layout(features(bars(), SG.strategy_columns()))).select(*sig_cols),
         "paired_strategies": lambda: SG.paired_long(drop_layout(features(bars(), SG.paired_columns())), ["symbol", "ts"]),
-        "consensus_weighted": lambda: CS.consensus_weighted(CS.strategy_predictions(SG.with_strategy_signals(features(bars(), [*SG.strategy_columns(), "delta_close"])))),
+        "consensus_weighted": lambda: CS.consensus_weighted(CS.strategy_votes(SG.with_strategy_signals(features(bars(), [*SG.strategy_columns(), "delta_close"])))),
         "stream_bars": lambda: ST.run_available(ST.stream_bars(ST.tick_stream(spark, sf_dir), PERIOD), "bench_bars"),
         "series_aggregates": lambda: AG.pressure_range(bars()).join(AG.pressure_body(bars()), "symbol"),
     }
