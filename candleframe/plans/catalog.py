@@ -1596,4 +1596,4 @@ def q_pressure_momentum(spark, sf_dir):
 
 
 # Modules that register more queries; they take the names above from this one.
-from . import ingest, streams, validation  # noqa: E402, F401
+from . import ingest, models, streams, validation  # noqa: E402, F401
