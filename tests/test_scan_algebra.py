@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from candleframe.operators import scan
 from candleframe.operators.scan import Recurrence, linear_scan
 from candleframe.operators.series import Layout, with_blocks
 
@@ -16,8 +17,9 @@ def sequential(a, c):
     return np.array(out)
 
 
-@pytest.mark.parametrize("block_rows", [128, 4096])
-def test_scan_equals_sequential(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "group_blocks"), [(128, 4096), (4096, 4096), (128, 3), (128, 1)])
+def test_scan_equals_sequential(spark, monkeypatch, block_rows, group_blocks):
+    monkeypatch.setattr(scan, "GROUP_BLOCKS", group_blocks)
     rng = np.random.default_rng(block_rows)
     rows, series = [], {}
     for symbol, n in (("one", 1), ("edge", 128), ("over", 129), ("long", 1500)):
