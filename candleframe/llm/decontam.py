@@ -199,3 +199,26 @@ def contaminated(docs: DataFrame, key: str, text: str, items: DataFrame, item: s
 
         out = out.unionByName(docs.select(key, text).mapInArrow(run, schema))
     return out
+
+
+def without_items(docs: DataFrame, text: str, items: DataFrame, item: str, question: str, answer: str) -> DataFrame:
+    """The rows of ``docs`` whose text holds no test item, with all their columns.
+
+    Each row is judged by its own text, whatever its id; nothing is joined or shuffled.
+    """
+    place, schema = docs.columns.index(text), docs.schema
+    for index in shards(items, item, question, answer):
+        if index is None:
+            continue
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches, held=held):
+            index = held.value
+            for batch in batches:
+                clean = np.ones(batch.num_rows, dtype=bool)
+                for k, hashes in textkit.each_text(batch.column(place), textkit.PUNCTUATION):
+                    clean[k] = not len(hashes) or not match(hashes, index)
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -6,10 +6,14 @@ table of languages x buckets comes to the driver. The log-probability matrix, of
 bounded size, is broadcast. Scoring takes whole texts: each text becomes sparse bucket
 counts, multiplied with the matrix in numpy. No shuffle is needed for scoring.
 
+A text is rejected if it has no letter, or if the model finds it likelier that its n-grams were
+drawn from all buckets alike than from any language it has learned (noise, or an unknown script).
+
 Defined results: a null text, an empty one and one without any letter are rejected, with
 language ``und`` and score 0. Ties go to the language that sorts first. With no labelled row
 nothing is learned: every text gets ``und`` and score 0, but only letterless texts are
-rejected. Repeated rows give repeated results; other columns pass through.
+rejected. Repeated rows give repeated results; other columns pass through. A column named as
+a result raises ValueError.
 """
 
 from __future__ import annotations
@@ -112,6 +116,7 @@ def predict(df: DataFrame, text: str, model: Model, lang: str = "lang_pred", sco
     """Add the language of each whole text, its posterior probability, and whether the text is rejected."""
     shared = df.sparkSession.sparkContext.broadcast(model)
     place = df.columns.index(text)
+    alike = -BITS * np.log(2.0)  # log-probability of an n-gram if all buckets are alike
     schema = T.StructType([*df.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType()), T.StructField(rejected, T.BooleanType())])
     if len({c.lower() for c in schema.names}) < len(schema.names):
         raise ValueError("the input already has a column named as a result; name another")
@@ -123,14 +128,16 @@ def predict(df: DataFrame, text: str, model: Model, lang: str = "lang_pred", sco
             for value in batch.column(place):
                 t = value.as_py()
                 bad = not has_letter(t)
-                out.append(bad)
                 if bad or not m.languages:
+                    out.append(bad)
                     names.append("und")
                     scores.append(0.0)
                     continue
                 counts = bucket_counts(t)
                 at = np.flatnonzero(counts)
-                log_odds = m.log_prior + counts[at] @ m.log_p[at]
+                like = counts[at] @ m.log_p[at]
+                out.append(bool(like.max() < counts.sum() * alike))
+                log_odds = m.log_prior + like
                 best = int(np.argmax(log_odds))
                 names.append(m.languages[best])
                 scores.append(float(1.0 / np.exp(log_odds - log_odds[best]).sum()))

@@ -42,10 +42,32 @@ def test_odd_rows_through_every_stage(spark):
     rows = [(1, "hello there my good friend", "en", "a"), (1, "hello there my good friend", "en", "a"), (2, None, None, None), (3, "", "en", "b"), (4, "12 34", "en", "b"), (None, "a text without an id", None, "c")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.lit(1).cast("long"))
     docs = docs.withColumns({c: F.lit("x") for c in ("kept", "rejected", "score", "n_lines", "id", "lines")})
-    for frame, n in ((docs, 3), (docs.limit(0), 0)):
+    for frame, n in ((docs, 2), (docs.limit(0), 0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, frame, SF)
             assert out.columns == docs.columns
             frame = spark.createDataFrame(out.collect(), docs.schema)
         last = corpus_pipeline.STAGES[-1][1](spark, frame, SF)
         assert last.count() == n and "decoded_sha256" in last.columns
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    own = " ".join(f"word{k}" for k in range(60))
+    near = own.replace("word30", "other")
+    rows = [(1, "a clean text of its own"), (1, item), (None, item), (None, near), (None, own), (7, own), (9, own), (9, "another clean text"), (None, "no id and clean")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = corpus_pipeline.decontaminate(spark, docs, SF)
+    assert {(r.doc_id, r.text) for r in clean.collect()} == {r for r in rows if r[1] != item} and clean.count() == 7
+    left = sorted(((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, clean, SF).collect()), key=str)
+    assert left == sorted([(1, "a clean text of its own"), (7, own), (9, "another clean text"), (None, "no id and clean")], key=str)
+
+
+def test_language_rejects_noise_and_keeps_the_rest(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(5)
+    noise = "".join(map(chr, rng.integers(0x4E00, 0x9FFF, 400)))
+    odd = docs.limit(1).withColumns({"doc_id": F.lit(-1).cast("long"), "text": F.lit(noise), "lang": F.lit(None).cast("string")})
+    kept = corpus_pipeline.identify_language(spark, docs.unionByName(odd), SF).select("doc_id")
+    lettered = [r.doc_id for r in docs.collect() if r.text and any(map(str.isalpha, r.text))]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(lettered)
