@@ -354,6 +354,16 @@ def top_k_per_trend(preds: DataFrame, k: int = 3, keys: Sequence[str] = KEYS) ->
     return g.select(*keys, "_r.v.*", "_r.trend_rank")
 
 
+def directions(n: int) -> list[str]:
+    """The labels of a model with ``n`` logits."""
+    # Label names of models with 3 and 5 logits.
+    known = {
+        3: ["uptrend", "sideways", "downtrend"],
+        5: ["strong_uptrend", "weak_uptrend", "sideways", "weak_downtrend", "strong_downtrend"],
+    }
+    return known.get(n) or [f"class_{k}" for k in range(n)]
+
+
 def softmax_argmax(logits: DataFrame, labels: Sequence[str], col: str = "logits") -> DataFrame:
     """Softmax over a logits array of any length (max-shifted), best label and its probability;
     a class beyond ``labels`` takes the label of class 0."""

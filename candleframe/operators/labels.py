@@ -68,9 +68,18 @@ def split_time_series(f: DataFrame, max_test: int = 20, by: Sequence[str] = ("sy
     return j.withColumn("is_test", F.col(RN) >= F.col("_n") - k).drop("_n")
 
 
-def split_random(f: DataFrame, test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
-    """Shuffled split (leaks the future into training; not the default)."""
-    return f.withColumn("is_test", F.rand(seed) < test_fraction)
+def filled_next_return() -> Column:
+    """``next_return`` with the last row of a series given the label of the row before it, which is its own return."""
+    return F.coalesce(F.col("next_return"), F.col("returns"))
+
+
+def split_random(f: DataFrame, key: Sequence[Column], test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
+    """Shuffled split by a hash of each row's key (leaks the future into training; not the default).
+
+    A row's side depends on its key and the seed alone, so tasks that run again give the same split."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[k.cast("string") for k in key])
+    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
+    return f.withColumn("is_test", place < int(test_fraction * (1 << 32)))
 
 
 def scale_standard(f: DataFrame, cols: Sequence[str], by: Sequence[str] = ("symbol",)) -> DataFrame:

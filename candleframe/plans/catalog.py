@@ -13,6 +13,7 @@ from itertools import zip_longest
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.feature_sets import FEATURE_SETS
 from ..functions.indicators import features
 from ..operators.bars import fixture_bars
 from ..operators.series import drop_layout
@@ -1126,12 +1127,11 @@ def q_regressors(spark, sf_dir):
 @register("strategy_ml_merge", None)
 def q_strategy_ml_merge(spark, sf_dir):
     """Paired rule signals merged with a model vote per strategy: a GBT fit per strategy on
-    its rule inputs (one panel fit over all symbols each), scored on the test rows."""
+    its feature set (one panel fit over all symbols each), scored on the test rows."""
     rules = _paired_rules(spark, sf_dir)
-    p = ML.panel(bars_1h(spark, sf_dir), sorted({c for _, b, e in SG.PAIRED_RULES for c in SG.referenced_columns(b, e)}))
+    p = ML.panel(bars_1h(spark, sf_dir), sorted({c for cols in FEATURE_SETS.values() for c in cols}))
     votes = []
-    for name, b, e in SG.PAIRED_RULES:
-        cols = [c for c in SG.referenced_columns(b, e)]
+    for name, cols in FEATURE_SETS.items():
         spec = ML.ModelSpec("gbt", lambda d: ML.GBTClassifier(labelCol="label", maxIter=20, maxDepth=3, seed=42))
         pr, _ = ML.bakeoff(p, cols, [spec])
         votes.append(
@@ -1596,4 +1596,4 @@ def q_pressure_momentum(spark, sf_dir):
 
 
 # Modules that register more queries; they take the names above from this one.
-from . import ingest, models, streams, validation  # noqa: E402, F401
+from . import ingest, learning, models, streams, validation  # noqa: E402, F401
