@@ -36,7 +36,7 @@ def q_tune_grid(spark, sf_dir):
     cols = ML.FEATURES_12
     f = WF.label_until(features(bars_1h(spark, sf_dir), [*cols, "returns"]))
     f = ML.forward_labels(f).select("symbol", "ts", "until", *cols, F.col("label_up_1").cast("double").alias("label"))
-    panel = f.na.drop(subset=[*cols, "label"]).checkpoint(eager=True)
+    panel = ML.sized(f.na.drop(subset=[*cols, "label"]))
     out = WF.tune_grid(WF.folds(panel, SPLITS, until="until"), cols)
     return out.select("trial", *WF.FOREST_GRID, "fold", "n_train", "n_test", r6("accuracy"), r6("log_loss"), "rank")
 
