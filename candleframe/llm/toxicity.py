@@ -22,6 +22,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -40,7 +41,7 @@ FIT_ROWS = 20_000
 #: Texts at the base rate that a term's own are drawn by, and the least learned weight of a term.
 DRAW, LEAST_WEIGHT = 2.0, 0.01
 #: Neighbours that vote, examples in one block, and postings read before the first look at what is left.
-NEIGHBOURS, BLOCK, LOOK = 25, 1024, 4_000
+NEIGHBOURS, BLOCK, LOOK = 25, 1024, 20_000
 #: A row is predicted 1 from this score on.
 CUT = 0.3
 
@@ -72,7 +73,7 @@ def ranges(at: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 class Index:
     """Postings of term t at ``at[t]:at[t + 1]``, by example; ``idf`` holds the learned weight as well."""
 
-    terms: dict[str, int]
+    terms: pa.Array
     idf: np.ndarray
     ids: np.ndarray
     labels: np.ndarray
@@ -90,14 +91,13 @@ class Index:
     def __getstate__(self) -> tuple[int, bytes]:
         """What the rest can be made from, compressed."""
         kept = {k: getattr(self, k) for k in ("idf", "ids", "labels", "base", "alone", "steps", "examples", "tf", "norms")}
-        state = pickle.dumps(kept | {"terms": "\n".join(self.terms), "run": np.diff(self.at)})
+        state = pickle.dumps(kept | {"terms": self.terms, "run": np.diff(self.at)})
         return len(state), pa.compress(state, codec="zstd", asbytes=True)
 
     def __setstate__(self, state: tuple[int, bytes]) -> None:
         kept = pickle.loads(pa.decompress(state[1], state[0], codec="zstd", asbytes=True))
-        terms, run = kept.pop("terms"), kept.pop("run")
+        run = kept.pop("run")
         self.__dict__ |= kept
-        self.terms = {t: k for k, t in enumerate(terms.split("\n"))} if terms else {}
         self.at = np.concatenate(([0], np.cumsum(run)))
         self.weights = ((1 + np.log(self.tf)) * np.repeat(self.idf, run) / self.norms[self.examples]).astype(np.float32)
         self.largest = np.zeros((len(run), (len(self.ids) + BLOCK - 1) // BLOCK), dtype=np.float32)
@@ -115,50 +115,70 @@ class Index:
         start = np.concatenate(([0], np.cumsum(np.bincount(self.examples, minlength=len(self.ids)))))
         return start, term, self.weights[order], np.zeros(len(self.at) - 1)
 
-    def counts(self, text: str | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers of a whole text and how often each occurs."""
-        tf: dict[int, int] = {}
-        for w, n in Counter(_WORD.findall((text or "").lower())).items():
-            own = memo.get(w)
-            if own is None:
-                if len(memo) > 100_000:
-                    memo.clear()
-                own = memo[w] = tuple(self.terms[t] for t in word_terms(w) if t in self.terms)
-            for t in own:
-                tf[t] = tf.get(t, 0) + n
-        ids = np.array(sorted(tf), dtype=np.int64)
-        return ids, np.array([tf[t] for t in ids.tolist()], dtype=np.int64)
-
-    def vector(self, text: str | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and unit weights of a whole text."""
-        ids, tf = self.counts(text, memo)
-        weight = (1 + np.log(tf)) * self.idf[ids]
-        norm = np.sqrt((weight**2).sum())
-        return ids, weight / norm if norm else weight
-
-    def nearest(self, ids: np.ndarray, weight: np.ndarray, but: int | None = None) -> list[tuple[int, float]]:
-        """(example, cosine) of the nearest examples with a cosine above 0, nearest first."""
-        if not len(ids) or not len(self.ids):
-            return []
-        bound = weight[:, None] * self.largest[ids]
-        order = np.argsort(-bound.max(axis=1), kind="stable")
-        ids, weight = ids[order], weight[order]
-        left = np.zeros((len(ids) + 1, bound.shape[1]))  # by block, what the terms from each one on can add
-        left[:-1] = bound[order][::-1].cumsum(axis=0)[::-1]
+    @cached_property
+    def peak(self) -> np.ndarray:
+        """The largest weight of each term."""
+        return self.largest.max(axis=1)
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where the terms of each whole text start, their numbers (ascending in a text), and how often each occurs."""
+        words = [pa.array(_WORD.findall((t.as_py() or "").lower()), pa.string()) for t in texts]
+        number = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), dtype=np.int64, count=len(words)))
+        coded = pa.concat_arrays([pa.array([], pa.string()), *words]).dictionary_encode()
+        known = coded.dictionary
+        size = pc.utf8_length(known)
+        parts = [known]  # as in ``word_terms``
+        for k in (4, 5):
+            first = pc.binary_join_element_wise(pc.utf8_slice_codeunits(known, 0, k), "*", "")
+            parts.append(pc.if_else(pc.greater(size, k), first, None))
+        own = np.stack([pc.fill_null(pc.index_in(w, value_set=self.terms, skip_nulls=True), -1).to_numpy(zero_copy_only=False) for w in parts], axis=1)
+        word, n = np.unique(number * len(own) + coded.indices.to_numpy(), return_counts=True)
+        number, term = word // max(len(own), 1), own[word % max(len(own), 1)]
+        at, part = np.nonzero(term >= 0)
+        wide = max(len(self.terms), 1)
+        key = number[at] * wide + term[at, part]
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], n[at][order]
+        first = np.flatnonzero(np.diff(key, prepend=-1))
+        start = np.searchsorted(key[first], np.arange(len(words) + 1) * wide)
+        return start, key[first] % wide, np.add.reduceat(n, first) if len(first) else n
+
+    def vectors(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Term numbers and unit weights of each whole text."""
+        start, ids, tf = self.counts(texts)
+        weights = (1 + np.log(tf)) * self.idf[ids]
+        for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True):
+            norm = np.sqrt((weights[a:b] ** 2).sum())
+            yield ids[a:b], weights[a:b] / norm if norm else weights[a:b]
+
+    def left_over(self, ids: np.ndarray, weight: np.ndarray, but: int | None = None) -> np.ndarray:
+        """The examples that may be among the nearest by their blocks' bounds and the postings read."""
+        n = len(self.ids)
         postings = np.cumsum(self.at[ids + 1] - self.at[ids])
-        out = np.flatnonzero(self.ids == but) if but is not None else np.zeros(0, dtype=np.int64)
-        cosine, done, look = np.zeros(len(self.ids)), 0, LOOK
+        out = np.flatnonzero(self.ids == but) if but is not None else ()
+        cosine, done, look = np.zeros((0, BLOCK)), 0, LOOK
         while True:
             stop = min(max(int(np.searchsorted(postings, look, side="right")), done + 1), len(ids))
             at, run = ranges(self.at, ids[done:stop])
-            cosine += np.bincount(self.examples[at], np.repeat(weight[done:stop], run) * self.weights[at], minlength=len(cosine))
-            cosine[out] = -np.inf
+            more = np.bincount(self.examples[at], np.repeat(weight[done:stop], run) * self.weights[at], minlength=BLOCK * self.largest.shape[1])
+            cosine = more.reshape(-1, BLOCK) + cosine if done else more.reshape(-1, BLOCK)
+            if len(out):
+                cosine.ravel()[out] = -np.inf
             done, look = stop, 4 * max(look, int(postings[stop - 1]))
-            kth = max(np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS], 0.0) if len(cosine) >= NEIGHBOURS else 0.0
-            most = cosine + np.repeat(left[done], BLOCK)[: len(cosine)]
-            few = np.flatnonzero((most >= kth - 1e-6) & (most > 0))
-            if done == len(ids) or len(few) * len(self.examples) / len(self.ids) < postings[-1] - postings[done - 1]:
-                break
+            left = weight[done:] @ self.largest[ids[done:]]  # by block, what the terms not read can add
+            some = cosine[cosine > 0]
+            kth = np.partition(some, -NEIGHBOURS)[-NEIGHBOURS] if len(some) >= NEIGHBOURS else 0.0
+            few = np.flatnonzero(cosine >= (kth - 1e-6 - left)[:, None] if kth > 1e-6 else cosine + left[:, None] > 0)
+            # Look again as long as that reads less than the whole vectors of the few.
+            if done == len(ids) or len(few) <= NEIGHBOURS or len(few) * len(self.examples) / n < min(look, postings[-1]) - postings[done - 1]:
+                return few[few < n]
+
+    def nearest(self, ids: np.ndarray, weight: np.ndarray, but: int | None = None) -> list[tuple[int, float]]:
+        """(example, cosine) of the nearest examples with a cosine above 0, nearest first."""
+        if not len(ids) or not len(self.ids):
+            return []
+        order = np.argsort(-weight * self.peak[ids], kind="stable")
+        few = self.left_over(ids[order], weight[order], but)
         start, term, own, room = self.rows
         at, run = ranges(start, few)
         room[ids] = weight
@@ -217,8 +237,8 @@ def fit(labelled: DataFrame, key: str, text: str, label: str) -> Index:
     total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("n1")).first()
     p = min(max(total.n1 / max(total.n, 1), 1e-6), 1 - 1e-6)
     terms = rows.mapInArrow(tally, "term string, n0 long, n1 long").groupBy("term").agg((F.sum("n0") + F.sum("n1")).alias("n"), F.sum("n1").alias("n1"))
-    counted = terms.orderBy("term").toArrow()  # all terms of fit_rows texts
-    number = {t: k for k, t in enumerate(counted.column("term").to_pylist())}
+    counted = terms.orderBy(F.desc("n"), "term").toArrow()  # all terms of fit_rows texts; those read often lie together
+    number = counted.column("term").cast(pa.string()).combine_chunks()
     n, n1 = (counted.column(c).to_numpy().astype(float) for c in ("n", "n1"))
     rate = (n1 + DRAW * p) / (n + DRAW)
     lean = np.log(rate / (1 - rate)) - np.log(p / (1 - p))
@@ -227,9 +247,10 @@ def fit(labelled: DataFrame, key: str, text: str, label: str) -> Index:
     held = spark.sparkContext.broadcast(index)
 
     def vectors(batches):
-        index, memo = held.value, {}
+        index = held.value
         for batch in batches:
-            own = [index.counts(t.as_py(), memo) for t in batch.column(1)]
+            start, ids, tf = index.counts(batch.column(1))
+            own = [(ids[a:b], tf[a:b]) for a, b in zip(start[:-1].tolist(), start[1:].tolist(), strict=True)]
             norms = [float(np.sqrt((((1 + np.log(tf)) * index.idf[ids]) ** 2).sum())) for ids, tf in own]
             packed = [pa.array([v[k].astype("<i4").tobytes() for v in own], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(norms, pa.float64()), *packed], names=["id", "label", "norm", "terms", "tf"])
@@ -251,11 +272,10 @@ def fit(labelled: DataFrame, key: str, text: str, label: str) -> Index:
     held2 = index.held
 
     def without_itself(batches):
-        memo: dict = {}
         for batch in batches:
             index, raws = held2.value, []
-            for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                raws.append(index.vote(index.nearest(*index.vector(t.as_py(), memo), -1 if i is None else i)))
+            for i, vector in zip(batch.column(0).to_pylist(), index.vectors(batch.column(1)), strict=True):
+                raws.append(index.vote(index.nearest(*vector, -1 if i is None else i)))
             yield pa.RecordBatch.from_arrays([pa.array(raws, pa.float64()), batch.column(2)], names=["raw", "label"])
 
     raw = rows.mapInArrow(without_itself, "raw double, label int").toPandas()
@@ -278,14 +298,15 @@ def score(df: DataFrame, text: str, index: Index, score: str = "score", evidence
     kind = pa.list_(pa.struct([("id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batches):
-        index, memo = held.value, {}
+        index = held.value
         index.alone, index.steps = alone, steps
         for batch in batches:
-            scores, why = [], []
-            for t in batch.column(place):
-                near = index.nearest(*index.vector(t.as_py(), memo))
-                scores.append(index.score(near))
-                why.append([{"id": int(index.ids[e]), "label": int(index.labels[e]), "cosine": c} for e, c in near])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(why, kind)], names=schema.names)
+            near = [index.nearest(*vector) for vector in index.vectors(batch.column(place))]
+            scores = pa.array([index.score(n) for n in near], pa.float64())
+            example = np.array([e for n in near for e, _ in n], dtype=np.int64)
+            cosine = pa.array([c for n in near for _, c in n], pa.float64())
+            each = pa.StructArray.from_arrays([pa.array(index.ids[example]), pa.array(index.labels[example].astype(np.int32)), cosine], fields=list(kind.value_type))
+            why = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, near)]), pa.int32()), each).cast(kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores, why], names=schema.names)
 
     return df.mapInArrow(run, schema)

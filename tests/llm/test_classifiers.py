@@ -70,6 +70,34 @@ def test_neighbours_are_exact():
         assert np.allclose([c for _, c in got], want) and np.allclose([cosine[e] for e, _ in got], want)
 
 
+def test_few_whole_vectors_are_read(monkeypatch):
+    # Four large groups by the heaviest term, small ones by the next, and many light terms that all share.
+    rng = np.random.default_rng(8)
+    n, terms = 20_000, 600
+    dense = np.where(rng.random((n, terms)) < 0.5, 0.002, 0)
+    dense[:, 200:] = 0
+    dense[np.arange(n), 200 + np.arange(n) % 400] = 0.5
+    dense[np.arange(n), 196 + np.arange(n) % 4] = 0.8
+    term, example = np.nonzero(dense.T)
+    largest = np.zeros((terms, -(-n // toxicity.BLOCK)))
+    np.maximum.at(largest, (term, example // toxicity.BLOCK), dense[example, term])
+    at = np.searchsorted(term, np.arange(terms + 1))
+    index = toxicity.Index({}, np.ones(terms), np.arange(n), np.zeros(n), at, example, dense[example, term], largest, 0.1, 0.1, (np.zeros(0), np.zeros(0)))
+    read, ranges = [], toxicity.ranges
+
+    def counted(*args):
+        got = ranges(*args)
+        read.append(int(got[1].sum()))
+        return got
+
+    monkeypatch.setattr(toxicity, "ranges", counted)
+    for q in dense[:40]:
+        ids = np.flatnonzero(q)
+        got = index.nearest(ids, q[ids])
+        assert np.allclose([c for _, c in got], np.sort(dense @ q)[::-1][: toxicity.NEIGHBOURS])
+    assert sum(read) < 40 * 50_000  # 17,664 for each; 519,675 where the whole vectors of a large group are read
+
+
 def test_toxicity_odd_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello"), (3, "hello")], "doc_id long, text string")
     none = df.limit(0).withColumn("toxic", F.lit(1))
