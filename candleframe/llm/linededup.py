@@ -29,6 +29,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,6 +42,8 @@ BUCKETS = 1 << 16
 FREQUENT = 20_000
 #: Classes under one word up to which it gives pairs; up to which all words of a task are compared together.
 FEW, SMALL = 8, 64
+#: Rows of a group up to which it is verified together with other groups.
+SMALL_GROUP = 32
 #: Classes that a task remembers as listed, at most.
 SEEN = 1 << 20
 #: Lengths and positions are packed in 12 bits; a longer line counts as this long, and its filters are left out.
@@ -331,6 +334,36 @@ def class_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.mapInArrow(run, "class long, payload binary")
 
 
+def together(start: np.ndarray, count: np.ndarray, few: np.ndarray, cls: np.ndarray, role: np.ndarray, payload: pa.Array, percent: int) -> np.ndarray:
+    """Which rows ``few`` (of whole groups, each in order of age) an earlier row of their group matches, all groups at once."""
+    size = pc.binary_length(payload).to_numpy() // 8
+    value = np.frombuffer(b"".join(payload.to_pylist()), dtype=np.uint64)
+    of_row = np.searchsorted(start, few, "right") - 1
+    at = few - start[of_row]
+    row = np.repeat(np.arange(len(few)), size)
+    name = np.cumsum(np.diff(of_row, prepend=-1) > 0) - 1  # groups by number, without those left out
+    order = np.argsort(value)
+    order = order[_by_line(name[row[order]])]
+    value, row = value[order], row[order]
+    ends = np.flatnonzero(np.concatenate(((value[1:] != value[:-1]) | (name[row[1:]] != name[row[:-1]]), [True]))) + 1
+    end = np.repeat(ends, np.diff(ends, prepend=0))
+    n = count[of_row]
+    base = np.concatenate(([0], np.cumsum(n)))  # of a row's counts, one for each row of its group
+    shared = np.zeros(base[-1], dtype=np.int64)
+    i, step = np.arange(len(row)), 1
+    while len(i):
+        i = i[i + step < end[i]]
+        x, y = np.minimum(row[i], row[i + step]), np.maximum(row[i], row[i + step])
+        shared += np.bincount(base[y] + at[x], minlength=len(shared))
+        step += 1
+    pair = np.flatnonzero(shared)
+    y = np.searchsorted(base, pair, "right") - 1
+    x = y - at[y] + pair - base[y]
+    roles = role[few[x]] + role[few[y]]
+    hit = (cls[few[x]] != cls[few[y]]) & ((roles == 0) | (roles == 3)) & (100 * shared[pair] >= percent * (size[x] + size[y] - shared[pair]))
+    return np.unique(y[hit])
+
+
 def matched(rows: DataFrame, percent: int) -> DataFrame:
     """Classes with an earlier match, from candidate rows (word, block, role, class, id, doc, line, payload)."""
     dealt = rows.repartition("word", "block").sortWithinPartitions("word", "block", "id", "doc", "line")
@@ -363,18 +396,34 @@ def matched(rows: DataFrame, percent: int) -> DataFrame:
             found.update(names[hit & (place > rank[key])].tolist())
         return sorted(found)
 
+    def judged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held).combine_chunks()
+        word, block, role, cls = (t.column(c).to_numpy() for c in ("word", "block", "role", "class"))
+        start = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (block[1:] != block[:-1]))))
+        count = np.diff(np.append(start, len(word)))
+        few = np.flatnonzero(np.repeat((count > 1) & (count <= SMALL_GROUP), count))
+        out = [cls[few[together(start, count, few, cls, role, t.column("payload").take(pa.array(few)).combine_chunks(), percent)]]] if len(few) else []
+        for s, n in zip(start[count > SMALL_GROUP].tolist(), count[count > SMALL_GROUP].tolist(), strict=True):
+            rows = zip(cls[s : s + n].tolist(), role[s : s + n].tolist(), t.column("payload").slice(s, n).to_pylist(), strict=True)
+            out.append(np.array(group(list(rows)), dtype=np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(out)) if out else [], pa.int64())], names=["class"])
+
     def run(batches):
-        now, held = None, []
+        held: list[pa.RecordBatch] = []  # of which the last group may go on
         for batch in batches:
-            out: list[int] = []
-            c = [col.to_pylist() for col in batch.columns]
-            for w, b, role, cls, payload in zip(*c, strict=True):
-                if (w, b) != now:
-                    out += group(held)
-                    now, held = (w, b), []
-                held.append((cls, role, payload))
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["class"])
-        yield pa.RecordBatch.from_arrays([pa.array(group(held), pa.int64())], names=["class"])
+            if not batch.num_rows:
+                continue
+            word, block = (batch.column(c).to_numpy() for c in (0, 1))
+            last = np.flatnonzero((word != word[-1]) | (block != block[-1]))
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if held and (cut or (held[-1].column(0)[-1], held[-1].column(1)[-1]) != (batch.column(0)[0], batch.column(1)[0])):
+                yield judged([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield judged([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+        if held:
+            yield judged(held)
 
     return dealt.select("word", "block", "role", "class", "payload").mapInArrow(run, "class long").distinct()
 

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -114,6 +115,20 @@ def test_lines(spark, frequent):
     assert {r["class"] for r in got} == {"kept"}
 
 
+def test_small_groups_are_verified_together():
+    rng = np.random.default_rng(4)
+    count = rng.integers(1, 9, 200)
+    start = np.cumsum(count) - count
+    few = np.flatnonzero(np.repeat(count > 1, count))
+    cls = rng.integers(0, 3000, count.sum())
+    role = np.concatenate([np.zeros(n) if k % 2 else rng.integers(1, 3, n) for k, n in enumerate(count)]).astype(np.int8)
+    sets = [np.sort(rng.choice(14, rng.integers(6, 14), replace=False).astype(np.uint64)) for _ in cls]
+    got = linededup.together(start, count, few, cls, role, pa.array([sets[k].tobytes() for k in few], pa.binary()), 70)
+    match = lambda a, b: cls[a] != cls[b] and role[a] + role[b] in (0, 3) and 100 * len(np.intersect1d(sets[a], sets[b])) >= 70 * len(np.union1d(sets[a], sets[b]))
+    want = [y for s, n in zip(start, count, strict=True) for y in range(s, s + n) if any(match(x, y) for x in range(s, y))]
+    assert few[got].tolist() == want and 100 < len(want) < len(few)
+
+
 def test_lines_of_nothing(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
