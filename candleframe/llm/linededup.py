@@ -6,11 +6,12 @@ earlier by document id, then row, then line number. Lines with equal sets are on
 named by its earliest line, so exact repeats never meet in pairs.
 
 The join of classes: words are ordered by rarity (how often the word's hash bucket, of
-65,536, occurs in all lines; ties by hash), and a class is listed under the first
-n - ceil(t n) + 1 of its words only, which any two matching classes share. Under each word
-a length filter, a positional filter and bitmaps of the sets rule out what cannot match;
-nothing that can match is lost. Words with few classes give the pairs that are left; words
-with more give classes, which are compared in one block, without pairs. The words of the
+2,097,152, occurs in all lines; ties by hash), and a class is listed under the first
+n - ceil(t n) + 1 of its words only, which any two matching classes share, but not under
+words that a single line has. Under each word a length filter, a positional filter and
+bitmaps of the sets rule out what cannot match; nothing that can match is lost. Words give
+the pairs that are left, each once for all the words it shares; words with many pairs for
+their classes give the classes instead, which are compared in one block. The words of the
 classes that are left are read from the texts again, and the similarity is verified on the
 full sets; a block reports classes that have an earlier match. Words whose bucket is
 frequent are split into parts of classes; a group holds two parts, or one, and compares the
@@ -37,11 +38,16 @@ from pyspark.sql import types as T
 from candleframe.llm import textkit
 from candleframe.llm.common import release, written
 
-BUCKETS = 1 << 16
+BITS = 21
+BUCKETS = 1 << BITS
+#: Buckets whose occurrences travel in one row.
+SLICE = 1 << 14
 #: Occurrences of a bucket from which its words are split into blocks of about so many lines.
 FREQUENT = 20_000
-#: Classes under one word up to which it gives pairs; up to which all words of a task are compared together.
-FEW, SMALL = 8, 64
+#: Pairs for each class of a word up to which it gives pairs; classes under a word up to which the words of a task are compared together.
+PAIRS, SMALL = 4, 64
+#: Rows of the listing that are compared at once, at least, if a task has so many.
+AT_ONCE = 1 << 16
 #: Rows of a group up to which it is verified together with other groups.
 SMALL_GROUP = 32
 #: Classes that a task remembers as listed, at most.
@@ -79,27 +85,36 @@ def _by_line(line: np.ndarray) -> np.ndarray:
     return np.argsort(small, kind="stable")
 
 
+def _sorted_in(line: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The order of 64-bit values by line, lines being numbers that ascend."""
+    if len(line) and line[-1] < 1 << 16:
+        order = np.argsort((line.astype(np.uint64) << _U(48)) | (value >> _U(16)))
+        v = value[order]
+        if not ((v[1:] < v[:-1]) & (line[1:] == line[:-1])).any():  # values may differ in their last 16 bits alone
+            return order
+    return np.lexsort((value, line))
+
+
 def line_sets(texts: pa.Array) -> Iterator[Lines]:
     """Lines of chunks of a text column."""
     for first, _, raw, offsets in textkit.chunks(texts):
         a, b = textkit.words(raw, offsets)
         if not len(a):
             continue
-        h = textkit.word_hashes(raw, a, b)
+        h = textkit.word_keys(raw, a, b)
         newline = np.flatnonzero(raw == 10)
         begin = np.concatenate((offsets[:-1], newline + 1))
         row = np.concatenate((np.arange(len(offsets) - 1), np.searchsorted(offsets, newline, side="right") - 1))
         order = np.lexsort((row, begin))
         begin, row = begin[order], row[order]
         number = np.arange(len(row)) - np.searchsorted(row, row)
-        line = np.searchsorted(begin, a, side="right") - 1
-        order = np.argsort(h)
-        order = order[_by_line(line[order])]
-        h, line = h[order], line[order]
+        size = np.diff(np.append(np.searchsorted(a, begin), len(a)))
+        own = np.flatnonzero(size)
+        line = np.repeat(np.arange(len(own)), size[own])
+        h = h[_sorted_in(line, h)]
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (line[1:] != line[:-1])))
         h, line = h[new], line[new]
         start = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
-        own = line[start]
         yield Lines(first + row[own], number[own], start, np.diff(np.append(start, len(h))), h)
 
 
@@ -111,24 +126,44 @@ def set_keys(lines: Lines) -> np.ndarray:
 
 
 def line_table(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """Lines (id, doc, line, class) and the occurrences of each of the 65,536 word buckets in them, from one pass."""
+    """Lines (id, doc, line, class, number of lines of the row) and the occurrences of each word bucket in them, from one pass.
+
+    Rows equal in id and text are not told apart here: each gives the same lines, under the same doc.
+    """
 
     def run(batches):
-        names = ["id", "doc", "line", "class", "n"]
+        names = ["id", "doc", "line", "class", "n", "counts"]
         total = np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
             for lines in line_sets(batch.column(2)):
                 total += np.bincount((lines.words & _U(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 at = pa.array(lines.row)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number, pa.int32()), pa.array(set_keys(lines)), pa.nulls(len(at), pa.int64())], names=names)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int64()), pa.nulls(len(at), pa.int32()), pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=names)
+                n = np.bincount(lines.row)[lines.row]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(lines.number, pa.int32()), pa.array(set_keys(lines)), pa.array(n), pa.nulls(len(at), pa.binary())], names=names)
+        part, counts = [], []
+        for k in range(BUCKETS // SLICE):  # bucket and number of those that occur
+            own = total[k * SLICE : (k + 1) * SLICE]
+            at = np.flatnonzero(own)
+            if len(at):
+                part.append(k)
+                counts.append(np.stack((at, own[at])).tobytes())
+        none = pa.nulls(len(part), pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(part), pa.int32()), pa.array(part, pa.int64()), none, pa.array(counts, pa.binary())], names=names)
+
+    def summed(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at, n = np.frombuffer(counts, dtype=np.int64).reshape(2, -1)
+                total.setdefault(k, np.zeros(SLICE, dtype=np.int64))[at] += n
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([t.tobytes() for t in total.values()], pa.binary())], names=["class", "counts"])
 
-    table = written(docs.select("id", "doc", "text").mapInArrow(run, "id long, doc long, line int, class long, n long"), "lines")
-    sums = table.filter("n IS NOT NULL").groupBy("class").agg(F.sum("n").alias("n")).toPandas()  # 65,536 rows
+    table = written(docs.select("id", "doc", "text").mapInArrow(run, "id long, doc long, line int, class long, n long, counts binary"), "lines")
+    sums = table.filter("counts IS NOT NULL").select("class", "counts").repartition("class").mapInArrow(summed, "class long, counts binary")
     counts = np.zeros(BUCKETS, dtype=np.int64)
-    counts[sums["class"].to_numpy(int)] = sums["n"].to_numpy(int)
-    return table.filter("n IS NULL").drop("n").distinct(), counts
+    for r in sums.collect():  # 128 rows of 128 KB
+        counts[r["class"] * SLICE : (r["class"] + 1) * SLICE] = np.frombuffer(r["counts"], dtype=np.int64)
+    return table.filter("counts IS NULL").drop("counts"), counts
 
 
 def listing(docs: DataFrame, counts: np.ndarray, percent: int, frequent: int) -> DataFrame:
@@ -140,32 +175,34 @@ def listing(docs: DataFrame, counts: np.ndarray, percent: int, frequent: int) ->
     held; ``low`` and
     ``high`` are bitmaps of the set's words by their first bit, in ``low`` alone for short lines.
     """
-    rank = np.empty(BUCKETS, dtype=np.uint16)
-    rank[np.argsort(counts, kind="stable")] = np.arange(BUCKETS)
-    held = docs.sparkSession.sparkContext.broadcast((counts, rank))
+    rank = np.empty(BUCKETS, dtype=np.uint32)
+    order = np.argsort(counts, kind="stable")
+    rank[order] = np.arange(BUCKETS)
+    ones, hot = np.searchsorted(counts[order], [1, frequent], "right")  # ranks from which words are in two lines or more, and split
+    held = docs.sparkSession.sparkContext.broadcast((rank, int(ones), int(hot), counts[order[hot:]] // frequent + 1))
 
     def rows(lines: Lines, key: np.ndarray) -> list[np.ndarray]:
-        counts, rank = held.value
-        bucket = (lines.words & _U(BUCKETS - 1)).astype(np.int64)
+        rank, ones, hot, n_parts = held.value
+        ranks = rank[(lines.words & _U(BUCKETS - 1)).astype(np.int64)]
         of = lines.of_line()
-        order = np.argsort(rank[bucket], kind="stable")
-        order = order[_by_line(of[order])]
+        order = _sorted_in(of, (ranks.astype(np.uint64) << _U(64 - BITS)) | (lines.words >> _U(BITS)))
         place = np.arange(len(of)) - lines.start[of]
-        keep = place < (lines.size - (percent * lines.size + 99) // 100 + 1)[of]
-        of, place, word, often = of[keep], place[keep], lines.words[order][keep], counts[bucket[order][keep]]
+        ranks = ranks[order]
+        keep = (place < (lines.size - (percent * lines.size + 99) // 100 + 1)[of]) & (ranks >= ones)
+        of, place, word, ranks = of[keep], place[keep], lines.words[order[keep]], ranks[keep]
         packed = (word & ~_U((1 << 24) - 1)) | (np.minimum(lines.size, MOST)[of].astype(np.uint64) << _U(12)) | np.minimum(place, MOST).astype(np.uint64)
         bit = _U(1) << ((lines.words >> _U(57)) & _U(63))
         upper = (lines.words >> _U(63)).astype(bool) & np.repeat(lines.size > LONG, lines.size)
         low = np.bitwise_or.reduceat(np.where(upper, _U(0), bit), lines.start)
         high = np.bitwise_or.reduceat(np.where(upper, bit, _U(0)), lines.start)
         block, role = np.zeros(len(of), dtype=np.int64), np.zeros(len(of), dtype=np.int8)
-        split = np.flatnonzero(often > frequent)
+        split = np.flatnonzero(ranks >= hot)
         if len(split):
-            parts = often[split] // frequent + 1
+            parts = n_parts[ranks[split] - hot]
             again = np.repeat(split, parts)
             own = np.repeat((key[of[split]] & 0x7FFFFFFF) % parts, parts)
             other = np.arange(len(again)) - np.repeat(np.cumsum(parts) - parts, parts)
-            rest = np.flatnonzero(often <= frequent)
+            rest = np.flatnonzero(ranks < hot)
             meet = np.minimum(own, other) * np.repeat(parts, parts) + np.maximum(own, other)
             block = np.concatenate((block[rest], meet))
             role = np.concatenate((role[rest], np.where(own == other, 0, np.where(own < other, 1, 2)).astype(np.int8)))
@@ -191,10 +228,9 @@ def listing(docs: DataFrame, counts: np.ndarray, percent: int, frequent: int) ->
 
 
 class Listed(NamedTuple):
-    """A sorted part of the listing, unpacked; whole words only."""
+    """A part of the listing by group (word and block) and class, unpacked; whole groups only."""
 
-    word: np.ndarray
-    block: np.ndarray
+    group: np.ndarray
     cls: np.ndarray
     role: np.ndarray
     size: np.ndarray
@@ -204,11 +240,14 @@ class Listed(NamedTuple):
 
 
 def unpack(columns: list[np.ndarray]) -> Listed:
-    packed, cls, block, role, low, high = columns
-    again = (packed[1:] == packed[:-1]) & (cls[1:] == cls[:-1]) & (block[1:] == block[:-1]) & (role[1:] == role[:-1])
-    one = np.concatenate(([True], ~again))  # a class listed by several tasks counts once
-    value = packed[one].view(np.uint64)
-    return Listed((value >> _U(24)).astype(np.int64), block[one], cls[one], role[one], ((value >> _U(12)) & _U(MOST)).astype(np.int64), (value & _U(MOST)).astype(np.int64), low[one].view(np.uint64), high[one].view(np.uint64))
+    """``columns`` (group, class, info, low, high), sorted by group."""
+    group = columns[0]
+    number = np.cumsum(np.concatenate(([0], group[1:] != group[:-1])))
+    order = _sorted_in(number, columns[1].view(np.uint64))
+    group, cls, info, low, high = (c[order] for c in columns)
+    one = np.concatenate(([True], (group[1:] != group[:-1]) | (cls[1:] != cls[:-1])))  # a class listed by several tasks counts once
+    value = info[one].astype(np.int64)
+    return Listed(group[one], cls[one], (value >> 24).astype(np.int8), (value >> 12) & MOST, value & MOST, low[one].view(np.uint64), high[one].view(np.uint64))
 
 
 def can_match(t: Listed, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
@@ -233,25 +272,29 @@ def can_match(t: Listed, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarr
 
 
 def near(columns: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, Listed, np.ndarray]:
-    """Pairs of rows under words with few classes, and rows with a partner under the other words."""
+    """Pairs of rows under words with few pairs, and rows with a partner under the other words."""
     t = unpack(columns)
-    keep = np.zeros(len(t.word), dtype=bool)
-    start = np.flatnonzero(np.concatenate(([True], (t.word[1:] != t.word[:-1]) | (t.block[1:] != t.block[:-1]))))
-    count = np.diff(np.append(start, len(t.word)))
+    keep = np.zeros(len(t.group), dtype=bool)
+    start = np.flatnonzero(np.concatenate(([True], t.group[1:] != t.group[:-1])))
+    count = np.diff(np.append(start, len(t.group)))
     left, right = [], []
-    each = np.repeat(count, count)
-    offset = np.arange(len(t.word)) - np.repeat(start, count)
+    each, number = np.repeat(count, count), np.repeat(np.arange(len(count)), count)
+    offset = np.arange(len(t.group)) - np.repeat(start, count)
     small = np.flatnonzero((each > 1) & (each <= SMALL))
     step = 1
     while len(small):
         small = small[offset[small] + step < each[small]]
         x = small[can_match(t, small, small + step, percent)]
-        few = each[x] <= FEW
-        left.append(x[few])
-        right.append(x[few] + step)
-        keep[x[~few]] = True
-        keep[x[~few] + step] = True
+        left.append(x)
+        right.append(x + step)
         step += 1
+    cat = lambda p: np.concatenate(p) if p else np.zeros(0, dtype=np.int64)
+    x, y = cat(left), cat(right)
+    keep[x] = keep[y] = True
+    pairs, classes = np.bincount(number[x], minlength=len(count)), np.bincount(number[keep], minlength=len(count))
+    few = pairs <= PAIRS * classes
+    keep &= ~few[number]
+    x, y = x[few[number[x]]], y[few[number[x]]]
     for begin, n in zip(start[count > SMALL].tolist(), count[count > SMALL].tolist(), strict=True):
         rows = np.arange(begin, begin + n)
         one, two = (rows, rows) if not t.role[begin] else (rows[t.role[rows] == 1], rows[t.role[rows] == 2])
@@ -269,23 +312,24 @@ def near(columns: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarra
         while k < len(one):
             to = max(int(np.searchsorted(upto, (upto[k - 1] if k else 0) + (1 << 19), "right")), k + 1)
             wide = high[k:to] - low[k:to]
-            x = np.repeat(one[k:to], wide)
-            y = two[np.repeat(low[k:to] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())]
-            good = can_match(t, x, y, percent)
-            keep[x[good]] = True
-            keep[y[good]] = True
+            p = np.repeat(one[k:to], wide)
+            q = two[np.repeat(low[k:to] - (np.cumsum(wide) - wide), wide) + np.arange(wide.sum())]
+            good = can_match(t, p, q, percent)
+            keep[p[good]] = True
+            keep[q[good]] = True
             k = to
-    cat = lambda p: np.concatenate(p) if p else np.zeros(0, dtype=np.int64)
-    return cat(left), cat(right), t, keep
+    return x, y, t, keep
 
 
 def candidates(listed: DataFrame, percent: int) -> DataFrame:
-    """Groups to verify: (word, block, role, class); the pairs of a class make a group of its name, with block -1."""
-    name = F.shiftrightunsigned("word", 24)
-    dealt = listed.repartition(name, "block").sortWithinPartitions(name, "block", "word", "class", "role")
+    """Groups to verify: (group, block, role, class); the pairs of a class make a group of its name, with block -1."""
+    group = F.xxhash64(F.shiftrightunsigned("word", 24), "block").alias("group")  # one number, which Spark sorts by its digits
+    info = (F.col("word").bitwiseAND(0xFFFFFF) + F.shiftleft(F.col("role").cast("long"), 24)).cast("int").alias("info")
+    dealt = listed.select(group, "class", info, "low", "high").repartition("group").sortWithinPartitions("group")
 
     def run(batches):
-        held: list[np.ndarray] | None = None
+        held: list[list[np.ndarray]] = []  # of which the last group may go on
+        n_held = 0
 
         def out(columns):
             x, y, t, keep = near([np.ascontiguousarray(c) for c in columns], percent)
@@ -293,32 +337,31 @@ def candidates(listed: DataFrame, percent: int) -> DataFrame:
             pair = np.unique(np.stack((a, b)), axis=1) if len(a) else np.zeros((2, 0), dtype=np.int64)
             own = np.unique(pair[0])  # a class and those above it that it is paired with are one group
             n = len(own) + pair.shape[1]
-            columns = [np.concatenate((own, pair[0], t.word[keep])), np.concatenate((np.full(n, -1, dtype=np.int64), t.block[keep])), np.concatenate((np.zeros(n, dtype=np.int8), t.role[keep])), np.concatenate((own, pair[1], t.cls[keep]))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["word", "block", "role", "class"])
+            columns = [np.concatenate((own, pair[0], t.group[keep])), np.concatenate((np.full(n, -1, dtype=np.int8), np.zeros(keep.sum(), dtype=np.int8))), np.concatenate((np.zeros(n, dtype=np.int8), t.role[keep])), np.concatenate((own, pair[1], t.cls[keep]))]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["group", "block", "role", "class"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-            held = columns if held is None else [np.concatenate(x) for x in zip(held, columns, strict=True)]
-            key, block = held[0].view(np.uint64) >> _U(24), held[2]
-            last = np.flatnonzero((key != key[-1]) | (block != block[-1]))
+            held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            n_held += batch.num_rows
+            if n_held < AT_ONCE:
+                continue
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = np.flatnonzero(columns[0] != columns[0][-1])
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield out([c[:cut] for c in held])
-                held = [c[cut:] for c in held]
-        if held is not None:
-            yield out(held)
+                yield out([c[:cut] for c in columns])
+            held, n_held = [[c[cut:] for c in columns]], n_held - cut
+        if n_held:
+            yield out([np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return dealt.mapInArrow(run, "word long, block long, role byte, class long").distinct()
+    return dealt.mapInArrow(run, "group long, block byte, role byte, class long").distinct()
 
 
 def class_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, payload: sorted word hashes) of the lines that ``wanted`` (doc, lines) lists.
-
-    Takes all columns of ``docs``, so that Spark can use one shuffle of them here and at the end.
-    """
-    joined = docs.join(wanted, "doc")
+    """(class, payload: sorted word hashes) of the lines that ``wanted`` (doc, lines) lists."""
+    joined = docs.select("doc", "text").join(wanted, "doc")
     text, listed = joined.columns.index("text"), joined.columns.index("lines")
 
     def run(batches):
@@ -365,8 +408,8 @@ def together(start: np.ndarray, count: np.ndarray, few: np.ndarray, cls: np.ndar
 
 
 def matched(rows: DataFrame, percent: int) -> DataFrame:
-    """Classes with an earlier match, from candidate rows (word, block, role, class, id, doc, line, payload)."""
-    dealt = rows.repartition("word", "block").sortWithinPartitions("word", "block", "id", "doc", "line")
+    """Classes with an earlier match, from candidate rows (group, block, role, class, id, doc, line, payload)."""
+    dealt = rows.repartition("group", "block").sortWithinPartitions("group", "block", "id", "doc", "line")
 
     def group(held: list[tuple]) -> list[int]:
         member = [h for h in held if h[1] != 2]
@@ -398,9 +441,9 @@ def matched(rows: DataFrame, percent: int) -> DataFrame:
 
     def judged(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(held).combine_chunks()
-        word, block, role, cls = (t.column(c).to_numpy() for c in ("word", "block", "role", "class"))
-        start = np.flatnonzero(np.concatenate(([True], (word[1:] != word[:-1]) | (block[1:] != block[:-1]))))
-        count = np.diff(np.append(start, len(word)))
+        name, block, role, cls = (t.column(c).to_numpy() for c in ("group", "block", "role", "class"))
+        start = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (block[1:] != block[:-1]))))
+        count = np.diff(np.append(start, len(name)))
         few = np.flatnonzero(np.repeat((count > 1) & (count <= SMALL_GROUP), count))
         out = [cls[few[together(start, count, few, cls, role, t.column("payload").take(pa.array(few)).combine_chunks(), percent)]]] if len(few) else []
         for s, n in zip(start[count > SMALL_GROUP].tolist(), count[count > SMALL_GROUP].tolist(), strict=True):
@@ -413,8 +456,8 @@ def matched(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            word, block = (batch.column(c).to_numpy() for c in (0, 1))
-            last = np.flatnonzero((word != word[-1]) | (block != block[-1]))
+            name, block = (batch.column(c).to_numpy() for c in (0, 1))
+            last = np.flatnonzero((name != name[-1]) | (block != block[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if held and (cut or (held[-1].column(0)[-1], held[-1].column(1)[-1]) != (batch.column(0)[0], batch.column(1)[0])):
                 yield judged([*held, batch.slice(0, cut)])
@@ -425,7 +468,7 @@ def matched(rows: DataFrame, percent: int) -> DataFrame:
         if held:
             yield judged(held)
 
-    return dealt.select("word", "block", "role", "class", "payload").mapInArrow(run, "class long").distinct()
+    return dealt.select("group", "block", "role", "class", "payload").mapInArrow(run, "class long").distinct()
 
 
 def later_lines(docs: DataFrame, percent: int, frequent: int = FREQUENT) -> DataFrame:
@@ -435,18 +478,21 @@ def later_lines(docs: DataFrame, percent: int, frequent: int = FREQUENT) -> Data
     """
     lines, counts = line_table(docs)
     groups = written(candidates(listing(docs, counts, percent, frequent), percent), "line-candidates")
+    release(docs.sparkSession)  # the listing's shuffle, the largest of all, is done with
     first = lines.groupBy("class").agg(F.min(F.struct("id", "doc", "line")).alias("first"), F.count("*").alias("n"))
     some = groups.select("class").distinct().withColumn("near", F.lit(True))
     classes = first.join(some, "class", "left").filter("near OR n > 1").select("class", "first.*", F.coalesce("near", F.lit(False)).alias("near"))
     classes = written(classes, "line-classes")
-    release(docs.sparkSession)  # the listing's shuffle, the largest of all, is done with
 
     wanted = classes.filter("near").groupBy("doc").agg(F.collect_list("line").alias("lines"))  # lines of one document
-    rows = groups.join(classes.select("class", "id", "doc", "line"), "class").join(class_words(docs.drop("id"), wanted), "class")
+    payload = written(class_words(docs, wanted), "line-words")
+    release(docs.sparkSession)  # as is the shuffle of the texts
+    rows = groups.join(classes.select("class", "id", "doc", "line"), "class").join(payload, "class")
     later = matched(rows, percent).withColumn("later", F.lit(True))
     gone = classes.select("class", F.col("doc").alias("first_doc"), F.col("line").alias("first_line")).join(later, "class", "left")
     away = F.col("first_doc").isNotNull() & (F.col("later").isNotNull() | (F.col("doc") != F.col("first_doc")) | (F.col("line") != F.col("first_line")))
-    return lines.join(gone, "class", "left").groupBy("doc").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(away, F.col("line")))).alias("gone"))
+    own = lines.drop("id").join(gone, "class", "left")
+    return own.groupBy("doc").agg(F.max("n").alias("n"), F.sort_array(F.collect_set(F.when(away, F.col("line")))).alias("gone"))
 
 
 def doc_number(key: str, text: str):

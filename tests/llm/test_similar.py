@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from candleframe.llm import ann, decontam, linededup, minhash
+from candleframe.llm import ann, decontam, linededup, minhash, textkit
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -129,6 +129,56 @@ def test_small_groups_are_verified_together():
     assert few[got].tolist() == want and 100 < len(want) < len(few)
 
 
+def test_word_keys_are_those_of_words():
+    """Equal for the same word (A-Z in either case) wherever it stands, different for any two others."""
+    rng = random.Random(6)
+    pool = sorted({"".join(rng.choice("aAzZ@[`{é0") for _ in range(n)) for n in [*range(1, 20), 63, 64, 65, 66, 200] for _ in range(12)})
+    text = " ".join(rng.choice(pool) for _ in range(3000)).encode()
+    raw = np.frombuffer(text, dtype=np.uint8)
+    a, b = textkit.words(raw, np.array([0, len(raw)]))
+    assert [text[x:y] for x, y in zip(a, b, strict=True)] == text.split(b" ")
+    named = {}
+    for x, y, key in zip(a, b, textkit.word_keys(raw, a, b).tolist(), strict=True):
+        named.setdefault(text[x:y].lower(), set()).add(key)
+    assert all(len(k) == 1 for k in named.values()) and len(set.union(*named.values())) == len(named) > 150
+
+
+def test_values_of_lines_are_sorted():
+    rng = np.random.default_rng(8)
+    line = np.sort(rng.integers(0, 300, 5000))
+    value = rng.integers(0, 1 << 18, 5000).astype(np.uint64)  # most differ in their last 16 bits alone
+    for shift in (0, 40):
+        order = linededup._sorted_in(line, value << np.uint64(shift))
+        assert (line[order] == line).all() and (value[order] == value[np.lexsort((value, line))]).all()
+    many = np.arange(1 << 17)
+    assert (linededup._sorted_in(many, many.astype(np.uint64)[::-1].copy()) == many).all()
+
+
+def test_listing_leaves_out_what_one_line_has(spark):
+    """A word of a single line is shared by none; a pair is given once, however many words it shares."""
+    own = [" ".join(f"w{k}x{j}" for j in range(30)) for k in range(20)]
+    pairs = [" ".join(f"p{k}x{j}" for j in range(30)) for k in range(20)]
+    docs = [(k, f"{own[k]}\n{pairs[k]}") for k in range(20)] + [(20 + k, pairs[k] + " more") for k in range(20)]
+    work = spark.createDataFrame(docs, "id long, text string").withColumn("doc", F.col("id"))
+    lines, counts = linededup.line_table(work)
+    assert lines.count() == 60 and counts.sum() == 20 * 30 * 3 + 20
+    listed = linededup.listing(work, counts, 80, 20_000)
+    shared = {r["class"] for r in lines.join(work.select("id", "text"), "id").filter("line = 1 OR id >= 20").collect()}
+    few = {r["class"] for r in listed.select("class").distinct().collect()} - shared  # by chance, in a bucket of other words
+    assert len(few) <= 2
+    groups = linededup.candidates(listed, 80).collect()
+    assert len([r for r in groups if r["class"] in shared]) == 40 and all(r.block == -1 for r in groups)
+
+
+def test_rows_that_are_one_document(spark):
+    """Rows equal in id and text give their lines once: as many lines, and the same ones go."""
+    text = "a b c d e f\nq r s t u v\na b c d e f"
+    df = spark.createDataFrame([(1, text), (1, text), (1, "q r s t u v"), (2, text)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_lines, r.n_removed) for r in linededup.dedup_lines(df, "doc_id", "text").collect())
+    assert got[1:] in ([(1, 3, 1), (1, 3, 1), (2, 3, 3)], [(1, 3, 2), (1, 3, 2), (2, 3, 3)])  # by which text of id 1 is the earlier
+    assert got[0] == (1, 1, 1 if got[1] == (1, 3, 1) else 0)
+
+
 def test_lines_of_nothing(spark):
     assert linededup.dedup_lines(spark.createDataFrame([], "doc_id long, text string"), "doc_id", "text").count() == 0
 
